@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tempolane.llm.exact import exact_duplicates
 from tempolane.llm.pieces import encode_decode
+from tempolane.llm.rules import quality_rules
 from tempolane.llm.shared import read
 
 #: Place of the merge-type vocabulary file; a parameter of every operator that uses it.
@@ -19,12 +20,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_quality_rules": op3_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
