@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tempolane.llm.archives import archive_pages
 from tempolane.llm.exact import exact_duplicates
 from tempolane.llm.extract import extract_pages
+from tempolane.llm.likelihood import score_documents
 from tempolane.llm.pieces import encode_decode
 from tempolane.llm.rules import quality_rules
 from tempolane.llm.shared import read
@@ -38,12 +39,17 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op5_warc": op5_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_html_extraction": op8_html_extraction,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
