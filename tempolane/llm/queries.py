@@ -11,6 +11,7 @@ from tempolane.llm.archives import archive_pages
 from tempolane.llm.exact import exact_duplicates
 from tempolane.llm.extract import extract_pages
 from tempolane.llm.likelihood import score_documents
+from tempolane.llm.near import near_duplicates
 from tempolane.llm.pieces import encode_decode
 from tempolane.llm.rules import quality_rules
 from tempolane.llm.shared import read
@@ -43,6 +44,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {
