@@ -13,6 +13,7 @@ from tempolane.llm.exact import exact_duplicates
 from tempolane.llm.extract import extract_pages
 from tempolane.llm.likelihood import score_documents
 from tempolane.llm.near import near_duplicates
+from tempolane.llm.packing import best_fit
 from tempolane.llm.pieces import encode_decode
 from tempolane.llm.rules import quality_rules
 from tempolane.llm.shared import read
@@ -29,6 +30,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(read(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read(spark, sf_dir, "pages"))
 
@@ -56,6 +61,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
