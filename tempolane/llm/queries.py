@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tempolane.llm.archives import archive_pages
 from tempolane.llm.classifier import classify
+from tempolane.llm.counting import count_tokens, review_edits
 from tempolane.llm.exact import exact_duplicates
 from tempolane.llm.extract import extract_pages
 from tempolane.llm.likelihood import score_documents
@@ -20,12 +21,18 @@ from tempolane.llm.shared import read
 
 #: Place of the merge-type vocabulary file; a parameter of every operator that uses it.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+#: Place of the byte-level vocabulary as ranks, and the pattern of its pre-tokens.
+BYTE_RANKS, BYTE_PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), BYTE_RANKS, BYTE_PATTERN, review_edits())
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
@@ -60,6 +67,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc": op5_warc,
