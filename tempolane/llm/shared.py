@@ -57,3 +57,23 @@ def text_or_empty(name: str = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids that are sent to all executors to filter documents by; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", kept_col: str = "kept", single: bool = False) -> DataFrame:
+    """``docs`` without the documents whose id has no kept row among ``decisions`` (one row per document, ids may be null).
+
+    Texts are not shuffled while the dropped ids are few. ``single``: of rows with equal id and text one stays, which takes a
+    shuffle only if ids repeat among the decisions at all.
+    """
+    verdict = materialise(decisions.select(F.col(id_col).alias("_id"), F.col(kept_col).cast("boolean").alias("_kept")), "decisions")
+    by_id = verdict.groupBy("_id").agg(F.max("_kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    facts = by_id.agg(F.count(F.when(~F.col("_kept"), 1)).alias("dropped"), F.max("_rows").alias("rows")).first()
+    dropped = by_id.where(~F.col("_kept")).select("_id")
+    if facts["dropped"] <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    out = docs.join(dropped, docs[id_col].eqNullSafe(dropped["_id"]), "left_anti")
+    return out.dropDuplicates([id_col, "text"]) if single and (facts["rows"] or 0) > 1 else out
