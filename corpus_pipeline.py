@@ -1,12 +1,71 @@
-"""Training-data pipeline over ``documents``: each stage is one corpus operator, written as Parquet and read by the next."""
+"""Training-data pipeline over ``documents``: quality rules, quality classifier, exact deduplication, near-duplicates, packing.
+
+Each stage is one operator of :mod:`tempolane.llm`; its decisions take effect on the rows that the stage before it kept, and its
+result is written as Parquet and read again as the next one's documents. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tempolane.llm.classifier import classify
+from tempolane.llm.exact import exact_duplicates
+from tempolane.llm.near import near_duplicates
+from tempolane.llm.packing import best_fit
+from tempolane.llm.queries import PIECE_MODEL
+from tempolane.llm.rules import quality_rules
+from tempolane.llm.shared import keep_rows, materialise, read, release
+
+#: A stage's function takes (spark, docs, sf_dir) and returns a DataFrame.
+
+
+def stage_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    release(spark)
+    return keep_rows(docs, quality_rules(docs))
+
+
+def stage_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of the rows at hand, predicts to be good."""
+    release(spark)
+    return keep_rows(docs, classify(docs, read(spark, sf_dir, "labels")), kept_col="predicted")
+
+
+def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    release(spark)
+    return keep_rows(docs, exact_duplicates(docs), single=True)
+
+
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    release(spark)
+    return keep_rows(docs, near_duplicates(docs), single=True)
+
+
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and the bins that hold them."""
+    release(spark)
+    return best_fit(docs, PIECE_MODEL)
+
+
+STAGES = [
+    ("quality rules", stage_rules),
+    ("quality classifier", stage_classifier),
+    ("exact dedup", stage_exact),
+    ("near duplicates", stage_near),
+    ("best-fit packing", stage_packing),
+]
+
+#: The classifier, the sketches and the packing are not expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, "stage-" + name.replace(" ", "-"))
+    return docs
