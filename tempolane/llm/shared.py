@@ -30,10 +30,13 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and fixes its rows against recomputation."""
+def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and fixes its rows against recomputation. ``keep``
+    spares the table from :func:`release`."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
+    if keep:
+        _SCRATCH.remove(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
