@@ -67,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, "stage-" + name.replace(" ", "-"))
+            docs = materialise(docs, "stage-" + name.replace(" ", "-"), keep=True)
     return docs
