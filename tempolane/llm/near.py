@@ -4,10 +4,11 @@ Texts are sets of five-word shingles, weighted by 1 + ln(occurrences). Documents
 sketches agree on a whole band meet in a bucket. Links are pairs of nodes with a Jaccard similarity of their shingle sets of at
 least 0.8, computed from the whole sets; classes are the connected components of the links.
 
-Buckets are not turned into all their pairs. In each round every bucket has one centre, which is compared with the members
-that are not yet in its component; a group of near copies becomes one component in a few rounds of linear work. What is then
-left, pairs of members of a bucket that are in different components and were never compared, is compared pair by pair, so that
-no link is lost between the rounds. Pairs whose set sizes alone exclude the similarity are not compared.
+Buckets are not turned into all their pairs. Every bucket has a centre, which is compared with its members; a group of near
+copies becomes one component by linear work. Buckets that are still in several components get a second centre, the set that
+has most in common with the others. What is then left, pairs of members in different components, is compared too, so that no
+link is lost between the rounds; but only pairs that the known sizes, distances from the centre and numbers of shingles that no
+other set has do not exclude.
 
 Defined results: a null text counts as empty; a text of fewer than five words is one shingle of all its words; texts without
 words are one class; null and repeated ids are kept apart row by row, one row of a class is kept; a class is named by its
@@ -30,8 +31,6 @@ from tempolane.llm.words import WordHasher, join_texts, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 REGISTERS, ROWS = 80, 4
-#: Rounds with one centre a bucket before the remaining pairs are compared.
-ROUNDS = 3
 #: Keys of texts that are sent to all executors (a few bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -104,29 +103,82 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str)
     return materialise(chosen.mapInArrow(run, "node long, shingles binary"), "near-sets")
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if not len(x) and not len(y):
-        return 1.0
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) with ``both``, the number of shingles that both have, and ``near``, whether the sets are similar."""
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            near = pa.array([jaccard(x, y) >= similarity for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(near)
+            both, near = [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                n = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                both.append(n)
+                near.append(n >= similarity * ((len(x) + len(y)) // 8 - n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(near, pa.bool_())], names=["a", "b", "both", "near"])
 
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long, near boolean"), "near-compared")
+
+
+def ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def centre_pairs(now: DataFrame, centre: DataFrame, similarity: float) -> DataFrame:
+    """Each member of a bucket with the bucket's centre (band, p, p_n), unless their sizes exclude the similarity."""
+    near = now.join(centre, "band").where("node <> p").where(f"least(n, p_n) >= {similarity} * greatest(n, p_n)")
+    return near.select(*ordered("node", "p")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def open_members(member: DataFrame, label: DataFrame) -> DataFrame:
+    """Members with their component, in buckets that are not in one component yet."""
+    now = member.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    return now.join(several, "band")
+
+
+def unshared(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and own: how many of its shingles no other of the nodes has."""
+
+    def run(batches):
+        for batch in batches:
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingle = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingle), node)), pa.array(shingle)], names=["node", "shingle"])
+
+    each = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(run, "node long, shingle long")
+    alone = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("times")).where("times = 1")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def remaining_pairs(now: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of members of a bucket in different components that can be similar at all.
+
+    Two bounds, exact for every data. What two sets share is at most the smaller number c of shingles that are not a set's own
+    alone: (1 + s) * min(c) >= s * (|a| + |b|). And with d, how far a set is from its bucket's centre (shingles in one but not
+    both), sets differ by d_a + d_b less twice what they have in common among these differences, which is at most d - own; they
+    may differ by (1 - s) / (1 + s) * (|a| + |b|). One of each pair is outside its bucket's largest component.
+    """
+    where = ordered("node", "p")
+    far = facts.select(F.col("a").alias("f_a"), F.col("b").alias("f_b"), "both")
+    now = now.join(far, (where[0] == F.col("f_a")) & (where[1] == F.col("f_b")), "left").withColumn("c", F.col("n") - F.col("own"))
+    now = now.withColumn("d", F.when(F.col("node") == F.col("p"), 0).otherwise(F.col("n") + F.col("p_n") - 2 * F.col("both")))
+    main = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "label")).alias("m")).select("band", F.col("m.label").alias("main"))
+    every = now.groupBy("node").agg(F.array_sort(F.collect_set("band")).alias("bands"))  # as many as a sketch has at most
+    now = now.join(main, "band").join(every, "node").withColumn("main", F.col("label") == F.col("main"))
+    columns = ("node", "n", "label", "own", "c", "d", "main", "bands")
+    now = materialise(now.select("band", *columns), "near-open")
+    side = lambda df, x: df.select("band", *(F.col(k).alias(f"{x}_{k}") for k in columns))
+    one, two = side(now.where("NOT main"), "a").alias("one"), side(now, "b").alias("two")
+    s = similarity
+    differ = f"{(1 - s) / (1 + s)} * (a_n + b_n)"
+    possible = f"least(a_n, b_n) >= {s} * greatest(a_n, b_n) AND {1 + s} * least(a_c, b_c) >= {s} * (a_n + b_n) - 1e-6 AND coalesce(a_d + b_d - 2 * least(a_d - a_own, b_d - b_own) <= {differ} + 1e-6, true)"
+    once = "a_label <> b_label AND (b_main OR a_node < b_node)"
+    first = "array_intersect(a_bands, b_bands)[0] = one.band"  # a pair meets in the first bucket that both are in
+    return one.join(two, F.expr(f"one.band = two.band AND {once} AND {possible} AND {first}")).select(*ordered("a_node", "b_node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id, class_id (largest id of the class), class_size, kept, n_shingles."""
     signed = signatures(docs, id_col, text_col)
     node = signed.groupBy("set_key").agg(F.min(F.struct("row", "id", "text_key", "n", "bands")).alias("x")).select("set_key", F.col("x.row").alias("node"), "x.id", "x.text_key", "x.n", "x.bands")
@@ -136,38 +188,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialise(band.join(shared, "band"), "near-members")
     sets = shingle_sets(docs, node.join(member.select("node").distinct(), "node", "left_semi").select("node", "id", "text_key"), id_col, text_col)
 
-    similar_size = F.expr(f"least(a_n, b_n) >= {similarity} * greatest(a_n, b_n)")
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    links = checked = label = None
-    for turn in range(rounds + 1):
-        # Members with their component so far; a bucket in one component is done with.
-        now = member.withColumn("label", F.col("node")) if label is None else member.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if label is not None:
-            open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-            now = now.join(open_, "band")
-        one = now.select("band", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_l"))
-        if turn < rounds:
-            pick = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a", "a_n", "a_l") if turn else F.struct("a", "a_n", "a_l")
-            one = one.groupBy("band").agg(F.min(pick).alias("c")).select("band", "c.a", "c.a_n", "c.a_l")
-        two = now.select("band", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_l"))
-        pairs = one.join(two, "band").where("a <> b AND a_l <> b_l").where(similar_size)
-        if turn == rounds:
-            pairs = pairs.where("a < b")
-        pairs = pairs.select(*ordered).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        if pairs.isEmpty():
-            if turn == rounds:
-                break
-            continue
-        found = materialise(verified(pairs, sets, similarity), "near-links")
-        links = found if links is None else links.unionByName(found)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        if not found.isEmpty():
-            label = components(links)
+    # First round: the least node of each bucket is its centre.
+    first = member.groupBy("band").agg(F.min(F.struct(F.col("node").alias("p"), F.col("n").alias("p_n"))).alias("c")).select("band", "c.p", "c.p_n")
+    links = compared(centre_pairs(member, first, similarity), sets, similarity).where("near").select("a", "b")
+    label = components(links)
+    # Second round, in the buckets left open: the set with the least share of shingles of its own, the others' common base.
+    now = open_members(member, label)
+    own = unshared(now.select("node").distinct(), sets)
+    alone = materialise(now.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))).drop("label"), "near-own")
+    best = F.min(F.struct((F.col("own") / F.col("n")).alias("x"), F.col("node").alias("p"), F.col("n").alias("p_n")))
+    alone = alone.join(alone.groupBy("band").agg(best.alias("c")).select("band", "c.p", "c.p_n"), "band")
+    facts = compared(centre_pairs(alone.drop("p", "p_n"), alone.select("band", "p", "p_n").distinct(), similarity), sets, similarity)
+    links = links.unionByName(facts.where("near").select("a", "b"))
+    label = components(links)
+    # What is left.
+    rest = compared(remaining_pairs(open_members(alone, label), facts, similarity), sets, similarity).where("near").select("a", "b")
+    if not rest.isEmpty():
+        label = components(links.unionByName(rest))
 
     rows = signed.select("row", "id", "set_key", "n").join(node.select("set_key", "node"), "set_key")
-    rows = rows.withColumn("label", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = rows.groupBy("label").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(best, "label").select(F.col("id").alias(id_col), F.col("keep.id").alias("class_id"), "class_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.col("n").alias("n_shingles"))
