@@ -21,10 +21,12 @@ from bisect import bisect_left, insort
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempolane.llm.pieces import codec, count_batch, text_groups
+from tempolane.llm.counting import counter
+from tempolane.llm.pieces import text_groups
 from tempolane.llm.shared import materialise, text_or_empty
 
 CAPACITY, SHARD_DOCS, PER_SOURCE = 8192, 20_000, 8
@@ -86,27 +88,31 @@ def pack(items: list[tuple], capacity: int, per_source: int) -> list[tuple[int,
     return out
 
 
-def token_counts(docs: DataFrame, model_path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def squeezed_hash(text: str) -> int | None:
+    """Hash of the words in lower case; None without a word."""
+    words = text.lower().split()
+    return xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63) if words else None
+
+
+def token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """id, source, cluster and tokens (with the end token) of each document; the cluster is the hash of the squeezed text."""
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        c = codec(model_path)
+        encoding = counter(ranks_path, pattern).encoding
         for batch in batches:
-            for at, texts in text_groups(batch.column(3).to_pylist()):
-                counts = pa.array([n + 1 for n in count_batch(c, texts)], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(at, len(texts)) for k in range(3)] + [counts], names=["id", "source", "cluster", "tokens"])
-
-    text = text_or_empty(text_col)
-    squeezed = F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
-    cluster = F.when(F.length(squeezed) > 0, F.xxhash64(squeezed))
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), text.alias("t"))
+            for at, texts in text_groups(batch.column(2).to_pylist()):
+                counts = pa.array([len(encoding.encode_to_numpy(t, disallowed_special=())) + 1 for t in texts], pa.int64())
+                cluster = pa.array([squeezed_hash(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), cluster, counts], names=["id", "source", "cluster", "tokens"])
+
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_or_empty(text_col).alias("t"))
     return chosen.mapInArrow(run, f"id {id_type}, source string, cluster long, tokens long")
 
 
-def best_fit(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def best_fit(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row per piece: id, piece, bin_id, tokens, bin_tokens (all tokens of the bin), oversize (a full bin of one document)."""
-    counted = materialise(token_counts(docs, model_path, id_col, text_col, source_col), "pack-counts")
+    counted = materialise(token_counts(docs, ranks_path, pattern, id_col, text_col, source_col), "pack-counts")
     shards = max(1, -(-counted.count() // shard_docs))
     id_type = dict(docs.dtypes)[id_col]
     sharded = counted.withColumn("shard", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("cluster"))), F.lit(shards)))

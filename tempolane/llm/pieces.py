@@ -202,10 +202,3 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col(id_col), text_or_empty(text_col).alias("_t")).mapInArrow(run, schema)
-
-
-def count_batch(c: PieceCodec, texts: list[str]) -> list[int]:
-    """Number of ids of each text without begin and end, by the same agenda and memory."""
-    split = [c.segments(c.mark(t)) for t in texts]
-    sizes = {k: len(v[0]) // 4 for k, v in c.learn(split).items()}.__getitem__
-    return [sum(map(sizes, segs)) for segs in split]

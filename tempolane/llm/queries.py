@@ -38,7 +38,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(read(spark, sf_dir, "documents"), PIECE_MODEL)
+    return best_fit(read(spark, sf_dir, "documents"), BYTE_RANKS, BYTE_PATTERN)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
