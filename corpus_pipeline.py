@@ -12,7 +12,7 @@ from tempolane.llm.classifier import classify
 from tempolane.llm.exact import exact_duplicates
 from tempolane.llm.near import near_duplicates
 from tempolane.llm.packing import best_fit
-from tempolane.llm.queries import PIECE_MODEL
+from tempolane.llm.queries import BYTE_PATTERN, BYTE_RANKS
 from tempolane.llm.rules import quality_rules
 from tempolane.llm.shared import keep_rows, materialise, read, release
 
@@ -46,7 +46,7 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and the bins that hold them."""
     release(spark)
-    return best_fit(docs, PIECE_MODEL)
+    return best_fit(docs, BYTE_RANKS, BYTE_PATTERN)
 
 
 STAGES = [
