@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempolane.llm.shared import scratch_path
+from tempolane.llm.shared import materialise, scratch_path
 
 #: Uncompressed bytes of one archive file, more or less (a record is never split).
 ARCHIVE_BYTES = 16 << 20
@@ -228,6 +228,20 @@ def archive_rows(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
+def gunzip(data: bytes) -> bytes:
+    """All members of a gzip file. The input is handed on in small parts, so that many members cost no more than their bytes."""
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            part = view[at : at + 16384]
+            if not part:
+                raise ValueError("gzip member has no end")
+            out.append(member.decompress(part))
+            at += len(part) - len(member.unused_data)
+    return b"".join(out)
+
+
 def page_of(head: bytes) -> int | None:
     found = header_of(head, "X-Page-Id")
     return None if found in (None, "-") else int(found)
@@ -239,7 +253,7 @@ def arc_index(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parsed = [split_http(r.block) for r in parse_arc(gzip.decompress(data))]
+                parsed = [split_http(r.block) for r in parse_arc(gunzip(data))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(parsed), pa.string()), pa.array([sha1_base32(x) for _, x in parsed], pa.string()), pa.array([len(x) for _, x in parsed], pa.int64()), pa.array([page_of(h) for h, _ in parsed], pa.int64())],
                     names=["name", "digest", "size", "page"],
@@ -257,23 +271,31 @@ def revisits(index: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return own.join(shared, ["digest", "size", "salt"]).groupBy("name").agg(F.collect_list(F.struct("digest", "target")).alias("targets"))
 
 
-def write_warc(files: DataFrame, targets: DataFrame, folder: str, least: int = REVISIT_BYTES) -> DataFrame:
-    """Convert ARC files (name, content) to WARC files below ``folder``; gives the names and numbers of records."""
+def get_file(folder: str, name: str) -> bytes:
+    fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
+        return f.read()
+
+
+def write_warc(names: DataFrame, old: str, targets: DataFrame, new: str, files: int, least: int = REVISIT_BYTES) -> DataFrame:
+    """Convert the ARC files (name) below ``old`` to WARC files below ``new``; gives the names and numbers of records. Tasks
+    read their files themselves, so only names and targets are shuffled; about four files make a task when there are many."""
 
     def run(batches):
         for batch in batches:
-            for name, data, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for name, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 target = {x["digest"]: x["target"] for x in found or []}
                 out = []
-                for r in parse_arc(gzip.decompress(data)):
+                for r in parse_arc(gunzip(get_file(old, name))):
                     head, payload = split_http(r.block)
                     page = page_of(head)
                     to = target.get(sha1_base32(payload)) if len(payload) >= least else None
                     out.append(gzip.compress(to_warc(r, "-" if page is None else str(page), None if to == page else to), 1, mtime=0))
-                put_file(folder, name.replace(".arc.gz", ".warc.gz"), b"".join(out))
+                put_file(new, name.replace(".arc.gz", ".warc.gz"), b"".join(out))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(out)], pa.int64())], names=["name", "records"])
 
-    return files.join(targets, "name", "left").select("name", "content", "targets").mapInArrow(run, "name string, records long")
+    work = names.join(targets, "name", "left").select("name", "targets").repartition(max(1, min(files, max(64, files // 4))), "name")
+    return work.mapInArrow(run, "name string, records long")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -284,7 +306,7 @@ def read_warc(files: DataFrame) -> DataFrame:
         for batch in batches:
             for data in batch.column(1).to_pylist():
                 rows = []
-                for fields, block in parse_warc(gzip.decompress(data)):
+                for fields, block in parse_warc(gunzip(data)):
                     head, payload = split_http(block)
                     revisit = fields["warc-type"] == "revisit"
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
@@ -300,7 +322,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """Pages to ARC files, ARC files to WARC files, and the records read back from these."""
     spark = pages.sparkSession
     old, new = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    write_arc(pages, old, id_col, url_col, html_col).agg(F.sum("records")).collect()
-    files = archive_rows(spark, old, "*.arc.gz")
-    write_warc(files, revisits(arc_index(files)), new).agg(F.sum("records")).collect()
+    written = materialise(write_arc(pages, old, id_col, url_col, html_col), "arc-names").select("name").distinct()
+    targets = revisits(arc_index(archive_rows(spark, old, "*.arc.gz")))
+    write_warc(written, old, targets, new, written.count()).agg(F.sum("records")).collect()
     return read_warc(archive_rows(spark, new, "*.warc.gz"))
