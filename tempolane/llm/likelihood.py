@@ -2,13 +2,12 @@
 
 Work flows in chunks of documents (some megabytes of text). A chunk is written once as its dictionary of distinct words and
 its tokens as places in that dictionary, so that words meet the corpus-wide counts once for each chunk instead of once for
-each occurrence: a word that is everywhere has one row a chunk. Counts of training documents are summed by a pre-aggregated
-shuffle over all words of the corpus.
+each occurrence: a word that is everywhere has one row a chunk. Counts of training documents are summed in one shuffle over the dictionaries.
 
 The model: tokens are emitted as classes by hidden states, words by their classes. The TOP_WORDS most frequent training words
 (count, then word) are classes of their own; other words share SUFFIX_CLASSES classes by their last two characters and have
 the add-one share of their count there, with one more outcome for all unseen words; the end of a text is a class. First
-parameters come from a few rounds on WARM_TOKENS tokens of training documents at most (a bounded sample, used for starting
+parameters come from a few rounds on STEP_TOKENS tokens of training documents at most (a bounded sample, used for starting
 values only); then FULL_ROUNDS rounds of Baum-Welch take the expected counts of all training documents, summed across
 partitions, in windows of WINDOW tokens. Scores are exact: the scaled forward recursion runs over each whole text.
 
@@ -19,12 +18,14 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempolane.llm.hmm import Layout, expect, forward, normalise, train
@@ -33,8 +34,12 @@ from tempolane.llm.shared import fold, materialise, text_or_empty
 from tempolane.llm.words import WordHasher, join_texts
 
 STATES, TOP_WORDS, SUFFIX_CLASSES = 8, 2048, 256
-WARM_ROUNDS, WARM_TOKENS, FULL_ROUNDS, WINDOW = 12, 300_000, 3, 512
-CHUNK_CHARS = 4_000_000
+WARM_ROUNDS, FULL_ROUNDS, WINDOW = 12, 3, 512
+#: Tokens that forward-backward takes at once, and those of the warm start, at most (and one window).
+STEP_TOKENS = 250_000
+CHUNK_CHARS = 6_000_000
+#: Dictionary entries whose counts are packed together.
+PACK_ROWS = 1_000_000
 SYMBOLS = TOP_WORDS + SUFFIX_CLASSES + 1
 END = SYMBOLS - 1
 #: Rows of expected counts that reach the driver in a round, at most.
@@ -45,13 +50,13 @@ def suffix_class(word: str) -> int:
     return zlib.crc32(word[-2:].encode()) % SUFFIX_CLASSES
 
 
-def pack(tokens: np.ndarray) -> bytes:
-    """Small integers as byte planes, of which the upper ones compress to little."""
-    return tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack(values: np.ndarray, width: int = 4) -> bytes:
+    """Whole numbers as byte planes, of which the upper ones compress to little."""
+    return np.ascontiguousarray(values.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def unpack(data: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def chunk_texts(texts: list[str], learn: np.ndarray, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
@@ -87,14 +92,63 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFrame:
     return materialise(chosen.mapInArrow(run, schema).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
 
 
-def classify(chunk: pa.Table, found: pa.Table, n_tokens: int, n_words: int, rare_tokens: list[int], rare_words: list[int]) -> dict:
+def looked_up(entry: DataFrame) -> DataFrame:
+    """The corpus count of every word of every chunk's dictionary, packed by chunk; and sums for the model.
+
+    One shuffle by word. A word has a row for each chunk that it occurs in, so no word has more than a small share of the rows.
+    Rows with a chunk hold places and counts of some of its words; rows without hold a partition's sums by suffix class and its
+    most frequent words.
+    """
+    word = Window.partitionBy("word").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("chunk"))
+    counted = entry.select("word", "chunk", "pos", F.sum("n").over(word).alias("c"), nth.alias("nth")).select("chunk", "pos", "c", F.when((F.col("nth") == 1) & (F.col("c") > 0), F.col("word")).alias("first"))
+    names = ["chunk", "pos", "c", "tokens", "kinds", "words", "word_counts"]
+
+    def run(batches):
+        tokens, kinds, best = np.zeros(SUFFIX_CLASSES, np.int64), np.zeros(SUFFIX_CLASSES, np.int64), []
+        held, size = [], 0
+
+        def flush():
+            chunk, pos, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((pos, chunk))
+            chunk, pos, c = chunk[order], pos[order], c[order]
+            cut = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+            parts = list(zip(cut, [*cut[1:], len(chunk)], strict=True))
+            rows = [pa.array(chunk[cut], pa.int64()), pa.array([pack(pos[i:j]) for i, j in parts], pa.binary()), pa.array([pack(c[i:j], 8) for i, j in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(cut), t) for t in (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())))], names=names)
+
+        for batch in batches:
+            c = batch.column(2).to_numpy()
+            first = batch.column(3)
+            here = np.flatnonzero(first.is_valid().to_numpy(zero_copy_only=False))
+            words = first.take(pa.array(here)).to_pylist()
+            classes = np.array([suffix_class(w) for w in words], np.int64)
+            np.add.at(tokens, classes, c[here])
+            np.add.at(kinds, classes, 1)
+            best = heapq.nsmallest(TOP_WORDS, [*best, *zip((-c[here]).tolist(), words, strict=True)])
+            known = c > 0
+            held.append((batch.column(0).to_numpy()[known], batch.column(1).to_numpy()[known], c[known]))
+            size += len(held[-1][0])
+            if size >= PACK_ROWS:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary())), pa.array([tokens], pa.list_(pa.int64())), pa.array([kinds], pa.list_(pa.int64())), pa.array([[w for _, w in best]], pa.list_(pa.string())), pa.array([[-n for n, _ in best]], pa.list_(pa.int64()))],
+            names=names,
+        )
+
+    return materialise(counted.mapInArrow(run, "chunk long, pos binary, c binary, tokens array<long>, kinds array<long>, words array<string>, word_counts array<long>"), "lm-counts")
+
+
+def classify(chunk: pa.Table, found: pa.Table, n_tokens: int, n_words: int, rare_tokens: list[int], rare_words: list[int], ranks: dict[str, int]) -> dict:
     """Base score, class sequence and within-class probability of the documents of one chunk."""
-    row = chunk.to_pylist()[0]
+    row = {x: chunk.column(x)[0].as_py() for x in ("starts", "tokens", "words")}
     starts, tokens, words = np.array(row["starts"]), unpack(row["tokens"]), row["words"]
-    count, top = np.zeros(len(words) + 1, np.int64), np.full(len(words) + 1, -1, np.int64)
-    at = found.column("pos").to_numpy()
-    count[at] = found.column("c").to_numpy()
-    top[at] = found.column("top").to_numpy()
+    count, top = np.zeros(len(words) + 1, np.int64), np.array([*(ranks.get(w, -1) for w in words), -1], np.int64)
+    for pos, c in zip(found.column("pos").to_pylist(), found.column("c").to_pylist(), strict=True):
+        count[unpack(pos)] = unpack(c, 8)
     count, top = count[:-1], top[:-1]
     suffix = np.array([suffix_class(w) for w in words], np.int64)
     rare = top < 0
@@ -120,13 +174,18 @@ def windows(starts: np.ndarray, size: int) -> np.ndarray:
     return np.append(base + nth * size, starts[-1])
 
 
-def training(symbols: bytes, starts: list[int], held: list[bool], size: int) -> Layout:
-    """Windows of a chunk's training documents."""
+def training(symbols: bytes, starts: list[int], held: list[bool], size: int) -> Iterator[Layout]:
+    """Windows of a chunk's training documents, STEP_TOKENS or so at once: bounds the memory of forward-backward."""
     s, keep = np.frombuffer(symbols, np.uint16).astype(np.int64), ~np.array(held, bool)
     starts = np.array(starts)
     length = np.diff(starts)
     chosen = s[np.repeat(keep, length)]
-    return Layout(chosen, windows(np.concatenate(([0], np.cumsum(length[keep]))), size))
+    at = windows(np.concatenate(([0], np.cumsum(length[keep]))), size)
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + STEP_TOKENS, side="right")) - 1)
+        yield Layout(chosen[at[a] : at[b]], at[a : b + 1] - at[a])
+        a = b
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = STATES, full_rounds: int = FULL_ROUNDS) -> DataFrame:
@@ -135,31 +194,36 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = dict(docs.dtypes)[id_col]
     chunk = chunks(docs, id_col, text_col, held_out)
     entry = chunk.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("chunk", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counts = materialise(entry.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+    found = looked_up(entry)
     ends = chunk.select(F.explode("held").alias("h")).where("NOT h").count()
     # The most frequent words: bounded by TOP_WORDS.
-    top = counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()
-    top_rows = docs.sparkSession.createDataFrame([(r["word"], k) for k, r in enumerate(top)], "word string, top int")
-    ranked = counts.join(F.broadcast(top_rows), "word", "left")
-    tail = F.when(F.col("top").isNull(), F.pmod(F.crc32(F.encode(F.substring("word", -2, 2), "UTF-8")), F.lit(SUFFIX_CLASSES)))
-    by_class = {r["k"]: r for r in ranked.groupBy(tail.alias("k")).agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("kinds")).collect()}
-    rare_tokens = [by_class[k]["tokens"] if k in by_class else 0 for k in range(SUFFIX_CLASSES)]
-    rare_words = [by_class[k]["kinds"] if k in by_class else 0 for k in range(SUFFIX_CLASSES)]
-    n_tokens = sum(r["tokens"] for r in by_class.values()) + ends
-    n_words = sum(r["kinds"] for r in by_class.values()) + (ends > 0)
+    def best_of(group: pd.DataFrame) -> pd.DataFrame:
+        pairs = heapq.nsmallest(TOP_WORDS, ((-n, w) for words, counts in zip(group["words"], group["word_counts"], strict=True) for w, n in zip(words, counts, strict=True)))
+        return pd.DataFrame({"words": [[w for _, w in pairs]], "word_counts": [[-n for n, _ in pairs]]})
+
+    lists = found.where("words IS NOT NULL").groupBy(F.pmod(F.xxhash64("words"), F.lit(SUMS))).applyInPandas(best_of, "words array<string>, word_counts array<long>").collect()
+    top = [{"word": w, "c": -n} for n, w in heapq.nsmallest(TOP_WORDS, ((-n, w) for r in lists for w, n in zip(r["words"], r["word_counts"], strict=True)))]
+    ranks = {r["word"]: k for k, r in enumerate(top)}
+    sums = [F.sum(F.element_at(x, k + 1)).alias(f"{x}{k}") for x in ("tokens", "kinds") for k in range(SUFFIX_CLASSES)]
+    row = found.where("tokens IS NOT NULL").agg(*sums).first()
+    rare_tokens, rare_words = ([row[f"{x}{k}"] or 0 for k in range(SUFFIX_CLASSES)] for x in ("tokens", "kinds"))
+    n_tokens, n_words = sum(rare_tokens) + ends, sum(rare_words) + (ends > 0)
+    for r in top:
+        rare_tokens[suffix_class(r["word"])] -= r["c"]
+        rare_words[suffix_class(r["word"])] -= 1
     end_base, end_known = float(np.log10((ends + 1) / (n_tokens + n_words + 1))), int(ends > 0)
 
-    found = entry.select("chunk", "pos", "word").join(ranked, "word").select(F.col("chunk").alias("of"), "pos", "c", F.coalesce("top", F.lit(-1)).alias("top"))
+    packed = found.where("chunk IS NOT NULL").select(F.col("chunk").alias("of"), "pos", "c")
     schema = f"chunk long, ids array<{id_type}>, held array<boolean>, starts array<int>, symbols binary, n array<long>, known array<long>, base array<double>, inside array<double>"
 
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = classify(left, right, n_tokens, n_words, rare_tokens, rare_words)
+        x = classify(left, right, n_tokens, n_words, rare_tokens, rare_words, ranks)
         row, n = x["row"], x["n"]
         columns = [left.column("chunk"), left.column("ids"), left.column("held"), pa.array([np.array(row["starts"], np.int32) + np.arange(len(n) + 1, dtype=np.int32)], pa.list_(pa.int32())), pa.array([x["symbols"]], pa.binary())]
         columns += [pa.array([v], pa.list_(t)) for v, t in ((n + 1, pa.int64()), (x["known"].astype(np.int64) + end_known, pa.int64()), (x["base"] + end_base, pa.float64()), (x["inside"], pa.float64()))]
         return pa.Table.from_arrays(columns, names=["chunk", "ids", "held", "starts", "symbols", "n", "known", "base", "inside"])
 
-    coded = materialise(chunk.drop("counts").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(code, schema), "lm-coded")
+    coded = materialise(chunk.drop("counts").groupBy("chunk").cogroup(packed.groupBy("of")).applyInArrow(code, schema), "lm-coded")
     model = baum_welch(coded, states, full_rounds)
 
     def score(batches):
@@ -180,10 +244,8 @@ def baum_welch(coded: DataFrame, states: int, full_rounds: int):
     """Start, move and emit probabilities learned from the training documents."""
     sample = coded.select("symbols", "starts", "held").limit(1).collect()
     frequency = np.full(SYMBOLS, 1.0)
-    warm = training(sample[0]["symbols"], sample[0]["starts"], sample[0]["held"], WINDOW) if sample else Layout(np.zeros(0, np.int64), np.zeros(1, np.int64))
-    if len(warm.symbols) > WARM_TOKENS:
-        cut = warm.symbols[:WARM_TOKENS]
-        warm = Layout(cut, np.append(np.arange(0, WARM_TOKENS, WINDOW), WARM_TOKENS))
+    none = Layout(np.zeros(0, np.int64), np.zeros(1, np.int64))
+    warm = next(training(sample[0]["symbols"], sample[0]["starts"], sample[0]["held"], WINDOW), none) if sample else none
     frequency += np.bincount(warm.symbols, minlength=SYMBOLS)
     model = train(warm, frequency / frequency.sum(), states, WARM_ROUNDS)
     for _ in range(full_rounds):
@@ -193,8 +255,9 @@ def baum_welch(coded: DataFrame, states: int, full_rounds: int):
             sums = None
             for batch in batches:
                 for row in batch.to_pylist():
-                    got = expect(training(row["symbols"], row["starts"], row["held"], WINDOW), *now)
-                    sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
+                    for layout in training(row["symbols"], row["starts"], row["held"], WINDOW):
+                        got = expect(layout, *now)
+                        sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
             if sums is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([int(row["chunk"]) % SUMS], pa.int64()), pa.array([np.concatenate([sums[0], sums[1].ravel(), sums[2].ravel()]).tobytes()], pa.binary())], names=["part", "sums"])
 
