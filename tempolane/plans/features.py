@@ -216,42 +216,27 @@ def abnormal_rates(d: Domain, counts: Sequence[int] = (3, 5, 10), days: Sequence
     return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), status.alias("status"))
 
 
-def array_stats(values: Column) -> dict[str, Column]:
-    """Population deviation, median absolute deviation and interquartile range (linear on (n - 1) p) of an array without NULLs."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-
-    def quantile(arr: Column, p: float) -> Column:
-        s = F.array_sort(arr)
-        at = (F.size(arr) - 1) * F.lit(p)
-        low = F.get(s, F.floor(at).cast("int"))
-        return low + (F.get(s, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
-
-    middle = quantile(values, 0.5)
-    some = lambda c: F.when(n > 0, c)
-    return {"sd": some(F.sqrt(var)), "mad": some(quantile(F.transform(values, lambda x: F.abs(x - middle)), 0.5)), "iqr": some(quantile(values, 0.75) - quantile(values, 0.25))}
-
-
 def volatility(d: Domain, counts: Sequence[int] = (3, 5, 10, 20, 30)) -> DataFrame:
     """Spread of finish percentile and residual over the last normal finishes before the meeting, upside and downside, switches."""
     targets, events = eligible(d.entries), history(d.entries).where("normal")
     last = recent(targets, events, "player_id", max(counts), ["rank", "finish_pct", "residual"], exclude="meeting_id")
-    arrays = last.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("nth", "rank", "finish_pct", "residual"))).alias("x"))
-    out = targets.select("entry_id").join(arrays, "entry_id", "left").withColumn("x", F.coalesce("x", F.array().cast(arrays.schema["x"].dataType)))
-    shown: dict[str, Column] = {}
-    for n in counts:
-        part = F.slice("x", 1, n)
-        finish = F.filter(F.transform(part, lambda e: e["finish_pct"]), lambda v: v.isNotNull())
-        residual = F.filter(F.transform(part, lambda e: e["residual"]), lambda v: v.isNotNull())
-        up, down = F.filter(residual, lambda v: v > 0), F.filter(residual, lambda v: v < 0)
-        top = F.transform(part, lambda e: (e["rank"] <= 3).cast("int"))
-        switches = F.aggregate(F.zip_with(top, F.slice(top, 2, n), lambda a, b: F.coalesce((a != b).cast("int"), F.lit(0))), F.lit(0), lambda a, v: a + v)
-        mean = lambda arr: F.when(F.size(arr) > 0, F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / F.size(arr))
-        f, r = array_stats(finish), array_stats(residual)
-        shown |= {f"sample_{n}": F.size(part).cast("long")} | {f"finish_{k}_{n}": r6(v) for k, v in f.items()} | {f"residual_{k}_{n}": r6(v) for k, v in r.items()}
-        shown |= {f"up_rate_{n}": r6(safe_rate(F.size(up), F.size(residual))), f"down_mean_{n}": r6(mean(down)), f"up_mean_{n}": r6(mean(up)), f"switches_{n}": F.when(F.size(part) > 1, switches).otherwise(0).cast("long")}
-    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()))
+    newer = F.lag((F.col("rank") <= 3)).over(Window.partitionBy("entry_id").orderBy("nth"))
+    last = last.withColumn("switch", ((F.col("rank") <= 3) != newer).cast("int"))
+    rows = last.withColumn("w", F.explode(F.filter(F.array(*map(F.lit, counts)), lambda n: n >= F.col("nth"))))
+    key = ["entry_id", "w"]
+    quarter = lambda c, p: F.percentile(c, F.lit(p))
+    r = F.col("residual")
+    first = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("sample"), F.coalesce(F.sum("switch"), F.lit(0)).alias("switches"), F.avg((r > 0).cast("int")).alias("up_rate"), F.avg(F.when(r < 0, r)).alias("down_mean"), F.avg(F.when(r > 0, r)).alias("up_mean"),
+        *(x for k, c in (("finish", "finish_pct"), ("residual", "residual")) for x in (F.stddev_pop(c).alias(f"{k}_sd"), (quarter(c, 0.75) - quarter(c, 0.25)).alias(f"{k}_iqr"), F.median(c).alias(f"{k}_median"))),
+    )
+    # The deviation from the median needs the median first.
+    second = rows.join(first.select(*key, "finish_median", "residual_median"), key).groupBy(*key).agg(*(F.median(F.abs(F.col(c) - F.col(f"{k}_median"))).alias(f"{k}_mad") for k, c in (("finish", "finish_pct"), ("residual", "residual"))))
+    facts = first.join(second, key)
+    counted, rounded = ("sample", "switches"), ("up_rate", "down_mean", "up_mean", *(f"{k}_{m}" for k in ("finish", "residual") for m in ("sd", "mad", "iqr")))
+    wide = facts.groupBy("entry_id").agg(*(F.max(F.when(F.col("w") == n, F.col(c))).alias(f"{c}_{n}") for n in counts for c in (*counted, *rounded)))
+    out = targets.select("entry_id").join(wide, "entry_id", "left")
+    return out.select("entry_id", *(F.coalesce(f"{c}_{n}", F.lit(0)).cast("long").alias(f"{c}_{n}") for n in counts for c in counted), *(r6(F.col(f"{c}_{n}")).alias(f"{c}_{n}") for n in counts for c in rounded))
 
 
 def rest_gaps(d: Domain) -> DataFrame:
