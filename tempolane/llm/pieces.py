@@ -170,7 +170,7 @@ def codec(model_path: str) -> PieceCodec:
     return PieceCodec(model_path)
 
 
-def text_groups(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def text_groups(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about ``most`` characters together, with the first one's place: bounds a worker's memory."""
     at, size = 0, 0
     for k, t in enumerate(texts):
@@ -191,7 +191,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         begin, end = c.begin.to_bytes(4, "little"), c.end.to_bytes(4, "little")
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for at, group in text_groups(texts):
+            for at, group in text_groups(texts, 4_000_000):
                 out = c.encode_batch(group)
                 full = [begin + ids + end for ids, _ in out]
                 columns = [batch.column(0).slice(at, len(group)), pa.array([len(x) // 4 for x in full], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in full], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for _, x in out], pa.string())]
