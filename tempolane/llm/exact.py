@@ -39,8 +39,10 @@ def repeated_fingerprints(rows: DataFrame, n_rows: int, per_filter: int = PER_FI
             held[0], held[1] = tally(np.concatenate(parts), counts)
 
         def filters():
+            if not len(held[0]):
+                return
             shard = (held[0] >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(held[0]), np.int64)
-            bounds = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
+            bounds = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             for a, b in zip(bounds, [*bounds[1:], len(shard)], strict=True):
                 yield pd.DataFrame({"shard": [shard[a]], "filter": [build(held[0][a:b], held[1][a:b])]})
 
