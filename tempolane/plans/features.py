@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from tempolane.operators.asof import asof_sums, recent
 from tempolane.sources.domain import DAY, HISTORY_FROM, Domain, eligible, history
 
-#: Sums from which the performance metrics come; rows are normal finishes.
-SUMS = {
-    "n": F.lit(1), "win": (F.col("rank") == 1).cast("int"), "top2": (F.col("rank") <= 2).cast("int"), "top3": (F.col("rank") <= 3).cast("int"), "rank_sum": F.col("rank"),
-    "fin_n": F.col("finish_pct").isNotNull().cast("int"), "fin_sum": F.coalesce("finish_pct", F.lit(0.0)), "res_n": F.col("residual").isNotNull().cast("int"), "res_sum": F.coalesce("residual", F.lit(0.0)),
-}
+def performance_sums() -> dict[str, Column]:
+    """Sums from which the performance metrics come; rows are normal finishes."""
+    known = lambda c: F.col(c).isNotNull().cast("int")
+    top = lambda n: (F.col("rank") <= n).cast("int")
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    return {"n": F.lit(1), "win": (F.col("rank") == 1).cast("int"), "top2": top(2), "top3": top(3), "rank_sum": F.col("rank"), "fin_n": known("finish_pct"), "fin_sum": some("finish_pct"), "res_n": known("residual"), "res_sum": some("residual")}
+
+
 RATES = {"win_rate": ("win", "n"), "top2_rate": ("top2", "n"), "top3_rate": ("top3", "n"), "mean_rank": ("rank_sum", "n"), "mean_finish": ("fin_sum", "fin_n"), "mean_residual": ("res_sum", "res_n")}
 DELTAS = ("win_rate", "top2_rate", "top3_rate", "mean_finish", "mean_residual")
 CONTEXT_DAYS = (365, 730, 1095, 1825)
@@ -132,9 +135,9 @@ def conditioned(d: Domain, match: str, days: Sequence[int | None] = CONTEXT_DAYS
     targets, events = eligible(targets), events.where("normal")
     out = targets
     for prefix, keys in (("match_", ["player_id", match]), ("base_", ["player_id"])):
-        sums = asof_sums(targets, events, keys, SUMS, days, prefix=prefix)
+        sums = asof_sums(targets, events, keys, performance_sums(), days, prefix=prefix)
         if exclude_meeting:
-            inside = asof_sums(targets, events, [*keys, "meeting_id"], SUMS, days, prefix="in_")
+            inside = asof_sums(targets, events, [*keys, "meeting_id"], performance_sums(), days, prefix="in_")
             names = [c for c in sums.columns if c != "entry_id"]
             sums = sums.join(inside, "entry_id", "left").select("entry_id", *((F.col(c) - F.coalesce(F.col("in_" + c.removeprefix(prefix)), F.lit(0.0))).alias(c) for c in names))
         out = out.join(sums, "entry_id", "left")
@@ -169,8 +172,8 @@ def recent_form(d: Domain, counts: Sequence[int] = (3, 5, 10, 20), days: Sequenc
         pick = lambda c, inside=inside: F.when(inside, c)
         per |= {f"n_{n}": F.count(pick(F.lit(1))), f"win_{n}": F.avg(pick((F.col("rank") == 1).cast("double"))), f"top3_{n}": F.avg(pick((F.col("rank") <= 3).cast("double"))), f"finish_{n}": F.avg(pick(F.col("finish_pct"))), f"residual_{n}": F.avg(pick(F.col("residual")))}
     rows = last.groupBy("entry_id").agg(*(v.alias(k) for k, v in per.items()))
-    base = asof_sums(targets, events, ["player_id"], SUMS, days, prefix="a_")
-    mine = asof_sums(targets, events, ["player_id", "meeting_id"], SUMS, [*days, None], prefix="m_")
+    base = asof_sums(targets, events, ["player_id"], performance_sums(), days, prefix="a_")
+    mine = asof_sums(targets, events, ["player_id", "meeting_id"], performance_sums(), [*days, None], prefix="m_")
     out = targets.join(rows, "entry_id", "left").join(base, "entry_id", "left").join(mine, "entry_id", "left")
     left = lambda n, w: F.coalesce(out[f"a_{n}_{w}"], F.lit(0.0)) - F.coalesce(out[f"m_{n}_{w}"], F.lit(0.0))
     shown: dict[str, Column] = {}
