@@ -13,7 +13,7 @@ def canonical(columns: Sequence[str], dtypes: dict[str, str]) -> Column:
 
     def one(name: str) -> Column:
         c = F.col(name)
-        text = F.format_string("%.6f", c.cast("double")) if dtypes[name] in ("double", "float") or dtypes[name].startswith("decimal") else c.cast("string")
+        text = F.when(c.isNotNull(), F.format_string("%.6f", c.cast("double"))) if dtypes[name] in ("double", "float") or dtypes[name].startswith("decimal") else c.cast("string")
         return F.concat(F.lit(f"{name}="), F.coalesce(F.concat(F.lit("V"), text), F.lit("N")))
 
     return F.concat_ws("|", *(one(c) for c in sorted(columns)))

@@ -302,3 +302,55 @@ def schedule_load(d: Domain, days: Sequence[int] = (7, 14, 21, 30, 45, 60)) -> D
         run = F.aggregate(f"days_{w}", F.struct(F.lit(0).alias("best"), F.lit(0).alias("now"), F.lit(-9).cast("long").alias("last")), lambda a, x: F.struct(F.greatest(a["best"], F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("best"), F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"), x.alias("last")), lambda a: a["best"])
         shown |= {f"started_{w}": F.coalesce(f"started_{w}", F.lit(0)).cast("long"), f"meetings_{w}": F.coalesce(f"meetings_{w}", F.lit(0)).cast("long"), f"active_days_{w}": active.cast("long"), f"idle_days_{w}": (w - active).cast("long"), f"starts_per_day_{w}": r6(safe_rate(F.col(f"started_{w}"), active)), f"track_changes_{w}": F.coalesce(f"changes_{w}", F.lit(0)).cast("long"), f"longest_run_{w}": F.coalesce(run, F.lit(0)).cast("long")}
     return out.select("entry_id", *(v.alias(k) for k, v in shown.items()))
+
+
+def head_to_head(d: Domain) -> DataFrame:
+    """For each target and co-entrant: their earlier races together, who was ahead, and mean differences, seen from the target.
+
+    Pair events are made once per confirmed race for unordered pairs of different players that stand once in it (five to nine
+    entrants, so few pairs a race) and are summed as-of the target's cutoff per pair.
+    """
+    once = lambda df: df.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("race_id", "player_id"))).where("player_id IS NOT NULL AND _k = 1")
+    columns = ("race_id", "player_id", "start_at", "normal", "rank", "finish_pct", "residual")
+    past = once(history(d.entries)).select(*columns)
+    a, b = (past.select(F.col("race_id"), *(F.col(c).alias(f"{x}_{c}") for c in columns[1:])) for x in "ab")
+    both = F.col("a_normal") & F.col("b_normal")
+    events = a.join(b, "race_id").where("a_player_id < b_player_id").select(
+        F.col("a_player_id").alias("p"), F.col("b_player_id").alias("q"), F.col("a_start_at").alias("start_at"), both.cast("int").alias("normal"), (both & (F.col("a_rank") < F.col("b_rank"))).cast("int").alias("p_ahead"), (both & (F.col("a_rank") > F.col("b_rank"))).cast("int").alias("q_ahead"),
+        F.when(both, F.col("b_rank") - F.col("a_rank")).alias("rank_diff"), F.when(both, F.col("a_finish_pct") - F.col("b_finish_pct")).alias("pct_diff"), F.when(both, F.col("a_residual") - F.col("b_residual")).alias("res_diff"),
+    )
+    now = once(eligible(d.entries)).select("race_id", "entry_id", "player_id", "cutoff")
+    other = now.select("race_id", F.col("player_id").alias("other_id"))
+    target = now.join(other, "race_id").where("player_id <> other_id").withColumn("p", F.least("player_id", "other_id")).withColumn("q", F.greatest("player_id", "other_id")).withColumn("pair_row", F.concat_ws(":", "entry_id", "other_id"))
+    sums = {"direct": F.lit(1), "normal": F.col("normal"), "p_ahead": F.col("p_ahead"), "q_ahead": F.col("q_ahead"), "rank_diff": F.coalesce("rank_diff", F.lit(0)), "pct_diff": F.coalesce("pct_diff", F.lit(0.0)), "res_n": F.col("res_diff").isNotNull().cast("int"), "res_diff": F.coalesce("res_diff", F.lit(0.0))}
+    known = target.withColumnRenamed("entry_id", "target_id")
+    totals = asof_sums(known, events, ["p", "q"], sums, [None], id_col="pair_row")
+    out = known.join(totals, "pair_row", "left")
+    first = F.col("player_id") == F.col("p")
+    sign = F.when(first, 1).otherwise(-1)
+    at = lambda n: F.coalesce(F.col(f"{n}_all"), F.lit(0.0))
+    return out.select(
+        F.col("target_id").alias("entry_id"), "other_id", at("direct").cast("long").alias("direct_count"), at("normal").cast("long").alias("normal_count"), F.when(first, at("p_ahead")).otherwise(at("q_ahead")).cast("long").alias("ahead_count"), F.when(first, at("q_ahead")).otherwise(at("p_ahead")).cast("long").alias("behind_count"),
+        (at("normal") - at("p_ahead") - at("q_ahead")).cast("long").alias("tied_count"), r6(safe_rate(F.when(first, at("p_ahead")).otherwise(at("q_ahead")), at("normal"))).alias("ahead_rate"), r6(safe_rate(sign * at("rank_diff"), at("normal"))).alias("mean_rank_diff"), r6(safe_rate(sign * at("pct_diff"), at("normal"))).alias("mean_pct_diff"), r6(safe_rate(sign * at("res_diff"), at("res_n"))).alias("mean_residual_diff"),
+    )
+
+
+def transitions(d: Domain) -> DataFrame:
+    """Steps from one start to the next inside a player's meeting, by the stages of both: how the rank changed."""
+    order = Window.partitionBy("player_id", "meeting_id").orderBy("start_at", "race_id", "entry_id")
+    e = history(d.entries).where("started AND player_id IS NOT NULL").withColumn("stage", stage(F.col("race_type")))
+    step = e.withColumns({"prev_stage": F.lag("stage").over(order), "prev_rank": F.lag("rank").over(order), "prev_normal": F.lag("normal").over(order)}).where("normal AND prev_normal")
+    change = F.col("prev_rank") - F.col("rank")
+    return step.groupBy("prev_stage", "stage").agg(F.count(F.lit(1)).alias("steps"), r6(F.avg(change)).alias("mean_rank_change"), F.count_if(change > 0).alias("improved"), F.count_if(change < 0).alias("worsened"), F.count_if(change == 0).alias("same"), F.count_if((F.col("prev_rank") <= 3) & (F.col("rank") <= 3)).alias("top3_kept"), r6(F.avg("residual")).alias("mean_next_residual"))
+
+
+def stage_experience(d: Domain) -> DataFrame:
+    """Starts and performance in semifinals and finals before the cutoff."""
+    targets, events = eligible(d.entries), history(d.entries).withColumn("stage", stage(F.col("race_type"))).where("started")
+    late = F.col("stage").isin("SEMIFINAL", "FINAL")
+    pick = lambda c, cond: F.when(cond, c).otherwise(0)
+    sums = {"all": F.lit(1), "semi": (F.col("stage") == "SEMIFINAL").cast("int"), "final": (F.col("stage") == "FINAL").cast("int"), "n": pick(F.lit(1), late & F.col("normal")), "win": pick((F.col("rank") == 1).cast("int"), late & F.col("normal")), "res_n": pick(F.col("residual").isNotNull().cast("int"), late), "res_sum": pick(F.coalesce("residual", F.lit(0.0)), late)}
+    out = targets.join(asof_sums(targets, events, ["player_id"], sums, [None]), "entry_id", "left")
+    at = lambda n: F.coalesce(F.col(f"{n}_all"), F.lit(0.0))
+    status = status_ladder([(F.col("player_id").isNull(), "MISSING_INPUT"), (at("all") == 0, "NO_HISTORY")])
+    return out.select("entry_id", at("all").cast("long").alias("started_count"), at("semi").cast("long").alias("semifinal_starts"), at("final").cast("long").alias("final_starts"), at("n").cast("long").alias("late_sample"), r6(safe_rate(at("win"), at("n"))).alias("late_win_rate"), r6(safe_rate(at("res_sum"), at("res_n"))).alias("late_mean_residual"), status.alias("status"))

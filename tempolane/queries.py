@@ -367,3 +367,37 @@ def _(spark, sf_dir):
         out = out.join(asof_sums(targets, events, keys, P.performance_sums(), [None], prefix=prefix), "entry_id", "left")
     f, t = P.performance(out, "f_", None), P.performance(out, "t_", None)
     return out.select("entry_id", f["f_sample_all"].alias("field_bike_sample"), P.r6(f["f_win_rate_all"]).alias("field_bike_win"), P.r6(f["f_mean_finish_all"]).alias("field_bike_finish"), t["t_sample_all"].alias("track_sample"), P.r6(t["t_win_rate_all"]).alias("track_win"), P.r6(t["t_mean_finish_all"] - f["f_mean_finish_all"]).alias("track_delta_finish"))
+
+
+@query("stat42_head_to_head", """
+, o AS (SELECT *, count(*) OVER (PARTITION BY race_id, player_id) AS k FROM hist WHERE player_id IS NOT NULL), n AS (SELECT *, count(*) OVER (PARTITION BY race_id, player_id) AS k FROM target WHERE player_id IS NOT NULL),
+t AS (SELECT a.entry_id, a.player_id, b.player_id AS other_id, a.cutoff FROM n a JOIN n b ON a.race_id = b.race_id AND a.player_id <> b.player_id AND a.k = 1 AND b.k = 1),
+h AS (SELECT a.player_id, b.player_id AS other_id, a.start_at, a.normal AND b.normal AS ok, a.rank AS ar, b.rank AS br, a.finish_pct - b.finish_pct AS pd, a.residual - b.residual AS rd FROM o a JOIN o b ON a.race_id = b.race_id AND a.player_id <> b.player_id AND a.k = 1 AND b.k = 1)
+SELECT t.entry_id, t.other_id, count(h.ok) AS direct_count, count(*) FILTER (ok) AS normal_count, count(*) FILTER (ok AND ar < br) AS ahead_count, count(*) FILTER (ok AND ar > br) AS behind_count, count(*) FILTER (ok AND ar = br) AS tied_count, round(avg(CAST(ar < br AS INT)) FILTER (ok), 6) AS ahead_rate,
+  round(avg(br - ar) FILTER (ok), 6) AS mean_rank_diff, round(avg(pd) FILTER (ok), 6) AS mean_pct_diff, round(avg(rd) FILTER (ok), 6) AS mean_residual_diff FROM t LEFT JOIN h ON h.player_id = t.player_id AND h.other_id = t.other_id AND h.start_at < t.cutoff GROUP BY t.entry_id, t.other_id
+""")
+def _(spark, sf_dir):
+    return P.head_to_head(domain(spark, sf_dir))
+
+
+_STAGE_SQL = "CASE WHEN contains(race_type, '準決') THEN 'SEMIFINAL' WHEN contains(race_type, '決勝') THEN 'FINAL' WHEN contains(race_type, '一般') THEN 'GENERAL' WHEN contains(race_type, '予選') THEN 'QUALIFYING' ELSE 'OTHER' END"
+
+
+@query("stat33_transitions", f"""
+, e AS (SELECT *, {_STAGE_SQL} AS stage FROM hist WHERE started AND player_id IS NOT NULL),
+s AS (SELECT *, lag(stage) OVER w AS prev_stage, lag(rank) OVER w AS prev_rank, lag(normal) OVER w AS prev_normal FROM e WINDOW w AS (PARTITION BY player_id, meeting_id ORDER BY start_at, race_id, entry_id))
+SELECT prev_stage, stage, count(*) AS steps, round(avg(prev_rank - rank), 6) AS mean_rank_change, count(*) FILTER (prev_rank > rank) AS improved, count(*) FILTER (prev_rank < rank) AS worsened, count(*) FILTER (prev_rank = rank) AS same, count(*) FILTER (prev_rank <= 3 AND rank <= 3) AS top3_kept, round(avg(residual), 6) AS mean_next_residual
+FROM s WHERE normal AND prev_normal GROUP BY prev_stage, stage
+""")
+def _(spark, sf_dir):
+    return P.transitions(domain(spark, sf_dir))
+
+
+@query("stat31_stage_experience", f"""
+, h AS (SELECT *, {_STAGE_SQL} AS stage FROM hist WHERE started)
+SELECT t.entry_id, count(h.entry_id) AS started_count, count(*) FILTER (stage = 'SEMIFINAL') AS semifinal_starts, count(*) FILTER (stage = 'FINAL') AS final_starts, count(*) FILTER (stage IN ('SEMIFINAL', 'FINAL') AND normal) AS late_sample, round(avg(CAST(h.rank = 1 AS INT)) FILTER (stage IN ('SEMIFINAL', 'FINAL') AND normal), 6) AS late_win_rate,
+  round(avg(h.residual) FILTER (stage IN ('SEMIFINAL', 'FINAL')), 6) AS late_mean_residual, CASE WHEN any_value(t.player_id) IS NULL THEN 'MISSING_INPUT' WHEN count(h.entry_id) = 0 THEN 'NO_HISTORY' ELSE 'VALID' END AS status
+FROM target t LEFT JOIN h ON h.player_id = t.player_id AND h.start_at < t.cutoff GROUP BY t.entry_id
+""")
+def _(spark, sf_dir):
+    return P.stage_experience(domain(spark, sf_dir))
