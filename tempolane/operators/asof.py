@@ -21,7 +21,7 @@ def asof_sums(targets: DataFrame, events: DataFrame, keys: Sequence[str], sums:
     borders = sorted({0, *(d for d in days if d is not None)})
     known = targets.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
     points = known.select(*keys, F.col(id_col).alias("_id"), F.explode(F.array(*(F.struct(F.lit(d).alias("d"), (F.col(cutoff) - d * 86400).alias("t")) for d in borders))).alias("_p")).select(*keys, "_id", F.col("_p.d").alias("_d"), F.col("_p.t").alias("_t"), *(F.lit(None).cast("double").alias(n) for n in sums))
-    facts = events.select(*keys, F.lit(None).cast("long").alias("_id"), F.lit(None).cast("int").alias("_d"), F.col(time).alias("_t"), *(c.cast("double").alias(n) for n, c in sums.items()))
+    facts = events.select(*keys, F.lit(None).cast(dict(targets.dtypes)[id_col]).alias("_id"), F.lit(None).cast("int").alias("_d"), F.col(time).alias("_t"), *(c.cast("double").alias(n) for n, c in sums.items()))
     before = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
     running = facts.unionByName(points).select("_id", "_d", *(F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(n) for n in sums)).where("_id IS NOT NULL")
     at = {(n, d): F.max(F.when(F.col("_d") == d, F.col(n))) for n in sums for d in borders}
