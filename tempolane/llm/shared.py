@@ -41,6 +41,12 @@ def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from here on: several stages share a worker's and an executor's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that earlier, finished operators left in the shared folder."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
