@@ -14,38 +14,44 @@ from tempolane.llm.near import near_duplicates
 from tempolane.llm.packing import best_fit
 from tempolane.llm.queries import BYTE_PATTERN, BYTE_RANKS
 from tempolane.llm.rules import quality_rules
-from tempolane.llm.shared import keep_rows, materialise, read, release
+from tempolane.llm.shared import keep_rows, materialise, read, release, small_batches
 
 #: A stage's function takes (spark, docs, sf_dir) and returns a DataFrame.
 
 
+def prepare(spark: SparkSession) -> None:
+    """What the stage before has left in the shared folder goes; batches stay small."""
+    release(spark)
+    small_batches(spark)
+
+
 def stage_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    release(spark)
+    prepare(spark)
     return keep_rows(docs, quality_rules(docs))
 
 
 def stage_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of the rows at hand, predicts to be good."""
-    release(spark)
+    prepare(spark)
     return keep_rows(docs, classify(docs, read(spark, sf_dir, "labels")), kept_col="predicted")
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    release(spark)
+    prepare(spark)
     return keep_rows(docs, exact_duplicates(docs), single=True)
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    release(spark)
+    prepare(spark)
     return keep_rows(docs, near_duplicates(docs), single=True)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and the bins that hold them."""
-    release(spark)
+    prepare(spark)
     return best_fit(docs, BYTE_RANKS, BYTE_PATTERN)
 
 
