@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import public_tokenizers as P
@@ -130,6 +131,24 @@ def test_copies_are_one_document_for_line_counts(spark):
     assert all(r["kept"] and r["removed_words"] == 0 for r in got)
 
 
+def test_line_counts_equal_brute_force_with_several_boiler_lines(spark):
+    r = random.Random(7)
+    boiler = [f"boiler line {k} of this host " + " ".join(f"b{k}x{j}" for j in range(4)) for k in range(5)]
+    pages = [[*r.sample(boiler, r.randrange(1, 6)), " ".join(f"o{r.randrange(60)}x{j}" for j in range(60))] for _ in range(150)]
+    rows = [(k, "\n".join(lines), "h") for k, lines in enumerate(pages)]
+    seen = collections.Counter(x for lines in {frozenset(lines) for lines in pages} for x in lines)
+    for limit in (60, 80, 100):
+        got = {x["doc_id"]: x["removed_words"] for x in quality_rules(spark.createDataFrame(rows, SCHEMA), line_docs=limit).collect()}
+        assert got == {k: sum(len(x.split()) for x in lines if seen[x] > limit) for k, lines in enumerate(pages)}
+        assert limit > 60 or sum(got.values())
+
+
+def test_near_copies_are_one_document_for_line_counts(spark):
+    lines = [f"line {k} " + " ".join(f"a{k}b{j}" for j in range(20)) for k in range(5)]
+    got = quality_rules(spark.createDataFrame([(k, "\n".join([*lines, f"copy number {k}"]), "h") for k in range(200)], SCHEMA)).collect()
+    assert all(r["kept"] and r["removed_words"] == 0 for r in got)
+
+
 def test_scores_equal_brute_force(spark):
     texts = {k: f"The cat {'sat ' * (k % 4)}on MAT{k % 3}\x0b x{k}" for k in range(30)} | {30: ""}
     got = {r["doc_id"]: r for r in score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
