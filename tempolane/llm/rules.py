@@ -10,7 +10,7 @@ decides. Near copies are not boilerplate either, their removal is for the dedupl
 hold all but OWN_SHARE of a document's words, so that two like it have a similarity of 0.8 or more, the document is known by
 the set of these lines alone, which its near copies share. Documents with more words of their own count one by one.
 
-A line's limit is the larger of LINE_DOCS and LINE_SHARE of the host's documents. A line that is frequent occurs once for each
+A line's limit is LINE_DOCS, the same number of documents for small and large hosts. A line that is frequent occurs once for each
 of many documents, so line counts are pre-aggregated before the shuffle, and the join that finds a document's frequent lines
 is salted by document.
 
@@ -32,8 +32,8 @@ from tempolane.llm.pieces import text_groups
 from tempolane.llm.shared import materialise, text_or_empty
 from tempolane.llm.words import WordHasher, join_texts, window_hashes
 
-#: A line is frequent in a host above this many distinct documents, or above this share of the host's documents if more.
-LINE_DOCS, LINE_SHARE = 50, 0.02
+#: A line is frequent in a host above this many distinct documents.
+LINE_DOCS = 10
 #: A document with fewer words than this share outside lines above the limit is known by these lines (similarity 0.8).
 OWN_SHARE = 1 / 9
 #: A document is depleted if less than this share of its words remains.
@@ -91,7 +91,7 @@ def hits(line: DataFrame, frequent: DataFrame) -> DataFrame:
     return line.join(salted, (F.col("line") == F.col("f_line")) & (F.col("salt") == F.col("f_salt")) & F.col("host").eqNullSafe(F.col("f_host"))).drop("f_host", "f_line", "f_salt", "salt")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, remaining_share: float = REMAINING_SHARE) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, remaining_share: float = REMAINING_SHARE) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words."""
     id_type = dict(docs.dtypes)[id_col]
     schema = f"id {id_type}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, sizes array<int>"
@@ -110,16 +110,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     measured = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
     # Texts are read once; from here on only numbers move. Row numbers keep equal and null ids apart.
     measured = materialise(measured.withColumn("row", F.monotonically_increasing_id()), "rules")
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     page = F.xxhash64(F.array_sort(F.array_distinct("lines"))).alias("page")
     line = measured.select("row", "host", "n_words", page, F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "host", "n_words", "page", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
 
     def above(known: DataFrame) -> DataFrame:
         seen = known.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("seen"))
-        over = seen.where(F.col("seen") > line_docs).join(hosts, seen["host"].eqNullSafe(hosts["host"])).where(F.col("seen") > line_share * F.col("docs"))
-        return over.select(seen["host"], "line")
+        return seen.where(F.col("seen") > line_docs).select("host", "line")
 
-    # Every set of lines counts for the first limit; the lines above it tell which documents are near copies.
+    # Every set of lines counts at first; the lines above the limit tell which documents are near copies.
     found = hits(line, above(line.select("host", "line", "page"))).groupBy("row", "host", "n_words", "page").agg(F.sum("words").alias("common"), F.collect_list(F.struct("line", "words")).alias("found"))
     own = F.col("n_words") - F.col("common") >= OWN_SHARE * F.col("n_words")
     known = F.when(own, F.col("page")).otherwise(F.xxhash64(F.array_sort(F.array_distinct("found.line"))))

@@ -149,6 +149,15 @@ def test_near_copies_are_one_document_for_line_counts(spark):
     assert all(r["kept"] and r["removed_words"] == 0 for r in got)
 
 
+def test_line_limit_is_the_same_in_small_and_large_hosts(spark):
+    boiler = "\n".join(f"template line {k} " + " ".join(f"t{k}x{j}" for j in range(12)) for k in range(4))
+    page = lambda k: f"{boiler}\n" + " ".join(f"o{k}x{j}" for j in range(20))
+    clean = lambda k: "\n".join(" ".join(f"c{k}x{i}x{j}" for j in range(20)) for i in range(3))
+    rows = [(k, page(k), "small") for k in range(30)] + [(100 + k, page(k), "large") for k in range(30)] + [(1000 + k, clean(k), "large") for k in range(3000)] + [(200 + k, page(k), "few") for k in range(5)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: k >= 200 for k, *_ in rows}
+
+
 def test_scores_equal_brute_force(spark):
     texts = {k: f"The cat {'sat ' * (k % 4)}on MAT{k % 3}\x0b x{k}" for k in range(30)} | {30: ""}
     got = {r["doc_id"]: r for r in score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
