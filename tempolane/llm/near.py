@@ -1,7 +1,8 @@
 """Operator 10: near-duplicates by ProbMinHash, banding and exact verification.
 
-Texts are sets of five-word shingles, weighted by 1 + ln(occurrences). Documents with the same set are one node. Nodes whose
-sketches agree on a whole band meet in a bucket. Links are pairs of nodes with a Jaccard similarity of their shingle sets of at
+Texts are sets of five-word shingles. Documents with the same set are one node. Sketches weigh repeated shingles more, from 1 up
+to TOP_WEIGHT whatever the number of occurrences: sets of similarity s have a probability Jaccard of s / TOP_WEIGHT at least,
+and there are bands for that. Nodes whose sketches agree on a whole band meet in a bucket. Links are pairs of nodes with a Jaccard similarity of their shingle sets of at
 least 0.8, computed from the whole sets; classes are the connected components of the links.
 
 Buckets are not turned into all their pairs. Every bucket has a centre, which is compared with its members; a group of near
@@ -30,7 +31,7 @@ from tempolane.llm.sketch import bands, sketches
 from tempolane.llm.words import WordHasher, join_texts, window_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-REGISTERS, ROWS = 80, 4
+REGISTERS, ROWS, TOP_WEIGHT = 100, 4, 1.1
 #: Keys of texts that are sent to all executors (a few bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -69,7 +70,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for at, texts in text_groups(batch.column(2).to_pylist()):
                 n = len(texts)
                 owner, shingle, times = shingles(texts, hasher)
-                sketch = sketches(owner, shingle, 1 + np.log(times), n, REGISTERS)
+                sketch = sketches(owner, shingle, TOP_WEIGHT - (TOP_WEIGHT - 1) / times, n, REGISTERS)
                 keys = bands(sketch, ROWS).view(np.int64)
                 bound = np.searchsorted(owner, np.arange(n + 1))
                 names = [xxhash.xxh3_128_hexdigest(shingle[a:b].tobytes()) for a, b in zip(bound[:-1], bound[1:], strict=True)]

@@ -109,6 +109,19 @@ def test_near_classes_equal_brute_force(spark):
     assert got == {k: best[find(k)] for k in range(len(texts))}
 
 
+def test_near_classes_with_repeated_passages(spark):
+    texts = {}
+    for k in range(60):
+        base = [f"w{k}x{j}" for j in range(88)]
+        for side in (0, 1):
+            passage = [f"p{2 * k + side}x{j}" for j in range(6)]
+            texts[2 * k + side] = base + passage * 40
+    sets = {k: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for k, w in texts.items()}
+    assert all(0.8 <= len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) < 0.82 for k in range(0, 120, 2))
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")).collect()}
+    assert got == {k: k | 1 for k in texts}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(links).collect()}
