@@ -7,7 +7,8 @@ parses these and makes the WARC record that a crawler would have written: identi
 payload and block digests. Of records with equal payloads, one is a response and the others revisit it.
 
 Archives are gzip files with one member a record, in the shared folder; each file holds a bounded number of bytes. Files are
-named by the partition's content, not by the attempt, so a task that runs again writes the same file again.
+named by their partition, their number in it and their content, not by the attempt: a task that runs again writes the same
+files again, and equal rows elsewhere have files of their own.
 
 Defined results: a null payload is an empty one; a null URL is written as ``urn:none``; white space and control characters in a URL are
 percent-encoded; null ids are written as ``-`` and come back null, lower than any other id; repeated rows give repeated
@@ -28,6 +29,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,11 +192,12 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
 
     def run(batches):
         blocks: list[tuple[str, str, str, bytes]] = []
-        size = 0
+        size = files = 0
+        partition = TaskContext.get().partitionId()
 
         def flush():
             key = hashlib.sha1("\n".join(f"{page} {url}" for page, url, _, _ in blocks).encode() + b"".join(zlib.crc32(b).to_bytes(4, "big") for *_, b in blocks)).hexdigest()
-            v, name = version or 1 + int(key[0], 16) % 2, f"{key}.arc.gz"
+            v, name = version or 1 + int(key[0], 16) % 2, f"{partition:06d}-{files:06d}-{key}.arc.gz"
             first = arc_header(v, name, stamp(EPOCH))
             members, offset = [gzip.compress(first, 1, mtime=0)], len(first)
             for _, url, date, block in blocks:
@@ -212,7 +215,7 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
                 size += len(blocks[-1][3])
                 if size >= ARCHIVE_BYTES:
                     yield flush()
-                    blocks, size = [], 0
+                    blocks, size, files = [], 0, files + 1
         if blocks:
             yield flush()
 

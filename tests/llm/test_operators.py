@@ -221,6 +221,15 @@ def test_archives_of_odd_pages(spark):
     assert by[1][0]["payload_bytes"] == 8 and archive_pages(pages.where("false")).count() == 0
 
 
+def test_archives_of_equal_rows_in_several_partitions_and_files(spark):
+    schema = "page_id long, url string, html string"
+    apart = spark.createDataFrame(spark.sparkContext.parallelize([(6, "http://f/", "x"), (None, "http://g/", "y")] * 3, 3), schema)
+    assert collections.Counter(r["page_id"] for r in archive_pages(apart).collect()) == {6: 3, None: 3}
+    one = spark.createDataFrame([(6, "http://f/", "x")], schema)
+    large = one.withColumn("html", F.expr(f"repeat('x', {17 << 20})"))
+    assert archive_pages(large.union(large).coalesce(1)).count() == 2
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<article><p>text</p></article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert {(r["page_id"], r["text"], r["n_chars"]) for r in extract_pages(pages).collect()} == {(1, "", 0), (None, "text", 4)}
