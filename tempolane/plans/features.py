@@ -163,7 +163,7 @@ def conditioned(d: Domain, match: str, days: Sequence[int | None] = CONTEXT_DAYS
 
 
 def recent_form(d: Domain, counts: Sequence[int] = (3, 5, 10, 20), days: Sequence[int] = (30, 60, 90, 180, 365)) -> DataFrame:
-    """Form before the meeting: last-N and day windows over normal finishes, short minus long, streaks, and inside the meeting."""
+    """Form before the meeting: last-N and day windows over normal finishes, short minus long, and inside the meeting."""
     targets, events = eligible(d.entries), history(d.entries).where("normal")
     last = recent(targets, events, "player_id", max(counts), ["rank", "finish_pct", "residual"], exclude="meeting_id")
     per = {}
