@@ -6,8 +6,10 @@ agenda; it ends when no pair forms a piece. Symbols outside the vocabulary fall
 
 The agenda runs on segments: no piece of such a vocabulary has a word mark after another character, so a merge never
 crosses from one word into the next word's mark; no piece holds a line feed; and some punctuation never follows a letter
-inside a piece. These facts are read from the vocabulary when it is loaded. Segments repeat, so each worker remembers a bounded number of them. Every
-segment that is encoded anew is compared, by Arrow batch, with the sentencepiece library; a difference raises an error.
+inside a piece. These facts are read from the vocabulary when it is loaded, with the same character class that cuts the text.
+Segments repeat, so each worker remembers a bounded number of them. By Arrow batch, every segment that is encoded anew is
+compared with the sentencepiece library, and so is every whole text that holds a character which is neither ASCII nor a letter
+(superscripts, fractions, emoji, foreign marks); a difference raises an error.
 
 Defined results: a null text counts as empty and gives the begin and end ids alone; repeated rows are repeated; null ids
 pass through; columns besides the id and the text are ignored.
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from tempolane.llm.shared import text_or_empty
 
 MARK = "▁"
+#: What the cuts call a letter. It also matches such characters as a superscript two, which are no letters elsewhere.
+LETTER = r"[^\W\d_]"
 #: Segments a worker remembers in each of two generations; longer segments are never remembered.
 CACHE_SEGMENTS, CACHE_CHARS = 500_000, 48
 #: An agenda entry holds the left place in its lower bits.
@@ -59,9 +63,10 @@ class PieceCodec:
         self.begin, self.end = lib.bos_id(), lib.eos_id()
         if any("\n" in p for p in self.id):
             raise ValueError("a piece contains a line feed; segments would not be independent")
-        joined = {p[k + 1] for p in self.id for k in range(len(p) - 1) if p[k].isalpha()}
+        letter = re.compile(LETTER).match
+        joined = {p[k + 1] for p in self.id for k in range(len(p) - 1) if letter(p[k])}
         cut = "".join(re.escape(x) for x in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if x not in joined)
-        letters = f"{MARK}*[^\\W\\d_]+(?=[{cut}{MARK}\n]|\\Z)"
+        letters = f"{MARK}*{LETTER}+(?=[{cut}{MARK}\n]|\\Z)"
         self.segments = re.compile(f"\n|{letters}|{MARK}*[^{MARK}\n]+|{MARK}+").findall
         back = {v: bytes([k]) for k, v in self.byte_id.items()}
         self.surface = [b"" if lib.is_control(i) else back.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(pieces)]
@@ -151,19 +156,34 @@ class PieceCodec:
             bad = next(s for s, ids in fresh if self.library.encode("\n" + s)[2:] != ids)
             raise ValueError(f"segment {bad!r} differs from the sentencepiece library")
 
+    def check_whole(self, texts: list[str], ids: list[bytes]) -> None:
+        """One library call over the batch's texts with unusual characters: a wrong cut would show here."""
+        odd = [k for k, t in enumerate(texts) if unusual(t)]
+        if odd:
+            for k, want in zip(odd, self.library.encode([texts[k] for k in odd], num_threads=1), strict=True):
+                if array("I", want).tobytes() != ids[k]:
+                    raise ValueError(f"a text of {len(texts[k])} characters differs from the sentencepiece library")
+
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text: ids as little-endian uint32 (no begin or end), and the decoded text's UTF-8 bytes."""
         split = [self.segments(self.mark(t)) for t in texts]
         need = self.learn(split)
         ids = {k: v[0] for k, v in need.items()}.__getitem__
         surface = {k: v[1] for k, v in need.items()}.__getitem__
-        return [(b"".join(map(ids, segs)), b"".join(map(surface, segs))[1:]) for segs in split]
+        out = [(b"".join(map(ids, segs)), b"".join(map(surface, segs))[1:]) for segs in split]
+        self.check_whole(texts, [x for x, _ in out])
+        return out
 
     def encode(self, text: str) -> list[int]:
         raw = self.encode_batch([text])[0][0]
         return [self.begin, *memoryview(raw).cast("I"), self.end]
 
 
+def unusual(text: str) -> bool:
+    """Whether the text holds a character that is neither ASCII nor a letter."""
+    return not text.isascii() and not all(c < "\x80" or c.isalpha() for c in set(text))
+
+
 @lru_cache(maxsize=2)
 def codec(model_path: str) -> PieceCodec:
     """One codec per worker process and vocabulary."""

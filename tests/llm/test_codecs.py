@@ -29,6 +29,29 @@ def test_agenda_equals_library(text):
     assert c.encode_batch([text])[0][1].decode() == c.library.decode(ids)
 
 
+@pytest.mark.parametrize("text", ["m².", "10 m².", "km². a", "a².b", "½.", "x³,y", "é².", "ª.º,", "a².\n²."])
+def test_cuts_hold_for_characters_that_only_look_like_letters(text):
+    c = codec(PIECES)
+    assert c.encode(text) == c.library.encode(text, add_bos=True, add_eos=True)
+
+
+def test_every_piece_before_every_mark_equals_library():
+    c = codec(PIECES)
+    marks = [*"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~", "\n", " "]
+    texts = [p.replace("▁", " ") + m + "b" for p in c.id for m in (*marks[len(p) % 3 :: 3], "")]
+    for k in range(0, len(texts), 20000):
+        part = texts[k : k + 20000]
+        for got, want in zip(c.encode_batch(part), c.library.encode(part), strict=True):
+            assert got[0] == b"".join(i.to_bytes(4, "little") for i in want)
+
+
+def test_every_last_character_before_every_mark_equals_library():
+    c = codec(PIECES)
+    texts = [f"a{x}{m}" for x in sorted({p[-1] for p in c.id}) for m in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"]
+    for got, want in zip(c.encode_batch(texts), c.library.encode(texts), strict=True):
+        assert got[0] == b"".join(i.to_bytes(4, "little") for i in want)
+
+
 def test_edits_equal_recount():
     by, r = counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(5)
     parts = ["a", "b", " ", "  ", "\n", "'", "'s", "'re", "9", "!", "é", " \t", "l", "　"]
