@@ -1,79 +1,111 @@
 """Numerics of a discrete hidden Markov model over many sequences at once.
 
-Sequences are ordered by length, longest first, so that the sequences still running at a step are a prefix and each step is
-a few matrix operations on all of them.
+Sequences are ordered by length, longest first, and their symbols by step: at each step the sequences still running are a
+prefix and lie side by side, so a step is a few matrix operations on slices. Whole sequences are used; what a pass over a long
+one needs is kept in blocks of steps, and the alphas before each block are carried, so memory is bounded by the block, not by
+the sequence.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Symbols whose probabilities are held at once.
+BLOCK = 200_000
+
 
 class Layout:
-    """Symbols of ragged sequences, step by step: at step t the first ``active[t]`` sequences of ``order`` have a symbol."""
+    """Symbols of ragged sequences by step: step t holds places offset[t]..offset[t + 1] for the first active[t] of ``order``."""
 
     def __init__(self, symbols: np.ndarray, starts: np.ndarray):
-        self.symbols = symbols
         lengths = np.diff(starts)
         self.order = np.argsort(-lengths, kind="stable")
-        self.first = starts[:-1][self.order]
         ordered = lengths[self.order]
         self.steps = int(ordered[0]) if len(ordered) else 0
         self.active = np.searchsorted(-ordered, -np.arange(self.steps), side="left")
+        self.offset = np.concatenate(([0], np.cumsum(self.active)))
+        rank = np.arange(self.offset[-1]) - np.repeat(self.offset[:-1], self.active)
+        place = starts[:-1][self.order][rank]
+        place += np.repeat(np.arange(self.steps), self.active)
+        self.symbols = symbols[place]
 
     def at(self, t: int) -> np.ndarray:
-        return self.symbols[self.first[: self.active[t]] + t]
+        return self.symbols[self.offset[t] : self.offset[t + 1]]
+
+    def blocks(self, size: int = BLOCK) -> list[tuple[int, int]]:
+        """Ranges of steps with about ``size`` symbols each."""
+        out, t = [], 0
+        while t < self.steps:
+            end = max(t + 1, int(np.searchsorted(self.offset, self.offset[t] + size, side="right")) - 1)
+            out.append((t, end))
+            t = end
+        return out
+
+
+def sweep(layout: Layout, span: tuple[int, int], before: np.ndarray | None, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled alphas and scales of a block of steps, and the last step's alphas; ``before`` are those of the step before."""
+    cuts = (layout.offset[span[0] : span[1] + 1] - layout.offset[span[0]]).tolist()
+    alphas = emit[layout.symbols[layout.offset[span[0]] : layout.offset[span[1]]]]
+    scales = np.empty(len(alphas))
+    now = before
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        here = alphas[i:j]
+        here *= start if now is None else now[: j - i] @ move
+        scale = here.sum(1)
+        here /= scale[:, None]
+        scales[i:j] = scale
+        now = here
+    return alphas, scales, now
 
 
 def forward(layout: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """log10 likelihood of each sequence by the scaled forward recursion. emit: symbol x state."""
-    total = np.zeros(len(layout.order))
-    alpha = np.zeros((0, len(start)))
-    for t in range(layout.steps):
-        n = layout.active[t]
-        alpha = (np.broadcast_to(start, (n, len(start))) if t == 0 else alpha[:n] @ move) * emit[layout.at(t)]
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        total[:n] += np.log10(scale)
+    total, now = np.zeros(len(layout.order)), None
+    for span in layout.blocks():
+        _, scales, now = sweep(layout, span, now, start, move, emit)
+        active = layout.active[span[0] : span[1]]
+        rank = np.arange(len(scales)) - np.repeat(np.cumsum(active) - active, active)
+        total += np.bincount(rank, weights=np.log10(scales), minlength=len(total))
+        now = now.copy()
     out = np.zeros_like(total)
     out[layout.order] = total
     return out
 
 
-def expect(layout: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts (starts, moves, emissions) by forward-backward, and the log10 likelihood."""
+def expect(layout: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (starts, moves, emissions) by forward-backward over whole sequences, and the log10 likelihood."""
     k = len(start)
     starts, moves, emissions, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(emit), 0.0
-    alphas, scales = [], []
-    for t in range(layout.steps):
-        n = layout.active[t]
-        alpha = (np.broadcast_to(start, (n, k)) if t == 0 else alphas[-1][:n] @ move) * emit[layout.at(t)]
-        scale = alpha.sum(1)
-        alphas.append(alpha / scale[:, None])
-        scales.append(scale)
-        total += float(np.log10(scale).sum())
-    beta = np.zeros((0, k))
-    gammas, symbols = [], []
-    for t in range(layout.steps - 1, -1, -1):
-        n = layout.active[t]
-        now = np.ones((n, k))
-        if len(beta):
-            ahead = beta * emit[layout.at(t + 1)] / scales[t + 1][:, None]
-            m = len(beta)
-            now[:m] = ahead @ move.T
-            moves += alphas[t][:m].T @ ahead
-        gamma = alphas[t] * now
-        gammas.append(gamma)
-        symbols.append(layout.at(t))
-        if t == 0:
-            starts = gamma.sum(0)
-        beta = now
-    moves *= move
-    if gammas:
-        gamma, symbol = np.concatenate(gammas), np.concatenate(symbols)
+    spans, before = layout.blocks(block), [None]
+    for span in spans[:-1]:
+        before.append(sweep(layout, span, before[-1], start, move, emit)[2].copy())
+    later = np.zeros((0, k))  # beta times emission over scale, of the step after the block
+    for span, first in zip(reversed(spans), reversed(before), strict=True):
+        alphas, scales, _ = sweep(layout, span, first, start, move, emit)
+        symbols = layout.symbols[layout.offset[span[0]] : layout.offset[span[1]]]
+        total += float(np.log10(scales).sum())
+        local = emit[symbols] / scales[:, None]
+        betas, ahead, back = np.ones_like(alphas), np.empty_like(alphas), np.ascontiguousarray(move.T)
+        active = layout.active[span[0] : span[1]]
+        ends = np.cumsum(active).tolist()
+        now = later
+        for i, j in zip([0, *ends[:-1]][::-1], ends[::-1], strict=True):
+            if len(now):
+                np.matmul(now, back, out=betas[i : i + len(now)])
+            now = np.multiply(betas[i:j], local[i:j], out=ahead[i:j])
+        # A symbol's predecessor lies as many places before it as sequences ran at the step before.
+        inner = np.arange(ends[0], len(alphas))
+        moves += alphas[inner - np.repeat(active[:-1], active[1:])].T @ ahead[ends[0] :]
+        if len(later):
+            last = len(alphas) - active[-1]
+            moves += alphas[last : last + len(later)].T @ later
+        gamma = alphas * betas
         for s in range(k):
-            emissions[:, s] = np.bincount(symbol, weights=gamma[:, s], minlength=len(emit))
-    return starts, moves, emissions, total
+            emissions[:, s] += np.bincount(symbols, weights=gamma[:, s], minlength=len(emit))
+        if span[0] == 0:
+            starts = gamma[: active[0]].sum(0)
+        later = now.copy()
+    return starts, moves * move, emissions, total
 
 
 def normalise(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, prior: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,16 +114,9 @@ def normalise(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, prio
     return a / a.sum(), b / b.sum(1, keepdims=True), c / c.sum(0, keepdims=True)
 
 
-def seeded(frequency: np.ndarray, states: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def seeded(frequency: np.ndarray, states: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First parameters: symbol frequencies disturbed for each state, and states that tend to stay."""
     rng = np.random.default_rng(seed)
     emit = frequency[:, None] * rng.gamma(0.7, size=(len(frequency), states)) + 1e-9
-    return np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0)
-
-
-def train(layout: Layout, frequency: np.ndarray, states: int, rounds: int, seed: int = 11):
-    model = seeded(frequency, states, seed)
-    model = (model[0], model[1] / model[1].sum(1, keepdims=True), model[2])
-    for _ in range(rounds):
-        model = normalise(*expect(layout, *model)[:3])
-    return model
+    move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
+    return np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0)

@@ -2,14 +2,19 @@
 
 Work flows in chunks of documents (some megabytes of text). A chunk is written once as its dictionary of distinct words and
 its tokens as places in that dictionary, so that words meet the corpus-wide counts once for each chunk instead of once for
-each occurrence: a word that is everywhere has one row a chunk. Counts of training documents are summed in one shuffle over the dictionaries.
+each occurrence: a word that is everywhere has one row a chunk. Counts of training documents are summed in one shuffle over the
+dictionaries.
 
 The model: tokens are emitted as classes by hidden states, words by their classes. The TOP_WORDS most frequent training words
 (count, then word) are classes of their own; other words share SUFFIX_CLASSES classes by their last two characters and have
-the add-one share of their count there, with one more outcome for all unseen words; the end of a text is a class. First
-parameters come from a few rounds on STEP_TOKENS tokens of training documents at most (a bounded sample, used for starting
-values only); then FULL_ROUNDS rounds of Baum-Welch take the expected counts of all training documents, summed across
-partitions, in windows of WINDOW tokens. Scores are exact: the scaled forward recursion runs over each whole text.
+the add-one share of their corpus count there, with one more outcome for all unseen words; the end of a text is a class. So
+every word of the corpus has a probability of its own; the number of classes bounds only what the states tell apart, and is a
+parameter.
+
+Training starts from the corpus-wide class counts, disturbed for each state by a fixed seed, and takes rounds of Baum-Welch over
+all training documents, each from its first to its last token; expected counts are summed across partitions. It ends when a
+round gains less than SETTLED of the log likelihood, or after ``rounds``. Nothing depends on the order or partitioning of the
+documents but the last digits of the sums. Scores are exact: the scaled forward recursion runs over each whole text.
 
 Defined results: a null text counts as empty, one end token; a null id hashes as the empty text; repeated rows are learned
 from and scored each time; without training documents all counts are 0 and classes are equally likely; an empty table gives an
@@ -27,22 +32,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tempolane.llm.hmm import Layout, expect, forward, normalise, train
+from tempolane.llm.hmm import Layout, expect, forward, normalise, seeded
 from tempolane.llm.pieces import text_groups
 from tempolane.llm.shared import fold, materialise, text_or_empty
 from tempolane.llm.words import WordHasher, join_texts
 
 STATES, TOP_WORDS, SUFFIX_CLASSES = 8, 2048, 256
-WARM_ROUNDS, FULL_ROUNDS, WINDOW = 12, 3, 512
-#: Tokens that forward-backward takes at once, and those of the warm start, at most (and one window).
-STEP_TOKENS = 250_000
+ROUNDS, SETTLED = 8, 1e-3
+#: Symbols of documents that a task takes at once (and one chunk).
+GROUP_SYMBOLS = 2_000_000
 CHUNK_CHARS = 6_000_000
 #: Dictionary entries whose counts are packed together.
 PACK_ROWS = 1_000_000
-SYMBOLS = TOP_WORDS + SUFFIX_CLASSES + 1
-END = SYMBOLS - 1
-#: Rows of expected counts that reach the driver in a round, at most.
+#: Tasks that add up the expected counts of a round, and rows that reach the driver, at most.
 SUMS = 16
 
 
@@ -92,7 +96,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFrame:
     return materialise(chosen.mapInArrow(run, schema).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
 
 
-def looked_up(entry: DataFrame) -> DataFrame:
+def looked_up(entry: DataFrame, top_words: int) -> DataFrame:
     """The corpus count of every word of every chunk's dictionary, packed by chunk; and sums for the model.
 
     One shuffle by word. A word has a row for each chunk that it occurs in, so no word has more than a small share of the rows.
@@ -125,7 +129,7 @@ def looked_up(entry: DataFrame) -> DataFrame:
             classes = np.array([suffix_class(w) for w in words], np.int64)
             np.add.at(tokens, classes, c[here])
             np.add.at(kinds, classes, 1)
-            best = heapq.nsmallest(TOP_WORDS, [*best, *zip((-c[here]).tolist(), words, strict=True)])
+            best = heapq.nsmallest(top_words, [*best, *zip((-c[here]).tolist(), words, strict=True)])
             known = c > 0
             held.append((batch.column(0).to_numpy()[known], batch.column(1).to_numpy()[known], c[known]))
             size += len(held[-1][0])
@@ -142,7 +146,7 @@ def looked_up(entry: DataFrame) -> DataFrame:
     return materialise(counted.mapInArrow(run, "chunk long, pos binary, c binary, tokens array<long>, kinds array<long>, words array<string>, word_counts array<long>"), "lm-counts")
 
 
-def classify(chunk: pa.Table, found: pa.Table, n_tokens: int, n_words: int, rare_tokens: list[int], rare_words: list[int], ranks: dict[str, int]) -> dict:
+def classify(chunk: pa.Table, found: pa.Table, n_tokens: int, n_words: int, rare_tokens: list[int], rare_words: list[int], ranks: dict[str, int], top_words: int) -> dict:
     """Base score, class sequence and within-class probability of the documents of one chunk."""
     row = {x: chunk.column(x)[0].as_py() for x in ("starts", "tokens", "words")}
     starts, tokens, words = np.array(row["starts"]), unpack(row["tokens"]), row["words"]
@@ -152,7 +156,7 @@ def classify(chunk: pa.Table, found: pa.Table, n_tokens: int, n_words: int, rare
     count, top = count[:-1], top[:-1]
     suffix = np.array([suffix_class(w) for w in words], np.int64)
     rare = top < 0
-    symbol = np.where(rare, TOP_WORDS + suffix, top)
+    symbol = np.where(rare, top_words + suffix, top)
     total, kinds = np.array(rare_tokens)[suffix], np.array(rare_words)[suffix]
     inside = np.where(rare, np.log10((count + (count > 0)) + (count == 0)) - np.log10(total + kinds + 1), 0.0)
     base = np.log10((count + 1) / (n_tokens + n_words + 1))
@@ -160,49 +164,53 @@ def classify(chunk: pa.Table, found: pa.Table, n_tokens: int, n_words: int, rare
     owner = np.repeat(np.arange(n), np.diff(starts))
     per_text = lambda x: np.bincount(owner, weights=x[tokens], minlength=n)
     # The end symbol is put after each text's own.
-    out = np.full(len(tokens) + n, END, np.uint16)
+    out = np.full(len(tokens) + n, top_words + SUFFIX_CLASSES, np.uint16)
     out[np.arange(len(tokens)) + owner] = symbol[tokens]
     return {"row": row, "base": per_text(base), "inside": per_text(inside), "known": per_text((count > 0).astype(float)), "n": np.diff(starts), "symbols": out.tobytes()}
 
 
-def windows(starts: np.ndarray, size: int) -> np.ndarray:
-    """Starts of windows of ``size`` symbols at most inside each sequence, and the end."""
-    length = np.diff(starts)
-    pieces = -(-length // size)
-    base = np.repeat(starts[:-1], pieces)
-    nth = np.arange(len(base)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    return np.append(base + nth * size, starts[-1])
-
-
-def training(symbols: bytes, starts: list[int], held: list[bool], size: int) -> Iterator[Layout]:
-    """Windows of a chunk's training documents, STEP_TOKENS or so at once: bounds the memory of forward-backward."""
-    s, keep = np.frombuffer(symbols, np.uint16).astype(np.int64), ~np.array(held, bool)
-    starts = np.array(starts)
-    length = np.diff(starts)
-    chosen = s[np.repeat(keep, length)]
-    at = windows(np.concatenate(([0], np.cumsum(length[keep]))), size)
-    a = 0
-    while a < len(at) - 1:
-        b = max(a + 1, int(np.searchsorted(at, at[a] + STEP_TOKENS, side="right")) - 1)
-        yield Layout(chosen[at[a] : at[b]], at[a : b + 1] - at[a])
-        a = b
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = STATES, full_rounds: int = FULL_ROUNDS) -> DataFrame:
+def grouped(batches) -> Iterator[list[dict]]:
+    """Rows (chunks) until their symbols are enough: long documents of several chunks run side by side."""
+    rows, size = [], 0
+    for batch in batches:
+        for k in range(batch.num_rows):
+            rows.append(batch.slice(k, 1).to_pylist()[0])
+            size += len(rows[-1]["symbols"]) // 2
+            if size >= GROUP_SYMBOLS:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def sequences(rows: list[dict], training: bool) -> Layout:
+    """The documents of some chunks, whole, or the training ones alone."""
+    symbols, lengths = [], []
+    for row in rows:
+        own, length = np.frombuffer(row["symbols"], np.uint16), np.diff(row["starts"])
+        if training:
+            keep = ~np.array(row["held"], bool)
+            own, length = own[np.repeat(keep, length)], length[keep]
+        symbols.append(own)
+        lengths.append(length)
+    return Layout(np.concatenate(symbols), np.concatenate(([0], np.cumsum(np.concatenate(lengths), dtype=np.int64))))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, states: int = STATES, rounds: int = ROUNDS, top_words: int = TOP_WORDS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held_out = fold(id_col, 7) == 2 if held_out is None else held_out
-    id_type = dict(docs.dtypes)[id_col]
+    id_type, id_arrow = dict(docs.dtypes)[id_col], to_arrow_type(docs.schema[id_col].dataType)
     chunk = chunks(docs, id_col, text_col, held_out)
     entry = chunk.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("chunk", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    found = looked_up(entry)
+    found = looked_up(entry, top_words)
     ends = chunk.select(F.explode("held").alias("h")).where("NOT h").count()
-    # The most frequent words: bounded by TOP_WORDS.
+    # The most frequent words: bounded by top_words.
     def best_of(group: pd.DataFrame) -> pd.DataFrame:
-        pairs = heapq.nsmallest(TOP_WORDS, ((-n, w) for words, counts in zip(group["words"], group["word_counts"], strict=True) for w, n in zip(words, counts, strict=True)))
+        pairs = heapq.nsmallest(top_words, ((-n, w) for words, counts in zip(group["words"], group["word_counts"], strict=True) for w, n in zip(words, counts, strict=True)))
         return pd.DataFrame({"words": [[w for _, w in pairs]], "word_counts": [[-n for n, _ in pairs]]})
 
     lists = found.where("words IS NOT NULL").groupBy(F.pmod(F.xxhash64("words"), F.lit(SUMS))).applyInPandas(best_of, "words array<string>, word_counts array<long>").collect()
-    top = [{"word": w, "c": -n} for n, w in heapq.nsmallest(TOP_WORDS, ((-n, w) for r in lists for w, n in zip(r["words"], r["word_counts"], strict=True)))]
+    top = [{"word": w, "c": -n} for n, w in heapq.nsmallest(top_words, ((-n, w) for r in lists for w, n in zip(r["words"], r["word_counts"], strict=True)))]
     ranks = {r["word"]: k for k, r in enumerate(top)}
     sums = [F.sum(F.element_at(x, k + 1)).alias(f"{x}{k}") for x in ("tokens", "kinds") for k in range(SUFFIX_CLASSES)]
     row = found.where("tokens IS NOT NULL").agg(*sums).first()
@@ -217,57 +225,64 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = f"chunk long, ids array<{id_type}>, held array<boolean>, starts array<int>, symbols binary, n array<long>, known array<long>, base array<double>, inside array<double>"
 
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = classify(left, right, n_tokens, n_words, rare_tokens, rare_words, ranks)
+        x = classify(left, right, n_tokens, n_words, rare_tokens, rare_words, ranks, top_words)
         row, n = x["row"], x["n"]
         columns = [left.column("chunk"), left.column("ids"), left.column("held"), pa.array([np.array(row["starts"], np.int32) + np.arange(len(n) + 1, dtype=np.int32)], pa.list_(pa.int32())), pa.array([x["symbols"]], pa.binary())]
         columns += [pa.array([v], pa.list_(t)) for v, t in ((n + 1, pa.int64()), (x["known"].astype(np.int64) + end_known, pa.int64()), (x["base"] + end_base, pa.float64()), (x["inside"], pa.float64()))]
         return pa.Table.from_arrays(columns, names=["chunk", "ids", "held", "starts", "symbols", "n", "known", "base", "inside"])
 
     coded = materialise(chunk.drop("counts").groupBy("chunk").cogroup(packed.groupBy("of")).applyInArrow(code, schema), "lm-coded")
-    model = baum_welch(coded, states, full_rounds)
+    classes = np.array([r["c"] for r in top] + [0] * (top_words - len(top)) + rare_tokens + [ends], float)
+    model = baum_welch(coded, classes, states, rounds)
 
     def score(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
+        for rows in grouped(batches):
+            total, at = forward(sequences(rows, training=False), *model), 0
+            for row in rows:
                 n = len(row["ids"])
-                symbols, starts = np.frombuffer(row["symbols"], np.uint16).astype(np.int64), np.array(row["starts"])
-                total = forward(Layout(symbols, starts), *model) + np.array(row["inside"])
+                own = total[at : at + n] + np.array(row["inside"])
+                at += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], batch.schema.field("ids").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(row["n"], pa.int64()), pa.array(row["known"], pa.int64()), pa.array([n_tokens] * n, pa.int64()), pa.array(row["base"], pa.float64()), pa.array(total, pa.float64())],
+                    [pa.array(row["ids"], id_arrow), pa.array(row["held"], pa.bool_()), pa.array(row["n"], pa.int64()), pa.array(row["known"], pa.int64()), pa.array([n_tokens] * n, pa.int64()), pa.array(row["base"], pa.float64()), pa.array(own, pa.float64())],
                     names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     return coded.mapInArrow(score, f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def baum_welch(coded: DataFrame, states: int, full_rounds: int):
-    """Start, move and emit probabilities learned from the training documents."""
-    sample = coded.select("symbols", "starts", "held").limit(1).collect()
-    frequency = np.full(SYMBOLS, 1.0)
-    none = Layout(np.zeros(0, np.int64), np.zeros(1, np.int64))
-    warm = next(training(sample[0]["symbols"], sample[0]["starts"], sample[0]["held"], WINDOW), none) if sample else none
-    frequency += np.bincount(warm.symbols, minlength=SYMBOLS)
-    model = train(warm, frequency / frequency.sum(), states, WARM_ROUNDS)
-    for _ in range(full_rounds):
+def baum_welch(coded: DataFrame, classes: np.ndarray, states: int, rounds: int, trace: list | None = None):
+    """Start, move and emit probabilities learned from the training documents; ``trace`` gets each round's log likelihood."""
+    model = seeded((classes + 1) / (classes + 1).sum(), states)
+    k, before = states, None
+    for _ in range(rounds):
         now = model
 
         def count(batches, now=now):
+            sums, chunk = None, 0
+            for rows in grouped(batches):
+                got = expect(sequences(rows, training=True), *now)
+                flat = np.concatenate([got[0], got[1].ravel(), got[2].ravel(), [got[3]]])
+                sums, chunk = flat if sums is None else sums + flat, rows[-1]["chunk"]
+            if sums is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["chunk", "sums"])
+
+        def add(batches):
             sums = None
             for batch in batches:
-                for row in batch.to_pylist():
-                    for layout in training(row["symbols"], row["starts"], row["held"], WINDOW):
-                        got = expect(layout, *now)
-                        sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
+                for x in batch.column("sums").to_pylist():
+                    sums = np.frombuffer(x) + (0 if sums is None else sums)
             if sums is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([int(row["chunk"]) % SUMS], pa.int64()), pa.array([np.concatenate([sums[0], sums[1].ravel(), sums[2].ravel()]).tobytes()], pa.binary())], names=["part", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
 
-        def add(key, group: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"sums": [np.sum([np.frombuffer(x) for x in group["sums"]], axis=0).tobytes()]})
-
-        parts = coded.select("chunk", "symbols", "starts", "held").mapInArrow(count, "part long, sums binary").groupBy("part").applyInPandas(add, "sums binary").collect()
+        counted = coded.select("chunk", "symbols", "starts", "held").mapInArrow(count, "chunk long, sums binary")
+        parts = counted.repartition(SUMS, "chunk").mapInArrow(add, "sums binary").collect()
         if not parts:
             break
-        total = np.sum([np.frombuffer(r["sums"]) for r in parts], axis=0)
-        k = states
-        model = normalise(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k :].reshape(SYMBOLS, k))
+        total = np.sum(sorted((np.frombuffer(r["sums"]) for r in parts), key=lambda x: x[-1]), axis=0)
+        model = normalise(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : -1].reshape(len(classes), k))
+        if trace is not None:
+            trace.append(float(total[-1]))
+        if before is not None and total[-1] - before < SETTLED * abs(before):
+            break
+        before = total[-1]
     return model

@@ -6,11 +6,14 @@ import math
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tempolane.llm import hmm
+from tempolane.llm import likelihood as LM
 from tempolane.llm import queries as Q
 from tempolane.llm.archives import archive_pages
 from tempolane.llm.classifier import classify
@@ -183,6 +186,71 @@ def test_scores_equal_brute_force(spark):
         assert got[k]["score"] < 0
 
 
+def naive_scores(texts, learned, states, rounds, top_words):
+    """Baum-Welch and forward recursion by plain loops over whole texts; words by their classes."""
+    words = {k: [w.lower() for w in t.split()] for k, t in texts.items()}
+    count = collections.Counter(w for k in learned for w in words[k])
+    ranked = sorted(count, key=lambda w: (-count[w], w))
+    top = {w: k for k, w in enumerate(ranked[: top_words])}
+    of = lambda w: top.get(w, top_words + LM.suffix_class(w))
+    tokens, kinds = collections.Counter(), collections.Counter()
+    for w in ranked[top_words :]:
+        tokens[of(w)] += count[w]
+        kinds[of(w)] += 1
+    inside = lambda w: 0.0 if w in top else math.log10((count[w] + 1 if count[w] else 1) / (tokens[of(w)] + kinds[of(w)] + 1))
+    classes = np.zeros(top_words + LM.SUFFIX_CLASSES + 1)
+    for w in ranked:
+        classes[of(w)] += count[w]
+    classes[-1] = len(learned)
+    start, move, emit = hmm.seeded((classes + 1) / (classes + 1).sum(), states)
+    seqs = {k: [of(w) for w in ws] + [top_words + LM.SUFFIX_CLASSES] for k, ws in words.items()}
+
+    def alphas(seq):
+        out = []
+        for t, x in enumerate(seq):
+            a = [(start[j] if t == 0 else sum(out[-1][i] * move[i, j] for i in range(states))) * emit[x, j] for j in range(states)]
+            out.append(a)
+        return out
+
+    for _ in range(rounds):
+        sums = [np.zeros(states), np.zeros((states, states)), np.zeros_like(emit)]
+        for k in learned:
+            seq, a = seqs[k], alphas(seqs[k])
+            b = [[1.0] * states]
+            for x in reversed(seq[1:]):
+                b.insert(0, [sum(move[i, j] * emit[x, j] * b[0][j] for j in range(states)) for i in range(states)])
+            whole = sum(a[-1])
+            for t, x in enumerate(seq):
+                for i in range(states):
+                    g = a[t][i] * b[t][i] / whole
+                    sums[2][x, i] += g
+                    if t == 0:
+                        sums[0][i] += g
+                    if t + 1 < len(seq):
+                        for j in range(states):
+                            sums[1][i, j] += a[t][i] * move[i, j] * emit[seq[t + 1], j] * b[t + 1][j] / whole
+        start, move, emit = hmm.normalise(*sums)
+    return {k: math.log10(sum(alphas(seq)[-1])) + sum(map(inside, words[k])) for k, seq in seqs.items()}
+
+
+def test_model_scores_equal_plain_loops_however_the_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(LM, "SETTLED", -1.0)
+    r = random.Random(3)
+    texts = {k: " ".join(r.choice(["the", "cat", "sat", "on", "a", "mat", "dog", "ran", f"w{k % 7}"]) for _ in range(r.randrange(0, 25))) for k in range(40)}
+    learned = [k for k in texts if zlib.crc32(str(k).encode()) % 7 != 2]
+    want = naive_scores(texts, learned, 3, 4, 6)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for parts in (1, 4):
+        got = {x["doc_id"]: x["score"] for x in score_documents(docs.repartition(parts), states=3, rounds=4, top_words=6).collect()}
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in texts)
+
+
+def test_model_scores_do_not_depend_on_partitioning(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one, four = ({r["doc_id"]: r["score"] for r in score_documents(docs.repartition(n, "source"), rounds=3).collect()} for n in (1, 4))
+    assert one.keys() == four.keys() and all(abs(one[k] - four[k]) < 1e-6 * abs(one[k]) for k in one)
+
+
 def test_classifier_on_held_out_rows(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     rows = classify(docs, labels).join(labels, "doc_id").collect()
