@@ -4,9 +4,9 @@ Every line with a word is labelled good or bad from its own features (shares of
 repetition inside the line and in the text, function words) and those of the lines before and after it. A text's score is the
 mean, weighted by characters, of its lines' marginal probabilities of being good, by forward-backward over the whole text.
 
-The field is fitted on TRAIN_DOCS labelled documents at most, those with the lowest hash among the rows whose fold is not held
-out; each gives TRAIN_LINES lines at most (a window of neighbouring lines) to the fit. Every line of every text is scored.
-Labels, language, source and ids are never inputs of a score.
+The field is fitted on a bounded sample of the labelled rows whose fold is not held out: in order of the id's hash, TRAIN_DOCS
+rows at most, each with all its lines, while their lines together are TRAIN_LINES at most (a row that would exceed this is left
+out of the sample as a whole). Every line of every text is scored. Labels, language, source and ids are never inputs of a score.
 
 Defined results: a null text counts as empty; a text without words has score 0; null ids belong to the fold of the empty
 text and are never learned from; a null or repeated label row is ignored or used once each; without labels of both kinds every
@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from tempolane.llm.crf import fit, marginals
 from tempolane.llm.pieces import text_groups
-from tempolane.llm.shared import fold, text_or_empty
+from tempolane.llm.shared import fold, materialise, text_or_empty
 from tempolane.llm.words import WordHasher, join_texts, mix, window_hashes
 
-TRAIN_DOCS, TRAIN_LINES, ROUNDS, PENALTY = 4000, 200, 300, 1e-5
+#: Labelled rows of the sample, and lines of all of them together, at most.
+TRAIN_DOCS, TRAIN_LINES = 4000, 200_000
+ROUNDS, PENALTY = 300, 1e-5
 THRESHOLD = 0.3
 #: Common function words of the languages at hand.
 FUNCTION_WORDS = "the of and to in a is that for on was with be it as de la el en que los las un una y por con se les et des le du est der die das und zu den von ist mit im ein eine".split()
@@ -110,7 +112,7 @@ class LineFeatures:
         return starts, np.column_stack([np.ones(len(one)), one, before, after, first, last]), c
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int) -> tuple[np.ndarray, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int, train_lines: int) -> tuple[np.ndarray, np.ndarray] | None:
     """The fitted field, or None without labelled documents of both kinds."""
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col, 5) != 0)).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label"))
     # The bound makes this small enough to send to all executors.
@@ -121,25 +123,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         for batch in batches:
             for at, group in text_groups(batch.column(0).to_pylist()):
                 starts, x, _ = features(group)
-                for k, label in enumerate(batch.column(1).slice(at, len(group)).to_pylist()):
-                    a, b = starts[k], starts[k + 1]
-                    a += (b - a) // 2 - TRAIN_LINES // 2 if b - a > TRAIN_LINES else 0
-                    b = min(b, a + TRAIN_LINES)
-                    if b > a:
-                        yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([b - a], pa.int32()), pa.array([x[a:b].astype("<f4").tobytes()], pa.binary())], names=["label", "n", "x"])
-
-    rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("t")).join(chosen, F.col(id_col) == F.col("l_id")).select("t", "label").mapInArrow(run, "label int, n int, x binary").collect()
+                for k in np.flatnonzero(np.diff(starts)).tolist():
+                    own = x[starts[k] : starts[k + 1]]
+                    columns = [batch.column(1).slice(at + k, 1), batch.column(2).slice(at + k, 1), pa.array([len(own)], pa.int32()), pa.array([own.astype("<f4").tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["label", "key", "n", "x"])
+
+    found = docs.select(F.col(id_col), text_or_empty(text_col).alias("t")).join(chosen, F.col(id_col) == F.col("l_id"))
+    lines = found.select("t", "label", F.xxhash64("l_id").alias("key")).mapInArrow(run, "label int, key long, n int, x binary")
+    # Written once: an id that repeats among the documents may have more rows than the sample takes.
+    lines = materialise(lines.withColumn("row", F.monotonically_increasing_id()), "classifier-lines")
+    order = [F.col("key"), F.xxhash64("x"), F.col("label"), F.col("row")]
+    sample, left = [], train_lines
+    for r in lines.orderBy(*order).limit(train_docs).select("row", "n").collect():
+        if r["n"] <= left:
+            sample.append((r["row"],))
+            left -= r["n"]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sample, "row long"))
+    rows = lines.join(wanted, "row", "left_semi").collect()
     if len({r["label"] for r in rows}) < 2:
         return None
-    rows.sort(key=lambda r: (r["n"], bytes(r["x"])))  # the fit doesn't depend on the order in which tasks end
+    rows.sort(key=lambda r: (r["n"], bytes(r["x"]), r["label"]))  # the fit doesn't depend on the order in which tasks end
     starts = np.cumsum([0, *(r["n"] for r in rows)])
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), "<f4").reshape(starts[-1], -1).astype(float)
     return fit(x, starts, np.array([r["label"] for r in rows]), ROUNDS, PENALTY)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, held_out, score, predicted, n_lines."""
-    model = train(docs, labels, id_col, text_col, label_col, train_docs)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES, threshold: float = THRESHOLD, carry: str | None = None) -> DataFrame:
+    """One row per document: id, held_out, score, predicted, n_lines, and the column ``carry`` if one is named."""
+    model = train(docs, labels, id_col, text_col, label_col, train_docs, train_lines)
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
@@ -152,10 +163,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 total = np.bincount(owner, weights=chars, minlength=len(group))
                 score = np.bincount(owner, weights=good * chars, minlength=len(group)) / np.maximum(total, 1)
                 score = np.clip(score, 0.0, 1.0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(group)), batch.column(1).slice(at, len(group)), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(np.diff(starts).astype(np.int32))],
-                    names=[id_col, "held_out", "score", "predicted", "n_lines"],
-                )
-
-    chosen = docs.select(F.col(id_col), (fold(id_col, 5) == 0).alias("_held"), text_or_empty(text_col).alias("_t"))
-    return chosen.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int, n_lines int")
+                own = [batch.column(k).slice(at, len(group)) for k in (0, 1, *range(3, batch.num_columns))]
+                columns = [*own[:2], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array(np.diff(starts).astype(np.int32)), *own[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "score", "predicted", "n_lines", *batch.schema.names[3:]])
+
+    carried = [carry] if carry else []
+    chosen = docs.select(F.col(id_col), (fold(id_col, 5) == 0).alias("_held"), text_or_empty(text_col).alias("_t"), *carried)
+    more = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carried)
+    return chosen.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int, n_lines int{more}")

@@ -251,13 +251,26 @@ def test_model_scores_do_not_depend_on_partitioning(spark, small):
     assert one.keys() == four.keys() and all(abs(one[k] - four[k]) < 1e-6 * abs(one[k]) for k in one)
 
 
-def test_classifier_on_held_out_rows(spark, small):
+def test_classifier_on_held_out_rows(spark):
+    small = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
-    rows = classify(docs, labels).join(labels, "doc_id").collect()
-    assert sum((r["predicted"] == 1) == (r["quality"] == 1) for r in rows) >= 0.95 * len(rows)
+    rows = [r for r in classify(docs, labels).join(labels, "doc_id").collect() if r["held_out"]]
+    assert rows and sum((r["predicted"] == 1) == (r["quality"] == 1) for r in rows) >= 0.95 * len(rows)
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def test_classifier_learns_from_all_lines_of_a_bounded_sample(spark):
+    """Good and bad documents that differ in their last line alone; repeated ids and a row beyond the bound don't matter."""
+    same = "\n".join(f"a line of plain words number {k} for the reader" for k in range(300))
+    rows = [(k, f"{same}\n" * (k % 2) + ("# $ % * | < > & # $ % * " * 40 if k % 2 else "and this is the end of the text as it was told to us " * 10)) for k in range(60)]
+    rows += [(7, rows[7][1])] * 50 + [(1000, "x y\n" * 5000)]
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(60)] + [(1000, 1, 0)], "doc_id long, quality int, toxic int")
+    got = classify(spark.createDataFrame(rows, "doc_id long, text string"), labels, train_docs=100, train_lines=3000).collect()
+    last = {r["doc_id"]: r["score"] for r in got}
+    assert len(got) == len(rows) and all(0 <= x <= 1 for x in last.values())
+    assert min(last[k] for k in range(0, 60, 2)) > 0.5
+
+
 def test_classifier_without_labels(spark, docs):
     none = labels_of(spark).where("false")
     assert {r["score"] for r in classify(docs, none).collect()} == {0.0, 0.5}
