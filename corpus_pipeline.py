@@ -2,6 +2,10 @@
 
 Each stage is one operator of :mod:`tempolane.llm`; its decisions take effect on the rows that the stage before it kept, and its
 result is written as Parquet and read again as the next one's documents. All but the last return the columns of documents.
+
+Decisions belong to rows, not to ids: see :func:`tempolane.llm.shared.keyed`. Defined results: a null text is an empty one and
+goes with the quality rules; null and repeated ids are kept apart row by row; of rows equal in every column one stays; an empty
+table gives an empty result; additional columns pass through to the packing, where they are ignored.
 """
 
 from __future__ import annotations
@@ -14,45 +18,43 @@ from tempolane.llm.near import near_duplicates
 from tempolane.llm.packing import best_fit
 from tempolane.llm.queries import BYTE_PATTERN, BYTE_RANKS
 from tempolane.llm.rules import quality_rules
-from tempolane.llm.shared import keep_rows, materialise, read, release, small_batches
+from tempolane.llm.shared import delete, keep_rows, keyed, materialise, noted, read, small_batches
 
 #: A stage's function takes (spark, docs, sf_dir) and returns a DataFrame.
 
 
-def prepare(spark: SparkSession) -> None:
-    """What the stage before has left in the shared folder goes; batches stay small."""
-    release(spark)
-    small_batches(spark)
-
-
 def stage_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    prepare(spark)
-    return keep_rows(docs, quality_rules(docs))
+    with small_batches(spark):
+        rows = keyed(docs)
+        return keep_rows(rows, quality_rules(rows, id_col="_key"))
 
 
 def stage_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of the rows at hand, predicts to be good."""
-    prepare(spark)
-    return keep_rows(docs, classify(docs, read(spark, sf_dir, "labels")), kept_col="predicted")
+    with small_batches(spark):
+        rows = keyed(docs)
+        return keep_rows(rows, classify(rows, read(spark, sf_dir, "labels"), carry="_key"), kept_col="predicted")
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    prepare(spark)
-    return keep_rows(docs, exact_duplicates(docs), single=True)
+    with small_batches(spark):
+        rows = keyed(docs)
+        return keep_rows(rows, exact_duplicates(rows, id_col="_key"), single=True)
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    prepare(spark)
-    return keep_rows(docs, near_duplicates(docs), single=True)
+    with small_batches(spark):
+        rows = keyed(docs)
+        return keep_rows(rows, near_duplicates(rows, id_col="_key"), single=True)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and the bins that hold them."""
-    prepare(spark)
-    return best_fit(docs, BYTE_RANKS, BYTE_PATTERN)
+    with small_batches(spark):
+        return best_fit(docs, BYTE_RANKS, BYTE_PATTERN)
 
 
 STAGES = [
@@ -68,10 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's own tables are deleted when its result is written; the result stays."""
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, "stage-" + name.replace(" ", "-"), keep=True)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with noted() as made:
+            kept = stage(spark, docs, sf_dir)
+        docs = materialise(kept, "stage-" + name.replace(" ", "-"))
+        delete(spark, made)
+    return STAGES[-1][1](spark, docs, sf_dir)

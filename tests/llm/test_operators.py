@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -334,10 +335,100 @@ def test_packing_holds_its_constraints(spark, small):
     assert tokens == {k: n + 1 for k, n in count.items()}
 
 
+def near_groups(texts):
+    """Sets of keys of texts whose five-word shingle sets are chained by a similarity of 0.8 or more, by all pairs."""
+    sets = {}
+    for k, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        sets[k] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    where = collections.defaultdict(set)
+    for k, s in sets.items():
+        for x in s:
+            where[x].add(k)
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    empty = [k for k, s in sets.items() if not s]
+    for k in empty:
+        root[k] = empty[0]
+    for k, s in sets.items():
+        for other in set().union(*(where[x] for x in s)) - {k}:
+            both = len(s & sets[other])
+            if both >= 0.8 * (len(s) + len(sets[other]) - both):
+                root[find(k)] = find(other)
+    groups = collections.defaultdict(set)
+    for k in sets:
+        groups[find(k)].add(k)
+    return groups.values()
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_near_classes_equal_brute_force_on_a_whole_table(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    want = {k: max(g) for g in near_groups(texts) for k in g}
+    linked = [k for k in texts if want[k] != k]
+    assert linked and sum(got[k] == want[k] for k in linked) >= 0.99 * len(linked)
+    assert all(got[k] == want[k] or k in linked or want[k] == k for k in texts)
+
+
 def test_pipeline_stages(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "exact dedup", "near duplicates", "best-fit packing"]
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    first = corpus_pipeline.stage_rules(spark, docs, small)
-    kept = {r["doc_id"] for r in quality_rules(docs).where("kept").collect()}
-    assert first.columns == docs.columns and {r["doc_id"] for r in first.collect()} == kept
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, small).collect()} <= kept
+    source = docs.columns
+    rules, labels = (corpus_pipeline.read(spark, small, t) for t in ("documents", "labels"))
+    kept = [{r["doc_id"] for r in quality_rules(rules).where("kept").collect()}]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, small), "test-stage")
+        assert docs.columns == source
+        kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert set(kept[1]) == kept[0]
+    first = rules.join(docs.sparkSession.createDataFrame([(k,) for k in kept[1]], "doc_id long"), "doc_id", "left_semi")
+    assert set(kept[2]) == {r["doc_id"] for r in classify(first, labels).where("predicted = 1").collect()}
+    by_text = collections.defaultdict(set)
+    for k, t in kept[2].items():
+        by_text[t].add(k)
+    assert set(kept[3]) == {max(g) for g in by_text.values()}
+    assert set(kept[4]) == {max(g) for g in near_groups(kept[3])}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, small).collect()} == set(kept[4])
+
+
+WORDS = " ".join(f"word{k} of" for k in range(60))
+OTHER = " ".join(f"thing{k} and" for k in range(60))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids with good and bad texts, rows equal in every column, null columns, a clashing column."""
+    bad = "# $ % " * 40
+    rows = [(1, WORDS, "en", "a", 1), (1, bad, "en", "a", 1), (None, OTHER, None, None, None), (None, bad, "en", "a", 1), (1, WORDS, "en", "a", 1), (2, WORDS, "en", "a", 1), (3, None, "en", "a", 1), (4, "", None, "a", 1), (5, WORDS + " tail", None, None, 7)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("clash")).withColumn("id", F.lit(0)).withColumn("row", F.lit("x"))
+
+
+def test_stages_decide_by_row(spark, small, odd):
+    left = lambda df: sorted(((r["doc_id"], (r["text"] or "")[:7]) for r in df.collect()), key=repr)
+    rules = corpus_pipeline.stage_rules(spark, odd, small)
+    assert left(rules) == [(1, "word0 o"), (1, "word0 o"), (2, "word0 o"), (5, "word0 o"), (None, "thing0 ")] and rules.columns == odd.columns
+    assert left(corpus_pipeline.stage_exact(spark, odd, small)) == [(1, "# $ % #"), (2, "word0 o"), (4, ""), (5, "word0 o"), (None, "thing0 ")]
+    assert left(corpus_pipeline.stage_near(spark, odd, small)) == [(1, "# $ % #"), (4, ""), (5, "word0 o"), (None, "thing0 ")]
+    assert corpus_pipeline.stage_classifier(spark, odd, small).columns == odd.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.where("false"), small).count() == 0
+
+
+def test_packing_stage_takes_odd_rows(spark, small, odd):
+    rows = corpus_pipeline.stage_packing(spark, odd, small).collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == {1: 3, None: 2, 2: 1, 3: 1, 4: 1, 5: 1}
+
+
+def test_tables_of_other_queries_outlive_a_pipeline_run(spark, small):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    setting, before = spark.conf.get(name), Q.QUERIES["op7_exact_dedup"](spark, small)
+    first = corpus_pipeline.run(spark, small)
+    second = corpus_pipeline.run(spark, small)
+    assert before.count() == 200 and first.count() == second.count() > 0 and spark.conf.get(name) == setting
