@@ -4,7 +4,7 @@ A fingerprint splits into a quotient (its upper ``q`` bits) and a remainder (the
 quotient; ``occupied`` marks quotients that have a run, ``run_end`` the last slot of each run, and ``is_count`` the slots that
 hold a counter of the remainder before them instead of a remainder. Entries sit at their quotient's slot or, pushed on by
 linear probing, after it; the table has room at its end, so nothing wraps. Quotient and remainder together keep all 64 bits:
-filters of any sizes merge without loss by walking their entries in order.
+filters of any sizes merge without loss by their sorted entries.
 """
 
 from __future__ import annotations
@@ -72,9 +72,21 @@ def entries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return found, counts
 
 
+def merge_entries(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ordered entries of both, equal ones added: each entry of ``two`` finds its place in the order of ``one``."""
+    (a, n), (b, m) = one, two
+    at = np.searchsorted(a, b)
+    same = np.zeros(len(b), bool)
+    inside = at < len(a)
+    same[inside] = a[at[inside]] == b[inside]
+    n = n.copy()
+    n[at[same]] += m[same]
+    return np.insert(a, at[~same], b[~same]), np.insert(n, at[~same], m[~same])
+
+
 def merge(filters: list[bytes]) -> bytes:
-    """One filter with the sums of all counts: the ordered entries are merged, equal ones added."""
-    parts = [entries(x) for x in filters]
-    if not parts:
-        return build(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return build(*tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
+    """One filter with the sums of all counts: the sorted remainders of the filters are merged, two runs at a time."""
+    runs = [entries(x) for x in filters] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    while len(runs) > 1:  # neighbours first, so that each entry moves as often as the number of filters doubles
+        runs = [merge_entries(*runs[k : k + 2]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+    return build(*runs[0])
