@@ -8,11 +8,13 @@ its sources and one of its duplicate clusters; a document conflicts with a bin t
 has reached ``per_source`` documents in the bin, its source.
 
 Shards are hashes of the ids and hold SHARD_DOCS documents on average, so neither a hot source nor a large cluster decides
-the size of a group; the packing of a shard depends on its own rows alone.
+the size of a group; the packing of a shard depends on its own rows alone. An id with more than HOT_ROWS rows (null ids are one
+id) is dealt over the shards row by row. Clusters are equal texts but for case and white space, or a column that names them, such
+as the classes of near duplicates.
 
-Defined results: a null text counts as empty and costs its end token; a null source or cluster never conflicts; null ids share
-a shard by text; repeated rows are packed each time; ties in size go to the lower id, ties in room to the older bin; an empty table
-gives an empty result; other columns are ignored.
+Defined results: a null text counts as empty and costs its end token; a null source or cluster never conflicts; repeated rows
+are packed each time; ties in size go to the lower id, ties in room to the older bin; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 
 from tempolane.llm.counting import counter
 from tempolane.llm.pieces import text_groups
-from tempolane.llm.shared import materialise, text_or_empty
+from tempolane.llm.shared import HOT_SHARE, materialise, text_or_empty
 
 CAPACITY, SHARD_DOCS, PER_SOURCE = 8192, 20_000, 8
+#: Rows of one id that share a shard, at most.
+HOT_ROWS = 1000
 
 
 class Bins:
@@ -94,8 +98,9 @@ def squeezed_hash(text: str) -> int | None:
     return xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63) if words else None
 
 
-def token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source, cluster and tokens (with the end token) of each document; the cluster is the hash of the squeezed text."""
+def token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, source_col: str, cluster_col: str | None) -> DataFrame:
+    """id, source, cluster and tokens (with the end token) of each document; the cluster is the hash of the squeezed text, or of
+    ``cluster_col``."""
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches):
@@ -103,19 +108,24 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, te
         for batch in batches:
             for at, texts in text_groups(batch.column(2).to_pylist()):
                 counts = pa.array([len(encoding.encode_to_numpy(t, disallowed_special=())) + 1 for t in texts], pa.int64())
-                cluster = pa.array([squeezed_hash(t) for t in texts], pa.int64())
+                cluster = batch.column(3).slice(at, len(texts)) if cluster_col else pa.array([squeezed_hash(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), cluster, counts], names=["id", "source", "cluster", "tokens"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_or_empty(text_col).alias("t"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_or_empty(text_col).alias("t"), *([F.when(F.col(cluster_col).isNotNull(), F.xxhash64(cluster_col)).alias("c")] if cluster_col else []))
     return chosen.mapInArrow(run, f"id {id_type}, source string, cluster long, tokens long")
 
 
-def best_fit(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def best_fit(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_docs: int = SHARD_DOCS, cluster_col: str | None = None) -> DataFrame:
     """One row per piece: id, piece, bin_id, tokens, bin_tokens (all tokens of the bin), oversize (a full bin of one document)."""
-    counted = materialise(token_counts(docs, ranks_path, pattern, id_col, text_col, source_col), "pack-counts")
-    shards = max(1, -(-counted.count() // shard_docs))
+    counted = token_counts(docs, ranks_path, pattern, id_col, text_col, source_col, cluster_col)
+    counted = materialise(counted.withColumn("row", F.monotonically_increasing_id()), "pack-counts")
+    total = counted.count()
+    shards = max(1, -(-total // shard_docs))
     id_type = dict(docs.dtypes)[id_col]
-    sharded = counted.withColumn("shard", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("cluster"))), F.lit(shards)))
+    # Few by the bound: an id is hot above a share of all rows.
+    hot = F.broadcast(counted.groupBy(F.col("id").alias("h_id")).agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > max(HOT_ROWS, HOT_SHARE * total)))
+    dealt = counted.join(hot, F.col("id").eqNullSafe(F.col("h_id")), "left")
+    sharded = dealt.withColumn("shard", F.pmod(F.xxhash64("id", F.when(F.col("times").isNotNull(), F.col("row"))), F.lit(shards))).drop("h_id", "times", "row")
 
     def group(key, rows):
         rows = rows.sort_by([("tokens", "descending"), ("id", "ascending"), ("cluster", "ascending")])

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tempolane.llm import hmm
 from tempolane.llm import likelihood as LM
+from tempolane.llm import near
 from tempolane.llm import queries as Q
+from tempolane.llm import shared
 from tempolane.llm.archives import archive_pages
 from tempolane.llm.classifier import classify
 from tempolane.llm.components import components
@@ -24,7 +26,7 @@ from tempolane.llm.exact import exact_duplicates
 from tempolane.llm.extract import extract_pages
 from tempolane.llm.likelihood import score_documents
 from tempolane.llm.near import near_duplicates
-from tempolane.llm.packing import best_fit
+from tempolane.llm.packing import best_fit, pack
 from tempolane.llm.pieces import encode_decode
 from tempolane.llm.rules import quality_rules
 
@@ -335,6 +337,63 @@ def test_packing_holds_its_constraints(spark, small):
     assert tokens == {k: n + 1 for k, n in count.items()}
 
 
+def test_packing_equals_brute_force():
+    """Against a search through all bins: of those with room and no conflict the tightest, of these the oldest."""
+    r = random.Random(9)
+    for per_source in (1, 2):
+        items = sorted(((r.randrange(1, 130), r.choice([None, "a", "b", "c"]), r.choice([None, *range(30)])) for _ in range(400)), key=lambda x: -x[0])
+        bins, want = [], []
+        for size, source, cluster in items:
+            while size > 100:
+                size -= 100
+            fits = [b for b in bins if b["room"] >= size and (cluster is None or cluster not in b["clusters"]) and (source is None or b["sources"][source] < per_source)]
+            best = min(fits, key=lambda b: (b["room"], b["age"]), default=None)
+            if best is None:
+                best = {"room": 100, "age": len(bins), "clusters": set(), "sources": collections.Counter()}
+                bins.append(best)
+            best["room"] -= size
+            best["clusters"].add(cluster)
+            best["sources"][source] += 1
+            want.append(best["age"])
+        assert [pieces[-1][1] for pieces in pack(items, 100, per_source)] == want
+
+
+def test_packing_deals_a_hot_id_over_the_shards(spark, monkeypatch):
+    monkeypatch.setattr("tempolane.llm.packing.HOT_ROWS", 5)
+    docs = spark.createDataFrame([(None if k % 2 else 7, f"text {k % 3}", "s") for k in range(60)], SCHEMA)
+    rows = best_fit(docs, Q.BYTE_RANKS, Q.BYTE_PATTERN, shard_docs=10).collect()
+    assert len(rows) == 60 and len({r["bin_id"].split("-")[0] for r in rows}) > 3
+    own = best_fit(docs.withColumn("group", F.lit(1)), Q.BYTE_RANKS, Q.BYTE_PATTERN, cluster_col="group").collect()
+    assert len({r["bin_id"] for r in own}) == 60
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 9, k) for k in range(60)], "key int, v int")
+    facts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("v").alias("top"))
+    want = sorted(map(tuple, rows.join(facts, "key").collect()))
+    monkeypatch.setattr(shared, "HOT_SHARE", 0.2)
+    assert sorted(map(tuple, shared.join_facts(rows, facts, "key", "size", 60).collect())) == want
+    monkeypatch.setattr(near, "PAIRS_PER_TASK", 4)
+    sets = spark.createDataFrame([(k, bytes([k])) for k in range(70)], "node long, shingles binary")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 40)] + [(50, 51)], "a long, b long")
+    got = near.with_sets(near.with_sets(pairs, sets, "a", "x", 40), sets, "b", "y", 40).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(map(tuple, pairs.collect())) and all((bytes(r["x"]), bytes(r["y"])) == (bytes([r["a"]]), bytes([r["b"]])) for r in got)
+
+
+def test_large_buckets_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 3)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(100)]
+    texts = {}
+    for k in range(40):
+        w = base[: r.randrange(70, 101)]
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        texts[k] = " ".join(w)
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {k: max(g) for g in near_groups(texts) for k in g}
+
+
 def near_groups(texts):
     """Sets of keys of texts whose five-word shingle sets are chained by a similarity of 0.8 or more, by all pairs."""
     sets = {}
