@@ -1,9 +1,9 @@
 """Numerics of a discrete hidden Markov model over many sequences at once.
 
 Sequences are ordered by length, longest first, and their symbols by step: at each step the sequences still running are a
-prefix and lie side by side, so a step is a few matrix operations on slices. Whole sequences are used; what a pass over a long
-one needs is kept in blocks of steps, and the alphas before each block are carried, so memory is bounded by the block, not by
-the sequence.
+prefix and lie side by side, so a step is a few matrix operations on slices (a row for each state, a column for each sequence).
+Whole sequences are used; what a pass over a long one needs is kept in blocks of steps, and the alphas before each block are
+carried, so memory is bounded by the block, not by the sequence.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Symbols whose probabilities are held at once.
-BLOCK = 200_000
+BLOCK = 100_000
 
 
 class Layout:
@@ -42,27 +42,29 @@ class Layout:
         return out
 
 
-def sweep(layout: Layout, span: tuple[int, int], before: np.ndarray | None, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def turned(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parameters as the recursions use them: a row for each state."""
+    return start[:, None], np.ascontiguousarray(move.T), np.ascontiguousarray(emit.T)
+
+
+def sweep(layout: Layout, span: tuple[int, int], before: np.ndarray | None, start: np.ndarray, back: np.ndarray, by_state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scaled alphas and scales of a block of steps, and the last step's alphas; ``before`` are those of the step before."""
     cuts = (layout.offset[span[0] : span[1] + 1] - layout.offset[span[0]]).tolist()
-    alphas = emit[layout.symbols[layout.offset[span[0]] : layout.offset[span[1]]]]
-    scales = np.empty(len(alphas))
-    now = before
+    alphas = np.take(by_state, layout.symbols[layout.offset[span[0]] : layout.offset[span[1]]], axis=1)
+    scales, now, one = np.empty(alphas.shape[1]), before, np.ones(len(by_state))
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        here = alphas[i:j]
-        here *= start if now is None else now[: j - i] @ move
-        scale = here.sum(1)
-        here /= scale[:, None]
-        scales[i:j] = scale
+        here = alphas[:, i:j]
+        here *= start if now is None else back @ now[:, : j - i]
+        here /= np.matmul(one, here, out=scales[i:j])
         now = here
     return alphas, scales, now
 
 
 def forward(layout: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """log10 likelihood of each sequence by the scaled forward recursion. emit: symbol x state."""
-    total, now = np.zeros(len(layout.order)), None
+    total, now, model = np.zeros(len(layout.order)), None, turned(start, move, emit)
     for span in layout.blocks():
-        _, scales, now = sweep(layout, span, now, start, move, emit)
+        _, scales, now = sweep(layout, span, now, *model)
         active = layout.active[span[0] : span[1]]
         rank = np.arange(len(scales)) - np.repeat(np.cumsum(active) - active, active)
         total += np.bincount(rank, weights=np.log10(scales), minlength=len(total))
@@ -76,34 +78,38 @@ def expect(layout: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray
     """Expected counts (starts, moves, emissions) by forward-backward over whole sequences, and the log10 likelihood."""
     k = len(start)
     starts, moves, emissions, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(emit), 0.0
+    model = turned(start, move, emit)
     spans, before = layout.blocks(block), [None]
     for span in spans[:-1]:
-        before.append(sweep(layout, span, before[-1], start, move, emit)[2].copy())
-    later = np.zeros((0, k))  # beta times emission over scale, of the step after the block
+        before.append(sweep(layout, span, before[-1], *model)[2].copy())
+    later = np.zeros((k, 0))  # beta times emission over scale, of the step after the block
     for span, first in zip(reversed(spans), reversed(before), strict=True):
-        alphas, scales, _ = sweep(layout, span, first, start, move, emit)
+        alphas, scales, _ = sweep(layout, span, first, *model)
         symbols = layout.symbols[layout.offset[span[0]] : layout.offset[span[1]]]
         total += float(np.log10(scales).sum())
-        local = emit[symbols] / scales[:, None]
-        betas, ahead, back = np.ones_like(alphas), np.empty_like(alphas), np.ascontiguousarray(move.T)
+        ahead = np.take(model[2], symbols, axis=1)
+        ahead /= scales
+        betas = np.ones_like(alphas)
         active = layout.active[span[0] : span[1]]
         ends = np.cumsum(active).tolist()
         now = later
         for i, j in zip([0, *ends[:-1]][::-1], ends[::-1], strict=True):
-            if len(now):
-                np.matmul(now, back, out=betas[i : i + len(now)])
-            now = np.multiply(betas[i:j], local[i:j], out=ahead[i:j])
+            n = now.shape[1]
+            if n:
+                betas[:, i : i + n] = move @ now
+            now = ahead[:, i:j]
+            now *= betas[:, i:j]
         # A symbol's predecessor lies as many places before it as sequences ran at the step before.
-        inner = np.arange(ends[0], len(alphas))
-        moves += alphas[inner - np.repeat(active[:-1], active[1:])].T @ ahead[ends[0] :]
-        if len(later):
-            last = len(alphas) - active[-1]
-            moves += alphas[last : last + len(later)].T @ later
-        gamma = alphas * betas
+        inner = np.arange(ends[0], alphas.shape[1])
+        moves += np.take(alphas, inner - np.repeat(active[:-1], active[1:]), axis=1) @ ahead[:, ends[0] :].T
+        if later.shape[1]:
+            last = alphas.shape[1] - active[-1]
+            moves += alphas[:, last : last + later.shape[1]] @ later.T
+        alphas *= betas
         for s in range(k):
-            emissions[:, s] += np.bincount(symbols, weights=gamma[:, s], minlength=len(emit))
+            emissions[:, s] += np.bincount(symbols, weights=alphas[s], minlength=len(emit))
         if span[0] == 0:
-            starts = gamma[: active[0]].sum(0)
+            starts = alphas[:, : active[0]].sum(1)
         later = now.copy()
     return starts, moves * move, emissions, total
 

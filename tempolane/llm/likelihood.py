@@ -40,7 +40,7 @@ from tempolane.llm.shared import fold, materialise, text_or_empty
 from tempolane.llm.words import WordHasher, join_texts
 
 STATES, TOP_WORDS, SUFFIX_CLASSES = 8, 2048, 256
-ROUNDS, SETTLED = 8, 1e-3
+ROUNDS, SETTLED = 6, 1e-3
 #: Symbols of documents that a task takes at once (and one chunk).
 GROUP_SYMBOLS = 2_000_000
 CHUNK_CHARS = 6_000_000
