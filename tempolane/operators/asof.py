@@ -2,52 +2,125 @@
 
 Histories are never multiplied with targets. Sums over any number of windows come from prefix sums: events and the windows'
 borders are put in one order per key and a growing frame gives the sum before each border; a window is the difference of two
-borders. Last-N windows number a key's events and fetch N of them by equality.
+borders. Several requests (keys, sums, windows) of one subject share one shuffle. Last-N windows number a key's events and fetch
+N of them by equality.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DAY = 86400
+
+
+@dataclass(frozen=True)
+class Request:
+    """Sums over the events that share ``keys`` with the target, for windows of ``days`` (None: all before the cutoff)."""
+
+    prefix: str
+    sums: Mapping[str, Column]
+    days: Sequence[int | None] = (None,)
+    keys: Sequence[str] = field(default_factory=tuple)
+    #: All-time greatest and least values before the cutoff, named ``{prefix}{name}``; NULL without an event.
+    highs: Mapping[str, Column] = field(default_factory=dict)
+    lows: Mapping[str, Column] = field(default_factory=dict)
+
+
+def name_of(days: int | None) -> str:
+    return "all" if days is None else str(days)
+
+
+def asof(targets: DataFrame, events: DataFrame, requests: Sequence[Request], by: str = "player_id", id_col: str = "entry_id", cutoff: str = "cutoff", time: str = "start_at") -> DataFrame:
+    """For each target with a subject: id and ``{prefix}{sum}_{days}`` of all requests, over events in [cutoff - days, cutoff).
+
+    ``by`` is the subject; a request's further keys match within it. Keys that are null match nothing. Events and borders are
+    dealt by the subject once; every window of every request runs on that.
+    """
+    borders = sorted({0, *(d for r in requests for d in r.days if d is not None)})
+    keys = list(dict.fromkeys(k for r in requests for k in r.keys))
+    names = [f"{r.prefix}{n}" for r in requests for n in (*r.sums, *r.highs, *r.lows)]
+    moments = F.array(*(F.struct(F.lit(d).alias("d"), (F.col(cutoff) - d * DAY).alias("t")) for d in borders))
+    points = targets.where(F.col(by).isNotNull()).select(by, *keys, F.col(id_col).alias("_id"), F.explode(moments).alias("_p"))
+    points = points.select(by, *keys, "_id", F.col("_p.d").alias("_d"), F.col("_p.t").alias("_t"), *(F.lit(None).cast("double").alias(n) for n in names))
+    nothing = [F.lit(None).cast(dict(targets.dtypes)[id_col]).alias("_id"), F.lit(None).cast("int").alias("_d")]
+    values = [c.cast("double").alias(f"{r.prefix}{n}") for r in requests for n, c in (*r.sums.items(), *r.highs.items(), *r.lows.items())]
+    facts = events.where(F.col(by).isNotNull()).select(by, *keys, *nothing, F.col(time).alias("_t"), *values)
+    # One exchange: the windows of all key lists are satisfied by rows dealt by the subject.
+    line = facts.unionByName(points).repartition(F.col(by))
+    running = []
+    for r in requests:
+        before = Window.partitionBy(by, *r.keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+        known = F.lit(True)
+        for k in r.keys:
+            known = known & F.col(k).isNotNull()
+        running += [F.when(known, F.coalesce(F.sum(f"{r.prefix}{n}").over(before), F.lit(0.0))).otherwise(0.0).alias(f"{r.prefix}{n}") for n in r.sums]
+        for f, group in ((F.max, r.highs), (F.min, r.lows)):
+            running += [F.when(known, f(f"{r.prefix}{n}").over(before)).alias(f"{r.prefix}{n}") for n in group]
+    at = line.select(by, "_id", "_d", *running).where("_id IS NOT NULL")
+    needed = {(f"{r.prefix}{n}", d) for r in requests for n in r.sums for d in {0, *(x for x in r.days if x is not None)}}
+    needed |= {(f"{r.prefix}{n}", 0) for r in requests for n in (*r.highs, *r.lows)}
+    wide = at.groupBy(by, "_id").agg(*(F.max(F.when(F.col("_d") == d, F.col(n))).alias(f"_{n}_{d}") for n, d in sorted(needed)))
+    shown = []
+    for r in requests:
+        for n in (f"{r.prefix}{x}" for x in r.sums):
+            shown += [(F.col(f"_{n}_0") if d is None else F.col(f"_{n}_0") - F.col(f"_{n}_{d}")).alias(f"{n}_{name_of(d)}") for d in r.days]
+        shown += [F.col(f"_{r.prefix}{n}_0").alias(f"{r.prefix}{n}") for n in (*r.highs, *r.lows)]
+    return wide.select(F.col("_id").alias(id_col), *shown)
+
 
 def asof_sums(targets: DataFrame, events: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], days: Sequence[int | None], id_col: str = "entry_id", cutoff: str = "cutoff", time: str = "start_at", prefix: str = "") -> DataFrame:
-    """For each target and window, the sums of ``sums`` over its key's events in [cutoff - days, cutoff); None: all before.
+    """One request of :func:`asof`; the first key is the subject."""
+    return asof(targets, events, [Request(prefix, sums, days, keys[1:])], keys[0], id_col, cutoff, time)
+
+
+def blocked_sums(targets: DataFrame, events: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], id_col: str = "entry_id", cutoff: str = "cutoff", time: str = "start_at", prefix: str = "", block_days: int = 30) -> DataFrame:
+    """All-time sums before the cutoff for keys with few values and very many events each.
 
-    One row per target: id and ``{prefix}{name}_{days}`` (``_all`` for None). Keys that are null match nothing.
+    A key's time is cut into blocks: totals of blocks are summed up over the blocks before (a few hundred rows a key, whatever the
+    number of events) and the order inside a block is a task of its own, so no task holds a whole key.
     """
-    borders = sorted({0, *(d for d in days if d is not None)})
-    known = targets.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
-    points = known.select(*keys, F.col(id_col).alias("_id"), F.explode(F.array(*(F.struct(F.lit(d).alias("d"), (F.col(cutoff) - d * 86400).alias("t")) for d in borders))).alias("_p")).select(*keys, "_id", F.col("_p.d").alias("_d"), F.col("_p.t").alias("_t"), *(F.lit(None).cast("double").alias(n) for n in sums))
-    facts = events.select(*keys, F.lit(None).cast(dict(targets.dtypes)[id_col]).alias("_id"), F.lit(None).cast("int").alias("_d"), F.col(time).alias("_t"), *(c.cast("double").alias(n) for n, c in sums.items()))
-    before = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
-    running = facts.unionByName(points).select("_id", "_d", *(F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(n) for n in sums)).where("_id IS NOT NULL")
-    at = {(n, d): F.max(F.when(F.col("_d") == d, F.col(n))) for n in sums for d in borders}
-    out = running.groupBy(F.col("_id").alias(id_col)).agg(*(v.alias(f"_{n}_{d}") for (n, d), v in at.items()))
-    return out.select(id_col, *((F.col(f"_{n}_0") - F.col(f"_{n}_{d}") if d is not None else F.col(f"_{n}_0")).alias(f"{prefix}{n}_{'all' if d is None else d}") for n in sums for d in days))
+    block = lambda t: F.floor(F.col(t) / (block_days * DAY))
+    names = [f"{prefix}{n}" for n in sums]
+    values = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"{prefix}{n}") for n, c in sums.items()]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    facts = events.where(known).select(*keys, block(time).alias("_b"), F.lit(None).cast(dict(targets.dtypes)[id_col]).alias("_id"), F.col(time).alias("_t"), *values)
+    points = targets.where(known).select(*keys, block(cutoff).alias("_b"), F.col(id_col).alias("_id"), F.col(cutoff).alias("_t"), *(F.lit(0.0).alias(n) for n in names))
+    line = facts.unionByName(points)
+    inside = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = line.groupBy(*keys, "_b").agg(*(F.sum(n).alias(n) for n in names))
+    totals = totals.select(*keys, "_b", *(F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"_{n}") for n in names))
+    at = line.select(*keys, "_b", "_id", *(F.coalesce(F.sum(n).over(inside), F.lit(0.0)).alias(n) for n in names)).where("_id IS NOT NULL")
+    return at.join(totals, [*keys, "_b"]).select(F.col("_id").alias(id_col), *((F.col(n) + F.col(f"_{n}")).alias(f"{n}_all") for n in names))
 
 
-def recent(targets: DataFrame, events: DataFrame, key: str, n: int, columns: Sequence[str], exclude: str | None = None, id_col: str = "entry_id", cutoff: str = "cutoff", time: str = "start_at", order: Sequence[str] = ("start_at", "race_id", "entry_id")) -> DataFrame:
-    """The last ``n`` events of each target's key before its cutoff, newest first: id, nth (1 = newest) and ``columns``.
+def last_events(counted: DataFrame, events: DataFrame, span: Column, last: Column, columns: Sequence[str], by: str = "player_id", id_col: str = "entry_id", exclude: str | None = None, carry: Sequence[str] = (), order: Sequence[str] = ("start_at", "race_id", "entry_id")) -> DataFrame:
+    """The ``span`` newest of the ``last`` events before each target's cutoff: id, nth (1 = newest), ``carry`` and ``columns``.
 
-    ``exclude``: events that share this column's value with the target don't count (the target's own meeting).
+    ``counted`` has the targets with the number of their subject's events before the cutoff. ``exclude``: events that share this
+    column's value with the target are left out (a null on either side excludes nothing).
     """
-    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    numbered = events.where(F.col(key).isNotNull()).withColumn("_n", number)
-    known = targets.where(F.col(key).isNotNull())
-    counts = asof_sums(known, events, [key], {"seen": F.lit(1)}, [None], id_col, cutoff, time)
-    span = F.lit(n)
+    numbered = events.where(F.col(by).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    numbered = numbered.select(by, "_n", *dict.fromkeys([*columns, *([exclude] if exclude else [])]))
+    own = [F.col(exclude).alias("_x")] if exclude else []
+    wanted = counted.where(F.col(by).isNotNull() & (last > 0)).select(id_col, by, *carry, *own, F.explode(F.sequence(F.greatest(F.lit(1), last - span + 1), last)).alias("_n"))
+    found = wanted.join(numbered, [by, "_n"])
     if exclude:
-        inside = asof_sums(known.where(F.col(exclude).isNotNull()), events, [key, exclude], {"inside": F.lit(1)}, [None], id_col, cutoff, time)
-        counts = counts.join(inside, id_col, "left")
-        span = span + F.coalesce("inside_all", F.lit(0.0)).cast("int")
-    last = F.col("seen_all").cast("int")
-    wanted = known.select(id_col, key, *([F.col(exclude).alias("_x")] if exclude else [])).join(counts, id_col).where(last > 0)
-    wanted = wanted.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(1), last - span + 1), last)))
-    found = wanted.join(numbered.select(key, "_n", *({*columns, *([exclude] if exclude else [])})), [key, "_n"])
-    if exclude:
-        found = found.where(~F.col("_x").eqNullSafe(F.col(exclude)))
+        found = found.where(F.col("_x").isNull() | F.col(exclude).isNull() | (F.col("_x") != F.col(exclude)))
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("_n")))
-    return found.select(id_col, nth.alias("nth"), *columns).where(F.col("nth") <= n)
+    return found.select(id_col, nth.alias("nth"), *carry, *columns)
+
+
+def recent(targets: DataFrame, events: DataFrame, key: str, n: int, columns: Sequence[str], exclude: str | None = None, id_col: str = "entry_id", cutoff: str = "cutoff", time: str = "start_at") -> DataFrame:
+    """The last ``n`` events of each target's key before its cutoff, newest first: id, nth (1 = newest) and ``columns``."""
+    one = {"seen": F.lit(1)}
+    counts = asof(targets, events, [Request("", one), *([Request("in_", one, keys=[exclude])] if exclude else [])], key, id_col, cutoff, time)
+    counted = targets.join(counts, id_col)
+    span = F.lit(n) + (F.col("in_seen_all").cast("int") if exclude else F.lit(0))
+    return last_events(counted, events, span, F.col("seen_all").cast("int"), columns, key, id_col, exclude).where(F.col("nth") <= n)

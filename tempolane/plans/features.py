@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempolane.operators.asof import asof_sums, recent
-from tempolane.sources.domain import DAY, HISTORY_FROM, Domain, eligible, history
+from tempolane.operators.asof import Request, asof, asof_sums, blocked_sums, last_events, name_of
+from tempolane.sources.domain import DAY, HISTORY_FROM, UNIT, Domain, eligible
 
 def performance_sums() -> dict[str, Column]:
-    """Sums from which the performance metrics come; rows are normal finishes."""
+    """Sums from which the performance metrics come, all of whole numbers; rows are normal finishes."""
     known = lambda c: F.col(c).isNotNull().cast("int")
     top = lambda n: (F.col("rank") <= n).cast("int")
-    some = lambda c: F.coalesce(c, F.lit(0.0))
-    return {"n": F.lit(1), "win": (F.col("rank") == 1).cast("int"), "top2": top(2), "top3": top(3), "rank_sum": F.col("rank"), "fin_n": known("finish_pct"), "fin_sum": some("finish_pct"), "res_n": known("residual"), "res_sum": some("residual")}
+    some = lambda c: F.coalesce(c, F.lit(0))
+    finish = {"fin_n": known("fin_u"), "fin_sum": some("fin_u"), "res_n": known("res_u"), "res_sum": some("res_u")}
+    return {"n": F.lit(1), "win": top(1), "top2": top(2), "top3": top(3), "rank_sum": F.col("rank")} | finish
 
 
-RATES = {"win_rate": ("win", "n"), "top2_rate": ("top2", "n"), "top3_rate": ("top3", "n"), "mean_rank": ("rank_sum", "n"), "mean_finish": ("fin_sum", "fin_n"), "mean_residual": ("res_sum", "res_n")}
+#: Metric: sum, count and unit.
+RATES = {"win_rate": ("win", "n", 1), "top2_rate": ("top2", "n", 1), "top3_rate": ("top3", "n", 1), "mean_rank": ("rank_sum", "n", 1), "mean_finish": ("fin_sum", "fin_n", UNIT), "mean_residual": ("res_sum", "res_n", UNIT)}
 DELTAS = ("win_rate", "top2_rate", "top3_rate", "mean_finish", "mean_residual")
 CONTEXT_DAYS = (365, 730, 1095, 1825)
 
@@ -29,9 +32,9 @@ def safe_rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
-def r6(c: Column) -> Column:
-    """Six digits, the same for sums taken in another order: moved off the ties of short fractions, and no negative zero."""
-    return F.round(c.cast("double") + F.lit(3e-8), 6) + F.lit(0.0)
+def r9(c: Column) -> Column:
+    """Nine digits, half up, by plain arithmetic: the same in every engine for the same number."""
+    return F.floor(c.cast("double") * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
 
 
 def performance(df: DataFrame, prefix: str, window: object) -> dict[str, Column]:
@@ -39,11 +42,7 @@ def performance(df: DataFrame, prefix: str, window: object) -> dict[str, Column]
     w = "all" if window is None else window
     at = lambda n: F.coalesce(df[f"{prefix}{n}_{w}"], F.lit(0.0))
     out = {f"{prefix}sample_{w}": at("n").cast("long"), f"{prefix}residual_sample_{w}": at("res_n").cast("long")}
-    return out | {f"{prefix}{k}_{w}": safe_rate(at(a), at(b)) for k, (a, b) in RATES.items()}
-
-
-def context_reasons() -> Column:
-    return F.array().cast("array<string>")
+    return out | {f"{prefix}{k}_{w}": safe_rate(at(a), at(b)) / unit for k, (a, b, unit) in RATES.items()}
 
 
 def status_ladder(rules: Sequence[tuple[Column, str]], otherwise: str = "VALID") -> Column:
@@ -81,7 +80,7 @@ def group_relative(d: Domain) -> DataFrame:
     df = eligible(d.entries).withColumn("valid_score", F.when(good, F.col("score")))
     df = df.withColumns({"n": F.count("valid_score").over(race), "missing": F.count_if(F.col("score").isNull()).over(race), "invalid": F.count_if(F.col("score") <= 0).over(race), "mean": F.avg("valid_score").over(race), "max": F.max("valid_score").over(race), "sd": F.stddev_pop("valid_score").over(race)})
     own = F.col("valid_score")
-    df = df.withColumns({"score_rank": F.when(good, F.rank().over(by)), "dense": F.when(good, F.dense_rank().over(by))})
+    df = df.withColumns({"score_rank": F.when(good, F.rank().over(by)), "dense": F.when(good, F.dense_rank().over(race.orderBy(F.round("valid_score", 2).desc())))})
     mismatch, incomplete = F.col("actual") != F.col("entrants"), (F.col("missing") + F.col("invalid")) > 0
     no_player, no_cutoff = F.col("player_id").isNull(), F.col("cutoff").isNull()
     status = status_ladder([(F.col("score").isNull(), "MISSING_INPUT"), (F.col("score") <= 0, "INVALID_INPUT"), (mismatch | incomplete | no_player | no_cutoff, "PARTIAL")])
@@ -89,9 +88,9 @@ def group_relative(d: Domain) -> DataFrame:
     reasons = F.concat_ws(",", F.when(mismatch, "ENTRY_COUNT_MISMATCH"), F.when(no_player, "PLAYER_ID_UNRESOLVED"), F.when(no_cutoff, "INPUT_AS_OF_MISSING"), F.when(F.col("score").isNull(), "RACE_SCORE_MISSING"), F.when(F.col("score") <= 0, "RACE_SCORE_NON_POSITIVE_UNRESOLVED"), F.when(F.col("sd") == 0, "ZERO_VARIANCE"))
     return df.select(
         "race_id", "entry_id", "bike", F.col("n").alias("valid_count"), F.col("missing").alias("missing_count"), F.col("invalid").alias("invalid_count"), "score_rank", F.col("dense").alias("dense_rank"),
-        r6(F.when(good, F.when(F.col("n") > 1, (F.col("n") - F.col("score_rank")) / (F.col("n") - 1)).otherwise(1.0))).alias("strength_pct"),
-        r6(F.when(good, own - F.col("mean"))).alias("diff_mean"), r6(F.when(good, F.col("max") - own)).alias("gap_max"), r6(F.col("mean")).alias("race_mean"), r6(F.col("sd")).alias("race_sd"),
-        r6(F.when(good & (F.col("sd") > 0), (own - F.col("mean")) / F.col("sd"))).alias("z_score"),
+        r9(F.when(good, F.when(F.col("n") > 1, (F.col("n") - F.col("score_rank")) / (F.col("n") - 1)).otherwise(1.0))).alias("strength_pct"),
+        r9(F.when(good, own - F.col("mean"))).alias("diff_mean"), r9(F.when(good, F.col("max") - own)).alias("gap_max"), r9(F.col("mean")).alias("race_mean"), r9(F.col("sd")).alias("race_sd"),
+        r9(F.when(good & (F.col("sd") > 0), (own - F.col("mean")) / F.col("sd"))).alias("z_score"),
         status.alias("status"), verdict.alias("quality"), reasons.alias("reasons"), F.when(F.col("close_at").isNotNull(), "SALES_CLOSE").otherwise("SCHEDULED_START").alias("cutoff_source"), "cutoff",
     )
 
@@ -115,163 +114,278 @@ def group_structure(d: Domain) -> DataFrame:
     status = status_ladder([((u == 0) & (F.col("invalid_count") > 0), "INVALID_INPUT"), (u == 0, "MISSING_INPUT"), ((u == 1) | (F.col("actual") != F.col("entrants")) | (F.col("missing_count") + F.col("invalid_count") > 0), "PARTIAL")])
     mean_gap = F.when(F.size("gaps") > 0, F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x) / F.size("gaps"))
     return g.select(
-        "race_id", "usable_count", "missing_count", "invalid_count", r6(u / F.col("entrants")).alias("coverage"), *(r6(F.col(c)).alias(c) for c in ("mean", "lowest", "highest", "sd", "median", "q25", "q75", "mad")),
-        r6(F.col("q75") - F.col("q25")).alias("iqr"), r6(F.col("highest") - F.col("lowest")).alias("spread"), r6(F.when(F.col("mean") != 0, F.col("sd") / F.col("mean"))).alias("variation"),
-        *(r6(F.col(f"t{a}") - F.col(f"t{b}")).alias(f"gap_{a}_{b}") for a, b in ((1, 2), (1, 3), (2, 3), (3, 4))), F.when(u > 0, F.col("ties_at_top")).alias("ties_at_top"),
-        F.size("gaps").cast("long").alias("pair_count"), r6(mean_gap).alias("pair_gap_mean"), r6(F.array_max("gaps")).alias("pair_gap_max"), r6(F.array_min("gaps")).alias("pair_gap_min"), status.alias("status"), F.when(status == "VALID", "FULL").otherwise("PARTIAL").alias("quality"),
+        "race_id", "usable_count", "missing_count", "invalid_count", r9(u / F.col("entrants")).alias("coverage"), *(r9(F.col(c)).alias(c) for c in ("mean", "lowest", "highest", "sd", "median", "q25", "q75", "mad")),
+        r9(F.col("q75") - F.col("q25")).alias("iqr"), r9(F.col("highest") - F.col("lowest")).alias("spread"), r9(F.when(F.col("mean") != 0, F.col("sd") / F.col("mean"))).alias("variation"),
+        *(r9(F.col(f"t{a}") - F.col(f"t{b}")).alias(f"gap_{a}_{b}") for a, b in ((1, 2), (1, 3), (2, 3), (3, 4))), F.when(u > 0, F.col("ties_at_top")).alias("ties_at_top"),
+        F.size("gaps").cast("long").alias("pair_count"), r9(mean_gap).alias("pair_gap_mean"), r9(F.array_max("gaps")).alias("pair_gap_max"), r9(F.array_min("gaps")).alias("pair_gap_min"), status.alias("status"), F.when(status == "VALID", "FULL").otherwise("PARTIAL").alias("quality"),
     )
 
 
-def conditioned(d: Domain, match: str, days: Sequence[int | None] = CONTEXT_DAYS, missing: Column | None = None, exclude_meeting: bool = False) -> DataFrame:
+def missing_target(match: str) -> Column | None:
+    """When the target's own condition is unknown, by the column that is matched."""
+    return {"track_id": F.col("track_id").isNull(), "hour": F.col("start_at").isNull(), "stage": F.col("stage") == "UNKNOWN", "day_number": F.col("meeting_id").isNull() | F.col("day_number").isNull() | F.col("duration").isNull()}.get(match)
+
+
+def with_condition(df: DataFrame, match: str) -> DataFrame:
+    if match == "hour":
+        return df.withColumn("hour", local_hour())
+    return df.withColumn("stage", stage(F.col("race_type"))) if match == "stage" else df
+
+
+def conditioned(d: Domain, match: str, days: Sequence[int | None] = CONTEXT_DAYS, exclude_meeting: bool = False) -> DataFrame:
     """Performance of the player under the target's condition (column ``match``) against all conditions, and their difference.
 
-    exclude_meeting: events of the target's meeting don't count; their sums are taken off again.
+    exclude_meeting: events of the target's meeting don't count; their sums are taken off again. By meeting day there is also the
+    profile of final days, and a day outside the meeting is an invalid input.
     """
-    targets, events = d.entries, history(d.entries)
-    if match == "hour":
-        targets, events = (x.withColumn("hour", local_hour()) for x in (targets, events))
-    if match == "stage":
-        targets, events = (x.withColumn("stage", stage(F.col("race_type"))) for x in (targets, events))
-    targets, events = eligible(targets), events.where("normal")
-    out = targets
-    for prefix, keys in (("match_", ["player_id", match]), ("base_", ["player_id"])):
-        sums = asof_sums(targets, events, keys, performance_sums(), days, prefix=prefix)
-        if exclude_meeting:
-            inside = asof_sums(targets, events, [*keys, "meeting_id"], performance_sums(), days, prefix="in_")
-            names = [c for c in sums.columns if c != "entry_id"]
-            sums = sums.join(inside, "entry_id", "left").select("entry_id", *((F.col(c) - F.coalesce(F.col("in_" + c.removeprefix(prefix)), F.lit(0.0))).alias(c) for c in names))
-        out = out.join(sums, "entry_id", "left")
+    targets, events = with_condition(eligible(d.entries), match), with_condition(d.history.where("normal"), match)
+    sums, ever = performance_sums(), {"n": F.lit(1)}
+    requests = [Request("match_", sums, days, [match]), Request("base_", sums, days), Request("ever_", ever, [None], [match], highs={"last_at": F.col("start_at")})]
+    by_day = match == "day_number"
+    if by_day:
+        final = {k: F.when(F.col("day_number") == F.col("duration"), v) for k, v in sums.items()}
+        requests.append(Request("final_", final))
+    if exclude_meeting:
+        requests += [Request(f"in_{r.prefix}", r.sums, r.days, [*r.keys, "meeting_id"]) for r in requests]
+    out = targets.join(asof(targets, events, requests), "entry_id", "left")
+    if exclude_meeting:
+        taken = [c for c in out.columns if f"in_{c}" in out.columns]
+        out = out.withColumns({c: F.col(c) - F.col(f"in_{c}") for c in taken})
     shown: dict[str, Column] = {}
     for w in days:
-        name = "all" if w is None else w
+        name = name_of(w)
         m, b = performance(out, "match_", w), performance(out, "base_", w)
         shown |= {f"match_sample_{name}": m[f"match_sample_{name}"], f"base_sample_{name}": b[f"base_sample_{name}"]}
-        shown |= {k: r6(v) for k, v in m.items() if "mean_" in k}
-        shown |= {f"delta_{k}_{name}": r6(m[f"match_{k}_{name}"] - b[f"base_{k}_{name}"]) for k in DELTAS}
+        shown |= {k: r9(v) for k, v in m.items() if "mean_" in k}
+        shown |= {f"delta_{k}_{name}": r9(m[f"match_{k}_{name}"] - b[f"base_{k}_{name}"]) for k in DELTAS}
         if w is not None:
             shown[f"complete_{name}"] = F.col("cutoff") - w * DAY >= HISTORY_FROM
-    longest = "all" if None in days else max(days)
-    absent = F.col("player_id").isNull() if missing is None else F.col("player_id").isNull() | missing
-    ever = asof_sums(targets, events, ["player_id", match, *([] if not exclude_meeting else [])], {"ever": F.lit(1)}, [None]) if longest != "all" else None
-    if ever is not None:
-        out = out.join(ever, "entry_id", "left")
-        none = F.coalesce(F.col("ever_all"), F.lit(0.0)) == 0
-    else:
-        none = shown["match_sample_all"] == 0
-    status = status_ladder([(absent, "MISSING_INPUT"), (none, "NO_HISTORY")])
-    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), status.alias("status"), quality(status, F.array()).alias("quality"))
+    if not exclude_meeting:
+        shown["days_since_match"] = r9((F.col("cutoff") - F.col("ever_last_at")) / DAY)
+    absent = F.col("player_id").isNull() | F.coalesce(missing_target(match), F.lit(False))
+    rules = [(absent, "MISSING_INPUT"), (F.coalesce("ever_n_all", F.lit(0.0)) == 0, "NO_HISTORY")]
+    reasons = F.array().cast("array<string>")
+    if match == "hour":
+        angle = F.pmod(F.col("start_at") + 9 * 3600, F.lit(DAY)) / DAY * (2 * math.pi)
+        shown |= {"minute_of_day": (F.pmod(F.col("start_at") + 9 * 3600, F.lit(DAY)) / 60).cast("int"), "time_sin": r9(F.sin(angle)), "time_cos": r9(F.cos(angle))}
+    if match == "stage":
+        reasons = F.when(F.col("stage") == "OTHER", F.array(F.lit("CURRENT_STAGE_OTHER"))).otherwise(reasons)
+    if by_day:
+        f = performance(out, "final_", None)
+        shown |= {"meeting_progress": r9(F.when(F.col("duration") > 1, (F.col("day_number") - 1) / (F.col("duration") - 1))), "is_final_day": F.col("day_number") == F.col("duration"), "final_sample": f["final_sample_all"], "final_win_rate": r9(f["final_win_rate_all"]), "final_mean_residual": r9(f["final_mean_residual_all"])}
+        rules.insert(1, ((F.col("day_number") < 1) | (F.col("day_number") > F.col("duration")), "INVALID_INPUT"))
+    status = status_ladder(rules)
+    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), status.alias("status"), quality(status, reasons).alias("quality"))
+
+
+def numbered_finishes(d: Domain) -> DataFrame:
+    """Normal finishes with their number per player and how many before and with each were of its kind (top three or not)."""
+    order = Window.partitionBy("player_id").orderBy("start_at", "race_id", "entry_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    df = d.history.where("normal AND player_id IS NOT NULL").withColumn("k", F.row_number().over(order)).withColumn("top3", F.col("rank") <= 3)
+    df = df.withColumns({"last_in": F.max(F.when(F.col("top3"), F.col("k"))).over(upto), "last_out": F.max(F.when(~F.col("top3"), F.col("k"))).over(upto)})
+    return df.withColumn("run", F.col("k") - F.coalesce(F.when(F.col("top3"), F.col("last_out")).otherwise(F.col("last_in")), F.lit(0)))
+
+
+def reach(n: int, *more: Column) -> Column:
+    """How many of the newest events hold the last ``n`` outside the target's meeting and all inside it."""
+    inside = F.coalesce("m_n_all", F.lit(0.0))
+    return F.greatest(n + inside, F.coalesce(F.col("a_n_all") - F.col("m_first") + 1, F.lit(0.0)), *more).cast("int")
+
+
+def history_reasons(any_history: Column, inside: Column, complete: Column) -> Column:
+    """Reasons of the features over a player's own history, in their fixed order."""
+    known = F.col("player_id").isNotNull()
+    return F.array_compact(F.array(
+        F.when(F.col("meeting_id").isNull(), "MEETING_CONTEXT_MISSING"),
+        F.when(known & (inside > 0), "IN_MEETING_RESULT_CONFIRMATION_NOT_RECONSTRUCTED"),
+        F.when(known & (any_history > 0) & ~complete, "HISTORY_WINDOW_INCOMPLETE"),
+    ))
+
+
+def history_status(any_history: Column, complete: Column) -> Column:
+    return status_ladder([(F.col("player_id").isNull(), "MISSING_INPUT"), (any_history == 0, "NO_HISTORY"), (~complete, "PARTIAL_HISTORY")])
+
+
+def verdict(any_history: Column, inside: Column, complete: Column) -> list[Column]:
+    """status, quality and reasons (comma-separated)."""
+    status, reasons = history_status(any_history, complete), history_reasons(any_history, inside, complete)
+    return [status.alias("status"), quality(status, reasons).alias("quality"), F.concat_ws(",", reasons).alias("reasons")]
+
+
+def day_complete(days: Sequence[int]) -> list[Column]:
+    return [F.col("cutoff") - w * DAY >= HISTORY_FROM for w in days]
+
+
+def every(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def recent_form(d: Domain, counts: Sequence[int] = (3, 5, 10, 20), days: Sequence[int] = (30, 60, 90, 180, 365)) -> DataFrame:
-    """Form before the meeting: last-N and day windows over normal finishes, short minus long, and inside the meeting."""
-    targets, events = eligible(d.entries), history(d.entries).where("normal")
-    last = recent(targets, events, "player_id", max(counts), ["rank", "finish_pct", "residual"], exclude="meeting_id")
-    per = {}
+    """Form before the meeting: last-N and day windows over normal finishes, short minus long, streaks, and inside the meeting."""
+    targets, events = eligible(d.entries), numbered_finishes(d)
+    every_event = d.history.join(events.select("entry_id", "k"), "entry_id", "left")
+    sums = {k: F.when(F.col("normal"), v) for k, v in performance_sums().items()}
+    # Every event of the meeting, whatever its result, tells that results inside the meeting were at hand.
+    requests = [Request("a_", sums, [*days, None]), Request("m_", sums | {"any": F.lit(1)}, [*days, None], ["meeting_id"], lows={"first": F.col("k")}), Request("e_", {"any": F.lit(1)})]
+    counted = targets.join(asof(targets, every_event, requests), "entry_id", "left")
+    # One event more than the windows need shows how long a streak was before them.
+    span = reach(max(counts))
+    last = last_events(counted.withColumn("_lo", F.col("a_n_all") - span + 1), events, span + 1, F.col("a_n_all").cast("int"), ["k", "rank", "fin_u", "res_u", "top3", "run"], exclude="meeting_id", carry=["_lo"])
+    inner = F.col("k") >= F.col("_lo")
+    per = {"m": F.count_if(inner), "first_in": F.min(F.when(inner & F.col("top3"), F.col("nth"))), "first_out": F.min(F.when(inner & ~F.col("top3"), F.col("nth")))}
+    per |= {"older_in": F.max(F.when(~inner & F.col("top3"), F.col("run"))), "older_out": F.max(F.when(~inner & ~F.col("top3"), F.col("run")))}
     for n in counts:
         inside = F.col("nth") <= n
         pick = lambda c, inside=inside: F.when(inside, c)
-        per |= {f"n_{n}": F.count(pick(F.lit(1))), f"win_{n}": F.avg(pick((F.col("rank") == 1).cast("double"))), f"top3_{n}": F.avg(pick((F.col("rank") <= 3).cast("double"))), f"finish_{n}": F.avg(pick(F.col("finish_pct"))), f"residual_{n}": F.avg(pick(F.col("residual")))}
-    rows = last.groupBy("entry_id").agg(*(v.alias(k) for k, v in per.items()))
-    base = asof_sums(targets, events, ["player_id"], performance_sums(), days, prefix="a_")
-    mine = asof_sums(targets, events, ["player_id", "meeting_id"], performance_sums(), [*days, None], prefix="m_")
-    out = targets.join(rows, "entry_id", "left").join(base, "entry_id", "left").join(mine, "entry_id", "left")
+        per |= {f"n_{n}": F.count(pick(F.lit(1))), f"win_{n}": F.avg(pick((F.col("rank") == 1).cast("double"))), f"top3_{n}": F.avg(pick((F.col("rank") <= 3).cast("double")))}
+        per |= {f"finish_{n}": F.avg(pick(F.col("fin_u"))) / UNIT, f"residual_{n}": F.avg(pick(F.col("res_u"))) / UNIT}
+    out = counted.join(last.groupBy("entry_id").agg(*(v.alias(k) for k, v in per.items())), "entry_id", "left")
     left = lambda n, w: F.coalesce(out[f"a_{n}_{w}"], F.lit(0.0)) - F.coalesce(out[f"m_{n}_{w}"], F.lit(0.0))
     shown: dict[str, Column] = {}
     for n in counts:
-        shown |= {f"sample_{n}": F.coalesce(F.col(f"n_{n}"), F.lit(0)), f"complete_{n}": F.coalesce(F.col(f"n_{n}"), F.lit(0)) >= n} | {f"{k}_last_{n}": r6(F.col(f"{k}_{n}")) for k in ("win", "top3", "finish", "residual")}
+        shown |= {f"sample_{n}": F.coalesce(F.col(f"n_{n}"), F.lit(0)), f"complete_{n}": F.coalesce(F.col(f"n_{n}"), F.lit(0)) >= n}
+        shown |= {f"{k}_last_{n}": r9(F.col(f"{k}_{n}")) for k in ("win", "top3", "finish", "residual")}
     for w in days:
-        shown |= {f"sample_{w}d": left("n", w).cast("long"), f"finish_{w}d": r6(safe_rate(left("fin_sum", w), left("fin_n", w))), f"residual_{w}d": r6(safe_rate(left("res_sum", w), left("res_n", w))), f"top3_{w}d": r6(safe_rate(left("top3", w), left("n", w)))}
-    shown |= {"finish_3_minus_10": r6(F.col("finish_3") - F.col("finish_10")), "residual_3_minus_10": r6(F.col("residual_3") - F.col("residual_10")), "residual_5_minus_20": r6(F.col("residual_5") - F.col("residual_20"))}
-    shown |= {"meeting_sample": F.coalesce(F.col("m_n_all"), F.lit(0.0)).cast("long"), "meeting_top3": r6(safe_rate(F.col("m_top3_all"), F.col("m_n_all"))), "meeting_finish": r6(safe_rate(F.col("m_fin_sum_all"), F.col("m_fin_n_all")))}
-    complete = reduce(lambda a, b: a & b, [shown[f"complete_{n}"] for n in counts] + [F.col("cutoff") - w * DAY >= HISTORY_FROM for w in days])
-    any_history = asof_sums(targets, history(d.entries), ["player_id"], {"any": F.lit(1)}, [None])
-    out = out.join(any_history, "entry_id", "left")
-    reasons = F.array_compact(F.array(F.when(F.col("player_id").isNotNull() & (F.coalesce(F.col("any_all"), F.lit(0.0)) > 0) & ~complete, "HISTORY_WINDOW_INCOMPLETE")))
-    status = status_ladder([(F.col("player_id").isNull(), "MISSING_INPUT"), (F.coalesce(F.col("any_all"), F.lit(0.0)) == 0, "NO_HISTORY"), (~complete, "PARTIAL_HISTORY")])
-    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), status.alias("status"), quality(status, reasons).alias("quality"))
+        shown |= {f"sample_{w}d": left("n", w).cast("long"), f"finish_{w}d": r9(safe_rate(left("fin_sum", w), left("fin_n", w)) / UNIT)}
+        shown |= {f"residual_{w}d": r9(safe_rate(left("res_sum", w), left("res_n", w)) / UNIT), f"top3_{w}d": r9(safe_rate(left("top3", w), left("n", w)))}
+    shown |= {f"{k}_{a}_minus_{b}": r9(F.col(f"{k}_{a}") - F.col(f"{k}_{b}")) for k in ("finish", "residual") for a, b in ((3, 10), (5, 20))}
+    for own, first, other, older in (("top3", "first_in", "first_out", "older_in"), ("outside_top3", "first_out", "first_in", "older_out")):
+        run = F.coalesce(F.col(other) - 1, F.col("m") + F.coalesce(older, F.lit(0)))
+        shown[f"{own}_streak"] = F.coalesce(F.when(F.col(first) == 1, run), F.lit(0)).cast("long")
+    shown |= {"meeting_sample": F.coalesce(F.col("m_n_all"), F.lit(0.0)).cast("long"), "meeting_top3": r9(safe_rate(F.col("m_top3_all"), F.col("m_n_all"))), "meeting_finish": r9(safe_rate(F.col("m_fin_sum_all"), F.col("m_fin_n_all")) / UNIT)}
+    complete = every([shown[f"complete_{n}"] for n in counts] + day_complete(days))
+    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), *verdict(F.coalesce("e_any_all", F.lit(0.0)), F.coalesce("m_any_all", F.lit(0.0)), complete))
 
 
 def abnormal_rates(d: Domain, counts: Sequence[int] = (3, 5, 10), days: Sequence[int] = (30, 90, 180)) -> DataFrame:
-    """Rates of abnormal results over the last started events and over day windows, and how long ago the last one was."""
-    targets, events = eligible(d.entries), history(d.entries)
-    started = events.where("started")
-    last = recent(targets, started, "player_id", max(counts), ["abnormal", "state"])
-    per = {f"s_{n}": F.count_if(F.col("nth") <= n) for n in counts} | {f"a_{n}": F.count_if((F.col("nth") <= n) & F.col("abnormal")) for n in counts}
-    rows = last.groupBy("entry_id").agg(*(v.alias(k) for k, v in per.items()))
-    sums = {"st": F.col("started").cast("int"), "ab": F.col("abnormal").cast("int"), "dns": (F.col("state") == "DID_NOT_START").cast("int"), "dq": (F.col("state") == "DISQUALIFIED").cast("int"), "fall": (F.col("state") == "FALL_DNF").cast("int"), "ev": F.lit(1)}
-    base = asof_sums(targets, events, ["player_id"], sums, [*days, None], prefix="w_")
-    # Recency: the last abnormal start, and how many starts and abnormal starts there were up to it.
+    """Rates of abnormal results over the last started events and over day windows, and how long ago the last one was.
+
+    The last N started events are a difference of running counts: the count at the newest one less the count N before it.
+    """
+    targets = eligible(d.entries)
     order = Window.partitionBy("player_id").orderBy("start_at", "race_id", "entry_id")
-    numbered = started.where("player_id IS NOT NULL").withColumn("k", F.row_number().over(order))
-    numbered = numbered.withColumn("last_normal_k", F.max(F.when(~F.col("abnormal"), F.col("k"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    numbered = numbered.withColumns({"last_bad_k": F.max(F.when(F.col("abnormal"), F.col("k"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), "last_bad_at": F.max(F.when(F.col("abnormal"), F.col("start_at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    newest = recent(targets, numbered, "player_id", 1, ["k", "last_normal_k", "last_bad_k", "last_bad_at"]).drop("nth")
-    out = targets.join(rows, "entry_id", "left").join(base, "entry_id", "left").join(newest, "entry_id", "left")
+    started = d.history.where("started AND player_id IS NOT NULL")
+    started = started.withColumns({"k": F.row_number().over(order), "bad": F.sum(F.col("abnormal").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    events = d.history.join(started.select("entry_id", "k", "bad"), "entry_id", "left")
+    sums = {"st": F.col("started").cast("int"), "ab": F.col("abnormal").cast("int"), "dns": (F.col("state") == "DID_NOT_START").cast("int"), "dq": (F.col("state") == "DISQUALIFIED").cast("int"), "fall": (F.col("state") == "FALL_DNF").cast("int"), "ev": F.lit(1)}
+    highs = {"bad_at": F.when(F.col("abnormal"), F.col("start_at")), "bad_k": F.when(F.col("abnormal"), F.col("k")), "good_k": F.when(F.col("normal"), F.col("k"))}
+    counted = targets.join(asof(targets, events, [Request("w_", sums, [*days, None], highs=highs), Request("in_", {"ev": F.lit(1)}, keys=["meeting_id"])]), "entry_id", "left")
+    total = F.coalesce("w_st_all", F.lit(0.0))
+    asked = counted.where(total > 0).select("entry_id", "player_id", F.explode(F.array(*map(F.lit, counts))).alias("n"), total.alias("total")).withColumn("k", (F.col("total") - F.col("n")).cast("int")).where("k > 0")
+    before = asked.join(started.select("player_id", "k", "bad"), ["player_id", "k"]).groupBy("entry_id").agg(*(F.max(F.when(F.col("n") == n, F.col("bad"))).alias(f"bad_{n}") for n in counts))
+    out = counted.join(before, "entry_id", "left")
     shown: dict[str, Column] = {}
     for n in counts:
-        shown |= {f"started_last_{n}": F.coalesce(f"s_{n}", F.lit(0)), f"abnormal_last_{n}": r6(safe_rate(F.col(f"a_{n}"), F.col(f"s_{n}")))}
+        have = F.least(total, F.lit(n))
+        shown |= {f"started_last_{n}": have.cast("long"), f"abnormal_last_{n}": r9(safe_rate(F.col("w_ab_all") - F.coalesce(f"bad_{n}", F.lit(0)), have))}
     for w in [*days, "all"]:
         at = lambda c, w=w: F.coalesce(F.col(f"w_{c}_{w}"), F.lit(0.0))
-        shown |= {f"started_{w}": at("st").cast("long"), f"dns_{w}": at("dns").cast("long"), f"abnormal_rate_{w}": r6(safe_rate(at("ab"), at("st"))), f"dq_rate_{w}": r6(safe_rate(at("dq"), at("st"))), f"fall_rate_{w}": r6(safe_rate(at("fall"), at("st")))}
-    shown |= {"days_since": r6((F.col("cutoff") - F.col("last_bad_at")) / DAY), "started_since": (F.col("k") - F.col("last_bad_k")).cast("long"), "streak": F.coalesce(F.col("k") - F.coalesce("last_normal_k", F.lit(0)), F.lit(0)).cast("long")}
-    complete = reduce(lambda a, b: a & b, [F.coalesce(f"s_{n}", F.lit(0)) >= n for n in counts] + [F.col("cutoff") - w * DAY >= HISTORY_FROM for w in days])
-    status = status_ladder([(F.col("player_id").isNull(), "MISSING_INPUT"), (F.coalesce("w_ev_all", F.lit(0.0)) == 0, "NO_HISTORY"), (~complete, "PARTIAL_HISTORY")])
-    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), status.alias("status"))
+        shown |= {f"started_{w}": at("st").cast("long"), f"dns_{w}": at("dns").cast("long"), f"abnormal_rate_{w}": r9(safe_rate(at("ab"), at("st"))), f"dq_rate_{w}": r9(safe_rate(at("dq"), at("st"))), f"fall_rate_{w}": r9(safe_rate(at("fall"), at("st")))}
+    shown |= {"days_since": r9((F.col("cutoff") - F.col("w_bad_at")) / DAY), "started_since": (total - F.col("w_bad_k")).cast("long"), "streak": (total - F.coalesce("w_good_k", F.lit(0.0))).cast("long")}
+    complete = every([total >= n for n in counts] + day_complete(days))
+    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), *verdict(F.coalesce("w_ev_all", F.lit(0.0)), F.coalesce("in_ev_all", F.lit(0.0)), complete))
 
 
-def volatility(d: Domain, counts: Sequence[int] = (3, 5, 10, 20, 30)) -> DataFrame:
-    """Spread of finish percentile and residual over the last normal finishes before the meeting, upside and downside, switches."""
-    targets, events = eligible(d.entries), history(d.entries).where("normal")
-    last = recent(targets, events, "player_id", max(counts), ["rank", "finish_pct", "residual"], exclude="meeting_id")
-    newer = F.lag((F.col("rank") <= 3)).over(Window.partitionBy("entry_id").orderBy("nth"))
-    last = last.withColumn("switch", ((F.col("rank") <= 3) != newer).cast("int"))
-    rows = last.withColumn("w", F.explode(F.filter(F.array(*map(F.lit, counts)), lambda n: n >= F.col("nth"))))
-    key = ["entry_id", "w"]
-    quarter = lambda c, p: F.percentile(c, F.lit(p))
-    r = F.col("residual")
-    first = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("sample"), F.coalesce(F.sum("switch"), F.lit(0)).alias("switches"), F.avg((r > 0).cast("int")).alias("up_rate"), F.avg(F.when(r < 0, r)).alias("down_mean"), F.avg(F.when(r > 0, r)).alias("up_mean"),
-        *(x for k, c in (("finish", "finish_pct"), ("residual", "residual")) for x in (F.stddev_pop(c).alias(f"{k}_sd"), (quarter(c, 0.75) - quarter(c, 0.25)).alias(f"{k}_iqr"), F.median(c).alias(f"{k}_median"))),
-    )
-    # The deviation from the median needs the median first.
-    second = rows.join(first.select(*key, "finish_median", "residual_median"), key).groupBy(*key).agg(*(F.median(F.abs(F.col(c) - F.col(f"{k}_median"))).alias(f"{k}_mad") for k, c in (("finish", "finish_pct"), ("residual", "residual"))))
-    facts = first.join(second, key)
-    counted, rounded = ("sample", "switches"), ("up_rate", "down_mean", "up_mean", *(f"{k}_{m}" for k in ("finish", "residual") for m in ("sd", "mad", "iqr")))
-    wide = facts.groupBy("entry_id").agg(*(F.max(F.when(F.col("w") == n, F.col(c))).alias(f"{c}_{n}") for n in counts for c in (*counted, *rounded)))
-    out = targets.select("entry_id").join(wide, "entry_id", "left")
-    return out.select("entry_id", *(F.coalesce(f"{c}_{n}", F.lit(0)).cast("long").alias(f"{c}_{n}") for n in counts for c in counted), *(r6(F.col(f"{c}_{n}")).alias(f"{c}_{n}") for n in counts for c in rounded))
+def mean_of(values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+
+
+def quantile_of(ordered: Column, p: float) -> Column:
+    """Linear on (n - 1) p, of an ordered array."""
+    at = (F.size(ordered) - 1) * F.lit(p)
+    low = F.get(ordered, F.floor(at).cast("int"))
+    return F.when(F.size(ordered) > 0, low + (F.get(ordered, F.ceil(at).cast("int")) - low) * (at - F.floor(at)))
+
+
+def flips(rows: Column, field: str) -> Column:
+    """How many rows differ in ``field`` from the row before."""
+    return F.size(F.filter(F.transform(rows, lambda x, i: (i > 0) & (x[field] != F.get(rows, F.greatest(i - 1, F.lit(0)))[field])), lambda x: x))
+
+
+def mean_power(values: Column, centre: Column) -> Column:
+    """Mean squared distance from the centre."""
+    return mean_of(F.transform(values, lambda x: (x - centre) * (x - centre)))
+
+
+def distances(values: Column, centre: Column) -> Column:
+    return F.array_sort(F.transform(values, lambda x: F.abs(x - centre)))
+
+
+def not_after(field: str, limit: Column | int):
+    """Condition on an array's elements."""
+    return lambda x: x[field] <= limit
+
+
+def since(field: str, border: Column):
+    return lambda x: x[field] >= border
+
+
+def volatility(d: Domain, counts: Sequence[int] = (3, 5, 10, 20, 30), days: Sequence[int] = (60, 90, 180, 365)) -> DataFrame:
+    """Spread of finish percentile and residual over the last normal finishes before the meeting, upside and downside, switches.
+
+    A target's finishes are one short array (the last thirty and those of a year), from which all windows are taken.
+    """
+    targets, events = eligible(d.entries), numbered_finishes(d)
+    every_event = d.history.join(events.select("entry_id", "k"), "entry_id", "left")
+    normal = {"n": F.col("normal").cast("int")}
+    requests = [Request("a_", normal, [max(days), None]), Request("m_", normal | {"any": F.lit(1)}, [None], ["meeting_id"], lows={"first": F.col("k")}), Request("e_", {"any": F.lit(1)})]
+    counted = targets.join(asof(targets, every_event, requests), "entry_id", "left")
+    last = last_events(counted, events, reach(max(counts), F.col(f"a_n_{max(days)}")), F.col("a_n_all").cast("int"), ["start_at", "top3", "finish_pct", "residual", "res_u"], exclude="meeting_id", carry=["cutoff"])
+    row = F.struct("nth", (F.col("cutoff") - F.col("start_at")).alias("age"), "top3", "finish_pct", "residual", "res_u")
+    out = counted.join(last.groupBy("entry_id").agg(F.array_sort(F.collect_list(row)).alias("rows")), "entry_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast(last.select(F.array(row)).dtypes[0][1])))
+    windows = {str(n): not_after("nth", n) for n in counts} | {f"{w}d": not_after("age", w * DAY) for w in days}
+    # A row for each target and window, so that every measure is one expression.
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("w"), F.filter("rows", f).alias("rows")) for k, f in windows.items())))
+    long = out.select("entry_id", each.alias("x")).select("entry_id", "x.w", "x.rows")
+    known = lambda c: F.array_sort(F.filter(F.transform("rows", lambda x: x[c]), lambda x: x.isNotNull()))
+    long = long.withColumns({"finish": known("finish_pct"), "residual": known("residual"), "units": F.transform(F.filter("rows", lambda x: x["res_u"].isNotNull()), lambda x: x["res_u"].cast("double"))})
+    # Centres are columns of their own: inside a lambda they would be computed for each element.
+    long = long.withColumns({f"{c}_{k}": v for c in ("finish", "residual") for k, v in (("mean", mean_of(F.col(c))), ("median", quantile_of(F.col(c), 0.5)))})
+    up, down, r = F.filter("units", lambda x: x > 0), F.filter("units", lambda x: x < 0), F.size("residual")
+    measures = {"sample": F.size("rows").cast("long"), "switches": flips(F.col("rows"), "top3").cast("long"), "up_rate": r9(F.when(r > 0, F.size(up) / r)), "up_mean": r9(mean_of(up) / UNIT), "down_mean": r9(mean_of(down) / UNIT)}
+    for name in ("finish", "residual"):
+        values = F.col(name)
+        measures |= {f"{name}_sd": r9(F.sqrt(mean_power(values, F.col(f"{name}_mean")))), f"{name}_mad": r9(quantile_of(distances(values, F.col(f"{name}_median")), 0.5)), f"{name}_iqr": r9(quantile_of(values, 0.75) - quantile_of(values, 0.25))}
+    measured = long.select("entry_id", "w", *(v.alias(k) for k, v in measures.items()))
+    wide = measured.groupBy("entry_id").agg(*(F.max(F.when(F.col("w") == k, F.col(m))).alias(f"{m}_{k}") for k in windows for m in measures))
+    out = out.drop("rows").join(wide, "entry_id")
+    shown = {f"{m}_{k}": F.col(f"{m}_{k}") for k in windows for m in measures}
+    complete = every([shown[f"sample_{n}"] >= n for n in counts] + day_complete(days))
+    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), *verdict(F.coalesce("e_any_all", F.lit(0.0)), F.coalesce("m_any_all", F.lit(0.0)), complete))
 
 
 def rest_gaps(d: Domain) -> DataFrame:
     """Days since the previous event of each kind, and where the current gap stands among the gaps before the meeting.
 
     Gaps run between started events before the target's meeting; a player's career is one row's array, as the rank of one gap
-    among all earlier ones needs them all.
+    among all earlier ones needs them all. Where the meeting is unknown, all events are before it.
     """
-    targets, events = eligible(d.entries), history(d.entries)
+    targets, events = eligible(d.entries), d.history
     started = events.where("started AND player_id IS NOT NULL")
     career = started.groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("start_at", "race_id", "entry_id", "meeting_id", "normal", "abnormal"))).alias("career"))
     out = targets.select("entry_id", "player_id", "cutoff", "start_at", "meeting_id").join(career, "player_id", "left")
+    any_history = asof_sums(targets, events, ["player_id"], {"any": F.lit(1)}, [None])
+    out = out.join(any_history, "entry_id", "left")
     past = F.filter("career", lambda e: e["start_at"] < F.col("cutoff"))
-    out = out.withColumn("past", past).withColumn("pre", F.transform(F.filter("past", lambda e: e["meeting_id"] != F.col("meeting_id")), lambda e: e["start_at"]))
-    out = out.withColumn("gaps", F.zip_with(F.slice("pre", 2, 1000000), F.expr("slice(pre, 1, greatest(size(pre) - 1, 0))"), lambda a, b: (a - b) / F.lit(float(DAY))))
+    before = lambda e: e["meeting_id"].isNull() | F.col("meeting_id").isNull() | (e["meeting_id"] != F.col("meeting_id"))
+    out = out.withColumn("past", past).withColumn("pre", F.transform(F.filter("past", before), lambda e: e["start_at"]))
+    fewer = F.greatest(F.size("pre") - 1, F.lit(0))
+    out = out.withColumn("gaps", F.zip_with(F.slice("pre", F.lit(2), fewer), F.slice("pre", F.lit(1), fewer), lambda a, b: (a - b) / F.lit(float(DAY))))
     newest = lambda arr: F.get(arr, F.size(arr) - 1)
-    since = lambda t: (F.col("start_at") - t) / DAY
-    gap = since(newest(F.col("pre")))
-    srt = F.array_sort("gaps")
-
-    def quantile(p: float) -> Column:
-        at = (F.size("gaps") - 1) * F.lit(p)
-        low = F.get(srt, F.floor(at).cast("int"))
-        return F.when(F.size("gaps") > 0, low + (F.get(srt, F.ceil(at).cast("int")) - low) * (at - F.floor(at)))
-
+    age = lambda t: (F.col("start_at") - t) / DAY
+    gap = age(newest(F.col("pre")))
+    out = out.withColumn("ordered", F.array_sort("gaps"))
     at_of = lambda cond: newest(F.transform(F.filter("past", cond), lambda e: e["start_at"]))
-    n = F.coalesce(F.size("gaps"), F.lit(0))
+    n = F.greatest(F.coalesce(F.size("gaps"), F.lit(0)), F.lit(0))
+    q = lambda p: quantile_of(F.col("ordered"), p)
+    inside = age(at_of(lambda e: e["meeting_id"] == F.col("meeting_id")))
+    status = verdict(F.coalesce("any_all", F.lit(0.0)), inside.isNotNull().cast("int"), n > 0)
     return out.select(
-        "entry_id", r6(since(at_of(lambda e: F.lit(True)))).alias("gap_started"), r6(since(at_of(lambda e: e["normal"]))).alias("gap_normal"), r6(since(at_of(lambda e: e["abnormal"]))).alias("gap_abnormal"), r6(gap).alias("gap_pre"),
-        r6(since(at_of(lambda e: e["meeting_id"] == F.col("meeting_id")))).alias("gap_in_meeting"), F.greatest(n, F.lit(0)).cast("long").alias("gap_sample"), r6(F.when(n > 0, F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x) / n)).alias("gap_mean"),
-        r6(quantile(0.5)).alias("gap_median"), r6(quantile(0.25)).alias("gap_q25"), r6(quantile(0.75)).alias("gap_q75"), r6(gap - quantile(0.5)).alias("gap_minus_median"),
-        r6(F.when(n > 0, F.size(F.filter("gaps", lambda x: x <= gap)) / n)).alias("gap_percentile"),
+        "entry_id", r9(age(at_of(lambda e: F.lit(True)))).alias("gap_started"), r9(age(at_of(lambda e: e["normal"]))).alias("gap_normal"), r9(age(at_of(lambda e: e["abnormal"]))).alias("gap_abnormal"),
+        r9(gap).alias("gap_pre"), r9(inside).alias("gap_in_meeting"), n.cast("long").alias("gap_sample"), r9(F.when(n > 0, mean_of(F.col("gaps")))).alias("gap_mean"),
+        r9(q(0.5)).alias("gap_median"), r9(q(0.25)).alias("gap_q25"), r9(q(0.75)).alias("gap_q75"), r9(gap - q(0.5)).alias("gap_minus_median"),
+        r9(F.when(n > 0, F.size(F.filter("gaps", lambda x: x <= gap)) / n)).alias("gap_percentile"), *status,
     )
 
 
@@ -279,50 +393,60 @@ def schedule_load(d: Domain, days: Sequence[int] = (7, 14, 21, 30, 45, 60)) -> D
     """Starts, meetings, active days, track changes and longest run of active days in the windows before the cutoff.
 
     Only events inside the longest window meet a target: both sides are cut into blocks of that length and a target looks into
-    its own block and the one before.
+    its own block and the one before. What it finds is one short array, from which all windows are taken.
     """
     longest = max(days) * DAY
-    targets = eligible(d.entries).select("entry_id", "player_id", "cutoff")
-    events = history(d.entries).where("started AND player_id IS NOT NULL").select("player_id", "start_at", "race_id", F.col("entry_id").alias("event_id"), "meeting_id", "track_id", F.floor(F.col("start_at") / longest).alias("block"))
+    all_targets = eligible(d.entries)
+    targets = all_targets.select("entry_id", "player_id", "cutoff")
+    events = d.history.where("started AND player_id IS NOT NULL").select("player_id", "start_at", "race_id", F.col("entry_id").alias("event_id"), "meeting_id", "track_id", F.floor(F.col("start_at") / longest).alias("block"))
     looked = targets.withColumn("block", F.explode(F.array(F.floor(F.col("cutoff") / longest), F.floor(F.col("cutoff") / longest) - 1)))
     met = looked.join(events, ["player_id", "block"]).where((F.col("start_at") < F.col("cutoff")) & (F.col("start_at") >= F.col("cutoff") - longest))
-    own = Window.partitionBy("entry_id").orderBy("start_at", "race_id", "event_id")
-    met = met.withColumn("before_at", F.lag("start_at").over(own)).withColumn("changed", (F.lag("track_id").over(own) != F.col("track_id")).cast("int")).withColumn("day", F.floor(F.col("start_at") / DAY))
-    per: dict[str, Column] = {}
-    for w in days:
-        inside = F.col("start_at") >= F.col("cutoff") - w * DAY
-        both = F.col("before_at") >= F.col("cutoff") - w * DAY
-        per |= {f"started_{w}": F.count_if(inside), f"meetings_{w}": F.countDistinct(F.when(inside, F.col("meeting_id"))), f"days_{w}": F.array_sort(F.collect_set(F.when(inside, F.col("day")))), f"changes_{w}": F.sum(F.when(both, F.col("changed")))}
-    rows = met.groupBy("entry_id").agg(*(v.alias(k) for k, v in per.items()))
-    out = targets.select("entry_id").join(rows, "entry_id", "left")
+    row = F.struct("start_at", "race_id", "event_id", "meeting_id", "track_id", F.floor(F.col("start_at") / DAY).alias("day"))
+    history = asof(all_targets, d.history, [Request("e_", {"any": F.lit(1)}), Request("m_", {"any": F.lit(1)}, keys=["meeting_id"])])
+    out = all_targets.join(met.groupBy("entry_id").agg(F.array_sort(F.collect_list(row)).alias("rows")), "entry_id", "left").join(history, "entry_id", "left")
+    out = out.withColumns({f"w_{w}": F.filter("rows", since("start_at", F.col("cutoff") - w * DAY)) for w in days})
+    out = out.withColumns({f"d_{w}": F.array_distinct(F.transform(f"w_{w}", lambda x: x["day"])) for w in days})
+    size = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0))
+    zero = F.struct(F.lit(0).alias("best"), F.lit(0).alias("now"), F.lit(-9).cast("long").alias("last"))
+
+    def step(a, x):
+        now = F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1)
+        return F.struct(F.greatest(a["best"], now).alias("best"), now.alias("now"), x.alias("last"))
+
     shown: dict[str, Column] = {}
     for w in days:
-        active = F.coalesce(F.size(f"days_{w}"), F.lit(0))
-        active = F.when(F.col(f"days_{w}").isNull(), 0).otherwise(F.size(f"days_{w}"))
-        run = F.aggregate(f"days_{w}", F.struct(F.lit(0).alias("best"), F.lit(0).alias("now"), F.lit(-9).cast("long").alias("last")), lambda a, x: F.struct(F.greatest(a["best"], F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1)).alias("best"), F.when(x == a["last"] + 1, a["now"] + 1).otherwise(1).alias("now"), x.alias("last")), lambda a: a["best"])
-        shown |= {f"started_{w}": F.coalesce(f"started_{w}", F.lit(0)).cast("long"), f"meetings_{w}": F.coalesce(f"meetings_{w}", F.lit(0)).cast("long"), f"active_days_{w}": active.cast("long"), f"idle_days_{w}": (w - active).cast("long"), f"starts_per_day_{w}": r6(safe_rate(F.col(f"started_{w}"), active)), f"track_changes_{w}": F.coalesce(f"changes_{w}", F.lit(0)).cast("long"), f"longest_run_{w}": F.coalesce(run, F.lit(0)).cast("long")}
-    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()))
+        rows, active = F.col(f"w_{w}"), size(F.col(f"d_{w}"))
+        unknown = F.filter(rows, lambda x: x["track_id"].isNull())
+        run = F.aggregate(f"d_{w}", zero, step, lambda a: a["best"])
+        shown |= {f"started_{w}": size(rows).cast("long"), f"meetings_{w}": size(F.array_distinct(F.transform(rows, lambda x: x["meeting_id"]))).cast("long"), f"active_days_{w}": active.cast("long"), f"idle_days_{w}": (w - active).cast("long")}
+        shown |= {f"starts_per_day_{w}": r9(safe_rate(size(rows), active)), f"track_changes_{w}": F.coalesce(F.when(rows.isNotNull(), flips(rows, "track_id")), F.lit(0)).cast("long"), f"missing_track_{w}": size(unknown).cast("long"), f"longest_run_{w}": F.coalesce(run, F.lit(0)).cast("long")}
+    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), *verdict(F.coalesce("e_any_all", F.lit(0.0)), F.coalesce("m_any_all", F.lit(0.0)), every(day_complete(days))))
 
 
 def head_to_head(d: Domain) -> DataFrame:
+    """The published columns of :func:`pair_history`."""
+    return pair_history(d).drop("_rank_diff", "_pct_diff", "_res_diff")
+
+
+def pair_history(d: Domain) -> DataFrame:
     """For each target and co-entrant: their earlier races together, who was ahead, and mean differences, seen from the target.
 
     Pair events are made once per confirmed race for unordered pairs of different players that stand once in it (five to nine
     entrants, so few pairs a race) and are summed as-of the target's cutoff per pair.
     """
     once = lambda df: df.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("race_id", "player_id"))).where("player_id IS NOT NULL AND _k = 1")
-    columns = ("race_id", "player_id", "start_at", "normal", "rank", "finish_pct", "residual")
-    past = once(history(d.entries)).select(*columns)
+    columns = ("race_id", "player_id", "start_at", "normal", "rank", "fin_u", "res_u")
+    past = once(d.history).select(*columns)
     a, b = (past.select(F.col("race_id"), *(F.col(c).alias(f"{x}_{c}") for c in columns[1:])) for x in "ab")
     both = F.col("a_normal") & F.col("b_normal")
     events = a.join(b, "race_id").where("a_player_id < b_player_id").select(
         F.col("a_player_id").alias("p"), F.col("b_player_id").alias("q"), F.col("a_start_at").alias("start_at"), both.cast("int").alias("normal"), (both & (F.col("a_rank") < F.col("b_rank"))).cast("int").alias("p_ahead"), (both & (F.col("a_rank") > F.col("b_rank"))).cast("int").alias("q_ahead"),
-        F.when(both, F.col("b_rank") - F.col("a_rank")).alias("rank_diff"), F.when(both, F.col("a_finish_pct") - F.col("b_finish_pct")).alias("pct_diff"), F.when(both, F.col("a_residual") - F.col("b_residual")).alias("res_diff"),
+        F.when(both, F.col("b_rank") - F.col("a_rank")).alias("rank_diff"), F.when(both, F.col("a_fin_u") - F.col("b_fin_u")).alias("pct_diff"), F.when(both, F.col("a_res_u") - F.col("b_res_u")).alias("res_diff"),
     )
     now = once(eligible(d.entries)).select("race_id", "entry_id", "player_id", "cutoff")
     other = now.select("race_id", F.col("player_id").alias("other_id"))
     target = now.join(other, "race_id").where("player_id <> other_id").withColumn("p", F.least("player_id", "other_id")).withColumn("q", F.greatest("player_id", "other_id")).withColumn("pair_row", F.concat_ws(":", "entry_id", "other_id"))
-    sums = {"direct": F.lit(1), "normal": F.col("normal"), "p_ahead": F.col("p_ahead"), "q_ahead": F.col("q_ahead"), "rank_diff": F.coalesce("rank_diff", F.lit(0)), "pct_diff": F.coalesce("pct_diff", F.lit(0.0)), "res_n": F.col("res_diff").isNotNull().cast("int"), "res_diff": F.coalesce("res_diff", F.lit(0.0))}
+    sums = {"direct": F.lit(1), "normal": F.col("normal"), "p_ahead": F.col("p_ahead"), "q_ahead": F.col("q_ahead"), "rank_diff": F.coalesce("rank_diff", F.lit(0)), "pct_diff": F.coalesce("pct_diff", F.lit(0)), "res_n": F.col("res_diff").isNotNull().cast("int"), "res_diff": F.coalesce("res_diff", F.lit(0))}
     known = target.withColumnRenamed("entry_id", "target_id")
     totals = asof_sums(known, events, ["p", "q"], sums, [None], id_col="pair_row")
     out = known.join(totals, "pair_row", "left")
@@ -331,26 +455,131 @@ def head_to_head(d: Domain) -> DataFrame:
     at = lambda n: F.coalesce(F.col(f"{n}_all"), F.lit(0.0))
     return out.select(
         F.col("target_id").alias("entry_id"), "other_id", at("direct").cast("long").alias("direct_count"), at("normal").cast("long").alias("normal_count"), F.when(first, at("p_ahead")).otherwise(at("q_ahead")).cast("long").alias("ahead_count"), F.when(first, at("q_ahead")).otherwise(at("p_ahead")).cast("long").alias("behind_count"),
-        (at("normal") - at("p_ahead") - at("q_ahead")).cast("long").alias("tied_count"), r6(safe_rate(F.when(first, at("p_ahead")).otherwise(at("q_ahead")), at("normal"))).alias("ahead_rate"), r6(safe_rate(sign * at("rank_diff"), at("normal"))).alias("mean_rank_diff"), r6(safe_rate(sign * at("pct_diff"), at("normal"))).alias("mean_pct_diff"), r6(safe_rate(sign * at("res_diff"), at("res_n"))).alias("mean_residual_diff"),
+        (at("normal") - at("p_ahead") - at("q_ahead")).cast("long").alias("tied_count"), r9(safe_rate(F.when(first, at("p_ahead")).otherwise(at("q_ahead")), at("normal"))).alias("ahead_rate"), r9(safe_rate(sign * at("rank_diff"), at("normal"))).alias("mean_rank_diff"), r9(safe_rate(sign * at("pct_diff"), at("normal")) / UNIT).alias("mean_pct_diff"), r9(safe_rate(sign * at("res_diff"), at("res_n")) / UNIT).alias("mean_residual_diff"),
+        *((sign * at(n)).alias(f"_{n}") for n in sums if n.endswith("_diff")), at("res_n").cast("long").alias("residual_sample"), (at("direct") - at("normal")).cast("long").alias("abnormal_count"),
+    )
+
+
+def pair_summary(d: Domain) -> DataFrame:
+    """Head-to-head of every target against all its co-entrants together: totals, weighted means and status.
+
+    Rates weigh each opponent by the normal meetings with it; the residual mean weighs by its samples.
+    """
+    race = Window.partitionBy("race_id")
+    own = Window.partitionBy("race_id", "player_id")
+    e = eligible(d.entries).withColumn("twice", F.col("player_id").isNotNull() & (F.count(F.lit(1)).over(own) > 1))
+    e = e.withColumns({"others": F.count("player_id").over(race) - F.col("player_id").isNotNull().cast("int"), "unresolved": F.count_if(F.col("player_id").isNull()).over(race) - F.col("player_id").isNull().cast("int"), "any_twice": F.max("twice").over(race)})
+    n = F.col("normal_count")
+    sums = pair_history(d).groupBy("entry_id").agg(
+        F.count_if(F.col("direct_count") > 0).alias("opponents"), F.sum("direct_count").alias("direct"), F.sum(n).alias("normal"), F.sum("ahead_count").alias("ahead"), F.sum("behind_count").alias("behind"), F.sum("tied_count").alias("tied"),
+        F.sum("_rank_diff").alias("ranks"), F.sum("_pct_diff").alias("pcts"), F.sum("_res_diff").alias("residuals"), F.sum("residual_sample").alias("residual_sample"),
+    )
+    out = e.join(sums, "entry_id", "left")
+    at = lambda c: F.coalesce(F.col(c), F.lit(0))
+    status = status_ladder([(F.col("player_id").isNull(), "MISSING_INPUT"), (F.col("twice"), "INVALID_INPUT"), (F.col("others") == 0, "MISSING_INPUT"), (at("direct") == 0, "NO_HISTORY"), (at("normal") == 0, "PARTIAL")])
+    reasons = F.array_compact(F.array(F.when(F.col("unresolved") > 0, "UNRESOLVED_CURRENT_COENTRANTS"), F.when(at("residual_sample") < at("normal"), "MISSING_HISTORICAL_SCORE_CONTEXT_FOR_RESIDUAL")))
+    return out.select(
+        "entry_id", at("opponents").alias("opponents_met"), at("direct").alias("direct_count"), at("normal").alias("normal_count"), (at("direct") - at("normal")).alias("abnormal_count"), at("ahead").alias("ahead_count"), at("behind").alias("behind_count"), at("tied").alias("tied_count"),
+        r9(safe_rate(F.col("ahead"), F.col("normal"))).alias("ahead_rate"), r9(safe_rate(F.col("ranks"), F.col("normal"))).alias("mean_rank_diff"), r9(safe_rate(F.col("pcts"), F.col("normal")) / UNIT).alias("mean_pct_diff"),
+        r9(safe_rate(F.col("residuals"), F.col("residual_sample")) / UNIT).alias("weighted_residual"), status.alias("status"), quality(status, reasons).alias("quality"), F.concat_ws(",", reasons).alias("reasons"),
     )
 
 
+def steps(d: Domain) -> DataFrame:
+    """Adjacent started events of a player inside a meeting, with the stage and result of the one before."""
+    order = Window.partitionBy("player_id", "meeting_id").orderBy("start_at", "race_id", "entry_id")
+    e = d.history.where("started AND player_id IS NOT NULL").withColumn("stage", stage(F.col("race_type")))
+    return e.withColumns({"prev_stage": F.lag("stage").over(order), "prev_rank": F.lag("rank").over(order), "prev_normal": F.lag("normal").over(order)})
+
+
 def transitions(d: Domain) -> DataFrame:
     """Steps from one start to the next inside a player's meeting, by the stages of both: how the rank changed."""
-    order = Window.partitionBy("player_id", "meeting_id").orderBy("start_at", "race_id", "entry_id")
-    e = history(d.entries).where("started AND player_id IS NOT NULL").withColumn("stage", stage(F.col("race_type")))
-    step = e.withColumns({"prev_stage": F.lag("stage").over(order), "prev_rank": F.lag("rank").over(order), "prev_normal": F.lag("normal").over(order)}).where("normal AND prev_normal")
+    step = steps(d).where("normal AND prev_normal")
+    change = F.col("prev_rank") - F.col("rank")
+    return step.groupBy("prev_stage", "stage").agg(
+        F.count(F.lit(1)).alias("steps"), r9(F.avg(change)).alias("mean_rank_change"), F.count_if(change > 0).alias("improved"), F.count_if(change < 0).alias("worsened"), F.count_if(change == 0).alias("same"),
+        F.count_if((F.col("prev_rank") <= 3) & (F.col("rank") <= 3)).alias("top3_kept"), r9(F.avg("res_u") / UNIT).alias("mean_next_residual"),
+    )
+
+
+def meeting_transition(d: Domain) -> DataFrame:
+    """The target's previous start in its meeting, and how the player fared in earlier meetings after a like step.
+
+    A like step goes from the same stage to the same stage, with both results normal; a subset has the same previous rank too.
+    """
+    order = Window.partitionBy("player_id").orderBy("start_at", "race_id", "entry_id")
+    targets = eligible(d.entries).withColumn("stage", stage(F.col("race_type")))
+    started = d.history.where("started AND player_id IS NOT NULL").withColumn("k", F.row_number().over(order)).withColumn("stage", stage(F.col("race_type")))
+    newest = asof(targets, started, [Request("p_", {}, keys=["meeting_id"], highs={"k": F.col("k")})])
+    before = started.select("player_id", F.col("k").cast("double").alias("p_k"), F.col("stage").alias("prev_stage"), F.col("rank").alias("prev_rank"), F.col("normal").alias("prev_normal"), F.col("start_at").alias("prev_at"))
+    targets = targets.join(newest, "entry_id", "left").join(before, ["player_id", "p_k"], "left")
     change = F.col("prev_rank") - F.col("rank")
-    return step.groupBy("prev_stage", "stage").agg(F.count(F.lit(1)).alias("steps"), r6(F.avg(change)).alias("mean_rank_change"), F.count_if(change > 0).alias("improved"), F.count_if(change < 0).alias("worsened"), F.count_if(change == 0).alias("same"), F.count_if((F.col("prev_rank") <= 3) & (F.col("rank") <= 3)).alias("top3_kept"), r6(F.avg("residual")).alias("mean_next_residual"))
+    sums = {"n": F.lit(1), "change": change, "up": (change > 0).cast("int"), "down": (change < 0).cast("int"), "top3": ((F.col("prev_rank") <= 3) & (F.col("rank") <= 3)).cast("int"), "res_n": F.col("res_u").isNotNull().cast("int"), "res": F.coalesce("res_u", F.lit(0))}
+    few = {k: sums[k] for k in ("n", "change")}
+    like, exact = ["prev_stage", "stage"], ["prev_stage", "stage", "prev_rank"]
+    requests = [Request("t_", sums, keys=like), Request("x_", few, keys=exact), Request("it_", sums, keys=[*like, "meeting_id"]), Request("ix_", few, keys=[*exact, "meeting_id"])]
+    out = targets.join(asof(targets, steps(d).where("normal AND prev_normal"), requests), "entry_id", "left")
+    at = lambda p, n: F.coalesce(F.col(f"{p}{n}_all") - F.col(f"i{p}{n}_all"), F.lit(0.0))
+    n = at("t_", "n")
+    status = status_ladder([
+        (F.col("player_id").isNull() | F.col("meeting_id").isNull() | (F.col("stage") == "UNKNOWN"), "MISSING_INPUT"), (F.col("prev_at").isNull(), "NOT_APPLICABLE"), (~F.col("prev_normal"), "PARTIAL"),
+        (F.col("prev_stage") == "UNKNOWN", "MISSING_INPUT"), (n == 0, "NO_HISTORY"),
+    ])
+    return out.select(
+        "entry_id", "stage", "prev_stage", "prev_rank", r9((F.col("start_at") - F.col("prev_at")) / 3600).alias("hours_since"), n.cast("long").alias("like_steps"), r9(safe_rate(at("t_", "change"), n)).alias("mean_rank_change"),
+        at("t_", "up").cast("long").alias("improved"), at("t_", "down").cast("long").alias("worsened"), (n - at("t_", "up") - at("t_", "down")).cast("long").alias("same"), at("t_", "top3").cast("long").alias("top3_kept"),
+        r9(safe_rate(at("t_", "res"), at("t_", "res_n")) / UNIT).alias("mean_next_residual"), at("x_", "n").cast("long").alias("exact_steps"), r9(safe_rate(at("x_", "change"), at("x_", "n"))).alias("exact_rank_change"), status.alias("status"),
+    )
 
 
 def stage_experience(d: Domain) -> DataFrame:
-    """Starts and performance in semifinals and finals before the cutoff."""
-    targets, events = eligible(d.entries), history(d.entries).withColumn("stage", stage(F.col("race_type"))).where("started")
+    """Starts and performance in semifinals and finals before the cutoff, classes ridden in, and the strength of the fields."""
+    targets, events = eligible(d.entries), d.history.withColumn("stage", stage(F.col("race_type"))).where("started")
     late = F.col("stage").isin("SEMIFINAL", "FINAL")
     pick = lambda c, cond: F.when(cond, c).otherwise(0)
-    sums = {"all": F.lit(1), "semi": (F.col("stage") == "SEMIFINAL").cast("int"), "final": (F.col("stage") == "FINAL").cast("int"), "n": pick(F.lit(1), late & F.col("normal")), "win": pick((F.col("rank") == 1).cast("int"), late & F.col("normal")), "res_n": pick(F.col("residual").isNotNull().cast("int"), late), "res_sum": pick(F.coalesce("residual", F.lit(0.0)), late)}
-    out = targets.join(asof_sums(targets, events, ["player_id"], sums, [None]), "entry_id", "left")
+    sums = {"all": F.lit(1), "semi": (F.col("stage") == "SEMIFINAL").cast("int"), "final": (F.col("stage") == "FINAL").cast("int")}
+    for name, cond in (("late", late), ("sf", F.col("stage") == "SEMIFINAL"), ("fi", F.col("stage") == "FINAL"), ("other", ~late)):
+        own = cond & F.col("normal")
+        sums |= {f"{name}_n": pick(F.lit(1), own), f"{name}_win": pick((F.col("rank") == 1).cast("int"), own), f"{name}_res_n": pick(F.col("res_u").isNotNull().cast("int"), own), f"{name}_res": pick(F.coalesce("res_u", F.lit(0)), own)}
+    sums |= {f"class_{k}": (class_bucket(F.col("race_type")) == k).cast("int") for k in ("A", "S", "UNKNOWN")}
+    sums |= {"ctx": F.col("score_mean").isNotNull().cast("int"), "ctx_mean": F.coalesce("mean_u", F.lit(0)), "ctx_max": F.coalesce("score_max", F.lit(0.0))}
+    out = targets.join(asof(targets, events, [Request("", sums)]), "entry_id", "left")
     at = lambda n: F.coalesce(F.col(f"{n}_all"), F.lit(0.0))
     status = status_ladder([(F.col("player_id").isNull(), "MISSING_INPUT"), (at("all") == 0, "NO_HISTORY")])
-    return out.select("entry_id", at("all").cast("long").alias("started_count"), at("semi").cast("long").alias("semifinal_starts"), at("final").cast("long").alias("final_starts"), at("n").cast("long").alias("late_sample"), r6(safe_rate(at("win"), at("n"))).alias("late_win_rate"), r6(safe_rate(at("res_sum"), at("res_n"))).alias("late_mean_residual"), status.alias("status"))
+    classes = F.concat_ws(",", *(F.when(at(f"class_{k}") > 0, F.concat(F.lit(f"{k}="), at(f"class_{k}").cast("long").cast("string"))) for k in ("A", "S", "UNKNOWN")))
+    shown = {"started_count": at("all").cast("long"), "semifinal_starts": at("semi").cast("long"), "final_starts": at("final").cast("long")}
+    for name in ("late", "sf", "fi", "other"):
+        shown |= {f"{name}_sample": at(f"{name}_n").cast("long"), f"{name}_win_rate": r9(safe_rate(at(f"{name}_win"), at(f"{name}_n"))), f"{name}_mean_residual": r9(safe_rate(at(f"{name}_res"), at(f"{name}_res_n")) / UNIT)}
+    shown |= {"class_distribution": classes, "field_mean_score": r9(safe_rate(at("ctx_mean"), at("ctx")) / (6 * UNIT)), "field_best_score": r9(safe_rate(at("ctx_max"), at("ctx")))}
+    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), status.alias("status"))
+
+
+def class_bucket(kind: Column) -> Column:
+    """Class by the first two characters of the race type."""
+    # The prefixes of the two classes.
+    return F.coalesce(F.when(F.substring(kind, 1, 2) == "Ａ級", "A"), F.when(F.substring(kind, 1, 2) == "Ｓ級", "S"), F.lit("UNKNOWN"))
+
+
+#: Scopes of the position statistics: name and keys.
+SCOPES = {"field_bike": ("entrants", "bike"), "field": ("entrants",), "track_field_bike": ("track_id", "entrants", "bike"), "track_field": ("track_id", "entrants"), "field_frame": ("entrants", "frame"), "track_field_frame": ("track_id", "entrants", "frame")}
+SCOPE_DELTAS = {"bike": ("field_bike", "field"), "track_bike": ("track_field_bike", "track_field"), "frame": ("field_frame", "field"), "track_frame": ("track_field_frame", "track_field")}
+
+
+def position_bias(d: Domain) -> DataFrame:
+    """What all earlier normal finishes say about the target's position, in six scopes, and the differences between scopes."""
+    race = Window.partitionBy("race_id")
+    targets, events = eligible(d.entries), d.history.where("normal")
+    out = targets.withColumns({"same_bike": F.count(F.lit(1)).over(Window.partitionBy("race_id", "bike"))})
+    for name, keys in SCOPES.items():
+        out = out.join(blocked_sums(targets, events, keys, performance_sums(), prefix=f"{name}_"), "entry_id", "left")
+    found = {name: performance(out, f"{name}_", None) for name in SCOPES}
+    shown: dict[str, Column] = {}
+    for name, p in found.items():
+        shown |= {f"{name}_sample": p[f"{name}_sample_all"]} | {f"{name}_{k}": r9(p[f"{name}_{k}_all"]) for k in ("win_rate", "top3_rate", "mean_finish", "mean_residual")}
+    for name, (one, two) in SCOPE_DELTAS.items():
+        shown |= {f"delta_{name}_{k}": r9(found[one][f"{one}_{k}_all"] - found[two][f"{two}_{k}_all"]) for k in ("win_rate", "mean_finish", "mean_residual")}
+    status = status_ladder([(F.col("bike").isNull() | F.col("entrants").isNull(), "MISSING_INPUT"), ((F.col("entrants") != F.col("actual")) | (F.col("same_bike") > 1), "INVALID_INPUT"), (found["field_bike"]["field_bike_sample_all"] == 0, "NO_HISTORY")])
+    reasons = F.array_compact(F.array(F.when(F.col("frame").isNull(), "MISSING_FRAME_NUMBER"), F.when(F.col("player_id").isNull(), "PLAYER_ID_UNRESOLVED_FOR_PLAYER_SPECIFIC_COMPONENT"), F.when(F.col("track_id").isNull(), "RACETRACK_MISSING_FOR_TRACK_COMPONENT")))
+    nth, n = F.row_number().over(race.orderBy("bike")), F.count(F.lit(1)).over(race)
+    order = {"order_index": nth.cast("long"), "order_percentile": r9(F.when(n > 1, (nth - 1) / (n - 1)))}
+    return out.select("entry_id", *(v.alias(k) for k, v in (shown | order).items()), status.alias("status"), quality(status, reasons).alias("quality"), F.concat_ws(",", reasons).alias("reasons"))

@@ -1,403 +1,8 @@
-"""Registered queries over the star-schema tables, with DuckDB SQL that states each of them independently."""
+"""All registered queries over the star-schema tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tempolane.catalog import features, tables  # noqa: F401  (registers)
+from tempolane.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tempolane.plans import features as P
-from tempolane.sources.domain import CTE, domain, history
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def six_digits(sql: str) -> str:
-    """``round(x, 6)`` as the plans round: moved off the ties of short fractions, and no negative zero."""
-    out, at = "", 0
-    while (start := sql.find("round(", at)) >= 0:
-        depth, end = 1, start + 6
-        while depth:
-            depth += (sql[end] == "(") - (sql[end] == ")")
-            end += 1
-        inner = sql[start + 6 : end - 1]
-        if inner.endswith(", 6"):
-            out += sql[at:start] + f"(round(({inner[:-3]}) + 3e-8, 6) + 0.0)"
-        else:
-            out += sql[at:end]
-        at = end
-    return out + sql[at:]
-
-
-def query(name: str, sql: str | None = None, cte: bool = True):
-    """Register a function of (spark, sf_dir) and its SQL."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = (CTE if cte else "") + six_digits(sql)
-        return f
-
-    return put
-
-
-@query("stat01_group_relative", """
-, g AS (SELECT *, CASE WHEN score > 0 THEN score END AS v FROM target),
-h AS (SELECT *, count(v) OVER r AS n, count(*) FILTER (score IS NULL) OVER r AS missing, count(*) FILTER (score <= 0) OVER r AS invalid, avg(v) OVER r AS mean, max(v) OVER r AS top, stddev_pop(v) OVER r AS sd,
-  CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY race_id ORDER BY v DESC NULLS LAST) END AS score_rank, CASE WHEN v IS NOT NULL THEN dense_rank() OVER (PARTITION BY race_id ORDER BY v DESC NULLS LAST) END AS dense
-  FROM g WINDOW r AS (PARTITION BY race_id))
-SELECT race_id, entry_id, bike, n AS valid_count, missing AS missing_count, invalid AS invalid_count, score_rank, dense AS dense_rank,
-  round(CASE WHEN v IS NOT NULL THEN CASE WHEN n > 1 THEN (n - score_rank) / (n - 1.0) ELSE 1.0 END END, 6) AS strength_pct,
-  round(v - mean, 6) AS diff_mean, round(top - v, 6) AS gap_max, round(mean, 6) AS race_mean, round(sd, 6) AS race_sd, round(CASE WHEN sd > 0 THEN (v - mean) / sd END, 6) AS z_score,
-  CASE WHEN score IS NULL THEN 'MISSING_INPUT' WHEN score <= 0 THEN 'INVALID_INPUT' WHEN actual <> entrants OR missing + invalid > 0 OR player_id IS NULL THEN 'PARTIAL' ELSE 'VALID' END AS status,
-  CASE WHEN player_id IS NULL THEN 'DEGRADED' WHEN actual <> entrants OR missing + invalid > 0 THEN 'PARTIAL' ELSE 'FULL' END AS quality,
-  concat_ws(',', CASE WHEN actual <> entrants THEN 'ENTRY_COUNT_MISMATCH' END, CASE WHEN player_id IS NULL THEN 'PLAYER_ID_UNRESOLVED' END, CASE WHEN score IS NULL THEN 'RACE_SCORE_MISSING' WHEN score <= 0 THEN 'RACE_SCORE_NON_POSITIVE_UNRESOLVED' END, CASE WHEN sd = 0 THEN 'ZERO_VARIANCE' END) AS reasons,
-  CASE WHEN close_at IS NOT NULL THEN 'SALES_CLOSE' ELSE 'SCHEDULED_START' END AS cutoff_source, cutoff FROM h
-""")
-def _(spark, sf_dir):
-    return P.group_relative(domain(spark, sf_dir))
-
-
-@query("stat41_group_structure", """
-, g AS (SELECT *, CASE WHEN score > 0 THEN score END AS v FROM target),
-n AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY v DESC NULLS LAST, entry_id) AS nth FROM g),
-a AS (SELECT race_id, any_value(entrants) AS entrants, count(*) AS actual, count(v) AS u, count(*) FILTER (score IS NULL) AS missing, count(*) FILTER (score <= 0) AS invalid, avg(v) AS mean, min(v) AS lowest, max(v) AS highest, stddev_pop(v) AS sd,
-  median(v) AS median, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, mad(v) AS mad, max(v) FILTER (nth = 1) AS t1, max(v) FILTER (nth = 2) AS t2, max(v) FILTER (nth = 3) AS t3, max(v) FILTER (nth = 4) AS t4 FROM n GROUP BY race_id),
-p AS (SELECT x.race_id, count(*) AS k, avg(abs(x.v - y.v)) AS gm, max(abs(x.v - y.v)) AS gx, min(abs(x.v - y.v)) AS gi FROM n x JOIN n y ON x.race_id = y.race_id AND x.nth < y.nth WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY x.race_id),
-t AS (SELECT n.race_id, count(*) AS ties FROM n JOIN a USING (race_id) WHERE v = highest GROUP BY n.race_id),
-s AS (SELECT *, CASE WHEN u = 0 AND invalid > 0 THEN 'INVALID_INPUT' WHEN u = 0 THEN 'MISSING_INPUT' WHEN u = 1 OR actual <> entrants OR missing + invalid > 0 THEN 'PARTIAL' ELSE 'VALID' END AS status FROM a LEFT JOIN p USING (race_id) LEFT JOIN t USING (race_id))
-SELECT race_id, u AS usable_count, missing AS missing_count, invalid AS invalid_count, round(u / CAST(entrants AS DOUBLE), 6) AS coverage, round(mean, 6) AS mean, round(lowest, 6) AS lowest, round(highest, 6) AS highest, round(sd, 6) AS sd, round(median, 6) AS median,
-  round(q25, 6) AS q25, round(q75, 6) AS q75, round(mad, 6) AS mad, round(q75 - q25, 6) AS iqr, round(highest - lowest, 6) AS spread, round(sd / mean, 6) AS variation, round(t1 - t2, 6) AS gap_1_2, round(t1 - t3, 6) AS gap_1_3, round(t2 - t3, 6) AS gap_2_3, round(t3 - t4, 6) AS gap_3_4,
-  ties AS ties_at_top, coalesce(k, 0) AS pair_count, round(gm, 6) AS pair_gap_mean, round(gx, 6) AS pair_gap_max, round(gi, 6) AS pair_gap_min, status, CASE WHEN status = 'VALID' THEN 'FULL' ELSE 'PARTIAL' END AS quality FROM s
-""")
-def _(spark, sf_dir):
-    return P.group_structure(domain(spark, sf_dir))
-
-
-@query("history_events", """
-SELECT entry_id, race_id, player_id, start_at, state, normal, started, abnormal, whole_scores, rank, round(finish_pct, 6) AS finish_pct, round(score_pct, 6) AS score_pct, round(residual, 6) AS residual, round(score_mean, 6) AS score_mean, round(score_sd, 6) AS score_sd FROM hist
-""")
-def _(spark, sf_dir):
-    r = P.r6
-    return history(domain(spark, sf_dir).entries).select("entry_id", "race_id", "player_id", "start_at", "state", "normal", "started", "abnormal", "whole_scores", "rank", *(r(F.col(c)).alias(c) for c in ("finish_pct", "score_pct", "residual", "score_mean", "score_sd")))
-
-
-def _performance_sql(alias: str, prefix: str, when: str) -> str:
-    f = f"FILTER ({when})"
-    return f"""count({alias}.entry_id) {f} AS {prefix}n, count({alias}.residual) {f} AS {prefix}rn, avg(CAST({alias}.rank = 1 AS INT)) {f} AS {prefix}win_rate, avg(CAST({alias}.rank <= 2 AS INT)) {f} AS {prefix}top2_rate, avg(CAST({alias}.rank <= 3 AS INT)) {f} AS {prefix}top3_rate,
-    avg({alias}.rank) {f} AS {prefix}mean_rank, avg({alias}.finish_pct) {f} AS {prefix}mean_finish, avg({alias}.residual) {f} AS {prefix}mean_residual"""
-
-
-def _conditioned_sql(match: str, days, target_missing: str = "false", exclude: bool = False) -> str:
-    """Range self-join from each target to its player's earlier normal finishes."""
-    hour = "CAST(floor(((start_at + 32400) % 86400) / 3600) AS INT)"
-    stage = "CASE WHEN contains(race_type, '準決') THEN 'SEMIFINAL' WHEN contains(race_type, '決勝') THEN 'FINAL' WHEN contains(race_type, '一般') THEN 'GENERAL' WHEN contains(race_type, '予選') THEN 'QUALIFYING' ELSE 'OTHER' END"
-    m = {"hour": hour, "stage": stage}.get(match, match)
-    blocks, shown = [], []
-    for w in days:
-        name = "all" if w is None else w
-        inside = "true" if w is None else f"h.start_at >= t.cutoff - {w} * 86400"
-        blocks += [_performance_sql("h", f"m{name}_", f"h.m = t.m AND {inside}"), _performance_sql("h", f"b{name}_", inside)]
-        shown += [f"m{name}_n AS match_sample_{name}", f"b{name}_n AS base_sample_{name}", *(f"round(m{name}_{k}, 6) AS match_{k}_{name}" for k in ("mean_rank", "mean_finish", "mean_residual")), *(f"round(m{name}_{k} - b{name}_{k}, 6) AS delta_{k}_{name}" for k in P.DELTAS)]
-        if w is not None:
-            shown.append(f"cutoff - {w} * 86400 >= 788918400 AS complete_{name}")
-    out = "AND h.meeting_id <> t.meeting_id" if exclude else ""
-    return f"""
-, t AS (SELECT *, {m} AS m FROM target), h AS (SELECT *, {m} AS m FROM hist WHERE normal),
-j AS (SELECT t.entry_id, any_value(t.player_id) AS player_id, any_value(t.cutoff) AS cutoff, count(h.entry_id) FILTER (h.m = t.m) AS ever, {", ".join(blocks)}
-  FROM t LEFT JOIN h ON h.player_id = t.player_id AND h.start_at < t.cutoff {out} GROUP BY t.entry_id),
-s AS (SELECT *, CASE WHEN player_id IS NULL OR {target_missing} THEN 'MISSING_INPUT' WHEN ever = 0 THEN 'NO_HISTORY' ELSE 'VALID' END AS status FROM j)
-SELECT entry_id, {", ".join(shown)}, status, CASE WHEN status = 'VALID' THEN 'FULL' ELSE 'DEGRADED' END AS quality FROM s
-"""
-
-
-@query("stat07_same_track", _conditioned_sql("track_id", P.CONTEXT_DAYS))
-def _(spark, sf_dir):
-    return P.conditioned(domain(spark, sf_dir), "track_id")
-
-
-@query("stat08_same_hour", _conditioned_sql("hour", P.CONTEXT_DAYS))
-def _(spark, sf_dir):
-    return P.conditioned(domain(spark, sf_dir), "hour")
-
-
-@query("stat32_same_stage", _conditioned_sql("stage", P.CONTEXT_DAYS))
-def _(spark, sf_dir):
-    return P.conditioned(domain(spark, sf_dir), "stage")
-
-
-@query("stat23_same_meeting_day", _conditioned_sql("day_number", (None,), exclude=True))
-def _(spark, sf_dir):
-    return P.conditioned(domain(spark, sf_dir), "day_number", (None,), exclude_meeting=True)
-
-
-def _recent_form_sql() -> str:
-    counts, days = (3, 5, 10, 20), (30, 60, 90, 180, 365)
-    a, b = [], []
-    for n in counts:
-        a += [f"count(*) FILTER (nth <= {n}) AS n_{n}", f"avg(CAST(rank = 1 AS INT)) FILTER (nth <= {n}) AS win_{n}", f"avg(CAST(rank <= 3 AS INT)) FILTER (nth <= {n}) AS top3_{n}", f"avg(finish_pct) FILTER (nth <= {n}) AS finish_{n}", f"avg(residual) FILTER (nth <= {n}) AS residual_{n}"]
-        b += [f"coalesce(n_{n}, 0) AS sample_{n}", f"coalesce(n_{n}, 0) >= {n} AS complete_{n}", *(f"round({k}_{n}, 6) AS {k}_last_{n}" for k in ("win", "top3", "finish", "residual"))]
-    for w in days:
-        inside = f"FILTER (start_at >= cutoff - {w} * 86400)"
-        a += [f"count(*) {inside} AS n_{w}d", f"avg(finish_pct) {inside} AS f_{w}d", f"avg(residual) {inside} AS r_{w}d", f"avg(CAST(rank <= 3 AS INT)) {inside} AS t_{w}d"]
-        b += [f"coalesce(n_{w}d, 0) AS sample_{w}d", f"round(f_{w}d, 6) AS finish_{w}d", f"round(r_{w}d, 6) AS residual_{w}d", f"round(t_{w}d, 6) AS top3_{w}d"]
-    complete = " AND ".join([f"coalesce(n_{n}, 0) >= {n}" for n in counts] + [f"cutoff - {w} * 86400 >= 788918400" for w in days])
-    return f"""
-, pre AS (SELECT t.entry_id, t.cutoff, h.start_at, h.rank, h.finish_pct, h.residual, row_number() OVER (PARTITION BY t.entry_id ORDER BY h.start_at DESC, h.race_id DESC, h.entry_id DESC) AS nth
-  FROM target t JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff AND h.normal AND h.meeting_id <> t.meeting_id),
-a AS (SELECT entry_id, {", ".join(a)} FROM pre GROUP BY entry_id),
-i AS (SELECT t.entry_id, count(*) AS n, avg(CAST(h.rank <= 3 AS INT)) AS top3, avg(h.finish_pct) AS finish FROM target t JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff AND h.normal AND h.meeting_id = t.meeting_id GROUP BY t.entry_id),
-e AS (SELECT t.entry_id, count(*) AS ever FROM target t JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff GROUP BY t.entry_id),
-s AS (SELECT t.entry_id, t.player_id, t.cutoff, a.* EXCLUDE (entry_id), i.n AS i_n, i.top3 AS i_top3, i.finish AS i_finish, CASE WHEN t.player_id IS NULL THEN 'MISSING_INPUT' WHEN e.ever IS NULL THEN 'NO_HISTORY' WHEN NOT ({complete.replace('cutoff', 't.cutoff')}) THEN 'PARTIAL_HISTORY' ELSE 'VALID' END AS status
-  FROM target t LEFT JOIN a USING (entry_id) LEFT JOIN i USING (entry_id) LEFT JOIN e USING (entry_id))
-SELECT entry_id, {", ".join(b)}, round(finish_3 - finish_10, 6) AS finish_3_minus_10, round(residual_3 - residual_10, 6) AS residual_3_minus_10, round(residual_5 - residual_20, 6) AS residual_5_minus_20,
-  coalesce(i_n, 0) AS meeting_sample, round(i_top3, 6) AS meeting_top3, round(i_finish, 6) AS meeting_finish, status, CASE status WHEN 'VALID' THEN 'FULL' WHEN 'PARTIAL_HISTORY' THEN 'PARTIAL' ELSE 'DEGRADED' END AS quality FROM s
-"""
-
-
-@query("stat10_recent_form", _recent_form_sql())
-def _(spark, sf_dir):
-    return P.recent_form(domain(spark, sf_dir))
-
-
-def _abnormal_sql() -> str:
-    a, b = [], []
-    for n in (3, 5, 10):
-        a += [f"count(*) FILTER (started AND nth <= {n}) AS s_{n}", f"count(*) FILTER (started AND abnormal AND nth <= {n}) AS a_{n}"]
-        b += [f"coalesce(s_{n}, 0) AS started_last_{n}", f"round(a_{n} / nullif(CAST(s_{n} AS DOUBLE), 0), 6) AS abnormal_last_{n}"]
-    for w in (30, 90, 180, "all"):
-        i = "true" if w == "all" else f"start_at >= cutoff - {w} * 86400"
-        a += [f"count(*) FILTER ({c} AND {i}) AS {k}_{w}" for k, c in (("st", "started"), ("ab", "abnormal"), ("dns", "state = 'DID_NOT_START'"), ("dq", "state = 'DISQUALIFIED'"), ("fall", "state = 'FALL_DNF'"))]
-        b += [f"coalesce(st_{w}, 0) AS started_{w}", f"coalesce(dns_{w}, 0) AS dns_{w}", *(f"round({k}_{w} / nullif(CAST(st_{w} AS DOUBLE), 0), 6) AS {o}_{w}" for k, o in (("ab", "abnormal_rate"), ("dq", "dq_rate"), ("fall", "fall_rate")))]
-    complete = " AND ".join([f"coalesce(s_{n}, 0) >= {n}" for n in (3, 5, 10)] + [f"t.cutoff - {w} * 86400 >= 788918400" for w in (30, 90, 180)])
-    return f"""
-, p AS (SELECT t.entry_id, t.cutoff, h.start_at, h.state, h.started, h.abnormal, row_number() OVER (PARTITION BY t.entry_id, h.started ORDER BY h.start_at DESC, h.race_id DESC, h.entry_id DESC) AS nth FROM target t JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff),
-a AS (SELECT entry_id, {", ".join(a)}, max(start_at) FILTER (abnormal) AS bad_at, min(nth) FILTER (abnormal) AS bad_nth, min(nth) FILTER (started AND NOT abnormal) AS good_nth, count(*) FILTER (started) AS starts FROM p GROUP BY entry_id)
-SELECT t.entry_id, {", ".join(b)}, round((t.cutoff - bad_at) / 86400.0, 6) AS days_since, bad_nth - 1 AS started_since, coalesce(coalesce(good_nth - 1, starts), 0) AS streak,
-  CASE WHEN player_id IS NULL THEN 'MISSING_INPUT' WHEN a.entry_id IS NULL THEN 'NO_HISTORY' WHEN NOT ({complete}) THEN 'PARTIAL_HISTORY' ELSE 'VALID' END AS status FROM target t LEFT JOIN a USING (entry_id)
-"""
-
-
-@query("stat11_abnormal_results", _abnormal_sql())
-def _(spark, sf_dir):
-    return P.abnormal_rates(domain(spark, sf_dir))
-
-
-def _volatility_sql() -> str:
-    a, b = [], []
-    for n in (3, 5, 10, 20, 30):
-        f = f"FILTER (nth <= {n})"
-        a += [f"count(*) {f} AS n_{n}"]
-        a += [f"stddev_pop({c}) {f} AS {k}_sd_{n}, mad({c}) {f} AS {k}_mad_{n}, quantile_cont({c}, 0.75) {f} - quantile_cont({c}, 0.25) {f} AS {k}_iqr_{n}" for k, c in (("finish", "finish_pct"), ("residual", "residual"))]
-        a += [f"avg(CAST(residual > 0 AS INT)) {f} AS up_rate_{n}, avg(residual) FILTER (nth <= {n} AND residual < 0) AS down_mean_{n}, avg(residual) FILTER (nth <= {n} AND residual > 0) AS up_mean_{n}, count(*) FILTER (nth <= {n} AND nth > 1 AND (rank <= 3) <> newer) AS switches_{n}"]
-        b += [f"coalesce(n_{n}, 0) AS sample_{n}", f"coalesce(switches_{n}, 0) AS switches_{n}", *(f"round({k}, 6) AS {k}" for k in [f"{x}_{y}_{n}" for x in ("finish", "residual") for y in ("sd", "mad", "iqr")] + [f"up_rate_{n}", f"down_mean_{n}", f"up_mean_{n}"])]
-    return f"""
-, p AS (SELECT t.entry_id, h.rank, h.finish_pct, h.residual, row_number() OVER w AS nth, lag(h.rank <= 3) OVER w AS newer FROM target t JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff AND h.normal AND h.meeting_id <> t.meeting_id
-  WINDOW w AS (PARTITION BY t.entry_id ORDER BY h.start_at DESC, h.race_id DESC, h.entry_id DESC)),
-a AS (SELECT entry_id, {", ".join(a)} FROM p GROUP BY entry_id)
-SELECT t.entry_id, {", ".join(b)} FROM target t LEFT JOIN a USING (entry_id)
-"""
-
-
-@query("stat24_volatility", _volatility_sql())
-def _(spark, sf_dir):
-    return P.volatility(domain(spark, sf_dir))
-
-
-@query("stat12_rest_gaps", """
-, p AS (SELECT t.entry_id, t.start_at AS t_at, h.start_at, h.normal, h.abnormal, h.meeting_id = t.meeting_id AS same, h.race_id, h.entry_id AS h_id FROM target t JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff AND h.started),
-g AS (SELECT entry_id, t_at, start_at, (start_at - lag(start_at) OVER (PARTITION BY entry_id ORDER BY start_at, race_id, h_id)) / 86400.0 AS gap, (t_at - max(start_at) OVER (PARTITION BY entry_id)) / 86400.0 AS cur FROM p WHERE NOT same),
-q AS (SELECT entry_id, any_value(cur) AS cur, count(gap) AS n, avg(gap) AS mean, median(gap) AS med, quantile_cont(gap, 0.25) AS q25, quantile_cont(gap, 0.75) AS q75, avg(CAST(gap <= cur AS INT)) AS pct FROM g GROUP BY entry_id),
-a AS (SELECT entry_id, min(t_at - start_at) AS s, min(t_at - start_at) FILTER (normal) AS n, min(t_at - start_at) FILTER (abnormal) AS b, min(t_at - start_at) FILTER (same) AS i FROM p GROUP BY entry_id)
-SELECT t.entry_id, round(a.s / 86400.0, 6) AS gap_started, round(a.n / 86400.0, 6) AS gap_normal, round(a.b / 86400.0, 6) AS gap_abnormal, round(q.cur, 6) AS gap_pre, round(a.i / 86400.0, 6) AS gap_in_meeting, coalesce(q.n, 0) AS gap_sample, round(mean, 6) AS gap_mean, round(med, 6) AS gap_median,
-  round(q25, 6) AS gap_q25, round(q75, 6) AS gap_q75, round(cur - med, 6) AS gap_minus_median, round(pct, 6) AS gap_percentile FROM target t LEFT JOIN a USING (entry_id) LEFT JOIN q USING (entry_id)
-""")
-def _(spark, sf_dir):
-    return P.rest_gaps(domain(spark, sf_dir))
-
-
-def _load_sql() -> str:
-    out = []
-    for w in (7, 14, 21, 30, 45, 60):
-        out.append(f"""w{w} AS (SELECT t.entry_id, h.start_at, h.meeting_id, h.track_id, h.start_at // 86400 AS d, lag(h.track_id) OVER (PARTITION BY t.entry_id ORDER BY h.start_at, h.race_id, h.entry_id) AS before FROM target t JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff AND h.start_at >= t.cutoff - {w} * 86400 AND h.started),
-r{w} AS (SELECT entry_id, max(k) AS run FROM (SELECT entry_id, i, count(*) AS k FROM (SELECT entry_id, d, d - row_number() OVER (PARTITION BY entry_id ORDER BY d) AS i FROM (SELECT DISTINCT entry_id, d FROM w{w})) GROUP BY entry_id, i) GROUP BY entry_id),
-a{w} AS (SELECT entry_id, count(*) AS n, count(DISTINCT meeting_id) AS m, count(DISTINCT d) AS d, count(*) FILTER (before <> track_id) AS c FROM w{w} GROUP BY entry_id)""")
-    shown = ", ".join(f"coalesce(a{w}.n, 0) AS started_{w}, coalesce(a{w}.m, 0) AS meetings_{w}, coalesce(a{w}.d, 0) AS active_days_{w}, {w} - coalesce(a{w}.d, 0) AS idle_days_{w}, round(a{w}.n / CAST(a{w}.d AS DOUBLE), 6) AS starts_per_day_{w}, coalesce(a{w}.c, 0) AS track_changes_{w}, coalesce(r{w}.run, 0) AS longest_run_{w}" for w in (7, 14, 21, 30, 45, 60))
-    joins = " ".join(f"LEFT JOIN a{w} USING (entry_id) LEFT JOIN r{w} USING (entry_id)" for w in (7, 14, 21, 30, 45, 60))
-    return f", {', '.join(out)} SELECT t.entry_id, {shown} FROM target t {joins}"
-
-
-@query("stat26_schedule_load", _load_sql())
-def _(spark, sf_dir):
-    return P.schedule_load(domain(spark, sf_dir))
-
-
-# --- evaluation, hashing, merging, reports ---------------------------------------------------------------------------------
-
-from tempolane.operators import evaluation as E  # noqa: E402
-from tempolane.operators import hashing as H  # noqa: E402
-from tempolane.operators import merging as M  # noqa: E402
-from tempolane.operators.asof import asof_sums  # noqa: E402
-from tempolane.sources.domain import eligible  # noqa: E402
-
-
-@query("bt_labels", """
-SELECT entry_id, result_status IN ('FINISHED', 'TIED') AND coalesce(rank = 1, false) AS is_win, result_status IN ('FINISHED', 'TIED') AND coalesce(rank <= 2, false) AS is_top2, result_status IN ('FINISHED', 'TIED') AND coalesce(rank <= 3, false) AS is_top3 FROM target
-""")
-def _(spark, sf_dir):
-    e = eligible(domain(spark, sf_dir).entries)
-    return e.select("entry_id", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in E.labels(F.col("result_status"), F.col("rank")).items()))
-
-
-_REASONS = """
-, g AS (SELECT race_id, any_value(entrants) AS entrants, count(*) AS n, count(DISTINCT player_id) AS players, count(player_id) AS known, count(score) AS scores, count(*) FILTER (score <= 0) AS bad, any_value(race_status) AS race_status,
-  count(*) FILTER (rank = 1) AS winners, count(*) FILTER (result_status NOT IN ('FINISHED', 'TIED')) AS abnormal FROM target GROUP BY race_id),
-rr AS (SELECT race_id, concat_ws(',', CASE WHEN n <> entrants THEN 'ENTRY_COUNT_MISMATCH' END, CASE WHEN players < known THEN 'DUPLICATE_PLAYER' END, CASE WHEN known < n THEN 'PLAYER_UNRESOLVED' END, CASE WHEN scores < n THEN 'SCORE_MISSING' END,
-  CASE WHEN bad > 0 THEN 'SCORE_NON_POSITIVE' END, CASE WHEN race_status NOT IN ('CONFIRMED', 'CORRECTED') THEN 'RESULT_UNCONFIRMED' END, CASE WHEN winners = 0 THEN 'NO_WINNER' END) AS reasons, abnormal = 0 AS all_finished FROM g)
-"""
-
-
-@query("bt_race_exclusions", _REASONS + " SELECT * FROM rr")
-def _(spark, sf_dir):
-    return E.race_reasons(eligible(domain(spark, sf_dir).entries))
-
-
-@query("bt_rank_baseline", _REASONS + """
-, u AS (SELECT t.*, all_finished, rank() OVER (PARTITION BY race_id ORDER BY score DESC) AS sr FROM target t JOIN rr USING (race_id) WHERE reasons = ''),
-r AS (SELECT race_id, year(race_date) AS year, all_finished, max(CAST(sr = 1 AND coalesce(rank = 1, false) AS INT)) AS hit1, max(CAST(sr <= 3 AND coalesce(rank = 1, false) AS INT)) AS hit3, count(*) FILTER (sr = 1) AS n1, count(*) FILTER (sr <= 3) AS n3 FROM u GROUP BY ALL),
-c AS (SELECT *, 'OPERATIONAL' AS cohort FROM r UNION ALL SELECT *, 'NORMAL_FINISH' FROM r WHERE all_finished)
-SELECT year, cohort, count(*) AS races, round(avg(hit1), 6) AS rank1_hit_rate, round(avg(hit3), 6) AS top3_hit_rate, round(avg(n1), 6) AS mean_set1, round(avg(n3), 6) AS mean_set3 FROM c GROUP BY year, cohort
-""")
-def _(spark, sf_dir):
-    out = E.hit_rates(eligible(domain(spark, sf_dir).entries))
-    return out.select("year", "cohort", "races", *(P.r6(F.col(c)).alias(c) for c in ("rank1_hit_rate", "top3_hit_rate", "mean_set1", "mean_set3")))
-
-
-@query("bt_score_metrics", """
-, x AS (SELECT year(race_date) AS year, score / 100 AS p, CAST(result_status IN ('FINISHED', 'TIED') AND rank <= 3 AS INT) AS y FROM target WHERE score > 0),
-r AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY p) + (count(*) OVER (PARTITION BY year, p) - 1) / 2.0 AS ar FROM x)
-SELECT year, round((sum(ar) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * CAST(count(*) FILTER (y = 0) AS DOUBLE)), 6) AS auc, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives,
-  round(avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier FROM r GROUP BY year
-""")
-def _(spark, sf_dir):
-    e = eligible(domain(spark, sf_dir).entries).where("score > 0").select(F.year("race_date").alias("year"), (F.col("score") / 100).alias("p"), F.coalesce(E.labels(F.col("result_status"), F.col("rank"))["is_top3"].cast("int"), F.lit(0)).alias("y"))
-    loss = e.groupBy("year").agg(P.r6(F.avg(E.log_loss(F.col("p"), F.col("y")))).alias("log_loss"), P.r6(F.avg((F.col("p") - F.col("y")) ** 2)).alias("brier"))
-    return E.auc(e, ["year"], "p", "y").withColumn("auc", P.r6(F.col("auc"))).join(loss, "year")
-
-
-@query("bt_effect_bins", """
-, x AS (SELECT year(race_date) AS year, score AS v, CAST(coalesce(rank = 1, false) AS INT) AS y FROM target WHERE score > 0),
-q AS (SELECT year, unnest([quantile_cont(v, 0.1), quantile_cont(v, 0.2), quantile_cont(v, 0.3), quantile_cont(v, 0.4), quantile_cont(v, 0.5), quantile_cont(v, 0.6), quantile_cont(v, 0.7), quantile_cont(v, 0.8), quantile_cont(v, 0.9)]) AS cut FROM x GROUP BY year),
-d AS (SELECT DISTINCT year, cut FROM q),
-b AS (SELECT x.year, x.v, x.y, 1 + (SELECT count(*) FROM d WHERE d.year = x.year AND d.cut < x.v) AS bin FROM x)
-SELECT year, bin, count(*) AS n, round(avg(y), 6) AS win_rate, round(min(v), 6) AS least, round(max(v), 6) AS most FROM b GROUP BY year, bin
-""")
-def _(spark, sf_dir):
-    e = eligible(domain(spark, sf_dir).entries).where("score > 0").select(F.year("race_date").alias("year"), F.col("score").alias("v"), F.coalesce((F.col("rank") == 1).cast("int"), F.lit(0)).alias("y"))
-    out = E.assign_bins(e, E.decile_bins(e, ["year"], "v"), ["year"], "v")
-    return out.groupBy("year", "bin").agg(F.count(F.lit(1)).alias("n"), P.r6(F.avg("y")).alias("win_rate"), P.r6(F.min("v")).alias("least"), P.r6(F.max("v")).alias("most"))
-
-
-@query("hash_row_fingerprints", """
-SELECT entry_id, sha256(concat_ws('|', 'bike=' || 'V' || bike, 'frame=' || coalesce('V' || frame, 'N'), 'player_id=' || coalesce('V' || player_id, 'N'), 'rank=' || coalesce('V' || rank, 'N'), 'score=' || coalesce('V' || format('{:.6f}', CAST(score AS DOUBLE)), 'N'))) AS row_hash FROM target
-""")
-def _(spark, sf_dir):
-    e = eligible(domain(spark, sf_dir).entries)
-    return e.select("entry_id", H.row_hash(e, ["score", "rank", "player_id", "frame", "bike"]).alias("row_hash"))
-
-
-@query("hash_manifest_by_year", """
-, h AS (SELECT year(race_date) AS year, sha256(concat_ws('|', 'entry_id=V' || entry_id, 'rank=' || coalesce('V' || rank, 'N'))) AS h FROM target),
-p AS (SELECT year, substr(h, 1, 2) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY year, p)
-SELECT year, CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(h, chr(10) ORDER BY p)) AS fingerprint FROM p GROUP BY year
-""")
-def _(spark, sf_dir):
-    e = eligible(domain(spark, sf_dir).entries).withColumn("year", F.year("race_date"))
-    return H.fingerprints(e, ["year"], ["entry_id", "rank"])
-
-
-@query("merge_upsert_customers", """
-WITH n AS (SELECT o_custkey AS c_custkey, CASE WHEN max(o_totalprice) > 300000 THEN NULL ELSE max(o_totalprice) END AS bal, 'SEEN' AS seg FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey)
-SELECT coalesce(c.c_custkey, n.c_custkey) AS c_custkey, round(coalesce(bal, c_acctbal), 6) AS c_acctbal, CASE WHEN n.c_custkey IS NOT NULL THEN seg ELSE c_mktsegment END AS c_mktsegment FROM customer c FULL JOIN n ON c.c_custkey = n.c_custkey
-""", cte=False)
-def _(spark, sf_dir):
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    top = read("orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("m"))
-    new = top.select("c_custkey", F.when(F.col("m") <= 300000, F.col("m")).alias("c_acctbal"), F.lit("SEEN").alias("c_mktsegment"))
-    out = M.upsert(read("customer").select("c_custkey", "c_acctbal", "c_mktsegment"), new, ["c_custkey"], keep_when_null=["c_acctbal"])
-    return out.withColumn("c_acctbal", P.r6(F.col("c_acctbal")))
-
-
-@query("merge_snapshots", """
-SELECT o_custkey, sha256(o_orderpriority) AS content, min(o_orderkey) AS first_seen, max(o_orderkey) AS last_seen, count(*) AS times_seen FROM orders GROUP BY ALL
-""", cte=False)
-def _(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", F.sha2("o_orderpriority", 256).alias("content"))
-    return M.snapshots(o, ["o_custkey"], "content", "o_orderkey")
-
-
-@query("report_status_by_year", """
-SELECT year(race_date) AS year, race_status, count(*) AS entries, count(*) FILTER (score IS NULL) AS missing_scores, count(*) FILTER (score = 0) AS zero_scores, count(DISTINCT race_id) AS races, count(*) FILTER (player_id IS NULL) AS unresolved FROM target GROUP BY ALL
-""")
-def _(spark, sf_dir):
-    e = eligible(domain(spark, sf_dir).entries)
-    return e.groupBy(F.year("race_date").alias("year"), "race_status").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("score").isNull()).alias("missing_scores"), F.count_if(F.col("score") == 0).alias("zero_scores"), F.countDistinct("race_id").alias("races"), F.count_if(F.col("player_id").isNull()).alias("unresolved"))
-
-
-@query("report_duplicate_players", """
-SELECT race_id, player_id, count(*) AS times FROM target WHERE player_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1
-""")
-def _(spark, sf_dir):
-    e = eligible(domain(spark, sf_dir).entries).where("player_id IS NOT NULL")
-    return e.groupBy("race_id", "player_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-
-
-@query("stat39_position_bias", """
-, x AS (SELECT t.entry_id, h.rank, h.finish_pct, h.track_id = t.track_id AS same FROM target t JOIN hist h ON h.normal AND h.entrants = t.entrants AND h.bike = t.bike AND h.start_at < t.cutoff),
-a AS (SELECT entry_id, count(*) AS n, avg(CAST(rank = 1 AS INT)) AS w, avg(finish_pct) AS f, count(*) FILTER (same) AS tn, avg(CAST(rank = 1 AS INT)) FILTER (same) AS tw, avg(finish_pct) FILTER (same) AS tf FROM x GROUP BY entry_id)
-SELECT t.entry_id, coalesce(n, 0) AS field_bike_sample, round(w, 6) AS field_bike_win, round(f, 6) AS field_bike_finish, coalesce(tn, 0) AS track_sample, round(tw, 6) AS track_win, round(tf - f, 6) AS track_delta_finish FROM target t LEFT JOIN a USING (entry_id)
-""")
-def _(spark, sf_dir):
-    e = domain(spark, sf_dir).entries
-    targets, events = eligible(e), history(e).where("normal")
-    out = targets
-    for prefix, keys in (("f_", ["entrants", "bike"]), ("t_", ["track_id", "entrants", "bike"])):
-        out = out.join(asof_sums(targets, events, keys, P.performance_sums(), [None], prefix=prefix), "entry_id", "left")
-    f, t = P.performance(out, "f_", None), P.performance(out, "t_", None)
-    return out.select("entry_id", f["f_sample_all"].alias("field_bike_sample"), P.r6(f["f_win_rate_all"]).alias("field_bike_win"), P.r6(f["f_mean_finish_all"]).alias("field_bike_finish"), t["t_sample_all"].alias("track_sample"), P.r6(t["t_win_rate_all"]).alias("track_win"), P.r6(t["t_mean_finish_all"] - f["f_mean_finish_all"]).alias("track_delta_finish"))
-
-
-@query("stat42_head_to_head", """
-, o AS (SELECT *, count(*) OVER (PARTITION BY race_id, player_id) AS k FROM hist WHERE player_id IS NOT NULL), n AS (SELECT *, count(*) OVER (PARTITION BY race_id, player_id) AS k FROM target WHERE player_id IS NOT NULL),
-t AS (SELECT a.entry_id, a.player_id, b.player_id AS other_id, a.cutoff FROM n a JOIN n b ON a.race_id = b.race_id AND a.player_id <> b.player_id AND a.k = 1 AND b.k = 1),
-h AS (SELECT a.player_id, b.player_id AS other_id, a.start_at, a.normal AND b.normal AS ok, a.rank AS ar, b.rank AS br, a.finish_pct - b.finish_pct AS pd, a.residual - b.residual AS rd FROM o a JOIN o b ON a.race_id = b.race_id AND a.player_id <> b.player_id AND a.k = 1 AND b.k = 1)
-SELECT t.entry_id, t.other_id, count(h.ok) AS direct_count, count(*) FILTER (ok) AS normal_count, count(*) FILTER (ok AND ar < br) AS ahead_count, count(*) FILTER (ok AND ar > br) AS behind_count, count(*) FILTER (ok AND ar = br) AS tied_count, round(avg(CAST(ar < br AS INT)) FILTER (ok), 6) AS ahead_rate,
-  round(avg(br - ar) FILTER (ok), 6) AS mean_rank_diff, round(avg(pd) FILTER (ok), 6) AS mean_pct_diff, round(avg(rd) FILTER (ok), 6) AS mean_residual_diff FROM t LEFT JOIN h ON h.player_id = t.player_id AND h.other_id = t.other_id AND h.start_at < t.cutoff GROUP BY t.entry_id, t.other_id
-""")
-def _(spark, sf_dir):
-    return P.head_to_head(domain(spark, sf_dir))
-
-
-_STAGE_SQL = "CASE WHEN contains(race_type, '準決') THEN 'SEMIFINAL' WHEN contains(race_type, '決勝') THEN 'FINAL' WHEN contains(race_type, '一般') THEN 'GENERAL' WHEN contains(race_type, '予選') THEN 'QUALIFYING' ELSE 'OTHER' END"
-
-
-@query("stat33_transitions", f"""
-, e AS (SELECT *, {_STAGE_SQL} AS stage FROM hist WHERE started AND player_id IS NOT NULL),
-s AS (SELECT *, lag(stage) OVER w AS prev_stage, lag(rank) OVER w AS prev_rank, lag(normal) OVER w AS prev_normal FROM e WINDOW w AS (PARTITION BY player_id, meeting_id ORDER BY start_at, race_id, entry_id))
-SELECT prev_stage, stage, count(*) AS steps, round(avg(prev_rank - rank), 6) AS mean_rank_change, count(*) FILTER (prev_rank > rank) AS improved, count(*) FILTER (prev_rank < rank) AS worsened, count(*) FILTER (prev_rank = rank) AS same, count(*) FILTER (prev_rank <= 3 AND rank <= 3) AS top3_kept, round(avg(residual), 6) AS mean_next_residual
-FROM s WHERE normal AND prev_normal GROUP BY prev_stage, stage
-""")
-def _(spark, sf_dir):
-    return P.transitions(domain(spark, sf_dir))
-
-
-@query("stat31_stage_experience", f"""
-, h AS (SELECT *, {_STAGE_SQL} AS stage FROM hist WHERE started)
-SELECT t.entry_id, count(h.entry_id) AS started_count, count(*) FILTER (stage = 'SEMIFINAL') AS semifinal_starts, count(*) FILTER (stage = 'FINAL') AS final_starts, count(*) FILTER (stage IN ('SEMIFINAL', 'FINAL') AND normal) AS late_sample, round(avg(CAST(h.rank = 1 AS INT)) FILTER (stage IN ('SEMIFINAL', 'FINAL') AND normal), 6) AS late_win_rate,
-  round(avg(h.residual) FILTER (stage IN ('SEMIFINAL', 'FINAL')), 6) AS late_mean_residual, CASE WHEN any_value(t.player_id) IS NULL THEN 'MISSING_INPUT' WHEN count(h.entry_id) = 0 THEN 'NO_HISTORY' ELSE 'VALID' END AS status
-FROM target t LEFT JOIN h ON h.player_id = t.player_id AND h.start_at < t.cutoff GROUP BY t.entry_id
-""")
-def _(spark, sf_dir):
-    return P.stage_experience(domain(spark, sf_dir))
+__all__ = ["ORACLE_SQL", "QUERIES"]

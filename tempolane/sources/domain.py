@@ -10,18 +10,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempolane.storage import stored
+
 #: Second of 1995-01-01, the first day of history.
 HISTORY_FROM = 788918400
 DAY = 86400
+#: Finish and score percentiles of races with five to nine entrants are multiples of 1 / UNIT, and mean scores of 1 / (6 UNIT):
+#: sums of the multiples are whole numbers, the same in every order.
+UNIT = 840
 CLASS_TYPES = ("Ａ級予選", "Ａ級一般", "Ｓ級準決勝", "Ｌ級ガールズ", "Ｓ級決勝")
 
 
 @dataclass(frozen=True)
 class Domain:
-    """races: one row a race; entries: one row an entry with its result; both with race columns."""
+    """races: one row a race; entries: one row an entry with its result and its race's columns; history: the past events."""
 
     races: DataFrame
     entries: DataFrame
+    history: DataFrame
 
 
 def seconds_of(day: Column) -> Column:
@@ -65,8 +71,22 @@ def entries(spark: SparkSession, sf_dir: str, race: DataFrame) -> DataFrame:
 
 
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
+    """The tables of one run; every feature reads the same written ones instead of deriving them again."""
     r = races(spark, sf_dir)
-    return Domain(r, entries(spark, sf_dir, r))
+    e = stored(spark, sf_dir, "entries", lambda: entries(spark, sf_dir, r))
+    return Domain(stored(spark, sf_dir, "races", lambda: r), e, stored(spark, sf_dir, "history", lambda: history(e)))
+
+
+def selected(races: DataFrame, race_id: int | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Target races or entries by one race or a range of days; one of both must be given, not both."""
+    if (race_id is None) == (first is None and last is None):
+        raise ValueError("name a race or a range of days, not both")
+    out = eligible(races)
+    if race_id is not None:
+        return out.where(F.col("race_id") == race_id)
+    if first is not None:
+        out = out.where(F.col("race_date") >= F.lit(first).cast("date"))
+    return out if last is None else out.where(F.col("race_date") <= F.lit(last).cast("date"))
 
 
 def eligible(df: DataFrame) -> DataFrame:
@@ -87,7 +107,9 @@ def history(entry: DataFrame) -> DataFrame:
     df = df.withColumn("score_pct", F.when(F.col("whole_scores"), (F.col("entrants") - rank) / (F.col("entrants") - 1)))
     df = df.withColumn("residual", F.col("finish_pct") - F.col("score_pct"))
     means = {"score_mean": F.avg("score"), "score_max": F.max("score"), "score_sd": F.stddev_pop("score")}
-    return df.withColumns({k: F.when(F.col("whole_scores"), v.over(race)) for k, v in means.items()})
+    df = df.withColumns({k: F.when(F.col("whole_scores"), v.over(race)) for k, v in means.items()})
+    units = {"fin_u": F.col("finish_pct") * UNIT, "res_u": F.col("residual") * UNIT, "mean_u": F.col("score_mean") * (6 * UNIT)}
+    return df.withColumns({k: F.round(v).cast("long") for k, v in units.items()})
 
 
 #: The same views for DuckDB; queries append their own statement.
@@ -129,8 +151,9 @@ hist1 AS (
   SELECT *, state = 'NORMAL_FINISH' AS normal, state NOT IN ('DID_NOT_START', 'WITHDRAWN') AS started,
          CASE WHEN state = 'NORMAL_FINISH' THEN (entrants - rank) / (entrants - 1.0) END AS finish_pct,
          CASE WHEN whole_scores THEN (entrants - score_rank) / (entrants - 1.0) END AS score_pct FROM hist0),
-hist AS (
+hist2 AS (
   SELECT * EXCLUDE (s_mean, s_max, s_sd, score_rank), started AND NOT normal AS abnormal, finish_pct - score_pct AS residual,
          CASE WHEN whole_scores THEN s_mean END AS score_mean, CASE WHEN whole_scores THEN s_max END AS score_max, CASE WHEN whole_scores THEN s_sd END AS score_sd
-  FROM hist1)
+  FROM hist1),
+hist AS (SELECT *, CAST(round(finish_pct * 840) AS BIGINT) AS fin_u, CAST(round(residual * 840) AS BIGINT) AS res_u, CAST(round(score_mean * 5040) AS BIGINT) AS mean_u FROM hist2)
 """

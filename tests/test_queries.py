@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tempolane import queries as Q
 from tempolane.operators import evaluation, hashing, merging
-from tempolane.operators.asof import asof_sums, recent
+from tempolane.operators.asof import asof_sums, blocked_sums, recent
 from tempolane.plans.features import stage
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -60,6 +60,21 @@ def test_recent_leaves_the_own_meeting_out(spark):
     assert got == [6, 4, 2]
 
 
+def test_unknown_meetings_exclude_nothing(spark):
+    """Five earlier events without a meeting, a target without one: all are before the meeting."""
+    events = spark.createDataFrame([(1, t, t, t, None) for t in range(5)], "player_id long, start_at long, race_id long, entry_id long, meeting_id long")
+    targets = spark.createDataFrame([(99, 1, 8, None), (98, 1, 8, 7)], "entry_id long, player_id long, cutoff long, meeting_id long")
+    got = [(r["entry_id"], r["race_id"]) for r in recent(targets, events, "player_id", 3, ["race_id"], exclude="meeting_id").collect()]
+    assert sorted(got) == [(k, r) for k in (98, 99) for r in (2, 3, 4)]
+
+
+def test_blocked_sums_equal_plain_ones(spark):
+    events = spark.createDataFrame([(k % 2, k * 400_000, float(k)) for k in range(60)], "k long, start_at long, v double")
+    targets = spark.createDataFrame([(t, t % 2, t * 370_000 + 5) for t in range(70)], "entry_id long, k long, cutoff long")
+    one, two = ({r["entry_id"]: r["s_all"] for r in f.collect()} for f in (asof_sums(targets, events, ["k"], {"s": F.col("v")}, [None]), blocked_sums(targets, events, ["k"], {"s": F.col("v")})))
+    assert one == two and len(one) == 70
+
+
 def test_stage_rules_are_ordered(spark):
     types = ["Ｓ級準決勝", "Ｓ級決勝", "Ａ級一般", "Ａ級予選", "予２", "Ａ級特選", None, " ", "x"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in types], "t string").select(stage(F.col("t"))).collect()]
