@@ -20,7 +20,7 @@ def _(spark, sf_dir):
     return e.select("entry_id", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in E.labels(F.col("result_status"), F.col("rank")).items()))
 
 
-_REASONS = """
+REASONS_SQL = """
 , g AS (SELECT race_id, any_value(entrants) AS entrants, count(*) AS n, count(DISTINCT player_id) AS players, count(player_id) AS known, count(score) AS scores, count(*) FILTER (score <= 0) AS bad, any_value(race_status) AS race_status,
   count(*) FILTER (rank = 1) AS winners, count(*) FILTER (result_status NOT IN ('FINISHED', 'TIED')) AS abnormal FROM target GROUP BY race_id),
 rr AS (SELECT race_id, concat_ws(',', CASE WHEN n <> entrants THEN 'ENTRY_COUNT_MISMATCH' END, CASE WHEN players < known THEN 'DUPLICATE_PLAYER' END, CASE WHEN known < n THEN 'PLAYER_UNRESOLVED' END, CASE WHEN scores < n THEN 'SCORE_MISSING' END,
@@ -28,12 +28,12 @@ rr AS (SELECT race_id, concat_ws(',', CASE WHEN n <> entrants THEN 'ENTRY_COUNT_
 """
 
 
-@query("bt_race_exclusions", _REASONS + " SELECT * FROM rr")
+@query("bt_race_exclusions", REASONS_SQL + " SELECT * FROM rr")
 def _(spark, sf_dir):
     return E.race_reasons(eligible(domain(spark, sf_dir).entries))
 
 
-@query("bt_rank_baseline", _REASONS + """
+@query("bt_rank_baseline", REASONS_SQL + """
 , u AS (SELECT t.*, all_finished, rank() OVER (PARTITION BY race_id ORDER BY score DESC) AS sr FROM target t JOIN rr USING (race_id) WHERE reasons = ''),
 r AS (SELECT race_id, year(race_date) AS year, all_finished, max(CAST(sr = 1 AND coalesce(rank = 1, false) AS INT)) AS hit1, max(CAST(sr <= 3 AND coalesce(rank = 1, false) AS INT)) AS hit3, count(*) FILTER (sr = 1) AS n1, count(*) FILTER (sr <= 3) AS n3 FROM u GROUP BY ALL),
 c AS (SELECT *, 'OPERATIONAL' AS cohort FROM r UNION ALL SELECT *, 'NORMAL_FINISH' FROM r WHERE all_finished)

@@ -17,9 +17,40 @@ def labels(status: Column, rank: Column) -> dict[str, Column]:
     return {n: F.when(lost, F.raise_error(F.lit("finish without a rank")).cast("boolean")).otherwise(finished & (rank <= k)) for n, k in (("is_win", 1), ("is_top2", 2), ("is_top3", 3))}
 
 
+#: Last year that may be evaluated; later ones are the final holdout.
+HOLDOUT_AFTER = 2000
+
+
+def guard_holdout(year: int, last: int = HOLDOUT_AFTER) -> None:
+    """Refuse an evaluation inside the final holdout, before any label is read."""
+    if year > last:
+        raise ValueError(f"evaluation year {year} lies in the final holdout after {last}")
+
+
 def folds(spark, years: Sequence[int], first: int) -> DataFrame:
-    """Walk-forward folds: train from ``first`` to the year before, evaluate in the year."""
-    return spark.createDataFrame([(f"WF_{y}", first, y - 1, y) for y in years], "fold string, train_from int, train_to int, evaluation int")
+    """Walk-forward folds by role: train to the year before, of which the last validates the inner fit, and evaluate the year."""
+    roles = lambda y: (("TRAIN", first, y - 1), ("INNER_FIT", first, y - 2), ("INNER_VALIDATION", y - 1, y - 1), ("EVALUATION", y, y))
+    rows = [(f"WF_{y}", *r) for y in years for r in roles(y)]
+    return spark.createDataFrame(rows, "fold string, role string, first_year int, last_year int")
+
+
+def exclusions(entry: DataFrame) -> DataFrame:
+    """year, race_id, stage and reason: what kept a race from prediction (FEATURE), from its labels (LABEL) or from the cohort of
+    races that all finished (COHORT). Features are judged first; labels take no part in that."""
+    reasons = race_reasons(entry).join(entry.groupBy("race_id").agg(F.first(F.year("race_date")).alias("year")), "race_id")
+    each = reasons.where("reasons <> ''").withColumn("reason", F.explode(F.split("reasons", ",")))
+    stage = F.when(F.col("reason").isin("RESULT_UNCONFIRMED", "NO_WINNER"), "LABEL").otherwise("FEATURE")
+    cohort = reasons.where("reasons = '' AND NOT all_finished").select("year", "race_id", F.lit("COHORT").alias("stage"), F.lit("ABNORMAL_RESULT").alias("reason"))
+    return each.select("year", "race_id", stage.alias("stage"), "reason").unionByName(cohort)
+
+
+def outcome_snapshot(entry: DataFrame) -> DataFrame:
+    """One row per race: its context, its results in order of bike, and whether all rows agree on the context."""
+    row = F.struct("bike", F.concat_ws(":", F.col("bike").cast("string"), F.coalesce(F.col("rank").cast("string"), F.lit("-")), "result_status").alias("text"))
+    g = entry.groupBy(F.year("race_date").alias("year"), "race_id").agg(
+        F.first("entrants").alias("entrants"), F.first("race_status").alias("race_status"), F.count(F.lit(1)).alias("results"), F.array_sort(F.collect_list(row)).alias("rows"), F.countDistinct("bike").alias("bikes"), F.countDistinct("start_at").alias("starts"))
+    good = (F.col("results") == F.col("entrants")) & F.col("entrants").between(5, 9) & (F.col("bikes") == F.col("results")) & (F.col("starts") == 1)
+    return g.select("year", "race_id", "entrants", "race_status", "results", F.array_join(F.transform("rows", lambda x: x["text"]), ",").alias("outcome"), good.alias("consistent"))
 
 
 def race_reasons(entry: DataFrame) -> DataFrame:
@@ -68,3 +99,19 @@ def assign_bins(df: DataFrame, bins: DataFrame, keys: Sequence[str], value: str)
     cuts = bins.where("upper IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list("upper")).alias("_cuts"))
     joined = df.join(cuts, list(keys), "left")
     return joined.withColumn("bin", F.when(F.col(value).isNotNull(), 1 + F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(value))))).drop("_cuts")
+
+
+def category_bins(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One bin for each of a key's few values, from 1 on: in order of number where all are numbers, else of text."""
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("training_count"))
+    number = F.col(value).cast("string").try_cast("double") if hasattr(F.col(value), "try_cast") else F.col(value).cast("double")
+    whole = Window.partitionBy(*keys)
+    numeric = F.min(number.isNotNull()).over(whole)
+    nth = F.row_number().over(whole.orderBy(F.when(F.col("_numeric"), number), F.col(value).cast("string")))
+    return distinct.withColumn("_numeric", numeric).withColumn("bin", nth).drop("_numeric")
+
+
+def assign_categories(df: DataFrame, bins: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Bin of each value; 0 for a value that training did not have, NULL for none."""
+    joined = df.join(F.broadcast(bins.select(*keys, value, "bin")), [*keys, value], "left")  # few bins by definition
+    return joined.withColumn("bin", F.when(F.col(value).isNotNull(), F.coalesce("bin", F.lit(0))))
