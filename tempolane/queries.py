@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempolane.catalog import backtest, features, tables  # noqa: F401  (registers)
+from tempolane.catalog import backtest, documents, features, tables  # noqa: F401  (registers)
 from tempolane.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
