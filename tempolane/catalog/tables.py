@@ -69,24 +69,73 @@ def _(spark, sf_dir):
     return out.groupBy("year", "bin").agg(F.count(F.lit(1)).alias("n"), P.r9(F.avg("y")).alias("win_rate"), P.r9(F.min("v")).alias("least"), P.r9(F.max("v")).alias("most"))
 
 
-@query("hash_row_fingerprints", """
-SELECT entry_id, sha256(concat_ws('|', 'bike=' || 'V' || bike, 'frame=' || coalesce('V' || frame, 'N'), 'player_id=' || coalesce('V' || player_id, 'N'), 'rank=' || coalesce('V' || rank, 'N'), 'score=' || coalesce('V' || format('{:.6f}', CAST(score AS DOUBLE)), 'N'))) AS row_hash FROM target
-""")
+_ROW = "sha256(CAST(to_json({'bike': bike, 'frame': frame, 'player_id': player_id, 'rank': rank, 'score': printf('%.17e', CAST(score AS DOUBLE))}) AS VARCHAR))"
+_SHORT = "sha256(CAST(to_json({'entry_id': entry_id, 'rank': rank}) AS VARCHAR))"
+
+
+def tree_sql(source: str, key: str) -> str:
+    """The tree of fingerprints of ``source`` (key, h): leaves of four digits, then two, then the key."""
+    return f"""
+l4 AS (SELECT {key}, substr(h, 1, 4) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM {source} GROUP BY {key}, substr(h, 1, 4)),
+l2 AS (SELECT {key}, substr(p, 1, 2) AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h, sum(n) AS n FROM l4 GROUP BY {key}, substr(p, 1, 2)),
+fp AS (SELECT {key}, CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(h, chr(10) ORDER BY p)) AS fingerprint FROM l2 GROUP BY {key})"""
+
+
+@query("hash_row_fingerprints", f"SELECT entry_id, {_ROW} AS row_hash FROM target")
 def _(spark, sf_dir):
     e = eligible(domain(spark, sf_dir).entries)
     return e.select("entry_id", H.row_hash(e, ["score", "rank", "player_id", "frame", "bike"]).alias("row_hash"))
 
 
-@query("hash_manifest_by_year", """
-, h AS (SELECT year(race_date) AS year, sha256(concat_ws('|', 'entry_id=V' || entry_id, 'rank=' || coalesce('V' || rank, 'N'))) AS h FROM target),
-p AS (SELECT year, substr(h, 1, 2) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY year, p)
-SELECT year, CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(h, chr(10) ORDER BY p)) AS fingerprint FROM p GROUP BY year
-""")
+@query("hash_manifest_by_year", f", h AS (SELECT year(race_date) AS year, {_SHORT} AS h FROM target), {tree_sql('h', 'year')} SELECT * FROM fp")
 def _(spark, sf_dir):
     e = eligible(domain(spark, sf_dir).entries).withColumn("year", F.year("race_date"))
     return H.fingerprints(e, ["year"], ["entry_id", "rank"])
 
 
+@query("hash_manifest_by_class", f"""
+, h AS (SELECT substr(race_type, 1, 2) AS class, year(race_date) AS year, {_SHORT} AS h FROM target), {tree_sql('h', 'class, year')}
+SELECT class, count(*) AS parts, CAST(sum(row_count) AS BIGINT) AS row_count, sha256(string_agg(fingerprint, chr(10) ORDER BY year)) AS manifest FROM fp GROUP BY class
+""")
+def _(spark, sf_dir):
+    e = eligible(domain(spark, sf_dir).entries).withColumns({"year": F.year("race_date"), "class": F.substring("race_type", 1, 2)})
+    return H.manifest(H.fingerprints(e, ["class", "year"], ["entry_id", "rank"]), ["class"], ["year"])
+
+
+@query("hash_player_chains", """
+, h AS (SELECT player_id, start_at, race_id, entry_id, sha256(CAST(to_json({'entry_id': entry_id, 'rank': rank}) AS VARCHAR)) AS h FROM hist WHERE normal AND player_id IS NOT NULL)
+SELECT player_id, count(*) AS events, list_reduce(list_prepend('', list(h ORDER BY start_at, race_id, entry_id)), lambda x, y: sha256(x || y)) AS chain FROM h GROUP BY player_id
+""")
+def _(spark, sf_dir):
+    h = domain(spark, sf_dir).history.where("normal AND player_id IS NOT NULL")
+    return H.chain(h.withColumn("h", H.row_hash(h, ["entry_id", "rank"])), ["player_id"], ["start_at", "race_id", "entry_id"], "h")
+
+
+@query("hash_input", f"""
+, c AS (SELECT entry_id, player_id, sha256(CAST(to_json({{'cutoff': cutoff, 'entry_id': entry_id, 'player_id': player_id}}) AS VARCHAR)) AS context_hash, cutoff FROM target),
+h AS (SELECT player_id, start_at, race_id, entry_id, {_SHORT} AS h FROM hist WHERE player_id IS NOT NULL), l AS (SELECT player_id, list(h ORDER BY start_at, race_id, entry_id) AS l FROM h GROUP BY player_id),
+k AS (SELECT c.entry_id, any_value(context_hash) AS context_hash, any_value(c.player_id) AS player_id, count(h.h) AS k FROM c LEFT JOIN h ON h.player_id = c.player_id AND h.start_at < c.cutoff GROUP BY c.entry_id),
+s AS (SELECT entry_id, context_hash, k, CASE WHEN k = 0 THEN '' ELSE list_reduce(list_prepend('', l[1:k]), lambda x, y: sha256(x || y)) END AS history_hash FROM k LEFT JOIN l USING (player_id))
+SELECT entry_id, context_hash, k AS events, history_hash, sha256(context_hash || history_hash) AS input_hash FROM s
+""")
+def _(spark, sf_dir):
+    d = domain(spark, sf_dir)
+    e = eligible(d.entries)
+    past = d.history.withColumn("h", H.row_hash(d.history, ["entry_id", "rank"]))
+    return H.input_hashes(e, past, ["cutoff", "entry_id", "player_id"])
+
+
+@query("hash_drift", f"""
+, a AS (SELECT year(race_date) AS year, {_SHORT} AS h FROM target), b AS (SELECT year, h FROM a WHERE year <> 1997 UNION ALL SELECT 2050, h FROM a WHERE year = 1997)
+SELECT year, CASE year WHEN 2050 THEN 'ADDED' ELSE 'REMOVED' END AS change FROM (VALUES (1997), (2050)) v(year)
+""")
+def _(spark, sf_dir):
+    e = eligible(domain(spark, sf_dir).entries).withColumn("year", F.year("race_date"))
+    after = e.withColumn("year", F.when(F.col("year") == 1997, 2050).otherwise(F.col("year")))
+    one, two = (H.fingerprints(x, ["year"], ["entry_id", "rank"]) for x in (e, after))
+    return H.drift(one, two, ["year"]).select("year", "change")
+
+
 @query("merge_upsert_customers", """
 WITH n AS (SELECT o_custkey AS c_custkey, CASE WHEN max(o_totalprice) > 300000 THEN NULL ELSE max(o_totalprice) END AS bal, 'SEEN' AS seg FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey)
 SELECT coalesce(c.c_custkey, n.c_custkey) AS c_custkey, round(coalesce(bal, c_acctbal), 9) AS c_acctbal, CASE WHEN n.c_custkey IS NOT NULL THEN seg ELSE c_mktsegment END AS c_mktsegment FROM customer c FULL JOIN n ON c.c_custkey = n.c_custkey

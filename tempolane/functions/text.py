@@ -78,8 +78,8 @@ def fixed2(c: Column) -> Column:
 
 def positive_number(c: Column) -> Column:
     """A text as a positive finite double, else NULL."""
-    x = F.try_to_number(c, F.lit("S999999999999.999999")).cast("double")
-    return F.when(x > 0, x)
+    x = c.try_cast("double")
+    return F.when((x > 0) & (x < float("inf")) & ~F.isnan(x), x)
 
 
 def whole_number(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Content hashes: canonical rows, ordered row sets, cumulative chains."""
+"""Content hashes: canonical rows, ordered row sets, cumulative chains, manifests."""
 
 from __future__ import annotations
 
@@ -7,31 +7,73 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempolane.operators.asof import asof_sums
+
 
 def canonical(columns: Sequence[str], dtypes: dict[str, str]) -> Column:
-    """Canonical text of a row: columns in order of name, NULL as an empty field marked N, doubles with six digits."""
+    """Canonical JSON of a row: keys in order, NULLs kept, strings escaped, so that different rows have different texts.
+
+    Floating-point numbers are text with seventeen digits after the point, which no two different numbers share.
+    """
 
     def one(name: str) -> Column:
         c = F.col(name)
-        text = F.when(c.isNotNull(), F.format_string("%.6f", c.cast("double"))) if dtypes[name] in ("double", "float") or dtypes[name].startswith("decimal") else c.cast("string")
-        return F.concat(F.lit(f"{name}="), F.coalesce(F.concat(F.lit("V"), text), F.lit("N")))
+        return F.format_string("%.17e", c.cast("double")).alias(name) if dtypes[name] in ("double", "float") else c.alias(name)
 
-    return F.concat_ws("|", *(one(c) for c in sorted(columns)))
+    # format_string gives the text null for NULL.
+    kept = [F.when(F.col(n).isNotNull(), one(n)).alias(n) for n in sorted(columns)]
+    return F.to_json(F.struct(*kept), {"ignoreNullFields": "false"})
 
 
 def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
-    """SHA-256 of the canonical text."""
+    """SHA-256 of the canonical JSON."""
     return F.sha2(canonical(columns, dict(df.dtypes)), 256)
 
 
-def fingerprints(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def fingerprints(df: DataFrame, key: Sequence[str], columns: Sequence[str], levels: Sequence[int] = (4, 2)) -> DataFrame:
     """For each key: number of rows and the hash of its row hashes in order; the order of the rows doesn't matter.
 
-    Hashes first meet in groups of their first two digits, so that a large key is no single long list.
+    Hashes meet in a fixed tree of their leading digits, so that a large key is never one long list: ``levels`` are the digits
+    of each level from the leaves up. (6, 4, 2) keeps a leaf of ten billion rows below a thousand hashes.
+    """
+    level = df.select(*key, row_hash(df, columns).alias("h")).withColumns({"p": F.col("h"), "n": F.lit(1).cast("long")})
+    for digits in levels:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"])
+        level = level.groupBy(*key, F.substring("p", 1, digits).alias("q")).agg(F.sha2(F.concat_ws("\n", ordered), 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("q", "p")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"])
+    return level.groupBy(*key).agg(F.sum("n").alias("row_count"), F.sha2(F.concat_ws("\n", ordered), 256).alias("fingerprint"))
+
+
+def manifest(fingerprint: DataFrame, scope: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """For each scope: the hash of its parts' fingerprints in the parts' order, with the number of parts and rows."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*parts, "fingerprint"))), lambda x: x["fingerprint"])
+    return fingerprint.groupBy(*scope).agg(F.count(F.lit(1)).alias("parts"), F.sum("row_count").alias("row_count"), F.sha2(F.concat_ws("\n", ordered), 256).alias("manifest"))
+
+
+def chain(events: DataFrame, key: Sequence[str], order: Sequence[str], event_hash: str) -> DataFrame:
+    """For each key: the hash of the previous hash and the event's, through all its events in order.
+
+    A chain is sequential by definition, so a key's events are one array.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(*order, event_hash)))
+    folded = F.aggregate(ordered, F.lit(""), lambda a, x: F.sha2(F.concat(a, x[event_hash]), 256))
+    return events.groupBy(*key).agg(F.count(F.lit(1)).alias("events"), folded.alias("chain"))
+
+
+def input_hashes(targets: DataFrame, events: DataFrame, context: Sequence[str], subject: str = "player_id", id_col: str = "entry_id") -> DataFrame:
+    """For each target: the hash of its context, that of its subject's events before the cutoff, and of both.
+
+    The history's hash is the chain's state after the last event before the cutoff, so no target gathers its history: a subject's
+    states are computed once and looked up by the number of events.
     """
-    hashed = df.select(*key, row_hash(df, columns).alias("h"))
-    part = hashed.groupBy(*key, F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("h"))), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return part.groupBy(*key).agg(F.sum("n").alias("row_count"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"])), 256).alias("fingerprint"))
+    ordered = F.array_sort(F.collect_list(F.struct("start_at", "race_id", id_col, "h")))
+    step = lambda a, x: F.concat(F.array(F.sha2(F.concat(F.coalesce(F.get(a, F.lit(0)), F.lit("")), x["h"]), 256)), a)
+    states = events.where(F.col(subject).isNotNull()).groupBy(subject).agg(F.aggregate(ordered, F.array().cast("array<string>"), step, F.reverse).alias("states"))
+    states = states.select(subject, F.posexplode("states").alias("n", "history_hash")).withColumn("events", (F.col("n") + 1).cast("long")).drop("n")
+    seen = asof_sums(targets, events, [subject], {"n": F.lit(1)}, [None])
+    own = targets.select(id_col, subject, row_hash(targets, context).alias("context_hash")).join(seen, id_col, "left").withColumn("events", F.coalesce("n_all", F.lit(0.0)).cast("long"))
+    out = own.join(states, [subject, "events"], "left").withColumn("history_hash", F.coalesce("history_hash", F.lit("")))
+    return out.select(id_col, "context_hash", "events", "history_hash", F.sha2(F.concat("context_hash", "history_hash"), 256).alias("input_hash"))
 
 
 def drift(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -36,18 +36,55 @@ def can_follow(current, new):
 
 
 def fold_status(updates: DataFrame, key: str, order: str, status: str) -> DataFrame:
-    """The status after all updates of a key in order, illegal ones rejected, and the numbers of both kinds."""
+    """The status after all updates of a key in order, illegal ones rejected, the numbers of both kinds, and the order value of the
+    first confirmation that still holds (a correction keeps it, any other status clears it).
+
+    A key's updates are one array: a race has a handful in its life, and the fold needs them in order.
+    """
     seq = updates.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, status))).alias("u"))
-    zero = F.struct(F.lit("UNAVAILABLE").alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"))
+    order_type = dict(updates.dtypes)[order]
+    zero = F.struct(F.lit("UNAVAILABLE").alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"), F.lit(None).cast(order_type).alias("confirmed_at"))
 
     def step(acc, u):
         ok = can_follow(acc["status"], u[status])
-        return F.struct(F.when(ok, u[status]).otherwise(acc["status"]).alias("status"), (acc["applied"] + ok.cast("int")).alias("applied"), (acc["rejected"] + (~ok).cast("int")).alias("rejected"))
+        now = F.when(ok, u[status]).otherwise(acc["status"])
+        confirmed = F.when(now.isin("CONFIRMED", "CORRECTED"), F.coalesce(acc["confirmed_at"], u[order]))
+        return F.struct(now.alias("status"), (acc["applied"] + ok.cast("int")).alias("applied"), (acc["rejected"] + (~ok).cast("int")).alias("rejected"), confirmed.alias("confirmed_at"))
 
-    return seq.withColumn("x", F.aggregate("u", zero, step)).select(key, "x.status", F.col("x.applied").cast("long").alias("applied"), F.col("x.rejected").cast("long").alias("rejected"))
+    return seq.withColumn("x", F.aggregate("u", zero, step)).select(key, "x.status", F.col("x.applied").cast("long").alias("applied"), F.col("x.rejected").cast("long").alias("rejected"), "x.confirmed_at")
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The row of each key that comes last in order."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def renumbered(days: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
+    """Days with their number 1..n by date, and the first and last day of their group."""
+    w = Window.partitionBy(*keys)
+    return days.withColumns({"day_number": F.row_number().over(w.orderBy(day)), "starts_on": F.min(day).over(w), "ends_on": F.max(day).over(w)})
+
+
+def reconcile_days(stored: DataFrame, wanted: DataFrame, used: DataFrame, key: str, day: str) -> DataFrame:
+    """Days of a meeting after reconciliation: wanted ones are added, others go unless races use them; then renumbered."""
+    keep = stored.select(key, day).join(used.select(key, day).distinct(), [key, day], "left_semi")
+    days = keep.unionByName(wanted.select(key, day)).distinct()
+    return renumbered(days, [key], day)
+
+
+def link_players(entries: DataFrame, players: DataFrame, name_key) -> tuple[DataFrame, DataFrame]:
+    """Unresolved entries (external_id, name) with the player of that number whose name agrees; conflicts are set apart."""
+    open_ = entries.where("player_id IS NULL AND external_id IS NOT NULL").drop("player_id")
+    p = players.select(F.col("external_id"), F.col("player_id"), F.col("name").alias("player_name"))
+    met = open_.join(p, "external_id")
+    same = name_key(F.col("name")).eqNullSafe(name_key(F.col("player_name"))) | F.col("name").isNull()
+    return met.where(same).drop("player_name"), met.where(~same)
+
+
+def run_accounting(items: DataFrame, run: str) -> DataFrame:
+    """Per run: attempts, outcomes and the run's status."""
+    count = lambda s: F.count_if(F.col("outcome") == s)
+    g = items.groupBy(run).agg(F.count(F.lit(1)).alias("attempts"), count("SUCCESS").alias("success"), count("SKIPPED").alias("skipped"), count("FAILURE").alias("failure"))
+    status = F.when(F.col("failure") == 0, "SUCCEEDED").when(F.col("success") + F.col("skipped") > 0, "PARTIALLY_FAILED").otherwise("FAILED")
+    return g.withColumn("status", status)
