@@ -20,7 +20,7 @@ SELECT race_id, entry_id, bike, n AS valid_count, missing AS missing_count, inva
   CASE WHEN score IS NULL THEN 'MISSING_INPUT' WHEN score <= 0 THEN 'INVALID_INPUT' WHEN actual <> entrants OR missing + invalid > 0 OR player_id IS NULL THEN 'PARTIAL' ELSE 'VALID' END AS status,
   CASE WHEN player_id IS NULL THEN 'DEGRADED' WHEN actual <> entrants OR missing + invalid > 0 THEN 'PARTIAL' ELSE 'FULL' END AS quality,
   concat_ws(',', CASE WHEN actual <> entrants THEN 'ENTRY_COUNT_MISMATCH' END, CASE WHEN player_id IS NULL THEN 'PLAYER_ID_UNRESOLVED' END, CASE WHEN score IS NULL THEN 'RACE_SCORE_MISSING' WHEN score <= 0 THEN 'RACE_SCORE_NON_POSITIVE_UNRESOLVED' END, CASE WHEN sd = 0 THEN 'ZERO_VARIANCE' END) AS reasons,
-  CASE WHEN close_at IS NOT NULL THEN 'SALES_CLOSE' ELSE 'SCHEDULED_START' END AS cutoff_source, cutoff FROM h
+  CASE WHEN close_at IS NOT NULL THEN 'SALES_CLOSE' WHEN start_at IS NOT NULL THEN 'SCHEDULED_START' ELSE 'MISSING' END AS cutoff_source, cutoff FROM h
 """)
 def _(spark, sf_dir):
     return P.group_relative(domain(spark, sf_dir))
@@ -29,12 +29,12 @@ def _(spark, sf_dir):
 @query("stat41_group_structure", """
 , g AS (SELECT *, CASE WHEN score > 0 THEN score END AS v FROM target),
 n AS (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY v DESC NULLS LAST, entry_id) AS nth FROM g),
-a AS (SELECT race_id, any_value(entrants) AS entrants, count(*) AS actual, count(v) AS u, count(*) FILTER (score IS NULL) AS missing, count(*) FILTER (score <= 0) AS invalid, avg(v) AS mean, min(v) AS lowest, max(v) AS highest, stddev_pop(v) AS sd,
+a AS (SELECT race_id, any_value(entrants) AS entrants, count(*) AS actual, count(v) AS u, count(*) FILTER (score IS NULL) AS missing, count(*) FILTER (score <= 0) AS invalid, avg(v) AS mean, min(v) AS lowest, max(v) AS highest, stddev_pop(v) AS sd, var_pop(v) AS variance,
   median(v) AS median, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, mad(v) AS mad, max(v) FILTER (nth = 1) AS t1, max(v) FILTER (nth = 2) AS t2, max(v) FILTER (nth = 3) AS t3, max(v) FILTER (nth = 4) AS t4 FROM n GROUP BY race_id),
 p AS (SELECT x.race_id, count(*) AS k, avg(abs(x.v - y.v)) AS gm, max(abs(x.v - y.v)) AS gx, min(abs(x.v - y.v)) AS gi FROM n x JOIN n y ON x.race_id = y.race_id AND x.nth < y.nth WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY x.race_id),
 t AS (SELECT n.race_id, count(*) AS ties FROM n JOIN a USING (race_id) WHERE v = highest GROUP BY n.race_id),
 s AS (SELECT *, CASE WHEN u = 0 AND invalid > 0 THEN 'INVALID_INPUT' WHEN u = 0 THEN 'MISSING_INPUT' WHEN u = 1 OR actual <> entrants OR missing + invalid > 0 THEN 'PARTIAL' ELSE 'VALID' END AS status FROM a LEFT JOIN p USING (race_id) LEFT JOIN t USING (race_id))
-SELECT race_id, u AS usable_count, missing AS missing_count, invalid AS invalid_count, round(u / CAST(entrants AS DOUBLE), 9) AS coverage, round(mean, 9) AS mean, round(lowest, 9) AS lowest, round(highest, 9) AS highest, round(sd, 9) AS sd, round(median, 9) AS median,
+SELECT race_id, u AS usable_count, missing AS missing_count, invalid AS invalid_count, round(u / CAST(entrants AS DOUBLE), 9) AS coverage, round(mean, 9) AS mean, round(lowest, 9) AS lowest, round(highest, 9) AS highest, round(sd, 9) AS sd, round(variance, 9) AS variance, round(median, 9) AS median,
   round(q25, 9) AS q25, round(q75, 9) AS q75, round(mad, 9) AS mad, round(q75 - q25, 9) AS iqr, round(highest - lowest, 9) AS spread, round(sd / mean, 9) AS variation, round(t1 - t2, 9) AS gap_1_2, round(t1 - t3, 9) AS gap_1_3, round(t2 - t3, 9) AS gap_2_3, round(t3 - t4, 9) AS gap_3_4,
   ties AS ties_at_top, coalesce(k, 0) AS pair_count, round(gm, 9) AS pair_gap_mean, round(gx, 9) AS pair_gap_max, round(gi, 9) AS pair_gap_min, status, CASE WHEN status = 'VALID' THEN 'FULL' ELSE 'PARTIAL' END AS quality FROM s
 """)

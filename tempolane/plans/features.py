@@ -91,7 +91,7 @@ def group_relative(d: Domain) -> DataFrame:
         r9(F.when(good, F.when(F.col("n") > 1, (F.col("n") - F.col("score_rank")) / (F.col("n") - 1)).otherwise(1.0))).alias("strength_pct"),
         r9(F.when(good, own - F.col("mean"))).alias("diff_mean"), r9(F.when(good, F.col("max") - own)).alias("gap_max"), r9(F.col("mean")).alias("race_mean"), r9(F.col("sd")).alias("race_sd"),
         r9(F.when(good & (F.col("sd") > 0), (own - F.col("mean")) / F.col("sd"))).alias("z_score"),
-        status.alias("status"), verdict.alias("quality"), reasons.alias("reasons"), F.when(F.col("close_at").isNotNull(), "SALES_CLOSE").otherwise("SCHEDULED_START").alias("cutoff_source"), "cutoff",
+        status.alias("status"), verdict.alias("quality"), reasons.alias("reasons"), F.when(F.col("close_at").isNotNull(), "SALES_CLOSE").when(F.col("start_at").isNotNull(), "SCHEDULED_START").otherwise("MISSING").alias("cutoff_source"), "cutoff",
     )
 
 
@@ -103,7 +103,7 @@ def group_structure(d: Domain) -> DataFrame:
     e = e.withColumn("usable", F.when(good, F.col("score"))).withColumn("nth", F.when(good, F.row_number().over(top)))
     g = e.groupBy("race_id").agg(
         F.first("entrants").alias("entrants"), F.count(F.lit(1)).alias("actual"), F.count("usable").alias("usable_count"), F.count_if(F.col("score").isNull()).alias("missing_count"), F.count_if(F.col("score") <= 0).alias("invalid_count"),
-        F.avg("usable").alias("mean"), F.min("usable").alias("lowest"), F.max("usable").alias("highest"), F.stddev_pop("usable").alias("sd"), F.median("usable").alias("median"),
+        F.avg("usable").alias("mean"), F.min("usable").alias("lowest"), F.max("usable").alias("highest"), F.stddev_pop("usable").alias("sd"), F.var_pop("usable").alias("variance"), F.median("usable").alias("median"),
         F.percentile("usable", F.lit(0.25)).alias("q25"), F.percentile("usable", F.lit(0.75)).alias("q75"), F.array_sort(F.collect_list("usable")).alias("all"),
         *(F.max(F.when(F.col("nth") == k, F.col("usable"))).alias(f"t{k}") for k in (1, 2, 3, 4)),
     )
@@ -114,7 +114,7 @@ def group_structure(d: Domain) -> DataFrame:
     status = status_ladder([((u == 0) & (F.col("invalid_count") > 0), "INVALID_INPUT"), (u == 0, "MISSING_INPUT"), ((u == 1) | (F.col("actual") != F.col("entrants")) | (F.col("missing_count") + F.col("invalid_count") > 0), "PARTIAL")])
     mean_gap = F.when(F.size("gaps") > 0, F.aggregate("gaps", F.lit(0.0), lambda a, x: a + x) / F.size("gaps"))
     return g.select(
-        "race_id", "usable_count", "missing_count", "invalid_count", r9(u / F.col("entrants")).alias("coverage"), *(r9(F.col(c)).alias(c) for c in ("mean", "lowest", "highest", "sd", "median", "q25", "q75", "mad")),
+        "race_id", "usable_count", "missing_count", "invalid_count", r9(u / F.col("entrants")).alias("coverage"), *(r9(F.col(c)).alias(c) for c in ("mean", "lowest", "highest", "sd", "variance", "median", "q25", "q75", "mad")),
         r9(F.col("q75") - F.col("q25")).alias("iqr"), r9(F.col("highest") - F.col("lowest")).alias("spread"), r9(F.when(F.col("mean") != 0, F.col("sd") / F.col("mean"))).alias("variation"),
         *(r9(F.col(f"t{a}") - F.col(f"t{b}")).alias(f"gap_{a}_{b}") for a, b in ((1, 2), (1, 3), (2, 3), (3, 4))), F.when(u > 0, F.col("ties_at_top")).alias("ties_at_top"),
         F.size("gaps").cast("long").alias("pair_count"), r9(mean_gap).alias("pair_gap_mean"), r9(F.array_max("gaps")).alias("pair_gap_max"), r9(F.array_min("gaps")).alias("pair_gap_min"), status.alias("status"), F.when(status == "VALID", "FULL").otherwise("PARTIAL").alias("quality"),

@@ -11,7 +11,7 @@ from tempolane.operators import evaluation, hashing, merging
 from tempolane.operators.asof import asof_sums, blocked_sums, recent
 from tempolane.plans.features import stage
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events pages".split()
 
 
 @pytest.fixture(scope="session")
@@ -29,6 +29,8 @@ def plain(v):
         return int(v)
     if isinstance(v, (int, str)):
         return v
+    if isinstance(v, (list, tuple)):
+        return tuple(plain(x) for x in v)
     try:
         return round(float(v), 6)
     except (TypeError, ValueError):
