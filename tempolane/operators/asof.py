@@ -61,15 +61,15 @@ def asof(targets: DataFrame, events: DataFrame, requests: Sequence[Request], by:
         for f, group in ((F.max, r.highs), (F.min, r.lows)):
             running += [F.when(known, f(f"{r.prefix}{n}").over(before)).alias(f"{r.prefix}{n}") for n in group]
     at = line.select(by, "_id", "_d", *running).where("_id IS NOT NULL")
-    needed = {(f"{r.prefix}{n}", d) for r in requests for n in r.sums for d in {0, *(x for x in r.days if x is not None)}}
-    needed |= {(f"{r.prefix}{n}", 0) for r in requests for n in (*r.highs, *r.lows)}
-    wide = at.groupBy(by, "_id").agg(*(F.max(F.when(F.col("_d") == d, F.col(n))).alias(f"_{n}_{d}") for n, d in sorted(needed)))
+    # A target's borders as one short array in order; a wide table of conditional maxima would be too large to be compiled.
+    spread = at.groupBy(by, "_id").agg(F.array_sort(F.collect_list(F.struct("_d", F.array(*names).alias("v")))).alias("_b"))
+    value = lambda n, d: F.col("_b")[borders.index(d)]["v"][names.index(n)]
     shown = []
     for r in requests:
         for n in (f"{r.prefix}{x}" for x in r.sums):
-            shown += [(F.col(f"_{n}_0") if d is None else F.col(f"_{n}_0") - F.col(f"_{n}_{d}")).alias(f"{n}_{name_of(d)}") for d in r.days]
-        shown += [F.col(f"_{r.prefix}{n}_0").alias(f"{r.prefix}{n}") for n in (*r.highs, *r.lows)]
-    return wide.select(F.col("_id").alias(id_col), *shown)
+            shown += [(value(n, 0) if d is None else value(n, 0) - value(n, d)).alias(f"{n}_{name_of(d)}") for d in r.days]
+        shown += [value(f"{r.prefix}{n}", 0).alias(f"{r.prefix}{n}") for n in (*r.highs, *r.lows)]
+    return spread.select(F.col("_id").alias(id_col), *shown)
 
 
 def asof_sums(targets: DataFrame, events: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], days: Sequence[int | None], id_col: str = "entry_id", cutoff: str = "cutoff", time: str = "start_at", prefix: str = "") -> DataFrame:
