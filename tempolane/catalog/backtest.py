@@ -214,3 +214,94 @@ def _(spark, sf_dir):
     quality = scored.groupBy("model").agg(P.r9(F.avg(E.log_loss(F.col("probability"), F.col("label")))).alias("log_loss"), P.r9(F.avg((F.col("probability") - F.col("label")) ** 2)).alias("brier"), F.count(F.lit(1)).alias("evaluated"))
     penalty = spark.createDataFrame(list(chosen.items()), "model string, penalty double")
     return final.join(penalty, "model").join(quality, "model", "left")
+
+
+COHORTS = ("STRICT", "OPERATIONAL")
+
+
+def signal_rows(spark, sf_dir) -> DataFrame:
+    """Entries of usable races with baseline, signal and labels, for every incremental statistic and cohort: (stat, cohort, ...).
+
+    STRICT takes races of which every entry has the signal, OPERATIONAL every entry that has it.
+    """
+    from tempolane.catalog.audits import signals
+
+    rows = predictions(spark, sf_dir).drop("label", "scope")
+    e = eligible(domain(spark, sf_dir).entries).select("entry_id", *(F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in E.labels(F.col("result_status"), F.col("rank")).items()))
+    own = signals(spark, sf_dir).where("role = 'ENTRY_INCREMENTAL' AND status = 'VALID' AND signal IS NOT NULL").select("entry_id", "stat", "signal")
+    met = rows.join(e, "entry_id").join(own, "entry_id")
+    size = rows.groupBy("race_id").agg(F.count(F.lit(1)).alias("size"))
+    whole = met.groupBy("stat", "race_id").agg(F.count(F.lit(1)).alias("k")).join(size, "race_id").where("k = size").select("stat", "race_id")
+    strict = met.join(whole, ["stat", "race_id"], "left_semi").withColumn("cohort", F.lit("STRICT"))
+    return strict.unionByName(met.withColumn("cohort", F.lit("OPERATIONAL")))
+
+
+_SIGNAL_ROWS = REASONS_SQL + """
+, sg AS (SELECT * FROM ({signals}) WHERE role = 'ENTRY_INCREMENTAL' AND status = 'VALID' AND signal IS NOT NULL),
+us AS (SELECT t.*, count(*) OVER (PARTITION BY race_id) AS size FROM target t JOIN rr USING (race_id) WHERE reasons = ''),
+mt AS (SELECT us.entry_id, us.race_id, year(race_date) AS year, stat, size, count(*) OVER (PARTITION BY stat, us.race_id) AS k FROM us JOIN sg USING (entry_id)),
+sr AS (SELECT *, 'OPERATIONAL' AS cohort FROM mt UNION ALL SELECT *, 'STRICT' FROM mt WHERE k = size)
+"""
+
+
+def _grid_sql() -> str:
+    from tempolane.catalog.audits import _SIGNALS_SQL
+
+    return _SIGNAL_ROWS.replace("{signals}", _SIGNALS_SQL) + _FOLDS_SQL + """
+SELECT fold, stat, cohort, role, count(*) AS entries, count(DISTINCT race_id) AS races FROM sr JOIN f ON year BETWEEN a AND b GROUP BY ALL
+"""
+
+
+@query("bt_scope_grid", _grid_sql())
+def _(spark, sf_dir):
+    """Rows and races of every scope (fold x statistic x cohort) and role."""
+    fold = F.broadcast(E.folds(spark, YEARS, FIRST))
+    rows = signal_rows(spark, sf_dir).join(fold, F.col("year").between(F.col("first_year"), F.col("last_year")))
+    return rows.groupBy("fold", "stat", "cohort", "role").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("race_id").alias("races"))
+
+
+PENALTY = 1.0
+
+
+def matrix_rows(spark, sf_dir) -> DataFrame:
+    """Training and evaluation rows of all models: fold x statistic x cohort x label x (baseline, incremental)."""
+    fold = F.broadcast(E.folds(spark, YEARS, FIRST).where("role IN ('TRAIN', 'EVALUATION')"))
+    rows = signal_rows(spark, sf_dir).join(fold, F.col("year").between(F.col("first_year"), F.col("last_year")))
+    rows = rows.withColumn("s", F.log("baseline")).withColumn("t", F.col("signal"))
+    scaled = R.standardised(rows, rows.where("role = 'TRAIN'"), ["fold", "stat", "cohort"], ["s", "t"])
+    target = F.explode(F.array(*(F.struct(F.lit(n).alias("target"), F.col(n).alias("label")) for n in ("is_win", "is_top2", "is_top3"))))
+    kind = F.explode(F.array(F.struct(F.lit("BASELINE").alias("kind"), F.array("s").alias("x")), F.struct(F.lit("INCREMENTAL").alias("kind"), F.array("s", "t").alias("x"))))
+    each = scaled.withColumn("l", target).withColumn("m", kind)
+    return each.select(F.concat_ws("/", "fold", "stat", "cohort", "l.target").alias("scope"), "role", "race_id", "entry_id", "signal", F.col("l.label").alias("label"), F.col("m.kind").alias("kind"), F.col("m.x").alias("x")).withColumn("model", F.concat_ws("/", "scope", "kind"))
+
+
+def scored_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All models at once, the evaluation rows with both models' probabilities, and the training rows."""
+    from tempolane.storage import materialise
+
+    rows = materialise(matrix_rows(spark, sf_dir), "bt-matrix")
+    models = R.fit(rows.where("role = 'TRAIN'"), PENALTY, 2)
+    scored = R.score(rows.where("role = 'EVALUATION'"), models.where("status LIKE 'CONVERGED%'"))
+    one, two = (scored.where(F.col("kind") == k).select("scope", "race_id", "entry_id", "label", "signal", F.col("probability").alias(n)) for k, n in (("BASELINE", "baseline"), ("INCREMENTAL", "incremental")))
+    return models, one.join(two.select("scope", "entry_id", "incremental"), ["scope", "entry_id"]), rows
+
+
+@query("bt_signal_matrix")
+def _(spark, sf_dir):
+    """Every scope and label: both models, and log loss, Brier and their differences on the evaluation year."""
+    models, pairs, _ = scored_pairs(spark, sf_dir)
+    sums = B.race_sums(pairs, ["scope"]).groupBy("scope").agg(*(F.sum(c).alias(c) for c in ("rows", "positives", "log_delta", "brier_delta")))
+    wide = models.groupBy(F.regexp_replace("model", "/[A-Z]+$", "").alias("scope")).agg(F.count(F.lit(1)).alias("models"), F.count_if(F.col("status").startswith("CONVERGED")).alias("converged"))
+    return wide.join(sums, "scope", "left").select("scope", "models", "converged", "rows", "positives", P.r9(F.col("log_delta") / F.col("rows")).alias("log_loss_delta"), P.r9(F.col("brier_delta") / F.col("rows")).alias("brier_delta"))
+
+
+@query("bt_signal_replay")
+def _(spark, sf_dir):
+    """Stored models scored again, signals cut by the training bins, and the effect of each bin with its interval."""
+    _, pairs, rows = scored_pairs(spark, sf_dir)
+    win = lambda df: df.where(F.col("scope").endswith("is_win"))
+    training = win(rows.where("role = 'TRAIN' AND kind = 'BASELINE'")).select("scope", F.col("signal").alias("v"))
+    bins = E.decile_bins(training, ["scope"], "v")
+    binned = E.assign_bins(win(pairs).withColumn("v", F.col("signal")), bins, ["scope"], "v")
+    out = B.bin_effects(binned, bins, BOOTSTRAP)
+    return out.select("scope", "bin", "evaluation", "rows", "races", *(P.r9(F.col(f"{n}{e}")).alias(f"{n}{e}") for n in B.EFFECTS for e in ("", "_lower", "_upper")))
