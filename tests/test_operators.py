@@ -197,3 +197,15 @@ def test_months_and_days_get_the_nearest_year():
     assert D.near_year(12, 30, date(2024, 1, 2)) == date(2023, 12, 30) and D.near_year(1, 2, date(2023, 12, 30)) == date(2024, 1, 2)
     with pytest.raises(D.ParseError):
         D.near_year(2, 30, date(2024, 1, 2))
+
+
+def test_stream_of_updates_merges_by_key(spark, tmp_path):
+    from tempolane.streaming.updates import current, merge_stream
+
+    schema = "k long, at long, v double"
+    source, table, checkpoint = (str(tmp_path / x) for x in ("in", "table", "checkpoint"))
+    for rows in ([(1, 1, 1.0), (1, 2, 2.0), (2, 1, 5.0)], [(1, 3, None), (3, 1, 7.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        merge_stream(spark.readStream.schema(schema).parquet(source), table, checkpoint, ["k"], "at", ["v"]).awaitTermination(60)
+    got = current(spark, table, spark.createDataFrame([], schema).schema)
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 2.0), (2, 1, 5.0), (3, 1, 7.0)]
