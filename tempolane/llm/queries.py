@@ -16,6 +16,7 @@ from tempolane.llm.likelihood import score_documents
 from tempolane.llm.near import near_duplicates
 from tempolane.llm.packing import best_fit
 from tempolane.llm.pieces import encode_decode
+from tempolane.llm.resampling import resample
 from tempolane.llm.rules import quality_rules
 from tempolane.llm.shared import read
 
@@ -65,6 +66,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +91,30 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_importance_resampling": r"""
+        WITH crc_table AS (
+            SELECT list(c ORDER BY b) AS t FROM (
+                SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+        words AS (
+            SELECT doc_id, 0 AS side, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+            UNION ALL
+            SELECT NULL, 1, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+        vocabulary AS (
+            SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)),
+        hashed AS (
+            SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i::INT + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+            FROM vocabulary, crc_table),
+        counted AS (SELECT doc_id, side, bucket, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY ALL),
+        sums AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM counted GROUP BY bucket),
+        totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS sa, coalesce(sum(t), 0)::DOUBLE AS ta FROM sums),
+        gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (sa + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (ta + 10000))))::BIGINT AS gain FROM sums, totals),
+        weighed AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM counted JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+        scored AS (
+            SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM documents LEFT JOIN weighed USING (doc_id)),
+        placed AS (
+            SELECT *, n_features >= 20 AS eligible, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= drawn THEN place END AS rank FROM placed
+    """,
 }
