@@ -19,6 +19,7 @@ from tempolane.llm.pieces import encode_decode
 from tempolane.llm.resampling import resample
 from tempolane.llm.rules import quality_rules
 from tempolane.llm.shared import read
+from tempolane.llm.vectors import compress
 
 #: Place of the merge-type vocabulary file; a parameter of every operator that uses it.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -70,6 +71,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_counts": op2_token_counts,
@@ -82,8 +87,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _assign(k: int) -> str:
+    return f"""
+        assigned{k} AS (
+            SELECT vec_id, p, any_value(m.v) AS v, min(64 * list_sum(list_transform(range(1, len(m.v) + 1), lambda i: (m.v[i] - b.v[i]) * (m.v[i] - b.v[i]))) + entry)::BIGINT AS best
+            FROM parts m JOIN book{k} b USING (p) GROUP BY vec_id, p)"""
+
+
+def _update(k: int) -> str:
+    return f"""
+        sums{k} AS (SELECT p, best % 64 AS entry, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS mean FROM assigned{k}, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) GROUP BY ALL),
+        book{k + 1} AS (
+            SELECT p, entry, coalesce(new, v) AS v
+            FROM book{k} LEFT JOIN (SELECT p, entry, list(mean ORDER BY i) AS new FROM sums{k} GROUP BY p, entry) USING (p, entry))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -117,4 +139,16 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, n_features >= 20 AS eligible, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS drawn FROM scored)
         SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= drawn THEN place END AS rank FROM placed
     """,
+    "op13_vector_codes": f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT vec_id, p, ints[p * len(ints) // 16 + 1 : (p + 1) * len(ints) // 16] AS v FROM kept, range(16) r(p)),
+        book0 AS (SELECT p, entry, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 64) USING (vec_id)),
+        {_assign(0)}, {_update(0)}, {_assign(1)}, {_update(1)}, {_assign(2)},
+        coded AS (SELECT vec_id, string_agg(lower(lpad(hex(best % 64), 2, '0')), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM assigned2 GROUP BY vec_id),
+        digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book2)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (vec_id), digest
+    """,
 }
