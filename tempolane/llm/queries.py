@@ -16,6 +16,7 @@ from tempolane.llm.likelihood import score_documents
 from tempolane.llm.near import near_duplicates
 from tempolane.llm.packing import best_fit
 from tempolane.llm.pieces import encode_decode
+from tempolane.llm.private import span_report
 from tempolane.llm.resampling import resample
 from tempolane.llm.rules import quality_rules
 from tempolane.llm.shared import read
@@ -71,6 +72,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(read(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(read(spark, sf_dir, "embeddings"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_personal_data": op12_personal_data,
     "op13_vector_codes": op13_vector_codes,
 }
 
