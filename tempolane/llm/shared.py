@@ -14,6 +14,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Lists that note the tables made while they are open; see :func:`noted`.
 _OPEN: list[list[str]] = []
@@ -25,8 +26,10 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only when the session names none."""
+    """The cluster's shared folder; where the session names none, a local one, and an error unless all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or _own_dir()).rstrip("/")
 
 
@@ -108,9 +111,21 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, total: in
     return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(facts.where(F.col(size) <= HOT_SHARE * total), key))
 
 
+def hashable(value: Column, kind: DataType) -> Column:
+    """``value`` with every map, at any depth, as its entries in order: Spark hashes no maps, whose order means nothing."""
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(hashable(e["key"], kind.keyType).alias("key"), hashable(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries)
+    if isinstance(kind, ArrayType) and "map<" in kind.simpleString():
+        return F.transform(value, lambda x: hashable(x, kind.elementType))
+    if isinstance(kind, StructType) and "map<" in kind.simpleString():
+        return F.when(value.isNotNull(), F.struct(*(hashable(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
+    return value
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``_key``: the id and a 128-bit hash of all columns. Rows with one key are equal in every column."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [hashable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields]
     # The first argument seeds the hash of all that follow.
     hashes = [F.xxhash64(F.lit(seed), *columns, *(c.isNull() for c in columns)) for seed in (0, 1)]
     return docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), hashes[0].alias("h1"), hashes[1].alias("h2")))
