@@ -18,8 +18,10 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only when the session names none (tests, a laptop)."""
+    """The folder in ``spark.checkpoint.dir``; where the session names none, a local one, and an error unless all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or _own_dir()).rstrip("/")
 
 
