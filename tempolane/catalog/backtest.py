@@ -1,7 +1,7 @@
 """Walk-forward evaluation queries: folds, exclusions, paired metrics, effects, models; and their SQL.
 
-The bootstrap queries evaluate closed-form predictions, so that SQL can state them: a score's share of its race's scores, and
-the mean of that and an even share. They run BOOTSTRAP replicates; the operators' own default is the full number.
+The bootstrap queries over closed-form predictions (a score's share of its race's scores, and the mean of that and an even share)
+can be stated in SQL; those over fitted models are tested against plain loops. All run the full number of replicates.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from tempolane.operators import ridge as R
 from tempolane.plans import features as P
 from tempolane.registry import query
 from tempolane.sources.domain import domain, eligible
+from tempolane.storage import materialise, stored
 
-BOOTSTRAP = 200
+BOOTSTRAP = B.ITERATIONS
 YEARS, FIRST = (1998, 1999, 2000), 1996
 _ROLES = [(f"WF_{y}", role, a, b) for y in YEARS for role, a, b in (("TRAIN", FIRST, y - 1), ("INNER_FIT", FIRST, y - 2), ("INNER_VALIDATION", y - 1, y - 1), ("EVALUATION", y, y))]
 _FOLDS_SQL = f", f(fold, role, a, b) AS (VALUES {', '.join(map(str, _ROLES))})"
@@ -86,9 +87,10 @@ def _draws_sql(races: str) -> str:
     return f"""
 , pl AS (SELECT scope, race_id, row_number() OVER (PARTITION BY scope ORDER BY race_id) - 1 AS place FROM {races}),
 sz AS (SELECT scope, count(*) AS n FROM pl GROUP BY scope),
-pw AS (SELECT list(a ORDER BY j) AS l FROM (WITH RECURSIVE p(j, a) AS (SELECT 0, CAST({B.A} AS BIGINT) UNION ALL SELECT j + 1, a * a % {B.M} FROM p WHERE j < 40) SELECT * FROM p)),
+lo AS (SELECT list(a ORDER BY j) AS l FROM (WITH RECURSIVE p(j, a) AS (SELECT 0, CAST(1 AS BIGINT) UNION ALL SELECT j + 1, a * {B.A} % {B.M} FROM p WHERE j < 2047) SELECT * FROM p)),
+hi AS (SELECT list(a ORDER BY j) AS h FROM (WITH RECURSIVE p(j, a) AS (SELECT 0, CAST(1 AS BIGINT) UNION ALL SELECT j + 1, a * {pow(B.A, 2048, B.M)} % {B.M} FROM p WHERE j < (SELECT max(n) * {BOOTSTRAP} // 2048 + 1 FROM sz)) SELECT * FROM p)),
 dk AS (SELECT scope, n, unnest(range(1, n * {BOOTSTRAP} + 1)) AS k FROM sz),
-dr AS (SELECT scope, (k - 1) // n AS replicate, list_reduce(list_prepend(CAST({B.SEED} AS BIGINT), list_transform(list_filter(range(0, 40), lambda j: (k >> j) & 1 = 1), lambda j: l[j + 1])), lambda x, y: x * y % {B.M}) % n AS place FROM dk, pw),
+dr AS (SELECT scope, (k - 1) // n AS replicate, {B.SEED} * h[k // 2048 + 1] % {B.M} * l[k % 2048 + 1] % {B.M} % n AS place FROM dk, lo, hi),
 dw AS (SELECT scope, replicate, race_id, count(*) AS w FROM dr JOIN pl USING (scope, place) GROUP BY ALL)
 """
 
@@ -222,8 +224,12 @@ COHORTS = ("STRICT", "OPERATIONAL")
 def signal_rows(spark, sf_dir) -> DataFrame:
     """Entries of usable races with baseline, signal and labels, for every incremental statistic and cohort: (stat, cohort, ...).
 
-    STRICT takes races of which every entry has the signal, OPERATIONAL every entry that has it.
+    STRICT takes races of which every entry has the signal, OPERATIONAL every entry that has it. Written once for an application.
     """
+    return stored(spark, sf_dir, "signal-rows", lambda: _signal_rows(spark, sf_dir))
+
+
+def _signal_rows(spark, sf_dir) -> DataFrame:
     from tempolane.catalog.audits import signals
 
     rows = predictions(spark, sf_dir).drop("label", "scope")
@@ -239,7 +245,7 @@ def signal_rows(spark, sf_dir) -> DataFrame:
 _SIGNAL_ROWS = REASONS_SQL + """
 , sg AS (SELECT * FROM ({signals}) WHERE role = 'ENTRY_INCREMENTAL' AND status = 'VALID' AND signal IS NOT NULL),
 us AS (SELECT t.*, count(*) OVER (PARTITION BY race_id) AS size FROM target t JOIN rr USING (race_id) WHERE reasons = ''),
-mt AS (SELECT us.entry_id, us.race_id, year(race_date) AS year, stat, size, count(*) OVER (PARTITION BY stat, us.race_id) AS k FROM us JOIN sg USING (entry_id)),
+mt AS (SELECT us.entry_id, us.race_id, year(race_date) AS year, stat, signal, size, count(*) OVER (PARTITION BY stat, us.race_id) AS k FROM us JOIN sg USING (entry_id)),
 sr AS (SELECT *, 'OPERATIONAL' AS cohort FROM mt UNION ALL SELECT *, 'STRICT' FROM mt WHERE k = size)
 """
 
@@ -255,53 +261,110 @@ SELECT fold, stat, cohort, role, count(*) AS entries, count(DISTINCT race_id) AS
 @query("bt_scope_grid", _grid_sql())
 def _(spark, sf_dir):
     """Rows and races of every scope (fold x statistic x cohort) and role."""
-    fold = F.broadcast(E.folds(spark, YEARS, FIRST))
-    rows = signal_rows(spark, sf_dir).join(fold, F.col("year").between(F.col("first_year"), F.col("last_year")))
+    rows = grid_rows(spark, sf_dir)
     return rows.groupBy("fold", "stat", "cohort", "role").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("race_id").alias("races"))
 
 
-PENALTY = 1.0
+TARGETS = ("is_win", "is_top2", "is_top3")
+
+
+def grid_rows(spark, sf_dir) -> DataFrame:
+    """Signal rows of every fold, statistic, cohort and role."""
+    fold = F.broadcast(E.folds(spark, YEARS, FIRST))
+    return signal_rows(spark, sf_dir).join(fold, F.col("year").between(F.col("first_year"), F.col("last_year")))
+
+
+SCOPE = ["fold", "stat", "cohort"]
+_NATURAL = r"regexp_replace(regexp_replace({0}, '([0-9]+)', '00000000000000000000\1', 'g'), '0*([0-9]{{20}})', '\1', 'g')"
+_TEXT = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+
+
+def _signal_bins_sql() -> str:
+    from tempolane.catalog.audits import _SIGNALS_SQL
+
+    return _SIGNAL_ROWS.replace("{signals}", _SIGNALS_SQL) + _FOLDS_SQL + f"""
+, tv AS (SELECT fold, stat, cohort, CAST(signal AS DOUBLE) + 0.0 AS v FROM sr JOIN f ON role = 'TRAIN' AND year BETWEEN a AND b),
+dv AS (SELECT fold, stat, cohort, v, count(*) AS k FROM tv GROUP BY ALL), ds AS (SELECT fold, stat, cohort, count(*) AS d FROM dv GROUP BY ALL),
+cb AS (SELECT fold, stat, cohort, v, row_number() OVER (PARTITION BY fold, stat, cohort ORDER BY {_NATURAL.format(_TEXT.format('v'))}) AS bin, {_TEXT.format('v')} AS category, k FROM dv JOIN ds USING (fold, stat, cohort) WHERE d <= 10),
+cq AS (SELECT fold, stat, cohort, list_sort(list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS c FROM tv JOIN ds USING (fold, stat, cohort) WHERE d > 10 GROUP BY ALL),
+rb AS (SELECT *, unnest(range(1, len(c) + 2)) AS bin FROM cq)
+"""
+
+
+@query("bt_signal_bins", _signal_bins_sql() + """
+SELECT fold, stat, cohort, bin, 'CATEGORY' AS kind, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper, category, k AS training_count FROM cb
+UNION ALL
+SELECT fold, stat, cohort, rb.bin, 'NUMERIC_RANGE', round(c[rb.bin - 1], 9), round(c[rb.bin], 9), NULL, count(tv.v) FROM rb LEFT JOIN tv USING (fold, stat, cohort)
+WHERE tv.v IS NULL OR 1 + len(list_filter(c, lambda x: x < v)) = rb.bin GROUP BY fold, stat, cohort, rb.bin, c
+""")
+def _(spark, sf_dir):
+    """Bins of every fold, statistic and cohort from its training signals: categories where there are few values, else deciles."""
+    bins = E.effect_bins(grid_rows(spark, sf_dir).where("role = 'TRAIN'"), SCOPE, "signal")
+    return bins.select(*SCOPE, "bin", "kind", P.r9(F.col("lower")).alias("lower"), P.r9(F.col("upper")).alias("upper"), "category", "training_count")
+
+
+@query("bt_signal_bin_rows", _signal_bins_sql() + """
+, ev AS (SELECT fold, stat, cohort, race_id, CAST(signal AS DOUBLE) + 0.0 AS v FROM sr JOIN f ON role = 'EVALUATION' AND year BETWEEN a AND b),
+eb AS (SELECT ev.*, CASE WHEN c IS NOT NULL THEN 1 + len(list_filter(c, lambda x: x < ev.v)) ELSE coalesce(cb.bin, 0) END AS bin FROM ev JOIN ds USING (fold, stat, cohort) LEFT JOIN cq USING (fold, stat, cohort) LEFT JOIN cb ON (cb.fold, cb.stat, cb.cohort, cb.v) = (ev.fold, ev.stat, ev.cohort, ev.v))
+SELECT fold, stat, cohort, bin, count(*) AS entries, count(DISTINCT race_id) AS races FROM eb GROUP BY ALL
+""")
+def _(spark, sf_dir):
+    """Evaluation rows in the bins of the training signals; 0 holds categories that training did not have."""
+    rows = grid_rows(spark, sf_dir)
+    bins = E.effect_bins(rows.where("role = 'TRAIN'"), SCOPE, "signal")
+    met = E.assign_effect_bins(rows.where("role = 'EVALUATION'"), bins, SCOPE, "signal").where("bin IS NOT NULL")
+    return met.groupBy(*SCOPE, "bin").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("race_id").alias("races"))
 
 
 def matrix_rows(spark, sf_dir) -> DataFrame:
-    """Training and evaluation rows of all models: fold x statistic x cohort x label x (baseline, incremental)."""
-    fold = F.broadcast(E.folds(spark, YEARS, FIRST).where("role IN ('TRAIN', 'EVALUATION')"))
-    rows = signal_rows(spark, sf_dir).join(fold, F.col("year").between(F.col("first_year"), F.col("last_year")))
-    rows = rows.withColumn("s", F.log("baseline")).withColumn("t", F.col("signal"))
-    scaled = R.standardised(rows, rows.where("role = 'TRAIN'"), ["fold", "stat", "cohort"], ["s", "t"])
-    target = F.explode(F.array(*(F.struct(F.lit(n).alias("target"), F.col(n).alias("label")) for n in ("is_win", "is_top2", "is_top3"))))
-    kind = F.explode(F.array(F.struct(F.lit("BASELINE").alias("kind"), F.array("s").alias("x")), F.struct(F.lit("INCREMENTAL").alias("kind"), F.array("s", "t").alias("x"))))
-    each = scaled.withColumn("l", target).withColumn("m", kind)
-    return each.select(F.concat_ws("/", "fold", "stat", "cohort", "l.target").alias("scope"), "role", "race_id", "entry_id", "signal", F.col("l.label").alias("label"), F.col("m.kind").alias("kind"), F.col("m.x").alias("x")).withColumn("model", F.concat_ws("/", "scope", "kind"))
+    """Rows of all models: fold x statistic x cohort x label x (baseline, incremental), for each role.
 
+    Inner rows are standardised by the inner fit, the others by all training rows, as each is all that its models may know.
+    """
+    rows = grid_rows(spark, sf_dir).withColumn("s", F.col("v")).withColumn("t", F.col("signal"))
+    inner = R.standardised(rows.where("role LIKE 'INNER%'"), rows.where("role = 'INNER_FIT'"), SCOPE, ["s", "t"])
+    outer = R.standardised(rows.where("role NOT LIKE 'INNER%'"), rows.where("role = 'TRAIN'"), SCOPE, ["s", "t"])
+    target = F.explode(F.array(*(F.struct(F.lit(n).alias("target"), F.col(n).alias("label")) for n in TARGETS)))
+    kind = F.explode(F.array(F.struct(F.lit("BASELINE").alias("kind"), F.array("s").alias("x")), F.struct(F.lit("INCREMENTAL").alias("kind"), F.array("s", "t").alias("x"))))
+    each = inner.unionByName(outer).withColumn("l", target).withColumn("m", kind)
+    return each.select(*SCOPE, F.concat_ws("/", *SCOPE, "l.target").alias("scope"), "role", "race_id", "entry_id", "signal", F.col("l.label").alias("label"), F.col("m.kind").alias("kind"), F.col("m.x").alias("x")).withColumn("model", F.concat_ws("/", "scope", "kind"))
 
-def scored_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All models at once, the evaluation rows with both models' probabilities, and the training rows."""
-    from tempolane.storage import materialise
 
-    rows = materialise(matrix_rows(spark, sf_dir), "bt-matrix")
-    models = R.fit(rows.where("role = 'TRAIN'"), PENALTY, 2)
+def fitted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All models, each at the penalty of its own inner validation; the rows they were made of; and the evaluation rows with both
+    models' probabilities. Made once for an application."""
+    rows = stored(spark, sf_dir, "bt-matrix", lambda: matrix_rows(spark, sf_dir))
+    role = lambda r: rows.where(F.col("role") == r).select("model", "label", "x")
+    models = stored(spark, sf_dir, "bt-models", lambda: R.fit_chosen(role("TRAIN"), role("INNER_FIT"), role("INNER_VALIDATION"), 2))
     scored = R.score(rows.where("role = 'EVALUATION'"), models.where("status LIKE 'CONVERGED%'"))
-    one, two = (scored.where(F.col("kind") == k).select("scope", "race_id", "entry_id", "label", "signal", F.col("probability").alias(n)) for k, n in (("BASELINE", "baseline"), ("INCREMENTAL", "incremental")))
-    return models, one.join(two.select("scope", "entry_id", "incremental"), ["scope", "entry_id"]), rows
+    p = lambda k: F.max(F.when(F.col("kind") == k, F.col("probability")))
+    pairs = scored.groupBy(*SCOPE, "scope", "race_id", "entry_id", "label", "signal").agg(p("BASELINE").alias("baseline"), p("INCREMENTAL").alias("incremental"))
+    return models, rows, pairs.where("baseline IS NOT NULL AND incremental IS NOT NULL")
 
 
 @query("bt_signal_matrix")
 def _(spark, sf_dir):
-    """Every scope and label: both models, and log loss, Brier and their differences on the evaluation year."""
-    models, pairs, _ = scored_pairs(spark, sf_dir)
-    sums = B.race_sums(pairs, ["scope"]).groupBy("scope").agg(*(F.sum(c).alias(c) for c in ("rows", "positives", "log_delta", "brier_delta")))
-    wide = models.groupBy(F.regexp_replace("model", "/[A-Z]+$", "").alias("scope")).agg(F.count(F.lit(1)).alias("models"), F.count_if(F.col("status").startswith("CONVERGED")).alias("converged"))
-    return wide.join(sums, "scope", "left").select("scope", "models", "converged", "rows", "positives", P.r9(F.col("log_delta") / F.col("rows")).alias("log_loss_delta"), P.r9(F.col("brier_delta") / F.col("rows")).alias("brier_delta"))
+    """Every scope and label: both models' penalties, and AUC, log loss and Brier with the interval of their difference."""
+    models, _, pairs = fitted(spark, sf_dir)
+    side = lambda k, c: F.max(F.when(F.col("model").endswith(k), F.col(c)))
+    wide = models.groupBy(F.regexp_replace("model", "/[A-Z]+$", "").alias("scope")).agg(*(side(k, c).alias(f"{k.lower()}_{c}") for k in ("BASELINE", "INCREMENTAL") for c in ("status", "penalty")))
+    sizes = pairs.groupBy("scope").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("race_id").alias("races"))
+    metrics = B.paired_metrics(pairs)
+    out = wide.withColumn("metric", F.explode(F.array(*map(F.lit, ("AUC", "LOG_LOSS", "BRIER"))))).join(metrics, ["scope", "metric"], "left").join(sizes, "scope", "left")
+    return out.select("scope", "metric", *(f"{k}_{c}" for k in ("baseline", "incremental") for c in ("status", "penalty")), *(P.r9(F.col(c)).alias(c) for c in ("baseline", "incremental", "delta", "ci_lower", "ci_upper")), "replicates", "rows", "races")
 
 
 @query("bt_signal_replay")
 def _(spark, sf_dir):
-    """Stored models scored again, signals cut by the training bins, and the effect of each bin with its interval."""
-    _, pairs, rows = scored_pairs(spark, sf_dir)
-    win = lambda df: df.where(F.col("scope").endswith("is_win"))
-    training = win(rows.where("role = 'TRAIN' AND kind = 'BASELINE'")).select("scope", F.col("signal").alias("v"))
-    bins = E.decile_bins(training, ["scope"], "v")
-    binned = E.assign_bins(win(pairs).withColumn("v", F.col("signal")), bins, ["scope"], "v")
-    out = B.bin_effects(binned, bins, BOOTSTRAP)
-    return out.select("scope", "bin", "evaluation", "rows", "races", *(P.r9(F.col(f"{n}{e}")).alias(f"{n}{e}") for n in B.EFFECTS for e in ("", "_lower", "_upper")))
+    """Stored models scored again over the evaluation years, for every scope and label: the effect of each bin of the training
+    signals with its intervals, and its centred residual on draws of all races. Bin 0 (unseen category) shows where it has rows."""
+    _, rows, pairs = fitted(spark, sf_dir)
+    training = rows.where("role = 'TRAIN' AND kind = 'BASELINE'").dropDuplicates([*SCOPE, "entry_id"])
+    bins = stored(spark, sf_dir, "bt-bins", lambda: E.effect_bins(training, SCOPE, "signal"))
+    met = materialise(E.assign_effect_bins(pairs, bins, SCOPE, "signal"), "bt-replay")
+    target = F.explode(F.array(*map(F.lit, TARGETS)))
+    every = bins.withColumn("target", target).select(F.concat_ws("/", *SCOPE, "target").alias("scope"), "bin").union(met.where("bin = 0").select("scope", "bin").distinct())
+    effects, centred = B.bin_effects(met, every), B.centred_residuals(met, every)
+    out = effects.join(centred, ["scope", "bin"], "left")
+    numbers = [f"{n}{e}" for n in B.EFFECTS for e in ("", "_lower", "_upper")] + ["overall_mean", "centred_mean", "ci_lower", "ci_upper"]
+    return out.select("scope", "bin", "evaluation", "rows", "races", *(P.r9(F.col(c)).alias(c) for c in numbers), "state", "valid_replicates")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempolane.storage import materialise
+
 EPSILON = 1e-15
 
 
@@ -87,13 +89,99 @@ def auc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame
     return g.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auc"), F.col("p").cast("long").alias("positives"), F.col("n").cast("long").alias("negatives"))
 
 
+#: Slots of a histogram that narrows a quantile down.
+SLOTS = 1024
+
+
+def order_statistics(values: DataFrame, keys: Sequence[str], ranks: DataFrame) -> DataFrame:
+    """``ranks`` (keys, rank from 0) with ``at``: the value with that rank among the key's ``v``.
+
+    All ranks of all keys narrow down together. A rank knows a range that holds its value and how many values lie below; a pass
+    counts the values of each open range in SLOTS slots, with the least and greatest of each slot, and the slot in which the rank
+    falls is the next range. It ends when a range is one value. A pass leaves at most SLOTS rows a range, so no task ever holds
+    the values of a key. Keys and values are not NULL; ``values`` is read once a pass.
+    """
+    keys = list(keys)
+    bounds = values.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    states = materialise(ranks.join(bounds, keys).withColumn("below", F.lit(0).cast("long")), "ranks")
+    while not states.where("lo < hi").isEmpty():
+        wide = states.where("lo < hi")
+        ranges = wide.select(*keys, "lo", "hi", "below").distinct()
+        # Halves, so that the widest range of doubles does not overflow.
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        slot = F.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), SLOTS - 1).otherwise(F.least(F.lit(SLOTS - 1), F.floor(share * SLOTS)).cast("int"))
+        inside = values.join(ranges, keys).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        counted = inside.groupBy(*keys, "lo", "hi", slot.alias("slot")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.sum("c").over(Window.partitionBy(*keys, "lo", "hi").orderBy("slot"))
+        met = wide.join(counted.withColumn("upto", upto), [*keys, "lo", "hi"]).where((F.col("rank") - F.col("below") < F.col("upto")) & (F.col("rank") - F.col("below") >= F.col("upto") - F.col("c")))
+        narrowed = met.select(*keys, "rank", F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("below") + F.col("upto") - F.col("c")).alias("below"))
+        states = materialise(states.where("lo >= hi").select(*narrowed.columns).unionByName(narrowed), "ranks")
+    return states.select(*keys, "rank", F.col("lo").alias("at"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(keys, share, quantile): exact Type-7 quantiles, linear on (n - 1) x share, of all keys at once. NULL and NaN don't count."""
+    keys = list(keys)
+    values = materialise(df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("v")), "values")
+    n = values.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("last"))
+    wanted = n.select(*keys, "last", F.explode(F.array(*map(F.lit, shares))).alias("share")).withColumn("place", F.col("last") * F.col("share"))
+    wanted = wanted.withColumn("rank", F.floor("place")).withColumn("next", F.least(F.col("rank") + 1, F.col("last")))
+    ranks = wanted.select(*keys, F.explode(F.array("rank", "next")).alias("rank")).distinct()
+    found = order_statistics(values, keys, ranks)
+    two = wanted.join(found.withColumnRenamed("at", "a"), [*keys, "rank"]).join(found.select(*keys, F.col("rank").alias("next"), F.col("at").alias("b")), [*keys, "next"])
+    return two.select(*keys, "share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.col("rank"))).alias("quantile"))
+
+
 def decile_bins(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Right-closed decile bins of each key: bin 1.. with bounds; equal borders are one; outermost bounds are open (NULL)."""
-    cuts = df.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(k / 10) for k in range(1, 10)))).alias("c")).withColumn("c", F.array_distinct("c"))
+    cuts = quantiles(df, keys, value, [k / 10 for k in range(1, 10)]).groupBy(*keys).agg(F.array_sort(F.collect_set("quantile")).alias("c"))
     each = cuts.select(*keys, "c", F.posexplode(F.concat("c", F.array(F.lit(None).cast("double")))).alias("i", "upper"))
     return each.select(*keys, (F.col("i") + 1).alias("bin"), F.when(F.col("i") > 0, F.get("c", F.col("i") - 1)).alias("lower"), "upper")
 
 
+def natural(text: Column) -> Column:
+    """A text to sort by, in which runs of digits (up to 20) compare as numbers and everything else as it stands."""
+    return F.regexp_replace(F.regexp_replace(text, "([0-9]+)", "00000000000000000000$1"), "0*([0-9]{20})", "$1")
+
+
+def number_text(value: Column) -> Column:
+    """A number as text: whole numbers without a point."""
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+
+
+#: With more distinct training values than this, bins are ranges.
+CATEGORIES = 10
+
+
+def effect_bins(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Bins of each key's training values: one for each value in natural order of its text where there are at most CATEGORIES, else
+    decile ranges. (keys, bin, kind, lower, upper, category, training_count)"""
+    keys = list(keys)
+    values = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("v"))
+    counted = materialise(values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("training_count")), "distinct")
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"))
+    few = counted.join(sizes.where(F.col("_distinct") <= CATEGORIES), keys).withColumn("category", number_text(F.col("v")))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(natural(F.col("category"))))
+    none = F.lit(None).cast("double")
+    categories = few.select(*keys, nth.alias("bin"), F.lit("CATEGORY").alias("kind"), none.alias("lower"), none.alias("upper"), "category", "training_count")
+    many = values.join(sizes.where(F.col("_distinct") > CATEGORIES).select(*keys), keys, "left_semi")
+    ranges = decile_bins(many, keys, "v")
+    held = assign_bins(counted.join(sizes.where(F.col("_distinct") > CATEGORIES).select(*keys), keys, "left_semi"), ranges, keys, "v").groupBy(*keys, "bin").agg(F.sum("training_count").alias("training_count"))
+    ranges = ranges.join(held, [*keys, "bin"], "left").select(*keys, "bin", F.lit("NUMERIC_RANGE").alias("kind"), "lower", "upper", F.lit(None).cast("string").alias("category"), F.coalesce("training_count", F.lit(0)).alias("training_count"))
+    return categories.unionByName(ranges)
+
+
+def assign_effect_bins(df: DataFrame, bins: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``df`` with bin: the value's range or category, 0 for a category that training did not have, NULL for no value. A key's few
+    bins travel as one row."""
+    keys = list(keys)
+    own = bins.groupBy(*keys).agg(F.max("kind").alias("_kind"), F.array_sort(F.collect_list("upper")).alias("_cuts"), F.map_from_entries(F.collect_list(F.when(F.col("kind") == "CATEGORY", F.struct("category", "bin")))).alias("_categories"))
+    v = F.col(value).cast("double") + F.lit(0.0)
+    ranged = 1 + F.size(F.filter("_cuts", lambda c: c < v))
+    bin_ = F.when(v.isNull() | F.isnan(v) | F.col("_kind").isNull(), F.lit(None).cast("int")).when(F.col("_kind") == "CATEGORY", F.coalesce(F.try_element_at("_categories", number_text(v)), F.lit(0))).otherwise(ranged)
+    return df.join(own, keys, "left").withColumn("bin", bin_).drop("_kind", "_cuts", "_categories")
+
+
 def assign_bins(df: DataFrame, bins: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Bin of each value: lower < v <= upper. A key's few borders travel as one array, so no range join is needed."""
     cuts = bins.where("upper IS NOT NULL").groupBy(*keys).agg(F.array_sort(F.collect_list("upper")).alias("_cuts"))

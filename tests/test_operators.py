@@ -59,21 +59,19 @@ def sequential(n, iterations, seed):
         yield out
 
 
-def test_draws_equal_the_sequential_stream(spark, monkeypatch):
-    monkeypatch.setattr(B, "BLOCK", 7)
-    scopes = spark.createDataFrame([("s", 5), ("t", 3)], "scope string, n long")
-    got = {}
-    for r in B.draws(scopes, 6, 99).collect():
-        got[r["scope"], r["replicate"], r["place"]] = got.get((r["scope"], r["replicate"], r["place"]), 0) + r["weight"]
-    want = {}
-    for scope, n in (("s", 5), ("t", 3)):
-        for b, places in enumerate(sequential(n, 6, 99)):
-            for p in places:
-                want[scope, b, p] = want.get((scope, b, p), 0) + 1
-    assert got == want
-
-
-def test_paired_metrics_equal_naive_replicates(spark):
+def test_draws_equal_the_sequential_stream(monkeypatch):
+    monkeypatch.setattr(B, "CELLS", 7)
+    for n, wanted in ((5, [0, 2, 4]), (3, [0, 1, 2]), (20, list(range(20)))):
+        got = np.concatenate([w for _, w in B.weight_chunks(n, np.array(wanted), 6, 99)])
+        want = np.array([np.bincount(places, minlength=n) for places in sequential(n, 6, 99)])[:, wanted]
+        assert (got == want).all() and [f for f, _ in B.weight_chunks(n, np.array(wanted), 6, 99)][0] == 0
+
+
+@pytest.mark.parametrize(("places", "rows_held"), [(1 << 16, 200_000), (4, 5)])
+def test_paired_metrics_equal_naive_replicates(spark, monkeypatch, places, rows_held):
+    """Also in blocks of four races and five rows: sums add up, and no tie is cut."""
+    monkeypatch.setattr(B, "PLACES", places)
+    monkeypatch.setattr(B, "ROWS", rows_held)
     r = random.Random(5)
     rows = [("s", race, int(k == 0), r.random(), r.choice([0.2, 0.4, 0.6])) for race in range(3, 15) for k in range(4)]
     df = spark.createDataFrame(rows, "scope string, race_id long, label int, baseline double, incremental double")
@@ -109,6 +107,82 @@ def test_category_bins_in_natural_order(spark):
     assert {(r["v"], r["bin"]) for r in E.assign_categories(probe, bins, ["g"], "v").collect()} == {("9", 2), ("C", 0), (None, None)}
 
 
+@pytest.mark.parametrize("slots", [2, 1024])
+def test_quantiles_narrow_down_to_the_exact_value(spark, monkeypatch, slots):
+    monkeypatch.setattr(E, "SLOTS", slots)
+    r = random.Random(8)
+    groups = {"ties": [1.0] * 500 + [2.0] * 3, "one": [-0.0], "two": [3.5, -1e300], "wide": [-1.7e308, 1.7e308, 0.0, 5e-324, 1e-300], "close": [1 + k * 2**-52 for k in range(40)], "many": [r.gauss(0, 1) ** 3 for _ in range(3000)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("many", None), ("many", float("nan"))]
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(x["g"], x["share"]): x["quantile"] for x in E.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", shares).collect()}
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        for p in shares:
+            h = (len(vs) - 1) * p
+            k = int(h)
+            want = vs[k] + (vs[min(k + 1, len(vs) - 1)] - vs[k]) * (h - k)
+            assert got[g, p] == want or abs(got[g, p] - want) <= 1e-12 * abs(want), (g, p)
+    assert len(got) == len(groups) * len(shares)
+    assert E.quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", shares).count() == 0
+
+
+def test_effect_bins_change_from_categories_to_ranges(spark):
+    few = [10.0, 9.0, 9.0, 2.0, -1.0, -2.0, 0.5, 0.25]
+    rows = [("few", v) for v in few] + [("many", float(k % 11)) for k in range(110)] + [("few", None), ("none", None)]
+    bins = E.effect_bins(spark.createDataFrame(rows, "g string, v double"), ["g"], "v")
+    own = sorted((x["bin"], x["category"], x["training_count"]) for x in bins.where("g = 'few'").collect())
+    # Natural order of texts: minus signs come first and don't turn numbers around; runs of digits compare as numbers.
+    assert own == [(1, "-1", 1), (2, "-2", 1), (3, "0.5", 1), (4, "0.25", 1), (5, "2", 1), (6, "9", 2), (7, "10", 1)]
+    many = sorted((x["bin"], x["kind"], x["lower"], x["upper"], x["training_count"]) for x in bins.where("g = 'many'").collect())
+    assert [m[:2] for m in many] == [(k, "NUMERIC_RANGE") for k in range(1, len(many) + 1)] and sum(m[4] for m in many) == 110
+    assert many[0][2] is None and many[-1][3] is None and all(a[3] == b[2] for a, b in zip(many, many[1:], strict=False))
+    probe = spark.createDataFrame([("few", 9.0), ("few", 7.0), ("few", None), ("many", -5.0), ("many", 99.0), ("none", 1.0)], "g string, v double")
+    got = {(x["g"], x["v"]): x["bin"] for x in E.assign_effect_bins(probe, bins, ["g"], "v").collect()}
+    assert got == {("few", 9.0): 6, ("few", 7.0): 0, ("few", None): None, ("many", -5.0): 1, ("many", 99.0): len(many), ("none", 1.0): None}
+
+
+def test_chosen_penalties_have_the_least_validation_loss(spark):
+    r = random.Random(3)
+    make = lambda n: [(m, int(r.random() < 1 / (1 + np.exp(-slope * x))), [x]) for m, slope in (("flat", 0.0), ("steep", 2.0)) for x in [r.gauss(0, 1) for _ in range(n)]]
+    shape = "model string, label int, x array<double>"
+    train, fit, valid = (spark.createDataFrame(make(n) + ([("lone", 1, [0.0])] if n == 80 else [("lone", k % 2, [1.0 * k]) for k in range(8)]), shape) for n in (120, 80, 60))
+    got = {x["model"]: x for x in R.fit_chosen(train, fit, valid, 1).collect()}
+    assert got["lone"]["status"] == "FAILED_INNER_FIT" and got["lone"]["coefficients"] is None
+    for m in ("flat", "steep"):
+        losses = {}
+        for lam in R.LAMBDAS:
+            one = R.fit(fit.where(F.col("model") == m), lam, 1)
+            p = R.score(valid.where(F.col("model") == m), one)
+            losses[lam] = p.agg(F.avg(-F.when(F.col("label") == 1, F.log("probability")).otherwise(F.log(1 - F.col("probability"))))).first()[0]
+        assert got[m]["penalty"] == max(k for k, v in losses.items() if v <= min(losses.values()) + R.TIE)
+        want = R.fit(train.where(F.col("model") == m), got[m]["penalty"], 1).first()
+        assert abs(got[m]["intercept"] - want["intercept"]) < 1e-9 and abs(got[m]["coefficients"][0] - want["coefficients"][0]) < 1e-9
+
+
+def test_centred_residuals_equal_naive_replicates(spark, monkeypatch):
+    monkeypatch.setattr(B, "PLACES", 4)
+    r = random.Random(6)
+    rows = [("s", race, r.choice([1, 2, 2]) if race > 3 else 3, int(k == 0), r.random(), r.random()) for race in range(1, 12) for k in range(3)]
+    df = spark.createDataFrame(rows, "scope string, race_id long, bin int, label int, baseline double, incremental double")
+    bins = spark.createDataFrame([("s", b) for b in (1, 2, 3, 4)], "scope string, bin int")
+    got = {x["bin"]: x for x in B.centred_residuals(df, bins, 60, 11).collect()}
+    by = [[x for x in rows if x[1] == race] for race in range(1, 12)]
+    mean = lambda xs: sum(x[3] - x[4] for x in xs) / len(xs)
+    deltas = {b: [] for b in (1, 2, 3)}
+    for places in sequential(11, 60, 11):
+        sample = [x for p in places for x in by[p]]
+        for b, d in deltas.items():
+            own = [x for x in sample if x[2] == b]
+            if own:
+                d.append(mean(own) - mean(sample))
+    for b, d in deltas.items():
+        assert got[b]["valid_replicates"] == len(d) and got[b]["state"] == ("AVAILABLE" if len(d) == 60 else "SPARSE_BOOTSTRAP_UNSUPPORTED")
+        if len(d) == 60:
+            assert np.allclose([got[b]["ci_lower"], got[b]["ci_upper"]], np.quantile(d, [0.025, 0.975]))
+        assert abs(got[b]["centred_mean"] - (mean([x for x in rows if x[2] == b]) - mean(rows))) < 1e-12
+    assert got[4]["state"] == "NO_EVALUATION_ROWS"
+
+
 def test_holdout_and_selection_guards(spark):
     with pytest.raises(ValueError, match="holdout"):
         E.guard_holdout(E.HOLDOUT_AFTER + 1)
