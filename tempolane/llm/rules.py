@@ -5,14 +5,12 @@ across documents: lines are normalised (lower case, white space squeezed) and ha
 documents of a line are counted; lines above the host's limit are removed; a document whose remaining words are too few a
 share of all its words is depleted and rejected.
 
-Copies of one document are one document for this count: it is known by the digest of its set of lines, which no single line
-decides. Near copies are not boilerplate either, their removal is for the deduplication operators: where lines above the limit
-hold all but OWN_SHARE of a document's words, so that two like it have a similarity of 0.8 or more, the document is known by
-the set of these lines alone, which its near copies share. Documents with more words of their own count one by one.
+Exact copies of a document are one document for this count: it is known by the digest of its set of lines. Everything else counts
+one by one, near copies too, so a page that is a template with few words of its own is counted, and rejected, like any other.
 
 A line's limit is LINE_DOCS, the same number of documents for small and large hosts. A line that is frequent occurs once for each
-of many documents, so line counts are pre-aggregated before the shuffle, and the join that finds a document's frequent lines
-is salted by document.
+of many documents, so line counts are pre-aggregated before the shuffle, and the lines with a great share of all rows, of which
+there can only be few, are joined by broadcast.
 
 Defined results: a null text has no words, so base_failed is true; a null source is a host of its own; null and repeated ids
 are kept apart row by row; an empty table gives an empty result; other columns are ignored.
@@ -29,16 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempolane.llm.pieces import text_groups
-from tempolane.llm.shared import materialise, text_or_empty
+from tempolane.llm.shared import join_facts, materialise, text_or_empty
 from tempolane.llm.words import WordHasher, join_texts, window_hashes
 
 #: A line is frequent in a host above this many distinct documents.
 LINE_DOCS = 10
-#: A document with fewer words than this share outside lines above the limit is known by these lines (similarity 0.8).
-OWN_SHARE = 1 / 9
 #: A document is depleted if less than this share of its words remains.
 REMAINING_SHARE = 0.5
-SALTS = 16
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 _HAS_WORD = re.compile(r"[^\x20\x09-\x0D]").search
@@ -84,13 +79,6 @@ def line_hashes(text: str) -> tuple[list[int], list[int]]:
     return hashes, sizes
 
 
-def hits(line: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The rows of ``line`` whose host and line are among ``frequent``; salted, as one line may be in a great share of all rows."""
-    salted = frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
-    line = line.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
-    return line.join(salted, (F.col("line") == F.col("f_line")) & (F.col("salt") == F.col("f_salt")) & F.col("host").eqNullSafe(F.col("f_host"))).drop("f_host", "f_line", "f_salt", "salt")
-
-
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, remaining_share: float = REMAINING_SHARE) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words."""
     id_type = dict(docs.dtypes)[id_col]
@@ -111,18 +99,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Texts are read once; from here on only numbers move. Row numbers keep equal and null ids apart.
     measured = materialise(measured.withColumn("row", F.monotonically_increasing_id()), "rules")
     page = F.xxhash64(F.array_sort(F.array_distinct("lines"))).alias("page")
-    line = measured.select("row", "host", "n_words", page, F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "host", "n_words", "page", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
-
-    def above(known: DataFrame) -> DataFrame:
-        seen = known.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("seen"))
-        return seen.where(F.col("seen") > line_docs).select("host", "line")
-
-    # Every set of lines counts at first; the lines above the limit tell which documents are near copies.
-    found = hits(line, above(line.select("host", "line", "page"))).groupBy("row", "host", "n_words", "page").agg(F.sum("words").alias("common"), F.collect_list(F.struct("line", "words")).alias("found"))
-    own = F.col("n_words") - F.col("common") >= OWN_SHARE * F.col("n_words")
-    known = F.when(own, F.col("page")).otherwise(F.xxhash64(F.array_sort(F.array_distinct("found.line"))))
-    found = materialise(found.select("row", "host", known.alias("page"), F.explode("found").alias("x")).select("row", "host", "page", "x.line", "x.words"), "rules-found")
-    removed = hits(found, above(found.select("host", "line", "page"))).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    # A null host is one of its own.
+    key = F.struct(F.col("host").isNull().alias("none"), F.coalesce("host", F.lit("")).alias("host"), F.col("x.lines").alias("line")).alias("key")
+    line = measured.select("row", "host", page, F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "page", key, F.col("x.sizes").alias("words"))
+    seen = line.groupBy("key", "page").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.count(F.lit(1)).alias("seen"), F.sum("rows").alias("rows"))
+    frequent = materialise(seen.where(F.col("seen") > line_docs).select("key", "rows"), "rules-lines")
+    total = measured.agg(F.sum(F.size("lines"))).first()[0] or 0
+    removed = join_facts(line.drop("page"), frequent, "key", "rows", total).groupBy("row").agg(F.sum("words").alias("removed_words"))
     out = measured.drop("lines", "sizes").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("removed_words")) < remaining_share * F.col("n_words")
