@@ -1,9 +1,12 @@
 """Operator 8: main text of web pages by tree scoring.
 
-A page becomes a tree with the usual implied end tags. Every paragraph-like block gives points (one, one for each comma, one
+The points, names and discounts follow the well-known public readability heuristic, in a form of our own.
+
+A page becomes a tree with the usual implied end tags, in one pass: the scan remembers that no ">" lies ahead or that a quote was
+never closed (from there on quotes guard nothing), and open elements are found by their tag, not by a walk. Every paragraph-like block gives points (one, one for each comma, one
 for each hundred characters up to three, less by its link density) to its ancestors: all to the parent, half to the
 grandparent, less and less above. Containers start with points for their tag and for telling names in class and id; what
-stands in menus, headers, footers, sidebars, notices, adverts, forms and reader comments is left out from the start. A
+stands in menus, headers, footers, sidebars, notices, adverts, forms and reader comments is left out from the start, by tag, role, or a name in its class or id that says so as a whole. A
 container's score is discounted by its own link density. The best container and those of its siblings that score well, or are
 paragraphs of running text, are kept. If no block scores, the article, the main part or the body stands in.
 
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from tempolane.llm.pieces import text_groups
 from tempolane.llm.shared import text_or_empty
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)").match
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>").match
+_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)").findall
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])").sub, re.compile(r"&#[0-9]{8,};?").sub
 RAW = frozenset("script style textarea title noscript template iframe object svg math xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -38,8 +43,23 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 WALLS = frozenset("table ul ol dl div section article main body td th blockquote html".split())
 POINTS = {"article": 30, "main": 20, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "dd": -3, "dt": -3, "address": -3, "th": -5} | dict.fromkeys(_HEADINGS, -5)
 _GOOD = re.compile(r"(?i)article|body|content|entry|main|page|post|story|text|blog")
-_BAD = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo(?:tion)?|sponsor(?:ed)?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|comments?|comment-list|disqus|replies|respond|cookies?|consent|notice|gdpr|alert|popup|modal|overlay|share|sharing|social|related|recommend(?:ed)?|newsletter|subscribe|signup|login|pager|pagination|tags|toolbar)(?:$|[\s_-])")
-_HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+#: Names of what is left out. A class or id token says so as a whole; of the first list also with more words behind
+#: it (ad-slot, comments-area), of the second with more words before it (site-footer, cookie-notice).
+_FIRST = frozenset("ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments cookie cookies footer masthead menu nav navbar navigation newsletter pagination promo sidebar sponsor sponsored toolbar widget".split())
+_LAST = frozenset("ad ads advert adverts banner breadcrumbs comments cookies footer masthead menu nav navbar navigation notice pagination popup promo sidebar toolbar widget".split())
+_WHOLE = _FIRST | _LAST | frozenset("alert consent disqus gdpr header login modal overlay pager popup promotion recommended related replies respond share sharing side signup social subscribe tags".split())
+_WORDS = re.compile("[_-]+").split
+
+
+def left_out_by(names: str) -> bool:
+    """Whether a token of class or id names what is left out."""
+    for token in names.lower().split():
+        words = [w for w in _WORDS(token) if w]
+        if token in _WHOLE or words and (words[0] in _FIRST or words[-1] in _LAST):
+            return True
+    return False
+
+
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 
 
@@ -48,66 +68,90 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.names, self.out, self.parts = ["html"], [-1], [""], [False], [[]]
-        open_, at, end = [0], 0, len(page)
-        while at < end:
-            m = _TAG.search(page, at)
-            if m is None:
-                self._text(open_[-1], page[at:])
+        #: Open elements; for each tag, and for walls, where they stand among these.
+        self.open, self.places, self.walls = [0], {}, [0]
+        at, said, end, quotes = 0, 0, len(page), True  # said: the text before it is in the tree
+        while True:
+            at = page.find("<", at)
+            if at < 0:
                 break
-            if m.start() > at:
-                self._text(open_[-1], page[at : m.start()])
-            at = m.end()
-            if m[2] is None:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                if tag in ("p", "br") and not any(self.tag[x] == tag for x in open_):
-                    self.parts[open_[-1]].append(" ")
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.tag[open_[k]] == tag:
-                        del open_[k:]
-                        break
-                    if tag in INLINE and self.tag[open_[k]] in WALLS:
-                        break
-                continue
-            ends = ENDS.get(tag)
-            if ends:
-                for k in range(len(open_) - 1, 0, -1):
-                    t = self.tag[open_[k]]
-                    if t in ends:
-                        del open_[k:]
-                        break
-                    if t in WALLS:
-                        break
-            new = self._element(tag, open_[-1], m[3] or "")
-            if tag in VOID or (m[3] or "").endswith("/") and tag not in PARAGRAPHS:
+            if page.startswith(("<!", "<?"), at):
+                self._text(page[said:at])
+                close, mark = ("-->", at + 4) if page.startswith("<!--", at) else (">", at)
+                found = page.find(close, mark)
+                at = said = found + len(close) if found >= 0 else end
                 continue
-            if tag in RAW:
-                close = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)").search(page, at)
-                at = close.end() if close else end
+            name = _NAME(page, at + 1)
+            if name is None:
+                at += 1
                 continue
-            open_.append(new)
+            close = page.find(">", name.end())
+            if close < 0:  # no tag ends any more: all is text up to a comment that runs to the end
+                stop = min((x for x in (page.find("<!", at), page.find("<?", at)) if x >= 0), default=end)
+                self._text(page[said:stop])
+                said = end
+                break
+            rest = _REST(page, name.end()) if quotes else None
+            quotes = rest is not None
+            self._text(page[said:at])
+            stop = rest.end() if rest else close + 1
+            at = said = self._tag(page, name[1].lower(), page[at + 1] == "/", page[name.end() : stop - 1], stop)
+        self._text(page[said:])
+
+    def _tag(self, page: str, tag: str, closes: bool, attributes: str, at: int) -> int:
+        """Take a tag that ends before ``at``; the place where the page goes on."""
+        if closes:
+            last = self._last(tag)
+            if tag in ("p", "br") and last < 0:
+                self.parts[self.open[-1]].append(" ")
+            elif last > 0 and (tag not in INLINE or last > self.walls[-1]):
+                self._close(last)
+            return at
+        ends = ENDS.get(tag)
+        if ends:
+            last = max(map(self._last, ends))
+            if last > 0 and last >= self.walls[-1]:
+                self._close(last)
+        new = self._element(tag, self.open[-1], attributes)
+        if tag in VOID or attributes.endswith("/") and tag not in PARAGRAPHS:
+            return at
+        if tag in RAW:
+            close = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)").search(page, at)
+            return close.end() if close else len(page)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in WALLS:
+            self.walls.append(len(self.open))
+        self.open.append(new)
+        return at
+
+    def _last(self, tag: str) -> int:
+        """Where the innermost open element of a tag stands, or -1."""
+        own = self.places.get(tag)
+        return own[-1] if own else -1
 
-    def _text(self, node: int, raw: str) -> None:
-        self.parts[node].append(entities.unescape(raw) if "&" in raw else raw)
+    def _close(self, place: int) -> None:
+        """End the open elements from ``place`` on."""
+        while len(self.open) > place:
+            tag = self.tag[self.open.pop()]
+            self.places[tag].pop()
+            if tag in WALLS:
+                self.walls.pop()
+
+    def _text(self, raw: str) -> None:
+        if raw:
+            if "&" in raw:
+                raw = entities.unescape(_HUGE("\ufffd", _ZEROS("&#", raw)))
+            self.parts[self.open[-1]].append(raw)
 
     def _element(self, tag: str, parent: int, attributes: str) -> int:
         names, out = "", tag in LEFT_OUT
-        if attributes:
-            if re.search(r"(?i)(?<![-\w=])hidden(?![-\w])", attributes) and "class" not in attributes:
-                out = True
-            for key, value in _ATTRIBUTE.findall(attributes):
-                value = value.strip("\"'")
-                key = key.lower()
-                if key in ("class", "id"):
-                    names += " " + value
-                elif key == "role":
-                    out |= value.lower() in _ROLES
-                elif key == "aria-hidden":
-                    out |= value.lower() == "true"
-                elif key == "style":
-                    out |= bool(_HIDDEN.search(value))
-        if names and tag not in ("html", "body", "article", "main") and _BAD.search(names):
+        for key, value in _ATTRIBUTE(attributes) if attributes else ():
+            value = value.strip("\"'")
+            if key.lower() == "role":
+                out |= value.lower() in _ROLES
+            else:
+                names += " " + value
+        if names and tag not in ("html", "body", "article", "main") and left_out_by(names):
             out = True
         self.tag.append(tag)
         self.parent.append(parent)
@@ -149,6 +193,11 @@ class Tree:
                         commas[x] += part.count(",") + part.count("、") + part.count("，")
         score: dict[int, float] = {}
         inline_size = own[:]
+        # The nearest ancestor that takes points: a block that is no paragraph.
+        holder = [0] * n
+        for x in range(1, n):
+            up = self.parent[x]
+            holder[x] = holder[up] if self.tag[up] in INLINE or self.tag[up] in ("p", "html") else up
         for x in range(n - 1, 0, -1):
             if out[x]:
                 continue
@@ -165,14 +214,13 @@ class Tree:
                 continue  # a container: its blocks give the points
             size = length[x] if self.tag[x] not in ("div", "section", "article") else inline_size[x]
             points = (1 + commas[x] + min(size / 100, 3)) * (1 - linked[x] / length[x])
-            level, up = 0, self.parent[x] if self.tag[x] not in ("div", "section", "article") else x
+            level, up = 0, holder[x] if self.tag[x] not in ("div", "section", "article") else x
             while up > 0 and level < 6:
-                if self.tag[up] not in INLINE and self.tag[up] not in ("p", "html"):
-                    if up not in score:
-                        score[up] = POINTS.get(self.tag[up], 0) + 25 * bool(_GOOD.search(self.names[up]))
-                    score[up] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                    level += 1
-                up = self.parent[up]
+                if up not in score:
+                    score[up] = POINTS.get(self.tag[up], 0) + 25 * bool(_GOOD.search(self.names[up]))
+                score[up] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                level += 1
+                up = holder[up]
         final = {x: s * (1 - linked[x] / max(1, length[x])) for x, s in score.items()}
         named = [x for x in range(n) if self.tag[x] in ("article", "main") and not out[x] and length[x]]
         if not final:
