@@ -105,7 +105,11 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str)
                 sets = [shingle[a:b].tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return materialise(chosen.mapInArrow(run, "node long, shingles binary"), "near-sets")
+    sets = materialise(chosen.mapInArrow(run, "node long, shingles binary"), "near-sets")
+    if sets.count() == nodes.count():
+        return sets
+    # Rows equal in id and text have given their node a set each: one stays, which is found before the shuffle.
+    return materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame, side: str, name: str, total: int) -> DataFrame:

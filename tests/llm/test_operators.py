@@ -162,10 +162,25 @@ def test_line_counts_equal_brute_force_with_several_boiler_lines(spark):
         assert limit > 60 or sum(got.values())
 
 
-def test_near_copies_are_one_document_for_line_counts(spark):
-    lines = [f"line {k} " + " ".join(f"a{k}b{j}" for j in range(20)) for k in range(5)]
-    got = quality_rules(spark.createDataFrame([(k, "\n".join([*lines, f"copy number {k}"]), "h") for k in range(200)], SCHEMA)).collect()
-    assert all(r["kept"] and r["removed_words"] == 0 for r in got)
+@pytest.mark.parametrize("own", [8, 40])
+def test_template_pages_are_rejected(spark, own):
+    """Twelve shared lines: with few words of its own a page is no less a template. Exact copies are one document."""
+    boiler = "\n".join(f"shared line {k} " + " ".join(f"s{k}x{j}" for j in range(11)) for k in range(12))
+    page = lambda k: boiler + "\n" + " ".join(f"o{k}x{j}" for j in range(own))
+    rows = [(k, page(k), "templates") for k in range(200)] + [(1000 + k, page(0), "copies") for k in range(300)] + [(2000 + k, page(k), None) for k in range(11)] + [(3000 + k, page(k), "") for k in range(10)]
+    got = {r["doc_id"]: (r["kept"], r["removed_words"]) for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k] == (False, 12 * 14) for k in range(200)) and all(got[2000 + k] == (False, 12 * 14) for k in range(11))
+    assert all(got[1000 + k] == (True, 0) for k in range(300)) and all(got[3000 + k] == (True, 0) for k in range(10))
+
+
+def test_many_equal_rows_give_one_set(spark, monkeypatch):
+    compared = []
+    inner = near.compared
+    monkeypatch.setattr(near, "compared", lambda pairs, sets, s: compared.append((pairs.count(), sets.count())) or inner(pairs, sets, s))
+    rows = [(None, BASE, "a")] * 3000 + [(None, BASE + " tail", "a")] * 3000 + [(1, "else " + BASE, "a")]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 6001 and {r["class_size"] for r in got} == {6001} and sum(r["kept"] for r in got) == 1
+    assert compared and all(p <= 3 and n == 3 for p, n in compared)
 
 
 def test_line_limit_is_the_same_in_small_and_large_hosts(spark):
