@@ -2,7 +2,7 @@
 
 ``parse`` decodes and parses pages in Arrow batches; a parser is a small function from a page's text to its rows. What a page
 yields comes back as one JSON array and is typed and exploded by Spark. Nothing is returned for a page whose structure is not
-the expected one: the quarantine has its address, hash and error.
+the expected one: the quarantine has its address, hash and error. Pages that hold several tables are in ``pages``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from datetime import date, timedelta
+from datetime import date
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -177,14 +177,6 @@ def payouts(text: str) -> list[dict]:
     return out
 
 
-def page_state(text: str) -> list[dict]:
-    """Cancelled, under review, available or unavailable."""
-    root = tree(text)
-    words = root.text()
-    state = "CANCELLED" if "中止" in words else "UNDER_REVIEW" if "審議" in words else "AVAILABLE" if root.all(id="pitbodyBs") else "UNAVAILABLE"
-    return [{"state": state}]
-
-
 def schedule(text: str) -> list[dict]:
     """Meetings of a month's grid: a cell's first day is one more than the days of the cells before it."""
     root = tree(text)
@@ -209,123 +201,6 @@ def schedule(text: str) -> list[dict]:
     return out
 
 
-def entry_list(text: str) -> list[dict]:
-    """Entries of all races of a track and day; the request must name the same track and day."""
-    try:
-        root = json.loads(text)
-    except json.JSONDecodeError as e:
-        raise ParseError("invalid JSON") from e
-    need(isinstance(root, dict) and str(root.get("resultCd")) == "0", "result code is not 0")
-    asked = root.get("reqprm") or {}
-    need(asked.get("bkcd") == root.get("keirinCd") and asked.get("kday") == root.get("kaisaihi") and re.fullmatch(r"[0-9]{8}", str(root.get("kaisaihi"))), "request and response name different days")
-    need(root.get("rInfo"), "races are missing")
-    out = []
-    for race in root["rInfo"]:
-        no, seen = number(race.get("raceNo"), 1, 99, "race number"), set()
-        need(race.get("sInfo"), f"race {no} has no entries")
-        for e in race["sInfo"]:
-            bike = number(e.get("syaban"), 1, 9, "bike")
-            need(bike not in seen, f"race {no} has bike {bike} twice")
-            need(re.fullmatch(r"[0-9]+", e.get("senNo") or ""), f"race {no} has a player without number")
-            seen.add(bike)
-            out.append({"track": root["keirinCd"], "race_date": root["kaisaihi"], "race_no": no, "race_type": clean(race.get("syumoku")), "start_time": race.get("stTime"), "bike": bike, "player": e["senNo"], "name": clean(e.get("senName"))})
-        need("ガールズ" in (race.get("syumoku") or "") or 5 <= len(seen) <= 9, f"race {no} has {len(seen)} entries")
-    return out
-
-
-def near_year(month: int, day: int, around: date) -> date:
-    """The date with this month and day that is within half a year of another date."""
-    for year in (around.year, around.year - 1, around.year + 1):
-        try:
-            found = date(year, month, day)
-        except ValueError:
-            continue
-        if abs(found - around) <= timedelta(days=183):
-            return found
-    raise ParseError(f"no year for {month}/{day}")
-
-
-def day_metadata(text: str) -> list[dict]:
-    """Days of a meeting from MM/DD texts, their state, and the parameters of the selected day's races."""
-    try:
-        data = json.loads(text)["C0201data"]
-        chosen = date.fromisoformat(f"{data['selKaisai'][:4]}-{data['selKaisai'][4:6]}-{data['selKaisai'][6:8]}")
-        days, races = data["C0201kaisai"], data["C0201race"]
-    except (json.JSONDecodeError, KeyError, TypeError, ValueError) as e:
-        raise ParseError("no day metadata") from e
-    need(days and len({r["raceNo"] for r in races}) == len(races), "days are missing or race numbers repeat")
-    found = [near_year(*map(int, d["mmdd"].split("/")), chosen) for d in days]
-    need(chosen in found, "the selected day is not among the days")
-    state = {"中止": "CANCELLED", "順延": "POSTPONED"}
-    return [{"race_date": f.isoformat(), "day_number": k + 1, "state": state.get(d.get("state") or "", "HELD"), "selected": f == chosen, "races": len(races) if f == chosen else None} for k, (d, f) in enumerate(zip(days, found, strict=True))]
-
-
-def race_detail(text: str) -> list[dict]:
-    """Entries with score and counts from two lists that must agree by bike."""
-    data = embedded(text, "PJ0315")
-    one, two = ({number(x.get("syaban"), 1, 9, "bike"): x for x in data.get(k) or []} for k in ("sensyu", "seiseki"))
-    need(one and one.keys() == two.keys() and len(one) == len(data["sensyu"]) and len(two) == len(data["seiseki"]), "the two lists differ in their bikes")
-    out = []
-    for bike, e in one.items():
-        score = e.get("tokuten")
-        need(score is None or re.fullmatch(r"[0-9]+(\.[0-9]+)?", str(score)), f"score of bike {bike} is invalid")
-        need(e.get("senNo") == two[bike].get("senNo"), f"players of bike {bike} differ")
-        out.append({"bike": bike, "player": e.get("senNo"), "score": None if score is None else float(score), "wins": number(two[bike].get("win"), 0, 9999, "wins"), "starts": number(two[bike].get("start"), 0, 9999, "starts")})
-    return out
-
-
-def live_result(text: str) -> list[dict]:
-    """Results of a live page; a row without a rank must name a known state."""
-    data = embedded(text, "PJ0326")
-    need(data.get("tyakujyun"), "results are missing")
-    out = []
-    for r in data["tyakujyun"]:
-        rank, words = r.get("tyaku") or None, r.get("state") or ""
-        state = next((s for w, s in ENTRY_STATES.items() if w in words), None)
-        need(rank or state, f"blank rank with an unknown state: {words}")
-        out.append({"bike": number(r.get("syaban"), 1, 9, "bike"), "rank": number(rank, 1, 9, "rank") if rank else None, "status": None if rank else state, "payable": sum(1 for p in data.get("harai") or [] if money(p.get("amount")))})
-    return out
-
-
-def player_list(text: str) -> list[dict]:
-    """Players of a list page with the page's own number and the last page's."""
-    root = tree(text)
-    now, last = (money((root.all(id=x) or [Node("", {})])[0].text()) for x in ("page_now", "page_last"))
-    need(now and last and 1 <= now <= last, "pagination was not found")
-    out = []
-    for row in root.all("tr", class_="player"):
-        link = next((re.search(r"snum=([0-9]+)", a.attrs.get("href") or "") for a in row.all("a")), None)
-        cells = [clean(c.text()) for c in row.all("td")]
-        need(link and len(cells) >= 2 and cells[0], "a player row has no number or name")
-        out.append({"player": link[1], "name": cells[0], "grade": cells[1], "page": now, "last_page": last})
-    need(out and len({r["player"] for r in out}) == len(out), "no players, or one twice")
-    return out
-
-
-def profile(root: Node) -> dict[str, str | None]:
-    """Terms and descriptions of the page's definition list."""
-    terms, values = ([clean(x.text()) for x in root.all(t)] for t in ("dt", "dd"))
-    need(terms and len(terms) == len(values), "profile terms and values differ in number")
-    return dict(zip(terms, values, strict=True))
-
-
-def player_detail(text: str) -> list[dict]:
-    """Profile, number of grade changes and recent statistics."""
-    root = tree(text)
-    p = profile(root)
-    need(re.fullmatch(r"[0-9]+", p.get("登録番号") or "") and p.get("氏名"), "number or name is missing")
-    grades = table_rows(root, "grade_history")
-    return [{"player": p["登録番号"], "name": p["氏名"], "grade": p.get("級班"), "grade_changes": len(grades), "first_grade": grades[0][1] if grades else None, "score": p.get("競走得点")}]
-
-
-def retired_player(text: str) -> list[dict]:
-    """Profile and the one retirement date."""
-    p, found = profile(tree(text)), re.findall(r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日\s*引退", tree(text).text())
-    need(re.fullmatch(r"[0-9]+", p.get("登録番号") or ""), "number is missing")
-    need(len(found) == 1, f"{len(found)} retirement dates")
-    return [{"player": p["登録番号"], "name": p.get("氏名"), "retired_on": date(*map(int, found[0])).isoformat()}]
-
-
 def plain_text(text: str) -> list[dict]:
     """Number of characters of the decoded page."""
     return [{"chars": len(text)}]
@@ -335,15 +210,7 @@ PARSERS: dict[str, tuple[Callable[[str], list[dict]], str]] = {
     "text": (plain_text, "chars long"),
     "results": (results, "rank int, bike int, name string, status string"),
     "payouts": (payouts, "bet_type string, combination string, amount long, popularity int, sequence int"),
-    "page_state": (page_state, "state string"),
     "schedule": (schedule, "track string, starts_on string, days int, grade string"),
-    "entry_list": (entry_list, "track string, race_date string, race_no int, race_type string, start_time string, bike int, player string, name string"),
-    "day_metadata": (day_metadata, "race_date string, day_number int, state string, selected boolean, races int"),
-    "race_detail": (race_detail, "bike int, player string, score double, wins int, starts int"),
-    "live_result": (live_result, "bike int, rank int, status string, payable int"),
-    "player_list": (player_list, "player string, name string, grade string, page int, last_page int"),
-    "player_detail": (player_detail, "player string, name string, grade string, grade_changes int, first_grade string, score string"),
-    "retired_player": (retired_player, "player string, name string, retired_on string"),
 }
 
 
