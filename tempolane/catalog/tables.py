@@ -102,6 +102,60 @@ def _(spark, sf_dir):
     return H.manifest(H.fingerprints(e, ["class", "year"], ["entry_id", "rank"]), ["class"], ["year"])
 
 
+@query("hash_nested_rows", f"""
+, k AS (SELECT race_id, list({{'bike': bike, 'rank': rank, 'score': printf('%.17e', score)}} ORDER BY bike) AS l, any_value(entrants) AS entrants FROM target GROUP BY race_id)
+SELECT race_id, sha256(CAST(to_json({{'list': l, 'names': map_from_entries([('a', entrants), ('b', NULL)]), 'nest': {{'a': {{'x': 1, 'y': CASE WHEN race_id % 2 = 0 THEN printf('%.17e', 0.125::DOUBLE) END}}, 'race_id': race_id}}}}) AS VARCHAR)) AS h, true AS same FROM k
+""")
+def _(spark, sf_dir):
+    """Hashes of nested rows, and whether they stay when keys of structs and maps come in another order at every depth."""
+    e = eligible(domain(spark, sf_dir).entries)
+    nest = lambda *fields: F.struct(*fields).alias("nest")
+    eighth, one = F.when(F.col("race_id") % 2 == 0, 0.125).alias("y"), F.lit(1).alias("x")
+    shapes = []
+    for turn in (False, True):
+        fields = ["bike", "rank", "score"][:: -1 if turn else 1]
+        order = lambda *x: x[::-1] if turn else x  # noqa: B023, E731
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("bike", F.struct(*fields).alias("x")))), lambda v: v["x"]).alias("list")
+        g = e.groupBy("race_id").agg(listed, F.first("entrants").alias("entrants"))
+        names = F.create_map(*(v for k in order("a", "b") for v in (F.lit(k), F.col("entrants") if k == "a" else F.lit(None).cast("long")))).alias("names")
+        rows = g.select("race_id", names, "list", nest(*order(F.struct(*order(one, eighth)).alias("a"), F.col("race_id"))))
+        shapes.append(rows.select("race_id", H.row_hash(rows, order("list", "names", "nest")).alias("h" if not turn else "t")))
+    return shapes[0].join(shapes[1], "race_id").select("race_id", "h", (F.col("h") == F.col("t")).alias("same"))
+
+
+def ordered_sql(source: str, scope: str, columns: str) -> str:
+    """The ordered tree over ``source`` (scope, race_id, entry_id, line), by position of races: leaves, nodes of 1,000, nodes of those."""
+    return f"""
+lf AS (SELECT {scope} AS scope, race_id, sha256(string_agg(line, chr(10) ORDER BY entry_id)) AS h, count(*) AS rows FROM {source} GROUP BY ALL), nb AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY race_id) - 1 AS place FROM lf),
+o1 AS (SELECT scope, place // 1000 AS place, sha256(string_agg(h, chr(10) ORDER BY place)) AS h, sum(rows) AS rows, count(*) AS groups FROM nb GROUP BY scope, place // 1000),
+o2 AS (SELECT scope, place // 1000 AS place, sha256(string_agg(h, chr(10) ORDER BY place)) AS h, sum(rows) AS rows, sum(groups) AS groups FROM o1 GROUP BY scope, place // 1000)
+SELECT {columns}, CAST(sum(groups) AS BIGINT) AS groups, CAST(sum(rows) AS BIGINT) AS row_count, sha256(string_agg(h, chr(10) ORDER BY place)) AS manifest FROM o2 GROUP BY scope"""
+
+
+def _lines(values: str) -> str:
+    return f"sha256(CAST(to_json({{{values}}}) AS VARCHAR))"
+
+
+@query("hash_prediction_manifests", REASONS_SQL + f"""
+, tot AS (SELECT race_id, sum(score) AS total FROM target JOIN rr USING (race_id) WHERE reasons = '' GROUP BY race_id),
+pb AS (SELECT t.race_id, t.entry_id, year(race_date) AS year, CAST(coalesce(rank = 1, false) AS INT) AS label, score / total AS baseline, score / total * 0.5 + 0.5 / CAST(entrants AS DOUBLE) AS incremental FROM target t JOIN tot USING (race_id)),
+ln AS (SELECT 'WF_' || year || '/BASELINE' AS model, race_id, entry_id, {_lines("'entry_id': entry_id, 'p': replace(printf('%.8e', round(baseline, 9)), 'e', '000000000e'), 'race_id': race_id")} AS line FROM pb
+ UNION ALL SELECT 'WF_' || year || '/INCREMENTAL', race_id, entry_id, {_lines("'entry_id': entry_id, 'p': replace(printf('%.8e', round(incremental, 9)), 'e', '000000000e'), 'race_id': race_id")} FROM pb
+ UNION ALL SELECT 'WF_' || year || '/OUTCOME', race_id, entry_id, {_lines("'entry_id': entry_id, 'label': label, 'race_id': race_id")} FROM pb),
+{ordered_sql("ln", "model", "scope AS model")}
+""")
+def _(spark, sf_dir):
+    """Manifest of each model's published predictions (nine digits) and of each year's outcomes, in order of race and entry."""
+    from tempolane.catalog.backtest import predictions
+
+    rows = predictions(spark, sf_dir)
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), P.r9(F.col(k.lower())).alias("p")) for k in ("BASELINE", "INCREMENTAL"))))
+    made = rows.withColumn("k", kinds).select(F.concat_ws("/", "scope", "k.kind").alias("model"), "race_id", "entry_id", "k.p")
+    seen = rows.select(F.concat_ws("/", "scope", F.lit("OUTCOME")).alias("model"), "race_id", "entry_id", "label")
+    one = H.ordered_fingerprints(made, "model", "race_id", ["entry_id"], ["race_id", "entry_id", "p"])
+    return one.unionByName(H.ordered_fingerprints(seen, "model", "race_id", ["entry_id"], ["race_id", "entry_id", "label"]))
+
+
 @query("hash_player_chains", """
 , h AS (SELECT player_id, start_at, race_id, entry_id, sha256(CAST(to_json({'entry_id': entry_id, 'rank': rank}) AS VARCHAR)) AS h FROM hist WHERE normal AND player_id IS NOT NULL)
 SELECT player_id, count(*) AS events, list_reduce(list_prepend('', list(h ORDER BY start_at, race_id, entry_id)), lambda x, y: sha256(x || y)) AS chain FROM h GROUP BY player_id

@@ -35,15 +35,22 @@ def can_follow(current, new):
     return (current == new) | ((current != "CANCELLED") & ~((new == "CANCELLED") & current.isin("CONFIRMED", "CORRECTED")) & (rank(new) >= rank(current)))
 
 
-def fold_status(updates: DataFrame, key: str, order: str, status: str) -> DataFrame:
+def fold_status(updates: DataFrame, key: str, order: str, status: str, stored: DataFrame | None = None) -> DataFrame:
     """The status after all updates of a key in order, illegal ones rejected, the numbers of both kinds, and the order value of the
     first confirmation that still holds (a correction keeps it, any other status clears it).
 
-    A key's updates are one array: a race has a handful in its life, and the fold needs them in order.
+    The fold starts from the ``stored`` states (key, status, confirmed_at), of which it keeps those without an update, and says what
+    the batch changes: ``clear_children`` where it brought a cancellation, ``confirmation`` SET, CLEARED or KEPT. A key's updates are
+    one array: a race has a handful in its life, and the fold needs them in order.
     """
-    seq = updates.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, status))).alias("u"))
     order_type = dict(updates.dtypes)[order]
-    zero = F.struct(F.lit("UNAVAILABLE").alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"), F.lit(None).cast(order_type).alias("confirmed_at"))
+    seq = updates.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, status))).alias("u"))
+    none = F.lit(None).cast(order_type)
+    if stored is None:
+        seq = seq.withColumns({"_status": F.lit(None).cast("string"), "_confirmed": none})
+    else:
+        seq = seq.join(stored.select(key, F.col("status").alias("_status"), F.col("confirmed_at").alias("_confirmed")), key, "full_outer")
+    zero = F.struct(F.coalesce("_status", F.lit("UNAVAILABLE")).alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"), F.col("_confirmed").cast(order_type).alias("confirmed_at"))
 
     def step(acc, u):
         ok = can_follow(acc["status"], u[status])
@@ -51,7 +58,16 @@ def fold_status(updates: DataFrame, key: str, order: str, status: str) -> DataFr
         confirmed = F.when(now.isin("CONFIRMED", "CORRECTED"), F.coalesce(acc["confirmed_at"], u[order]))
         return F.struct(now.alias("status"), (acc["applied"] + ok.cast("int")).alias("applied"), (acc["rejected"] + (~ok).cast("int")).alias("rejected"), confirmed.alias("confirmed_at"))
 
-    return seq.withColumn("x", F.aggregate("u", zero, step)).select(key, "x.status", F.col("x.applied").cast("long").alias("applied"), F.col("x.rejected").cast("long").alias("rejected"), "x.confirmed_at")
+    out = seq.withColumn("x", F.aggregate(F.coalesce("u", F.array().cast(seq.schema["u"].dataType)), zero, step))
+    was, now = F.col("_confirmed"), F.col("x.confirmed_at")
+    change = F.when(now.isNotNull() & was.isNull(), "SET").when(now.isNull() & was.isNotNull(), "CLEARED").otherwise("KEPT")
+    cleared = (F.col("x.status") == "CANCELLED") & (F.coalesce("_status", F.lit("")) != "CANCELLED")
+    return out.select(key, "x.status", F.col("x.applied").cast("long").alias("applied"), F.col("x.rejected").cast("long").alias("rejected"), "x.confirmed_at", cleared.alias("clear_children"), change.alias("confirmation"))
+
+
+def without_cleared(children: DataFrame, fold: DataFrame, key: str) -> DataFrame:
+    """The children that stay when a fold's change set is applied: none of a parent that the batch cancelled."""
+    return children.join(fold.where("clear_children").select(key), key, "left_anti")
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
