@@ -9,10 +9,10 @@ from tempolane.functions import text as T
 from tempolane.operators import merging as M
 from tempolane.operators import ridge as R
 from tempolane.operators import validation as V
-from tempolane.operators.asof import Request, asof
+from tempolane.operators.asof import Request, asof, two_clocks
 from tempolane.plans import features as P
 from tempolane.registry import ORACLE_SQL, QUERIES, query
-from tempolane.sources.domain import domain, eligible
+from tempolane.sources.domain import CONFIRMED_AT, FETCHED_AT, domain, eligible
 from tempolane.storage import materialise, shared_dir, stored
 
 
@@ -432,17 +432,25 @@ def _(spark, sf_dir):
 # --- features' evidence and signals -------------------------------------------------------------------------------------
 
 
-@query("evidence", """
+@query("evidence", f"""
+, h AS (SELECT *, {CONFIRMED_AT} AS c, {FETCHED_AT} AS fetched FROM hist)
 SELECT t.entry_id, count(h.entry_id) AS events, count(*) FILTER (h.state = 'NORMAL_FINISH') AS normal, count(*) FILTER (h.state = 'DISQUALIFIED') AS disqualified, count(*) FILTER (h.state = 'FALL_DNF') AS fallen, count(*) FILTER (h.state = 'DID_NOT_START') AS did_not_start, count(*) FILTER (h.result_status = 'TIED') AS tied,
-  min(h.start_at) AS first_at, max(h.start_at) AS last_at, count(*) FILTER (h.race_status = 'CONFIRMED') AS confirmation_known, count(*) FILTER (h.race_status = 'CORRECTED') AS corrected FROM target t LEFT JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff GROUP BY t.entry_id
+  min(h.start_at) AS first_at, max(h.start_at) AS last_at, max(h.fetched) AS max_fetched_at, count(*) FILTER (h.race_status = 'CONFIRMED') AS confirmation_known, count(*) FILTER (h.race_status = 'CORRECTED') AS corrected,
+  count(*) FILTER (h.c <= t.cutoff) AS observed_by_cutoff, count(*) FILTER (h.c > t.cutoff) AS observed_later, count(*) FILTER (h.entry_id IS NOT NULL AND h.c IS NULL) AS observation_unknown FROM target t LEFT JOIN h ON h.player_id = t.player_id AND h.start_at < t.cutoff GROUP BY t.entry_id
 """)
 def _(spark, sf_dir):
+    """What lies before each target's cutoff, and how much of it had been confirmed by then: an as-of on two clocks."""
     d = domain(spark, sf_dir)
-    is_ = lambda c, v: (F.col(c) == v).cast("int")
-    sums = {"events": F.lit(1), "normal": is_("state", "NORMAL_FINISH"), "disqualified": is_("state", "DISQUALIFIED"), "fallen": is_("state", "FALL_DNF"), "did_not_start": is_("state", "DID_NOT_START"), "tied": is_("result_status", "TIED"), "confirmation_known": is_("race_status", "CONFIRMED"), "corrected": is_("race_status", "CORRECTED")}
+    first = F.col("_clock") == 1
+    is_ = lambda c, v: (first & (F.col(c) == v)).cast("int")
+    sums = {"events": first.cast("int"), "normal": is_("state", "NORMAL_FINISH"), "disqualified": is_("state", "DISQUALIFIED"), "fallen": is_("state", "FALL_DNF"), "did_not_start": is_("state", "DID_NOT_START"), "tied": is_("result_status", "TIED"), "confirmation_known": is_("race_status", "CONFIRMED"), "corrected": is_("race_status", "CORRECTED"), "observation_unknown": (first & F.col("_c").isNull()).cast("int"), "observed_by_cutoff": (~first).cast("int")}
     e = eligible(d.entries)
-    out = e.select("entry_id").join(asof(e, d.history, [Request("", sums, highs={"last_at": F.col("start_at")}, lows={"first_at": F.col("start_at")})]), "entry_id", "left")
-    return out.select("entry_id", *(F.coalesce(f"{n}_all", F.lit(0.0)).cast("long").alias(n) for n in sums), F.col("first_at").cast("long").alias("first_at"), F.col("last_at").cast("long").alias("last_at"))
+    events = two_clocks(d.history.withColumns({"_c": F.expr(CONFIRMED_AT), "_fetched": F.expr(FETCHED_AT), "_at": F.col("start_at")}), F.col("start_at"), F.col("_c"))
+    highs = {"last_at": F.when(first, F.col("_at")), "max_fetched_at": F.when(first, F.col("_fetched"))}
+    out = e.select("entry_id").join(asof(e, events, [Request("", sums, highs=highs, lows={"first_at": F.when(first, F.col("_at"))})]), "entry_id", "left")
+    at = lambda n: F.coalesce(f"{n}_all", F.lit(0.0)).cast("long")
+    later = (at("events") - at("observed_by_cutoff") - at("observation_unknown")).alias("observed_later")
+    return out.select("entry_id", *(at(n).alias(n) for n in sums), later, *(F.col(c).cast("long").alias(c) for c in ("first_at", "last_at", "max_fetched_at")))
 
 
 #: Statistic: query, signal, role. The signal is a published column or an expression of some.

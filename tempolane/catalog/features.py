@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tempolane.plans import features as P
 from tempolane.registry import query
-from tempolane.sources.domain import domain
+from tempolane.sources.domain import CONFIRMED_AT, MEETING_GRADE, domain
 
 
 @query("stat01_group_relative", """
@@ -127,8 +127,8 @@ def _recent_form_sql() -> str:
     counts, days = (3, 5, 10, 20), (30, 60, 90, 180, 365)
     a, b = [], []
     for n in counts:
-        a += [f"count(*) FILTER (nth <= {n}) AS n_{n}", f"avg(CAST(rank = 1 AS INT)) FILTER (nth <= {n}) AS win_{n}", f"avg(CAST(rank <= 3 AS INT)) FILTER (nth <= {n}) AS top3_{n}", f"avg(fin_u) FILTER (nth <= {n}) / 840.0 AS finish_{n}", f"avg(res_u) FILTER (nth <= {n}) / 840.0 AS residual_{n}"]
-        b += [f"coalesce(n_{n}, 0) AS sample_{n}", f"coalesce(n_{n}, 0) >= {n} AS complete_{n}", *(f"round({k}_{n}, 9) AS {k}_last_{n}" for k in ("win", "top3", "finish", "residual"))]
+        a += [f"count(*) FILTER (nth <= {n}) AS n_{n}", f"avg(CAST(rank = 1 AS INT)) FILTER (nth <= {n}) AS win_{n}", f"avg(CAST(rank <= 3 AS INT)) FILTER (nth <= {n}) AS top3_{n}", f"avg(fin_u) FILTER (nth <= {n}) / 840.0 AS finish_{n}", f"avg(res_u) FILTER (nth <= {n}) / 840.0 AS residual_{n}", f"min(start_at) FILTER (nth <= {n}) AS start_{n}", f"max(start_at) FILTER (nth <= {n}) AS end_{n}"]
+        b += [f"coalesce(n_{n}, 0) AS sample_{n}", f"coalesce(n_{n}, 0) >= {n} AS complete_{n}", f"start_{n}", f"end_{n}", *(f"round({k}_{n}, 9) AS {k}_last_{n}" for k in ("win", "top3", "finish", "residual"))]
     for w in days:
         inside = f"FILTER (start_at >= cutoff - {w} * 86400)"
         a += [f"count(*) {inside} AS n_{w}d", f"avg(fin_u) {inside} / 840.0 AS f_{w}d", f"avg(res_u) {inside} / 840.0 AS r_{w}d", f"avg(CAST(rank <= 3 AS INT)) {inside} AS t_{w}d"]
@@ -154,8 +154,8 @@ def _(spark, sf_dir):
 def _abnormal_sql() -> str:
     a, b = [], []
     for n in (3, 5, 10):
-        a += [f"count(*) FILTER (started AND nth <= {n}) AS s_{n}", f"count(*) FILTER (started AND abnormal AND nth <= {n}) AS a_{n}"]
-        b += [f"coalesce(s_{n}, 0) AS started_last_{n}", f"round(a_{n} / nullif(CAST(s_{n} AS DOUBLE), 0), 9) AS abnormal_last_{n}"]
+        a += [f"count(*) FILTER (started AND nth <= {n}) AS s_{n}", f"count(*) FILTER (started AND abnormal AND nth <= {n}) AS a_{n}", f"min(start_at) FILTER (started AND nth <= {n}) AS start_{n}", f"max(start_at) FILTER (started AND nth <= {n}) AS end_{n}"]
+        b += [f"coalesce(s_{n}, 0) AS started_last_{n}", f"coalesce(s_{n}, 0) >= {n} AS complete_{n}", f"start_{n}", f"end_{n}", f"round(a_{n} / nullif(CAST(s_{n} AS DOUBLE), 0), 9) AS abnormal_last_{n}"]
     for w in (30, 90, 180, "all"):
         i = "true" if w == "all" else f"start_at >= cutoff - {w} * 86400"
         a += [f"count(*) FILTER ({c} AND {i}) AS {k}_{w}" for k, c in (("st", "started"), ("ab", "abnormal"), ("dns", "state = 'DID_NOT_START'"), ("dq", "state = 'DISQUALIFIED'"), ("fall", "state = 'FALL_DNF'"))]
@@ -184,6 +184,9 @@ def _volatility_sql() -> str:
         a += [f"stddev_pop({c}) {f} AS {x}_sd_{k}, mad({c}) {f} AS {x}_mad_{k}, quantile_cont({c}, 0.75) {f} - quantile_cont({c}, 0.25) {f} AS {x}_iqr_{k}" for x, c in (("finish", "finish_pct"), ("residual", "residual"))]
         a += [f"avg(CAST(residual > 0 AS INT)) {f} AS up_rate_{k}, avg(res_u) FILTER ({inside} AND residual < 0) / 840.0 AS down_mean_{k}, avg(res_u) FILTER ({inside} AND residual > 0) / 840.0 AS up_mean_{k}, count(*) FILTER ({inside} AND nth > 1 AND (rank <= 3) <> newer) AS switches_{k}"]
         b += [f"coalesce(n_{k}, 0) AS sample_{k}", f"coalesce(switches_{k}, 0) AS switches_{k}", *(f"round({x}, 9) AS {x}" for x in [f"{x}_{y}_{k}" for x in ("finish", "residual") for y in ("sd", "mad", "iqr")] + [f"up_rate_{k}", f"down_mean_{k}", f"up_mean_{k}"])]
+    for n in (3, 5, 10, 20, 30):
+        a += [f"min(start_at) FILTER (nth <= {n}) AS start_{n}", f"max(start_at) FILTER (nth <= {n}) AS end_{n}"]
+        b += [f"coalesce(n_{n}, 0) >= {n} AS complete_{n}", f"start_{n}", f"end_{n}"]
     complete = " AND ".join([f"coalesce(n_{n}, 0) >= {n}" for n in (3, 5, 10, 20, 30)] + [f"t.cutoff - {w} * 86400 >= 788918400" for w in (60, 90, 180, 365)])
     return f"""
 , p AS (SELECT t.entry_id, t.cutoff, h.start_at, h.rank, h.finish_pct, h.residual, h.fin_u, h.res_u, row_number() OVER w AS nth, lag(h.rank <= 3) OVER w AS newer FROM target t JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff AND h.normal AND h.meeting_id <> t.meeting_id
@@ -283,15 +286,20 @@ def _(spark, sf_dir):
 
 
 @query("stat33_meeting_transition", f"""
-, e AS (SELECT *, {_STAGE_SQL} AS stage FROM hist WHERE started AND player_id IS NOT NULL), t AS (SELECT *, {_STAGE_SQL} AS stage FROM target),
+, e AS (SELECT *, {_STAGE_SQL} AS stage, {CONFIRMED_AT} AS c FROM hist WHERE started AND player_id IS NOT NULL), t AS (SELECT *, {_STAGE_SQL} AS stage FROM target),
 l AS (SELECT *, lag(stage) OVER w AS prev_stage, lag(rank) OVER w AS prev_rank, lag(normal) OVER w AS prev_normal FROM e WINDOW w AS (PARTITION BY player_id, meeting_id ORDER BY start_at, race_id, entry_id)),
-v AS (SELECT t.entry_id, e.stage AS prev_stage, e.rank AS prev_rank, e.normal AS prev_normal, e.start_at AS prev_at, row_number() OVER (PARTITION BY t.entry_id ORDER BY e.start_at DESC, e.race_id DESC, e.entry_id DESC) AS nth FROM t JOIN e ON e.player_id = t.player_id AND e.meeting_id = t.meeting_id AND e.start_at < t.cutoff),
+v AS (SELECT t.entry_id, e.stage AS prev_stage, e.rank AS prev_rank, e.normal AS prev_normal, e.start_at AS prev_at, e.c AS prev_c, row_number() OVER (PARTITION BY t.entry_id ORDER BY e.start_at DESC, e.race_id DESC, e.entry_id DESC) AS nth FROM t JOIN e ON e.player_id = t.player_id AND e.meeting_id = t.meeting_id AND e.start_at < t.cutoff),
 a AS (SELECT t.entry_id, count(*) AS n, avg(l.prev_rank - l.rank) AS change, count(*) FILTER (l.prev_rank > l.rank) AS up, count(*) FILTER (l.prev_rank < l.rank) AS down, count(*) FILTER (l.prev_rank <= 3 AND l.rank <= 3) AS top3, avg(l.res_u) / 840.0 AS res, count(*) FILTER (l.prev_rank = v.prev_rank) AS xn, avg(l.prev_rank - l.rank) FILTER (l.prev_rank = v.prev_rank) AS xc
-  FROM t JOIN v ON v.entry_id = t.entry_id AND v.nth = 1 JOIN l ON l.player_id = t.player_id AND l.start_at < t.cutoff AND l.normal AND l.prev_normal AND l.prev_stage = v.prev_stage AND l.stage = t.stage AND l.meeting_id <> t.meeting_id GROUP BY t.entry_id)
-SELECT t.entry_id, t.stage, v.prev_stage, v.prev_rank, round((t.start_at - v.prev_at) / 3600.0, 9) AS hours_since, coalesce(n, 0) AS like_steps, round(change, 9) AS mean_rank_change, coalesce(up, 0) AS improved, coalesce(down, 0) AS worsened, coalesce(n - up - down, 0) AS same,
+  FROM t JOIN v ON v.entry_id = t.entry_id AND v.nth = 1 JOIN l ON l.player_id = t.player_id AND l.start_at < t.cutoff AND l.normal AND l.prev_normal AND l.prev_stage = v.prev_stage AND l.stage = t.stage AND l.meeting_id <> t.meeting_id GROUP BY t.entry_id),
+n AS (SELECT *, lag(normal) OVER w AS nb, lead(normal) OVER w AS na, lead(start_at) OVER w AS ns FROM e WINDOW w AS (PARTITION BY player_id, meeting_id ORDER BY start_at, race_id, entry_id)),
+o AS (SELECT t.entry_id, count(*) FILTER (c <= cutoff) AS ob, count(*) FILTER (c > cutoff) AS oa, count(*) FILTER (c IS NULL) AS ou FROM t JOIN (SELECT player_id, meeting_id, c, CASE WHEN nb THEN start_at ELSE ns END AS entered FROM n WHERE normal AND (nb OR na)) n ON n.player_id = t.player_id AND n.meeting_id <> t.meeting_id AND n.entered < t.cutoff GROUP BY t.entry_id),
+r AS (SELECT t.*, v.prev_stage, v.prev_rank, v.prev_normal, v.prev_at, v.entry_id AS v_id, CASE WHEN v.prev_at IS NOT NULL THEN v.prev_c <= t.cutoff END AS prev_observed, coalesce(ob, 0) AS ob, coalesce(oa, 0) AS oa, coalesce(ou, 0) AS ou FROM t LEFT JOIN v ON v.entry_id = t.entry_id AND v.nth = 1 LEFT JOIN o ON o.entry_id = t.entry_id),
+z AS (SELECT r.entry_id, r.stage, r.prev_stage, r.prev_rank, round((r.start_at - r.prev_at) / 3600.0, 9) AS hours_since, coalesce(n, 0) AS like_steps, round(change, 9) AS mean_rank_change, coalesce(up, 0) AS improved, coalesce(down, 0) AS worsened, coalesce(n - up - down, 0) AS same,
   coalesce(top3, 0) AS top3_kept, round(res, 9) AS mean_next_residual, coalesce(xn, 0) AS exact_steps, round(xc, 9) AS exact_rank_change,
-  CASE WHEN t.player_id IS NULL THEN 'MISSING_INPUT' WHEN v.entry_id IS NULL THEN 'NOT_APPLICABLE' WHEN NOT v.prev_normal THEN 'PARTIAL' WHEN n IS NULL THEN 'NO_HISTORY' ELSE 'VALID' END AS status
-FROM t LEFT JOIN v ON v.entry_id = t.entry_id AND v.nth = 1 LEFT JOIN a ON a.entry_id = t.entry_id
+  CASE WHEN r.player_id IS NULL THEN 'MISSING_INPUT' WHEN v_id IS NULL THEN 'NOT_APPLICABLE' WHEN NOT r.prev_normal THEN 'PARTIAL' WHEN n IS NULL THEN 'NO_HISTORY' ELSE 'VALID' END AS status, prev_observed, ob AS steps_observed_before, oa AS steps_observed_after, ou AS steps_observation_unknown, v_id IS NOT NULL AS has_prev
+FROM r LEFT JOIN a ON a.entry_id = r.entry_id),
+y AS (SELECT *, concat_ws(',', CASE status WHEN 'MISSING_INPUT' THEN 'PLAYER_ID_UNRESOLVED' WHEN 'PARTIAL' THEN 'ABNORMAL_PREVIOUS_RESULT' WHEN 'NO_HISTORY' THEN 'NO_OBSERVED_TRANSITION_HISTORY' END, CASE WHEN has_prev AND NOT coalesce(prev_observed, false) OR steps_observed_after + steps_observation_unknown > 0 THEN 'OFFICIAL_RESULT_AVAILABILITY_NOT_RECONSTRUCTED' END) AS reasons FROM z)
+SELECT * EXCLUDE (has_prev), CASE WHEN status IN ('VALID', 'NOT_APPLICABLE') THEN CASE WHEN reasons <> '' THEN 'DEGRADED' ELSE 'FULL' END WHEN status = 'PARTIAL' THEN 'PARTIAL' ELSE 'DEGRADED' END AS quality FROM y
 """)
 def _(spark, sf_dir):
     return P.meeting_transition(domain(spark, sf_dir))
@@ -312,11 +320,15 @@ def _experience_sql() -> str:
     shown = [f"count(*) FILTER ({c} AND normal) AS {k}_sample, round(avg(CAST(h.rank = 1 AS INT)) FILTER ({c} AND normal), 9) AS {k}_win_rate, round(avg(h.res_u) FILTER ({c} AND normal) / 840.0, 9) AS {k}_mean_residual" for k, c in groups.items()]
     a, s = ("count(*) FILTER (substr(h.race_type, 1, 2) = '" + c + "級')" for c in "ＡＳ")
     return f"""
-, h AS (SELECT *, {_STAGE_SQL} AS stage FROM hist WHERE started)
-SELECT t.entry_id, count(h.entry_id) AS started_count, count(*) FILTER (stage = 'SEMIFINAL') AS semifinal_starts, count(*) FILTER (stage = 'FINAL') AS final_starts, {", ".join(shown)},
-  concat_ws(',', CASE WHEN {a} > 0 THEN 'A=' || {a} END, CASE WHEN {s} > 0 THEN 'S=' || {s} END) AS class_distribution, round(avg(h.mean_u) / 5040.0, 9) AS field_mean_score, round(avg(h.score_max), 9) AS field_best_score,
+, h AS (SELECT *, {_STAGE_SQL} AS stage, {MEETING_GRADE} AS grade FROM hist), t AS (SELECT *, {MEETING_GRADE} AS tg FROM target),
+gd AS (SELECT entry_id, string_agg(g || '=' || n, ',' ORDER BY g) AS grade_distribution FROM (SELECT t.entry_id, coalesce(h.grade, 'UNKNOWN') AS g, count(*) AS n FROM t JOIN h ON h.player_id = t.player_id AND h.start_at < t.cutoff GROUP BY ALL) GROUP BY entry_id),
+x AS (SELECT t.entry_id, count(h.entry_id) AS event_count, count(*) FILTER (started) AS started_count, count(*) FILTER (started AND stage = 'SEMIFINAL') AS semifinal_starts, count(*) FILTER (started AND stage = 'FINAL') AS final_starts, {", ".join(shown)},
+  any_value(tg) AS target_grade, count(*) FILTER (h.grade = tg) AS same_grade_events, count(*) FILTER (h.grade = tg AND normal) AS same_grade_sample, round(avg(CAST(h.rank = 1 AS INT)) FILTER (h.grade = tg AND normal), 9) AS same_grade_win_rate, round(avg(h.res_u) FILTER (h.grade = tg AND normal) / 840.0, 9) AS same_grade_mean_residual,
+  concat_ws(',', CASE WHEN {a} > 0 THEN 'A=' || {a} END, CASE WHEN {s} > 0 THEN 'S=' || {s} END) AS class_distribution, count(h.score_mean) FILTER (normal) AS context_sample, round(avg(h.mean_u) FILTER (normal) / 5040.0, 9) AS field_mean_score, round(avg(h.score_max) FILTER (normal), 9) AS field_best_score,
+  round(avg(round(h.score_sd * 1000000)) FILTER (normal) / 1000000, 9) AS field_score_sd, round(avg(round(h.score_pct * 840)) FILTER (normal) / 840.0, 9) AS mean_score_percentile,
   CASE WHEN any_value(t.player_id) IS NULL THEN 'MISSING_INPUT' WHEN count(h.entry_id) = 0 THEN 'NO_HISTORY' ELSE 'VALID' END AS status
-FROM target t LEFT JOIN h ON h.player_id = t.player_id AND h.start_at < t.cutoff GROUP BY t.entry_id
+FROM t LEFT JOIN h ON h.player_id = t.player_id AND h.start_at < t.cutoff GROUP BY t.entry_id)
+SELECT x.*, coalesce(grade_distribution, '') AS grade_distribution, CASE WHEN status = 'VALID' THEN 'FULL' ELSE 'DEGRADED' END AS quality, CASE status WHEN 'MISSING_INPUT' THEN 'PLAYER_ID_UNRESOLVED' WHEN 'NO_HISTORY' THEN 'NO_ACQUIRED_HISTORY' ELSE '' END AS reasons FROM x LEFT JOIN gd USING (entry_id)
 """
 
 

@@ -77,6 +77,31 @@ def asof_sums(targets: DataFrame, events: DataFrame, keys: Sequence[str], sums:
     return asof(targets, events, [Request(prefix, sums, days, keys[1:])], keys[0], id_col, cutoff, time)
 
 
+def two_clocks(events: DataFrame, entered: Column, known: Column, time: str = "start_at") -> DataFrame:
+    """Every event at the time it ``entered`` history (clock 1) and, where that is ever the case, at the time from which it had both
+    entered and been ``known`` (clock 2), for one as-of over both.
+
+    An event counts for a cutoff c if it entered before c and was known by c at the latest: if max(entered, known - 1) is before c.
+    Sums of one clock are taken where ``_clock`` is its number; no target is joined with its events.
+    """
+    clocks = F.array(F.struct(F.lit(1).alias("c"), entered.cast("long").alias("t")), F.when(known.isNotNull(), F.struct(F.lit(2).alias("c"), F.greatest(entered, known - 1).cast("long").alias("t"))))
+    each = events.withColumn("_e", F.explode(F.array_compact(clocks)))
+    return each.withColumns({"_clock": F.col("_e.c"), time: F.col("_e.t")}).drop("_e")
+
+
+def asof_map(targets: DataFrame, events: DataFrame, category: str, by: str = "player_id", id_col: str = "entry_id", cutoff: str = "cutoff", time: str = "start_at") -> DataFrame:
+    """For each target: id and ``counts``, a map from every category of its subject's events before the cutoff to their number.
+
+    Categories are open-ended: a target asks for those that its subject ever had, few next to all there are, and each of these is a
+    running count of its own. A target without an earlier event has no row.
+    """
+    own = events.where(F.col(by).isNotNull() & F.col(category).isNotNull()).select(by, category).distinct()
+    asked = targets.select(by, cutoff, F.col(id_col).alias("_target")).join(own, by).withColumn("_ask", F.struct("_target", category))
+    counted = asof(asked, events, [Request("", {"n": F.lit(1)}, keys=[category])], by, "_ask", cutoff, time).where("n_all > 0")
+    entries = F.array_sort(F.collect_list(F.struct(F.col(f"_ask.{category}").alias("key"), F.col("n_all").cast("long").alias("value"))))
+    return counted.groupBy(F.col("_ask._target").alias(id_col)).agg(F.map_from_entries(entries).alias("counts"))
+
+
 def blocked_sums(targets: DataFrame, events: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], id_col: str = "entry_id", cutoff: str = "cutoff", time: str = "start_at", prefix: str = "", block_days: int = 30) -> DataFrame:
     """All-time sums before the cutoff for keys with few values and very many events each.
 

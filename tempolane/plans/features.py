@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempolane.operators.asof import Request, asof, asof_sums, blocked_sums, last_events, name_of
-from tempolane.sources.domain import DAY, HISTORY_FROM, UNIT, Domain, eligible
+from tempolane.operators.asof import Request, asof, asof_map, asof_sums, blocked_sums, last_events, name_of, two_clocks
+from tempolane.sources.domain import CONFIRMED_AT, DAY, HISTORY_FROM, MEETING_GRADE, UNIT, Domain, eligible
 
 def performance_sums() -> dict[str, Column]:
     """Sums from which the performance metrics come, all of whole numbers; rows are normal finishes."""
@@ -231,7 +231,7 @@ def recent_form(d: Domain, counts: Sequence[int] = (3, 5, 10, 20), days: Sequenc
     counted = targets.join(asof(targets, every_event, requests), "entry_id", "left")
     # One event more than the windows need shows how long a streak was before them.
     span = reach(max(counts))
-    last = last_events(counted.withColumn("_lo", F.col("a_n_all") - span + 1), events, span + 1, F.col("a_n_all").cast("int"), ["k", "rank", "fin_u", "res_u", "top3", "run"], exclude="meeting_id", carry=["_lo"])
+    last = last_events(counted.withColumn("_lo", F.col("a_n_all") - span + 1), events, span + 1, F.col("a_n_all").cast("int"), ["k", "rank", "fin_u", "res_u", "top3", "run", "start_at"], exclude="meeting_id", carry=["_lo"])
     inner = F.col("k") >= F.col("_lo")
     per = {"m": F.count_if(inner), "first_in": F.min(F.when(inner & F.col("top3"), F.col("nth"))), "first_out": F.min(F.when(inner & ~F.col("top3"), F.col("nth")))}
     per |= {"older_in": F.max(F.when(~inner & F.col("top3"), F.col("run"))), "older_out": F.max(F.when(~inner & ~F.col("top3"), F.col("run")))}
@@ -239,12 +239,13 @@ def recent_form(d: Domain, counts: Sequence[int] = (3, 5, 10, 20), days: Sequenc
         inside = F.col("nth") <= n
         pick = lambda c, inside=inside: F.when(inside, c)
         per |= {f"n_{n}": F.count(pick(F.lit(1))), f"win_{n}": F.avg(pick((F.col("rank") == 1).cast("double"))), f"top3_{n}": F.avg(pick((F.col("rank") <= 3).cast("double")))}
-        per |= {f"finish_{n}": F.avg(pick(F.col("fin_u"))) / UNIT, f"residual_{n}": F.avg(pick(F.col("res_u"))) / UNIT}
+        per |= {f"finish_{n}": F.avg(pick(F.col("fin_u"))) / UNIT, f"residual_{n}": F.avg(pick(F.col("res_u"))) / UNIT, f"from_{n}": F.min(pick(F.col("start_at")))}
+    per["to"] = F.max(F.when(F.col("nth") == 1, F.col("start_at")))
     out = counted.join(last.groupBy("entry_id").agg(*(v.alias(k) for k, v in per.items())), "entry_id", "left")
     left = lambda n, w: F.coalesce(out[f"a_{n}_{w}"], F.lit(0.0)) - F.coalesce(out[f"m_{n}_{w}"], F.lit(0.0))
     shown: dict[str, Column] = {}
     for n in counts:
-        shown |= {f"sample_{n}": F.coalesce(F.col(f"n_{n}"), F.lit(0)), f"complete_{n}": F.coalesce(F.col(f"n_{n}"), F.lit(0)) >= n}
+        shown |= {f"sample_{n}": F.coalesce(F.col(f"n_{n}"), F.lit(0)), f"complete_{n}": F.coalesce(F.col(f"n_{n}"), F.lit(0)) >= n, f"start_{n}": F.col(f"from_{n}"), f"end_{n}": F.col("to")}
         shown |= {f"{k}_last_{n}": r9(F.col(f"{k}_{n}")) for k in ("win", "top3", "finish", "residual")}
     for w in days:
         shown |= {f"sample_{w}d": left("n", w).cast("long"), f"finish_{w}d": r9(safe_rate(left("fin_sum", w), left("fin_n", w)) / UNIT)}
@@ -272,13 +273,17 @@ def abnormal_rates(d: Domain, counts: Sequence[int] = (3, 5, 10), days: Sequence
     highs = {"bad_at": F.when(F.col("abnormal"), F.col("start_at")), "bad_k": F.when(F.col("abnormal"), F.col("k")), "good_k": F.when(F.col("normal"), F.col("k"))}
     counted = targets.join(asof(targets, events, [Request("w_", sums, [*days, None], highs=highs), Request("in_", {"ev": F.lit(1)}, keys=["meeting_id"])]), "entry_id", "left")
     total = F.coalesce("w_st_all", F.lit(0.0))
-    asked = counted.where(total > 0).select("entry_id", "player_id", F.explode(F.array(*map(F.lit, counts))).alias("n"), total.alias("total")).withColumn("k", (F.col("total") - F.col("n")).cast("int")).where("k > 0")
-    before = asked.join(started.select("player_id", "k", "bad"), ["player_id", "k"]).groupBy("entry_id").agg(*(F.max(F.when(F.col("n") == n, F.col("bad"))).alias(f"bad_{n}") for n in counts))
+    # By number of the event: the one before each window, its first and, for all, the last one. Nothing between is fetched.
+    place = lambda name, k: F.struct(F.lit(name).alias("what"), k.cast("int").alias("k"))
+    places = [place("end", total), *(place(f"bad_{n}", total - n) for n in counts), *(place(f"start_{n}", F.greatest(F.lit(1), total - n + 1)) for n in counts)]
+    asked = counted.where(total > 0).select("entry_id", "player_id", F.explode(F.array(*places)).alias("x")).select("entry_id", "player_id", "x.what", "x.k").where("k > 0")
+    at_place = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c))).alias(what)
+    before = asked.join(started.select("player_id", "k", "bad", "start_at"), ["player_id", "k"]).groupBy("entry_id").agg(at_place("end", "start_at"), *(at_place(f"bad_{n}", "bad") for n in counts), *(at_place(f"start_{n}", "start_at") for n in counts))
     out = counted.join(before, "entry_id", "left")
     shown: dict[str, Column] = {}
     for n in counts:
         have = F.least(total, F.lit(n))
-        shown |= {f"started_last_{n}": have.cast("long"), f"abnormal_last_{n}": r9(safe_rate(F.col("w_ab_all") - F.coalesce(f"bad_{n}", F.lit(0)), have))}
+        shown |= {f"started_last_{n}": have.cast("long"), f"abnormal_last_{n}": r9(safe_rate(F.col("w_ab_all") - F.coalesce(f"bad_{n}", F.lit(0)), have)), f"complete_{n}": total >= n, f"start_{n}": F.col(f"start_{n}"), f"end_{n}": F.col("end")}
     for w in [*days, "all"]:
         at = lambda c, w=w: F.coalesce(F.col(f"w_{c}_{w}"), F.lit(0.0))
         shown |= {f"started_{w}": at("st").cast("long"), f"dns_{w}": at("dns").cast("long"), f"abnormal_rate_{w}": r9(safe_rate(at("ab"), at("st"))), f"dq_rate_{w}": r9(safe_rate(at("dq"), at("st"))), f"fall_rate_{w}": r9(safe_rate(at("fall"), at("st")))}
@@ -349,8 +354,10 @@ def volatility(d: Domain, counts: Sequence[int] = (3, 5, 10, 20, 30), days: Sequ
         measures |= {f"{name}_sd": r9(F.sqrt(mean_power(values, F.col(f"{name}_mean")))), f"{name}_mad": r9(quantile_of(distances(values, F.col(f"{name}_median")), 0.5)), f"{name}_iqr": r9(quantile_of(values, 0.75) - quantile_of(values, 0.25))}
     measured = long.select("entry_id", "w", *(v.alias(k) for k, v in measures.items()))
     wide = measured.groupBy("entry_id").agg(*(F.max(F.when(F.col("w") == k, F.col(m))).alias(f"{m}_{k}") for k in windows for m in measures))
-    out = out.drop("rows").join(wide, "entry_id")
-    shown = {f"{m}_{k}": F.col(f"{m}_{k}") for k in windows for m in measures}
+    ages = lambda n: F.transform(F.filter("rows", not_after("nth", n)), lambda x: x["age"])
+    ends = {f"{k}_{n}": F.col("cutoff") - f(ages(n)) for n in counts for k, f in (("start", F.array_max), ("end", F.array_min))}
+    out = out.withColumns(ends).drop("rows").join(wide, "entry_id")
+    shown = {f"{m}_{k}": F.col(f"{m}_{k}") for k in windows for m in measures} | {k: F.col(k) for k in ends} | {f"complete_{n}": F.col(f"sample_{n}") >= n for n in counts}
     complete = every([shown[f"sample_{n}"] >= n for n in counts] + day_complete(days))
     return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), *verdict(F.coalesce("e_any_all", F.lit(0.0)), F.coalesce("m_any_all", F.lit(0.0)), complete))
 
@@ -511,47 +518,83 @@ def meeting_transition(d: Domain) -> DataFrame:
     targets = eligible(d.entries).withColumn("stage", stage(F.col("race_type")))
     started = d.history.where("started AND player_id IS NOT NULL").withColumn("k", F.row_number().over(order)).withColumn("stage", stage(F.col("race_type")))
     newest = asof(targets, started, [Request("p_", {}, keys=["meeting_id"], highs={"k": F.col("k")})])
-    before = started.select("player_id", F.col("k").cast("double").alias("p_k"), F.col("stage").alias("prev_stage"), F.col("rank").alias("prev_rank"), F.col("normal").alias("prev_normal"), F.col("start_at").alias("prev_at"))
+    before = started.select("player_id", F.col("k").cast("double").alias("p_k"), F.col("stage").alias("prev_stage"), F.col("rank").alias("prev_rank"), F.col("normal").alias("prev_normal"), F.col("start_at").alias("prev_at"), F.expr(CONFIRMED_AT).alias("prev_confirmed_at"))
     targets = targets.join(newest, "entry_id", "left").join(before, ["player_id", "p_k"], "left")
     change = F.col("prev_rank") - F.col("rank")
     sums = {"n": F.lit(1), "change": change, "up": (change > 0).cast("int"), "down": (change < 0).cast("int"), "top3": ((F.col("prev_rank") <= 3) & (F.col("rank") <= 3)).cast("int"), "res_n": F.col("res_u").isNotNull().cast("int"), "res": F.coalesce("res_u", F.lit(0))}
     few = {k: sums[k] for k in ("n", "change")}
     like, exact = ["prev_stage", "stage"], ["prev_stage", "stage", "prev_rank"]
     requests = [Request("t_", sums, keys=like), Request("x_", few, keys=exact), Request("it_", sums, keys=[*like, "meeting_id"]), Request("ix_", few, keys=[*exact, "meeting_id"])]
-    out = targets.join(asof(targets, steps(d).where("normal AND prev_normal"), requests), "entry_id", "left")
+    out = targets.join(asof(targets, steps(d).where("normal AND prev_normal"), requests), "entry_id", "left").join(observed_steps(d, targets), "entry_id", "left")
     at = lambda p, n: F.coalesce(F.col(f"{p}{n}_all") - F.col(f"i{p}{n}_all"), F.lit(0.0))
     n = at("t_", "n")
     status = status_ladder([
         (F.col("player_id").isNull() | F.col("meeting_id").isNull() | (F.col("stage") == "UNKNOWN"), "MISSING_INPUT"), (F.col("prev_at").isNull(), "NOT_APPLICABLE"), (~F.col("prev_normal"), "PARTIAL"),
         (F.col("prev_stage") == "UNKNOWN", "MISSING_INPUT"), (n == 0, "NO_HISTORY"),
     ])
+    seen = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    # Known is a result of which the confirmation was seen by the cutoff; without any confirmation that is not known.
+    prev_observed = F.when(F.col("prev_at").isNotNull(), F.col("prev_confirmed_at") <= F.col("cutoff"))
+    named = F.coalesce(F.when(F.col("player_id").isNull(), "PLAYER_ID_UNRESOLVED"), F.when(F.col("meeting_id").isNull(), "TARGET_MEETING_MISSING"), F.when(F.col("stage") == "UNKNOWN", "UNKNOWN_CURRENT_STAGE"), F.when(F.col("prev_at").isNull(), ""), F.when(~F.col("prev_normal"), "ABNORMAL_PREVIOUS_RESULT"), F.when(F.col("prev_stage") == "UNKNOWN", "UNKNOWN_PREVIOUS_STAGE"), F.when(n == 0, "NO_OBSERVED_TRANSITION_HISTORY"))
+    unseen = (F.col("prev_at").isNotNull() & ~F.coalesce(prev_observed, F.lit(False))) | (seen("steps_after") + seen("steps_unknown") > 0)
+    reasons = F.array_compact(F.array(F.when(named != "", named), F.when(unseen, "OFFICIAL_RESULT_AVAILABILITY_NOT_RECONSTRUCTED")))
+    evidence = {"prev_observed": prev_observed, "steps_observed_before": seen("steps_before"), "steps_observed_after": seen("steps_after"), "steps_observation_unknown": seen("steps_unknown"), "quality": quality(status, reasons), "reasons": F.concat_ws(",", reasons)}
     return out.select(
-        "entry_id", "stage", "prev_stage", "prev_rank", r9((F.col("start_at") - F.col("prev_at")) / 3600).alias("hours_since"), n.cast("long").alias("like_steps"), r9(safe_rate(at("t_", "change"), n)).alias("mean_rank_change"),
+        *(v.alias(k) for k, v in evidence.items()), "entry_id", "stage", "prev_stage", "prev_rank", r9((F.col("start_at") - F.col("prev_at")) / 3600).alias("hours_since"), n.cast("long").alias("like_steps"), r9(safe_rate(at("t_", "change"), n)).alias("mean_rank_change"),
         at("t_", "up").cast("long").alias("improved"), at("t_", "down").cast("long").alias("worsened"), (n - at("t_", "up") - at("t_", "down")).cast("long").alias("same"), at("t_", "top3").cast("long").alias("top3_kept"),
         r9(safe_rate(at("t_", "res"), at("t_", "res_n")) / UNIT).alias("mean_next_residual"), at("x_", "n").cast("long").alias("exact_steps"), r9(safe_rate(at("x_", "change"), at("x_", "n"))).alias("exact_rank_change"), status.alias("status"),
     )
 
 
+def observed_steps(d: Domain, targets: DataFrame) -> DataFrame:
+    """For each target: how many results of normal steps in other meetings were confirmed by its cutoff, later, or never.
+
+    A result takes part from the moment that its first normal step is complete: its own start if it ends one, else the next start.
+    """
+    order = Window.partitionBy("player_id", "meeting_id").orderBy("start_at", "race_id", "entry_id")
+    e = d.history.where("started AND player_id IS NOT NULL").withColumn("_c", F.expr(CONFIRMED_AT))
+    e = e.withColumns({"_before": F.lag("normal").over(order), "_after": F.lead("normal").over(order), "_next": F.lead("start_at").over(order)})
+    entered = F.when(F.col("_before"), F.col("start_at")).when(F.col("_after"), F.col("_next"))
+    events = two_clocks(e.where("normal AND (_before OR _after)").withColumn("_entered", entered), F.col("_entered"), F.col("_c"))
+    first = F.col("_clock") == 1
+    sums = {"in": first.cast("int"), "never": (first & F.col("_c").isNull()).cast("int"), "known": (~first).cast("int")}
+    found = asof(targets, events, [Request("o_", sums), Request("om_", sums, keys=["meeting_id"])])
+    at = lambda n: F.col(f"o_{n}_all") - F.col(f"om_{n}_all")
+    return found.select("entry_id", at("known").alias("steps_before"), (at("in") - at("known") - at("never")).alias("steps_after"), at("never").alias("steps_unknown"))
+
+
 def stage_experience(d: Domain) -> DataFrame:
-    """Starts and performance in semifinals and finals before the cutoff, classes ridden in, and the strength of the fields."""
-    targets, events = eligible(d.entries), d.history.withColumn("stage", stage(F.col("race_type"))).where("started")
-    late = F.col("stage").isin("SEMIFINAL", "FINAL")
+    """Starts and performance in semifinals and finals before the cutoff, meetings of the target's grade, grades and classes of all
+    events, and the strength of the fields of normal finishes."""
+    graded = lambda df: df.withColumns({"stage": stage(F.col("race_type")), "grade": F.expr(MEETING_GRADE)})
+    targets, events = graded(eligible(d.entries)), graded(d.history)
+    late, started = F.col("stage").isin("SEMIFINAL", "FINAL"), F.col("started")
     pick = lambda c, cond: F.when(cond, c).otherwise(0)
-    sums = {"all": F.lit(1), "semi": (F.col("stage") == "SEMIFINAL").cast("int"), "final": (F.col("stage") == "FINAL").cast("int")}
-    for name, cond in (("late", late), ("sf", F.col("stage") == "SEMIFINAL"), ("fi", F.col("stage") == "FINAL"), ("other", ~late)):
-        own = cond & F.col("normal")
-        sums |= {f"{name}_n": pick(F.lit(1), own), f"{name}_win": pick((F.col("rank") == 1).cast("int"), own), f"{name}_res_n": pick(F.col("res_u").isNotNull().cast("int"), own), f"{name}_res": pick(F.coalesce("res_u", F.lit(0)), own)}
-    sums |= {f"class_{k}": (class_bucket(F.col("race_type")) == k).cast("int") for k in ("A", "S", "UNKNOWN")}
-    sums |= {"ctx": F.col("score_mean").isNotNull().cast("int"), "ctx_mean": F.coalesce("mean_u", F.lit(0)), "ctx_max": F.coalesce("score_max", F.lit(0.0))}
-    out = targets.join(asof(targets, events, [Request("", sums)]), "entry_id", "left")
+    count = lambda cond: cond.cast("int")
+    sums = {"events": F.lit(1), "all": count(started), "semi": count(started & (F.col("stage") == "SEMIFINAL")), "final": count(started & (F.col("stage") == "FINAL"))}
+    shares = lambda name, own: {f"{name}_n": pick(F.lit(1), own), f"{name}_win": pick(count(F.col("rank") == 1), own), f"{name}_res_n": pick(count(F.col("res_u").isNotNull()), own), f"{name}_res": pick(F.coalesce("res_u", F.lit(0)), own)}
+    groups = {"late": late, "sf": F.col("stage") == "SEMIFINAL", "fi": F.col("stage") == "FINAL", "other": ~late}
+    for name, cond in groups.items():
+        sums |= shares(name, cond & started & F.col("normal"))
+    sums |= {f"class_{k}": count(class_bucket(F.col("race_type")) == k) for k in ("A", "S", "UNKNOWN")}
+    whole = F.col("normal") & F.col("score_mean").isNotNull()
+    sums |= {"ctx": count(whole), "ctx_mean": pick(F.coalesce("mean_u", F.lit(0)), whole), "ctx_max": pick(F.coalesce("score_max", F.lit(0.0)), whole), "ctx_sd": pick(F.coalesce(F.round(F.col("score_sd") * 10**6), F.lit(0)), whole), "ctx_pct": pick(F.coalesce(F.round(F.col("score_pct") * UNIT), F.lit(0)), whole)}
+    same = shares("grade", F.col("normal")) | {"grade_events": F.lit(1)}
+    found = asof(targets, events, [Request("", sums), Request("g_", same, keys=["grade"])])
+    grades = asof_map(targets, events.withColumn("grade", F.coalesce("grade", F.lit("UNKNOWN"))), "grade")
+    out = targets.join(found, "entry_id", "left").join(grades, "entry_id", "left")
     at = lambda n: F.coalesce(F.col(f"{n}_all"), F.lit(0.0))
-    status = status_ladder([(F.col("player_id").isNull(), "MISSING_INPUT"), (at("all") == 0, "NO_HISTORY")])
+    status = status_ladder([(F.col("player_id").isNull(), "MISSING_INPUT"), (at("events") == 0, "NO_HISTORY")])
+    reasons = F.array_compact(F.array(F.when(F.col("player_id").isNull(), "PLAYER_ID_UNRESOLVED").when(at("events") == 0, "NO_ACQUIRED_HISTORY")))
     classes = F.concat_ws(",", *(F.when(at(f"class_{k}") > 0, F.concat(F.lit(f"{k}="), at(f"class_{k}").cast("long").cast("string"))) for k in ("A", "S", "UNKNOWN")))
-    shown = {"started_count": at("all").cast("long"), "semifinal_starts": at("semi").cast("long"), "final_starts": at("final").cast("long")}
-    for name in ("late", "sf", "fi", "other"):
+    listed = F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    shown = {"event_count": at("events").cast("long"), "started_count": at("all").cast("long"), "semifinal_starts": at("semi").cast("long"), "final_starts": at("final").cast("long")}
+    for name in groups:
         shown |= {f"{name}_sample": at(f"{name}_n").cast("long"), f"{name}_win_rate": r9(safe_rate(at(f"{name}_win"), at(f"{name}_n"))), f"{name}_mean_residual": r9(safe_rate(at(f"{name}_res"), at(f"{name}_res_n")) / UNIT)}
-    shown |= {"class_distribution": classes, "field_mean_score": r9(safe_rate(at("ctx_mean"), at("ctx")) / (6 * UNIT)), "field_best_score": r9(safe_rate(at("ctx_max"), at("ctx")))}
-    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), status.alias("status"))
+    shown |= {"target_grade": F.col("grade"), "same_grade_events": at("g_grade_events").cast("long"), "same_grade_sample": at("g_grade_n").cast("long"), "same_grade_win_rate": r9(safe_rate(at("g_grade_win"), at("g_grade_n"))), "same_grade_mean_residual": r9(safe_rate(at("g_grade_res"), at("g_grade_res_n")) / UNIT)}
+    shown |= {"grade_distribution": F.coalesce(listed, F.lit("")), "class_distribution": classes, "context_sample": at("ctx").cast("long"), "field_mean_score": r9(safe_rate(at("ctx_mean"), at("ctx")) / (6 * UNIT)), "field_best_score": r9(safe_rate(at("ctx_max"), at("ctx")))}
+    shown |= {"field_score_sd": r9(safe_rate(at("ctx_sd"), at("ctx")) / 10**6), "mean_score_percentile": r9(safe_rate(at("ctx_pct"), at("ctx")) / UNIT), "status": status, "quality": quality(status, reasons), "reasons": F.concat_ws(",", reasons)}
+    return out.select("entry_id", *(v.alias(k) for k, v in shown.items()))
 
 
 def class_bucket(kind: Column) -> Column:

@@ -21,6 +21,13 @@ UNIT = 840
 CLASS_TYPES = ("Ａ級予選", "Ａ級一般", "Ｓ級準決勝", "Ｌ級ガールズ", "Ｓ級決勝")
 
 
+#: What the tables don't have, derived by rules that both engines read: a meeting's grade (some have none), when a result was first
+#: seen as confirmed (never for some, up to sixty hours after the start), and when its page was fetched.
+MEETING_GRADE = "CASE meeting_id % 7 WHEN 0 THEN 'G1' WHEN 1 THEN 'G3' WHEN 2 THEN 'F1' WHEN 3 THEN 'F1' WHEN 4 THEN 'F2' WHEN 5 THEN 'F2' END"
+CONFIRMED_AT = "CASE WHEN race_id % 9 <> 0 THEN start_at + (race_id % 61) * 3600 END"
+FETCHED_AT = "start_at + (entry_id % 47) * 3600"
+
+
 @dataclass(frozen=True)
 class Domain:
     """races: one row a race; entries: one row an entry with its result and its race's columns; history: the past events."""
