@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols whose probabilities are held at once.
-BLOCK = 100_000
+#: Symbols whose probabilities are worked on at once, and symbols whose alphas are kept for the way back (64 bytes each at eight
+#: states); those of further blocks are computed again.
+BLOCK, HELD = 100_000, 2_500_000
 
 
 class Layout:
@@ -79,12 +80,16 @@ def expect(layout: Layout, start: np.ndarray, move: np.ndarray, emit: np.ndarray
     k = len(start)
     starts, moves, emissions, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(emit), 0.0
     model = turned(start, move, emit)
-    spans, before = layout.blocks(block), [None]
-    for span in spans[:-1]:
-        before.append(sweep(layout, span, before[-1], *model)[2].copy())
+    spans, before, kept = layout.blocks(block), [None], {}
+    for span in spans:
+        alphas, scales, last = sweep(layout, span, before[-1], *model)
+        before.append(last.copy())
+        # The blocks nearest to the end are needed first, but any that stay save a sweep.
+        if layout.offset[span[1]] <= HELD or span is spans[-1]:
+            kept[span] = alphas, scales
     later = np.zeros((k, 0))  # beta times emission over scale, of the step after the block
-    for span, first in zip(reversed(spans), reversed(before), strict=True):
-        alphas, scales, _ = sweep(layout, span, first, *model)
+    for span, first in zip(reversed(spans), reversed(before[:-1]), strict=True):
+        alphas, scales = kept.pop(span, None) or sweep(layout, span, first, *model)[:2]
         symbols = layout.symbols[layout.offset[span[0]] : layout.offset[span[1]]]
         total += float(np.log10(scales).sum())
         ahead = np.take(model[2], symbols, axis=1)

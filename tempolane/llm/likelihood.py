@@ -40,10 +40,13 @@ from tempolane.llm.shared import fold, materialise, text_or_empty
 from tempolane.llm.words import WordHasher, join_texts
 
 STATES, TOP_WORDS, SUFFIX_CLASSES = 8, 2048, 256
-ROUNDS, SETTLED = 6, 1e-3
+#: Training ends when a round gains less than this share of the log likelihood; ROUNDS only stops a series that never settles.
+ROUNDS, SETTLED = 100, 1e-3
 #: Symbols of documents that a task takes at once (and one chunk).
 GROUP_SYMBOLS = 2_000_000
 CHUNK_CHARS = 6_000_000
+#: Above so many chunks, words in more than HOT_CHUNKS of a sample of SAMPLE chunks are counted apart from the others.
+SAMPLE, HOT_CHUNKS = 1000, 0.2
 #: Dictionary entries whose counts are packed together.
 PACK_ROWS = 1_000_000
 #: Tasks that add up the expected counts of a round, and rows that reach the driver, at most.
@@ -96,16 +99,42 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFrame:
     return materialise(chosen.mapInArrow(run, schema).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
 
 
-def looked_up(entry: DataFrame, top_words: int) -> DataFrame:
+def everyday_words(chunk: DataFrame, sample: int = SAMPLE) -> DataFrame | None:
+    """Words that a great share of all chunks have, None where there are few chunks. Found in a sample of chunks: whether a word is
+    among them decides where it is counted, not what comes out. At most 1 / HOT_CHUNKS dictionaries' worth."""
+    n = chunk.count()
+    if n <= 2 * sample:
+        return None
+    some = chunk.where(F.pmod(F.xxhash64("chunk"), F.lit(n // sample)) == 0)
+    seen = some.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+    return materialise(seen.where(F.col("k") > HOT_CHUNKS * some.count()).select("word"), "lm-everyday")
+
+
+def corpus_counts(entry: DataFrame, everyday: DataFrame | None) -> DataFrame:
+    """chunk, pos, c (the word's count in all chunks) and first: the word itself at its first place, if its count is not 0.
+
+    Words meet in one shuffle with a row for each chunk that has them. Everyday words would have a row for every chunk: their sums
+    are made in the tasks that read them, and come back by broadcast.
+    """
+    word = Window.partitionBy("word").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("chunk"))
+    first = lambda own: F.when(own & (F.col("c") > 0), F.col("word")).alias("first")
+    rest = entry if everyday is None else entry.join(F.broadcast(everyday), "word", "left_anti")
+    out = rest.select("word", "chunk", "pos", F.sum("n").over(word).alias("c"), nth.alias("nth")).select("chunk", "pos", "c", first(F.col("nth") == 1))
+    if everyday is None:
+        return out
+    hot = entry.join(F.broadcast(everyday), "word", "left_semi")
+    sums = hot.groupBy("word").agg(F.sum("n").alias("c"), F.min("chunk").alias("least"))
+    return out.unionByName(hot.join(F.broadcast(sums), "word").select("chunk", "pos", "c", first(F.col("chunk") == F.col("least"))))
+
+
+def looked_up(entry: DataFrame, top_words: int, everyday: DataFrame | None = None) -> DataFrame:
     """The corpus count of every word of every chunk's dictionary, packed by chunk; and sums for the model.
 
-    One shuffle by word. A word has a row for each chunk that it occurs in, so no word has more than a small share of the rows.
     Rows with a chunk hold places and counts of some of its words; rows without hold a partition's sums by suffix class and its
     most frequent words.
     """
-    word = Window.partitionBy("word").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nth = F.row_number().over(Window.partitionBy("word").orderBy("chunk"))
-    counted = entry.select("word", "chunk", "pos", F.sum("n").over(word).alias("c"), nth.alias("nth")).select("chunk", "pos", "c", F.when((F.col("nth") == 1) & (F.col("c") > 0), F.col("word")).alias("first"))
+    counted = corpus_counts(entry, everyday)
     names = ["chunk", "pos", "c", "tokens", "kinds", "words", "word_counts"]
 
     def run(batches):
@@ -202,7 +231,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type, id_arrow = dict(docs.dtypes)[id_col], to_arrow_type(docs.schema[id_col].dataType)
     chunk = chunks(docs, id_col, text_col, held_out)
     entry = chunk.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("chunk", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    found = looked_up(entry, top_words)
+    found = looked_up(entry, top_words, everyday_words(chunk))
     ends = chunk.select(F.explode("held").alias("h")).where("NOT h").count()
     # The most frequent words: bounded by top_words.
     def best_of(group: pd.DataFrame) -> pd.DataFrame:

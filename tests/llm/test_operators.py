@@ -263,6 +263,43 @@ def test_model_scores_equal_plain_loops_however_the_rows_lie(spark, monkeypatch)
         assert all(abs(got[k] - want[k]) < 1e-6 for k in texts)
 
 
+def test_training_goes_on_until_it_settles(spark, small):
+    """No round is left out for its cost: the last gain is below the limit, all before it are not."""
+    trace = []
+    inner = LM.baum_welch
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(LM, "baum_welch", lambda coded, classes, states, rounds: inner(coded, classes, states, rounds, trace))
+        score_documents(docs).count()
+    gains = [(b - a) / abs(a) for a, b in zip(trace, trace[1:], strict=False)]
+    assert 6 < len(trace) < LM.ROUNDS and gains[-1] < LM.SETTLED and all(g >= LM.SETTLED for g in gains[:-1])
+
+
+def test_everyday_words_are_counted_apart_with_the_same_result(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [(k, " ".join(r.choice(["the", "of", "and", f"rare{r.randrange(300)}"]) for _ in range(40))) for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    monkeypatch.setattr(LM, "CHUNK_CHARS", 300)
+    plain = {x["doc_id"]: tuple(x) for x in score_documents(docs, states=2, rounds=2, top_words=5).collect()}
+    monkeypatch.setattr(LM, "everyday_words", lambda chunk, inner=LM.everyday_words: inner(chunk, 10))
+    apart = []
+    monkeypatch.setattr(LM, "corpus_counts", lambda entry, words, inner=LM.corpus_counts: apart.extend(x["word"] for x in words.collect()) or inner(entry, words))
+    other = {x["doc_id"]: tuple(x) for x in score_documents(docs, states=2, rounds=2, top_words=5).collect()}
+    assert {"the", "of", "and"} <= set(apart) and len(apart) < 300
+    assert plain.keys() == other.keys() and all(plain[k][:5] == other[k][:5] and abs(plain[k][5] - other[k][5]) < 1e-9 and abs(plain[k][6] - other[k][6]) < 1e-6 for k in plain)
+
+
+def test_kept_alphas_change_nothing(monkeypatch):
+    r = np.random.default_rng(1)
+    lengths = r.integers(1, 60, 50)
+    layout = hmm.Layout(r.integers(0, 9, lengths.sum()), np.concatenate(([0], np.cumsum(lengths))))
+    model = hmm.seeded(r.random(9), 4)
+    whole = hmm.expect(layout, *model, block=40)
+    for held in (0, 300, 900):
+        monkeypatch.setattr(hmm, "HELD", held)
+        assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(whole, hmm.expect(layout, *model, block=40), strict=True))
+
+
 def test_model_scores_do_not_depend_on_partitioning(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     one, four = ({r["doc_id"]: r["score"] for r in score_documents(docs.repartition(n, "source"), rounds=3).collect()} for n in (1, 4))
