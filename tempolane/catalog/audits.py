@@ -195,14 +195,14 @@ def _(spark, sf_dir):
 
 @query("audit_pagination", """
 WITH p AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS requested, count(*) OVER (PARTITION BY s_nationkey) - CASE WHEN s_nationkey % 5 = 0 THEN 1 ELSE 0 END AS last, s_suppkey FROM supplier),
-q AS (SELECT *, requested + CASE WHEN s_suppkey % 13 = 0 THEN 1 ELSE 0 END AS parsed, sha256(CAST(s_suppkey // 40 AS VARCHAR)) AS h FROM p)
-SELECT s_nationkey, requested, CASE WHEN requested <> parsed THEN 'PAGE_MISMATCH' WHEN requested > last THEN 'BEYOND_LAST_PAGE' WHEN h = lag(h) OVER (PARTITION BY s_nationkey ORDER BY requested) THEN 'REPEATED_PAGE' ELSE 'OK' END AS problem FROM q
+q AS (SELECT *, requested + CASE WHEN s_suppkey % 13 = 0 THEN 1 ELSE 0 END AS parsed, sha256(CAST(s_suppkey // 40 AS VARCHAR)) AS h, s_suppkey // 60 AS players FROM p)
+SELECT s_nationkey, requested, CASE WHEN requested <> parsed THEN 'PAGE_MISMATCH' WHEN last < 1 OR last < parsed THEN 'BEYOND_LAST_PAGE' WHEN last > 5 THEN 'TOO_MANY_PAGES' WHEN h = lag(h) OVER w THEN 'REPEATED_PAGE' WHEN players = lag(players) OVER w THEN 'REPEATED_PLAYERS' ELSE 'OK' END AS problem FROM q WINDOW w AS (PARTITION BY s_nationkey ORDER BY requested)
 """, cte=False)
 def _(spark, sf_dir):
     w = Window.partitionBy("s_nationkey")
     s = table(spark, sf_dir, "supplier").withColumn("requested", F.row_number().over(w.orderBy("s_suppkey")))
     s = s.withColumn("last", F.count(F.lit(1)).over(w) - F.when(F.col("s_nationkey") % 5 == 0, 1).otherwise(0)).withColumn("parsed", F.col("requested") + F.when(F.col("s_suppkey") % 13 == 0, 1).otherwise(0))
-    return V.pagination(s.withColumn("sha256", F.sha2(F.expr("s_suppkey div 40").cast("string"), 256)), ["s_nationkey"])
+    return V.pagination(s.withColumns({"sha256": F.sha2(F.expr("s_suppkey div 40").cast("string"), 256), "players": F.sha2(F.expr("s_suppkey div 60").cast("string"), 256)}), ["s_nationkey"], 5)
 
 
 @query("audit_context_match", """
@@ -519,6 +519,38 @@ def _(spark, sf_dir):
     return M.latest(r.where("kinds = 4 AND lo < hi"), ["track_id"], [F.desc("run")]).select("track_id", "run", "races", "entries")
 
 
+@query("report_latest_run", """
+, r AS (SELECT meeting_id AS run, track_id, count(DISTINCT race_id) AS races, bool_and(race_status IN ('CONFIRMED', 'CORRECTED')) AS complete FROM target GROUP BY ALL)
+SELECT track_id, max(run) FILTER (complete) AS run, CAST(arg_max(races, run) FILTER (complete) AS BIGINT) AS races, count(*) FILTER (run > (SELECT max(x.run) FROM r x WHERE x.track_id = r.track_id AND x.complete)) AS later_incomplete FROM r GROUP BY track_id HAVING bool_or(complete)
+""")
+def _(spark, sf_dir):
+    """Each track's latest run of which every race is settled, and how many incomplete ones came after it."""
+    complete = F.bool_and(F.col("race_status").isin("CONFIRMED", "CORRECTED"))
+    r = targets(spark, sf_dir).groupBy(F.col("meeting_id").alias("run"), "track_id").agg(F.countDistinct("race_id").alias("races"), complete.alias("complete"))
+    last = M.latest(r.where("complete"), ["track_id"], [F.desc("run")]).select("track_id", "run", "races")
+    after = r.select("track_id", F.col("run").alias("other")).join(last.select("track_id", "run"), "track_id").groupBy("track_id").agg(F.count_if(F.col("other") > F.col("run")).alias("later_incomplete"))
+    return last.join(after, "track_id")
+
+
+_BATCHES = """WHERE NOT (year = 1999 AND stat = 'STAT-12') AND NOT (year = 2000 AND stat = 'STAT-24' AND entry_id % 2 = 0)"""
+
+
+@query("report_coherent_batch", f"""
+WITH s AS ({_SIGNALS_SQL}), y AS (SELECT entry_id, year FROM ({ORACLE_SQL["bt_labels"].replace("SELECT entry_id,", "SELECT entry_id, year(race_date) AS year,")})),
+k AS (SELECT year, stat, count(*) AS n FROM s JOIN y USING (entry_id) {_BATCHES} GROUP BY ALL),
+b AS (SELECT year, count(*) AS stats, min(n) AS least, max(n) AS most FROM k GROUP BY year)
+SELECT year, stats, least, most, stats = 13 AND least = most AS coherent, year = (SELECT max(year) FROM b WHERE stats = 13 AND least = most) AS selected FROM b
+""", cte=False)
+def _(spark, sf_dir):
+    """Batches of all statistics by year: coherent if none is missing and all have as many rows; the latest of these is selected."""
+    year = targets(spark, sf_dir).select("entry_id", F.year("race_date").alias("year"))
+    rows = signals(spark, sf_dir).join(year, "entry_id").where(_BATCHES.removeprefix("WHERE "))
+    b = rows.groupBy("year", "stat").agg(F.count(F.lit(1)).alias("n")).groupBy("year").agg(F.count(F.lit(1)).alias("stats"), F.min("n").alias("least"), F.max("n").alias("most"))
+    b = b.withColumn("coherent", (F.col("stats") == len(SIGNALS)) & (F.col("least") == F.col("most")))
+    best = F.broadcast(b.agg(F.max(F.when(F.col("coherent"), F.col("year"))).alias("best")))  # one row
+    return b.join(best).select("year", "stats", "least", "most", "coherent", F.coalesce(F.col("year") == F.col("best"), F.lit(False)).alias("selected"))
+
+
 @query("report_window_completeness", f"""
 WITH f AS ({ORACLE_SQL["stat24_volatility"]}), w AS (UNPIVOT (SELECT entry_id, sample_3, sample_5, sample_10, sample_20, sample_30 FROM f) ON COLUMNS('sample_.*') INTO NAME win VALUE n)
 SELECT CAST(substr(win, 8) AS INT) AS window, count(*) AS targets, min(n) AS least, max(n) AS most, round(avg(n), 9) AS mean, count(*) FILTER (n < CAST(substr(win, 8) AS INT)) AS incomplete FROM w GROUP BY ALL

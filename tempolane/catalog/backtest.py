@@ -13,13 +13,15 @@ from tempolane.catalog.tables import REASONS_SQL
 from tempolane.operators import bootstrap as B
 from tempolane.operators import evaluation as E
 from tempolane.operators import ridge as R
+from tempolane.operators import validation as V
 from tempolane.plans import features as P
-from tempolane.registry import query
+from tempolane.registry import ORACLE_SQL, QUERIES, query
 from tempolane.sources.domain import domain, eligible
 from tempolane.storage import materialise, stored
 
 BOOTSTRAP = B.ITERATIONS
 YEARS, FIRST = (1998, 1999, 2000), 1996
+TARGETS = ("is_win", "is_top2", "is_top3")
 _ROLES = [(f"WF_{y}", role, a, b) for y in YEARS for role, a, b in (("TRAIN", FIRST, y - 1), ("INNER_FIT", FIRST, y - 2), ("INNER_VALIDATION", y - 1, y - 1), ("EVALUATION", y, y))]
 _FOLDS_SQL = f", f(fold, role, a, b) AS (VALUES {', '.join(map(str, _ROLES))})"
 
@@ -65,6 +67,95 @@ def _(spark, sf_dir):
     return E.outcome_snapshot(eligible(domain(spark, sf_dir).entries))
 
 
+@query("bt_snapshot_rows", """
+, q AS (SELECT * FROM target WHERE race_status = 'CONFIRMED')
+SELECT DISTINCT t.race_id, r.race_date, r.entrants, r.race_status, q.bike, q.rank, q.result_status FROM target t JOIN (SELECT DISTINCT race_id, race_date, entrants, race_status FROM target) r USING (race_id) LEFT JOIN q ON q.race_id = t.race_id
+""")
+def _(spark, sf_dir):
+    """All target races with context, and the results of confirmed ones: races without results keep a row."""
+    e = eligible(domain(spark, sf_dir).entries)
+    races = e.select("race_id", "race_date", "entrants", "race_status").distinct()
+    return E.snapshot_rows(e, races, e.where("race_status = 'CONFIRMED'").select("race_id", "bike", "rank", "result_status"))
+
+
+_FEATURE_ROWS = """
+, f0 AS ({stat01}), s0 AS (SELECT entry_id, score FROM ({labels})),
+ft AS (SELECT race_id, entry_id, CASE WHEN race_id % 43 = 0 AND bike = 2 THEN 1 ELSE bike END AS bike, status, quality, score, score_rank, CASE WHEN entry_id % 611 = 0 THEN NULL WHEN entry_id % 499 = 0 THEN cutoff + 100000 ELSE cutoff END AS input_as_of FROM f0 JOIN s0 USING (entry_id) UNION ALL
+  SELECT race_id, entry_id, bike, status, quality, score, score_rank, cutoff FROM f0 JOIN s0 USING (entry_id) WHERE race_id % 47 = 0 AND bike = 1),
+fr AS (SELECT race_id, any_value(entrants) AS entrants, any_value(start_at) AS start_at, any_value(race_status) AS race_status FROM target GROUP BY race_id),
+rs AS (SELECT race_id, concat_ws(',', CASE WHEN count(*) <> any_value(entrants) THEN 'FEATURE_RESULT_COUNT_MISMATCH' END, CASE WHEN count(DISTINCT entry_id) < count(*) THEN 'FEATURE_DUPLICATE_ENTRY' END, CASE WHEN count(DISTINCT bike) < count(*) THEN 'FEATURE_DUPLICATE_BIKE' END,
+  CASE WHEN bool_or(status <> 'VALID') THEN 'FEATURE_STATUS_NOT_VALID' END, CASE WHEN bool_or(quality <> 'FULL') THEN 'FEATURE_QUALITY_NOT_FULL' END, CASE WHEN bool_or(score IS NULL) THEN 'FEATURE_SCORE_UNAVAILABLE' END, CASE WHEN bool_or(score IS NULL OR score <= 0) THEN 'FEATURE_SCORE_NON_POSITIVE' END,
+  CASE WHEN bool_or(score_rank IS NULL) THEN 'FEATURE_RANK_MISSING' END, CASE WHEN bool_or(input_as_of IS NULL) THEN 'FEATURE_INPUT_AS_OF_MISSING' END, CASE WHEN bool_or(coalesce(input_as_of > start_at, false)) THEN 'FEATURE_INPUT_AS_OF_AFTER_START' END) AS reasons FROM fr JOIN ft USING (race_id) GROUP BY race_id)
+"""
+
+
+def _feature_sql() -> str:
+    return _FEATURE_ROWS.replace("{stat01}", ORACLE_SQL["stat01_group_relative"]).replace("{labels}", ORACLE_SQL["bt_labels"].replace("SELECT entry_id,", "SELECT entry_id, score,"))
+
+
+def feature_rows(spark, sf_dir) -> DataFrame:
+    """Features of the rank baseline with faults: bikes and entries twice, moments that are missing or too late."""
+    score = eligible(domain(spark, sf_dir).entries).select("entry_id", "score")
+    rows = QUERIES["stat01_group_relative"](spark, sf_dir).join(score, "entry_id").select("race_id", "entry_id", "bike", "status", "quality", "score", "score_rank", "cutoff")
+    late = F.when(F.col("entry_id") % 611 == 0, None).when(F.col("entry_id") % 499 == 0, F.col("cutoff") + 100000).otherwise(F.col("cutoff"))
+    bike = F.when((F.col("race_id") % 43 == 0) & (F.col("bike") == 2), 1).otherwise(F.col("bike"))
+    own = rows.withColumns({"input_as_of": late, "bike": bike}).drop("cutoff")
+    return own.unionByName(rows.where("race_id % 47 = 0 AND bike = 1").withColumnRenamed("cutoff", "input_as_of"))
+
+
+def race_rows(spark, sf_dir) -> DataFrame:
+    return eligible(domain(spark, sf_dir).entries).select("race_id", "entrants", "start_at", "race_status").distinct()
+
+
+@query("bt_feature_eligibility", _feature_sql() + " SELECT race_id, reasons FROM rs")
+def _(spark, sf_dir):
+    return E.feature_reasons(feature_rows(spark, sf_dir), race_rows(spark, sf_dir))
+
+
+@query("bt_rank_predictions", _feature_sql() + """
+SELECT race_id, entry_id, bike, score, score_rank, score_rank = 1 AS rank1_set, score_rank <= 3 AS top3_set,
+  sha256(CAST(to_json({'entry_id': entry_id, 'race_id': race_id, 'rank1_set': score_rank = 1, 'score': printf('%.17e', CAST(score AS DOUBLE)), 'score_rank': score_rank, 'top3_set': score_rank <= 3}) AS VARCHAR)) AS prediction_hash FROM ft JOIN rs USING (race_id) WHERE reasons = ''
+""")
+def _(spark, sf_dir):
+    """Predictions of eligible races: sets by rank, with a hash of each row."""
+    features = feature_rows(spark, sf_dir)
+    good = E.feature_reasons(features, race_rows(spark, sf_dir)).where("reasons = ''").select("race_id")
+    return E.rank_predictions(features.join(good, "race_id"))
+
+
+@query("bt_cohort_decisions", _feature_sql() + """
+, pr AS (SELECT race_id, bike, score_rank = 1 AS r1, score_rank <= 3 AS r3 FROM ft JOIN rs USING (race_id) WHERE reasons = ''),
+lb AS (SELECT race_id, bike, result_status, CASE WHEN race_id % 53 = 0 AND bike = 2 THEN NULL ELSE rank END AS rank FROM target WHERE NOT (race_id % 59 = 0 AND bike = 1)),
+lg AS (SELECT race_id, count(*) AS n, count(*) FILTER (result_status IN ('FINISHED', 'TIED') AND rank = 1) AS w, count(*) FILTER (result_status IN ('FINISHED', 'TIED') AND rank IS NULL) AS u, count(*) FILTER (result_status NOT IN ('FINISHED', 'TIED') OR rank IS NULL) AS a FROM lb GROUP BY race_id),
+pg AS (SELECT pr.race_id, bool_or(r1 AND w.bike IS NOT NULL) AS h1, bool_or(r3 AND w.bike IS NOT NULL) AS h3, count(*) FILTER (r1) AS s1, count(*) FILTER (r3) AS s3 FROM pr LEFT JOIN (SELECT DISTINCT race_id, bike FROM lb WHERE result_status IN ('FINISHED', 'TIED') AND rank = 1) w ON w.race_id = pr.race_id AND w.bike = pr.bike GROUP BY pr.race_id),
+cd AS (SELECT race_id, cohort, h1, h3, s1, s3, a, concat_ws(',', CASE WHEN race_status <> 'CONFIRMED' THEN 'LABEL_RACE_NOT_CONFIRMED' END, CASE WHEN coalesce(n, 0) <> entrants THEN 'LABEL_RESULT_COUNT_MISMATCH' END, CASE WHEN coalesce(w, 0) = 0 THEN 'LABEL_NO_WINNER' END, CASE WHEN coalesce(u, 0) > 0 THEN 'LABEL_FINISHED_RANK_MISSING' END) AS r
+  FROM fr LEFT JOIN lg USING (race_id) LEFT JOIN pg USING (race_id), (VALUES ('OPERATIONAL'), ('NORMAL_FINISH')) c(cohort)),
+ce AS (SELECT *, CASE WHEN r <> '' THEN r WHEN cohort = 'NORMAL_FINISH' AND a > 0 THEN 'LABEL_ABNORMAL_RESULT_PRESENT' ELSE '' END AS reasons FROM cd)
+SELECT race_id, cohort, reasons = '' AS included, reasons, CASE WHEN reasons = '' THEN coalesce(h1, false) END AS rank1_hit, CASE WHEN reasons = '' THEN coalesce(h3, false) END AS top3_hit, CASE WHEN reasons = '' THEN coalesce(s1, 0) END AS rank1_set_size, CASE WHEN reasons = '' THEN coalesce(s3, 0) END AS top3_set_size FROM ce
+""")
+def _(spark, sf_dir):
+    """Both cohorts' decision on every race, with labels of which some lack a finisher's rank or a row."""
+    labels = eligible(domain(spark, sf_dir).entries).where("NOT (race_id % 59 = 0 AND bike = 1)").select("race_id", "bike", "result_status", F.when(~((F.col("race_id") % 53 == 0) & (F.col("bike") == 2)), F.col("rank")).alias("rank"))
+    return E.cohort_decisions(race_rows(spark, sf_dir), QUERIES["bt_rank_predictions"](spark, sf_dir), labels)
+
+
+@query("audit_replay_values", """
+, y AS (SELECT DISTINCT year(race_date) AS y FROM target), b AS (SELECT 'WF_' || y AS scope, y, unnest(range(1, 6)) AS bin FROM y)
+SELECT scope, CASE WHEN y % 5 = 0 THEN 1 ELSE 0 END AS missing, CASE WHEN y % 5 = 1 THEN 3 ELSE 0 END AS unknown, CASE WHEN y % 5 = 2 THEN 1 ELSE 0 END AS repeated, CASE WHEN y % 5 = 3 THEN 1 ELSE 0 END AS differing_bins, CASE WHEN y % 5 = 4 THEN 1 ELSE 0 END AS differing_means FROM b GROUP BY scope, y
+""")
+def _(spark, sf_dir):
+    """Effects of five bins for each year and label, each year with one kind of fault."""
+    y = eligible(domain(spark, sf_dir).entries).select(F.year("race_date").alias("y")).distinct().withColumn("scope", F.concat(F.lit("WF_"), F.col("y").cast("string")))
+    bins = y.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    kind, one, two = F.col("y") % 5, F.col("label") == TARGETS[0], F.col("bin") == 2
+    effects = bins.withColumn("label", F.explode(F.array(*map(F.lit, TARGETS)))).where(~((kind == 0) & one & two))
+    effects = effects.withColumn("times", F.when((kind == 2) & one & two, 2).otherwise(1)).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    stray = y.where("y % 5 = 1").withColumn("label", F.explode(F.array(*map(F.lit, TARGETS)))).withColumn("bin", F.lit(0))
+    effects = effects.select("y", "scope", "label", "bin").unionByName(stray.select("y", "scope", "label", "bin"))
+    values = effects.withColumns({"identity": F.concat_ws("/", "bin", F.when((kind == 3) & one & two, "other").otherwise("same")), "overall_mean": F.when((kind == 4) & one & two, 0.25).otherwise(0.5)})
+    return V.replay_faults(values, bins, y.where("false"), TARGETS)
+
+
 def predictions(spark, sf_dir) -> DataFrame:
     """Entries of usable races with label and two closed-form predictions; also the value that effects are cut by."""
     e = eligible(domain(spark, sf_dir).entries)
@@ -265,9 +356,6 @@ def _(spark, sf_dir):
     return rows.groupBy("fold", "stat", "cohort", "role").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("race_id").alias("races"))
 
 
-TARGETS = ("is_win", "is_top2", "is_top3")
-
-
 def grid_rows(spark, sf_dir) -> DataFrame:
     """Signal rows of every fold, statistic, cohort and role."""
     fold = F.broadcast(E.folds(spark, YEARS, FIRST))

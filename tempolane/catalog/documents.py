@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempolane.operators import validation as V
 from tempolane.registry import query
 from tempolane.sources import documents as D
 from tempolane.sources import pages as G
@@ -118,6 +119,19 @@ def _(spark, sf_dir):
     return parsed(spark, sf_dir, "result_page", result_page_bodies).table("payouts")
 
 
+@query("audit_page_completeness", _RESULT_PAGES + """
+, ex AS (SELECT race_id, count(*) AS n, race_id % 14 = 0 AS shifted FROM target WHERE NOT (race_id % 21 = 0 AND bike = 1) GROUP BY race_id), p AS (SELECT race_id, any_value(kind) AS kind, count(*) AS n FROM pk GROUP BY race_id)
+SELECT 'race/' || race_id AS url, CASE WHEN kind <> 'RESULTS_AVAILABLE' THEN 'NO_RESULT_PAGE' WHEN coalesce(ex.n, 0) <> p.n THEN 'RESULT_COUNT_MISMATCH' WHEN shifted THEN 'BIKE_SET_MISMATCH' WHEN race_id % 13 = 0 AND race_id % 5 <> 0 THEN 'PARTIAL_PAYOUT' ELSE 'COMPLETE' END AS verdict FROM p LEFT JOIN ex USING (race_id) WHERE kind <> 'BROKEN'
+""")
+def _(spark, sf_dir):
+    """Parsed result pages against the entries, of which some lack a bike or have others, and payouts of which some lack the amount."""
+    g = parsed(spark, sf_dir, "result_page", result_page_bodies)
+    url = F.concat(F.lit("race/"), F.col("race_id").cast("string")).alias("url")
+    expected = eligible(domain(spark, sf_dir).entries).where("NOT (race_id % 21 = 0 AND bike = 1)").select(url, (F.col("bike") + F.when(F.col("race_id") % 14 == 0, 1).otherwise(0)).cast("int").alias("bike"))
+    race = F.substring_index("url", "/", -1).cast("long")
+    return V.page_completeness(g.table("page"), g.table("results"), g.table("payouts").withColumn("amount", F.when(race % 13 != 0, F.col("amount"))), expected)
+
+
 @query("doc_schedule", """
 SELECT 'schedule/' || meeting_id AS url, CAST(track_id AS VARCHAR) AS track, CAST(min(race_date) AS VARCHAR) AS starts_on, date_diff('day', min(race_date), max(race_date)) + 1 AS days, 'F' || (1 + track_id % 2) AS grade FROM target GROUP BY meeting_id, track_id
 """)
@@ -253,6 +267,17 @@ def _(spark, sf_dir):
     return parsed(spark, sf_dir, "race_detail", race_detail_pages).table("context")
 
 
+@query("audit_player_match", _DETAILED + """
+SELECT race_id, CAST(count(*) AS BIGINT) AS bikes, count(*) FILTER (race_id % 33 = 0 AND bike = 3 OR race_id % 35 = 0 AND bike = 4) AS differing FROM target JOIN g USING (race_id) WHERE player_id IS NOT NULL GROUP BY race_id
+""")
+def _(spark, sf_dir):
+    """Players of each bike in the parsed details against the stored entries, of which some have another player and some none."""
+    doc = parsed(spark, sf_dir, "race_detail", race_detail_pages).table("entries").select(F.substring_index("url", "/", -1).cast("long").alias("race_id"), F.col("bike").cast("long").alias("bike"), "player")
+    other = F.when((F.col("race_id") % 33 == 0) & (F.col("bike") == 3), -1).otherwise(F.col("player_id")).cast("string").alias("player")
+    kept = eligible(domain(spark, sf_dir).entries).where("player_id IS NOT NULL AND NOT (race_id % 35 = 0 AND bike = 4)").join(doc.select("race_id").distinct(), "race_id", "left_semi").select("race_id", F.col("bike").cast("long").alias("bike"), other)
+    return V.against_manifest(doc, kept, ["race_id", "bike"], ["player"]).groupBy("race_id").agg(F.count(F.lit(1)).alias("bikes"), F.count_if(F.col("differs") != "").alias("differing"))
+
+
 _LIVE_KIND = "CASE WHEN race_id % 23 = 0 THEN 'RACE' WHEN race_id % 29 = 0 THEN 'SECTION' WHEN race_id % 7 = 1 THEN 'UNDER_REVIEW' WHEN race_id % 7 = 2 THEN 'PROVISIONAL' WHEN race_id % 31 = 0 THEN 'NOTHING' ELSE race_status END"
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempolane.operators.hashing import row_hash
 from tempolane.storage import materialise
 
 EPSILON = 1e-15
@@ -55,6 +56,64 @@ def outcome_snapshot(entry: DataFrame) -> DataFrame:
     return g.select("year", "race_id", "entrants", "race_status", "results", F.array_join(F.transform("rows", lambda x: x["text"]), ",").alias("outcome"), good.alias("consistent"))
 
 
+#: Reasons against a race's features and against its labels, in their order.
+FEATURE_REASONS = ("FEATURE_RESULT_COUNT_MISMATCH", "FEATURE_DUPLICATE_ENTRY", "FEATURE_DUPLICATE_BIKE", "FEATURE_STATUS_NOT_VALID", "FEATURE_QUALITY_NOT_FULL", "FEATURE_SCORE_UNAVAILABLE", "FEATURE_SCORE_NON_POSITIVE", "FEATURE_RANK_MISSING", "FEATURE_INPUT_AS_OF_MISSING", "FEATURE_INPUT_AS_OF_AFTER_START")
+LABEL_REASONS = ("LABEL_RACE_NOT_CONFIRMED", "LABEL_RESULT_COUNT_MISMATCH", "LABEL_NO_WINNER", "LABEL_FINISHED_RANK_MISSING")
+ABNORMAL = "LABEL_ABNORMAL_RESULT_PRESENT"
+
+
+def feature_reasons(features: DataFrame, races: DataFrame) -> DataFrame:
+    """Per race (race_id, entrants, start_at) all reasons against its features (race_id, entry_id, bike, status, quality, score,
+    score_rank, input_as_of), comma-separated in their order; empty for an eligible race. A race without features has the first."""
+    bad = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0)) > 0
+    own = features.join(races.select("race_id", "start_at"), "race_id")
+    after = F.col("input_as_of").isNotNull() & (F.col("start_at").isNull() | (F.col("input_as_of") > F.col("start_at")))
+    faults = [~F.col("status").eqNullSafe("VALID"), ~F.col("quality").eqNullSafe("FULL"), F.col("score").isNull(), F.col("score").isNull() | (F.col("score") <= 0), F.col("score_rank").isNull(), F.col("input_as_of").isNull(), after]
+    g = own.groupBy("race_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entry_id").alias("entries"), F.countDistinct("bike").alias("bikes"), *(bad(c).alias(f"f{k}") for k, c in enumerate(faults)))
+    out = races.join(g, "race_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    held = [n != F.col("entrants"), F.col("entries") < n, F.col("bikes") < n, *(F.col(f"f{k}") for k in range(len(faults)))]
+    return out.select("race_id", F.concat_ws(",", *(F.when(c, r) for c, r in zip(held, FEATURE_REASONS, strict=True))).alias("reasons"))
+
+
+def rank_predictions(features: DataFrame) -> DataFrame:
+    """The rank baseline's prediction of each entry: its rank, whether it is in the best set and among the best three (ties kept), and
+    a hash of all that."""
+    sets = {"rank1_set": F.col("score_rank") == 1, "top3_set": F.col("score_rank") <= 3}
+    out = features.where("score_rank IS NOT NULL").select("race_id", "entry_id", "bike", "score", "score_rank", *(c.alias(k) for k, c in sets.items()))
+    return out.withColumn("prediction_hash", row_hash(out, ["race_id", "entry_id", "score", "score_rank", "rank1_set", "top3_set"]))
+
+
+def cohort_decisions(races: DataFrame, predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per race and cohort: whether it is included, the reasons against it, hits and sizes of the predicted sets.
+
+    Labels (race_id, bike, result_status, rank) may not be those of a confirmed race, may be too few, lack a winner or a finisher's
+    rank: then both cohorts leave the race out. NORMAL_FINISH also leaves out a race with an abnormal result.
+    """
+    finished, ranked = F.col("result_status").isin("FINISHED", "TIED"), F.col("rank").isNotNull()
+    won = finished & ranked & (F.col("rank") == 1)
+    l = labels.groupBy("race_id").agg(F.count(F.lit(1)).alias("labels"), F.count_if(won).alias("winners"), F.count_if(finished & ~ranked).alias("unranked"), F.count_if(~(finished & ranked)).alias("abnormal"))
+    winners = labels.where(won).select("race_id", "bike", F.lit(1).alias("won"))
+    hit = lambda c: F.coalesce(F.max((F.col(c) & F.col("won").isNotNull()).cast("int")), F.lit(0)) == 1
+    p = predictions.join(winners, ["race_id", "bike"], "left").groupBy("race_id").agg(hit("rank1_set").alias("rank1_hit"), hit("top3_set").alias("top3_hit"), F.count_if("rank1_set").alias("rank1_set_size"), F.count_if("top3_set").alias("top3_set_size"))
+    out = races.select("race_id", "entrants", "race_status").join(l, "race_id", "left").join(p, "race_id", "left").withColumn("cohort", F.explode(F.array(F.lit("OPERATIONAL"), F.lit("NORMAL_FINISH"))))
+    n = F.coalesce("labels", F.lit(0))
+    held = [~F.col("race_status").eqNullSafe("CONFIRMED"), n != F.col("entrants"), F.coalesce("winners", F.lit(0)) == 0, F.coalesce("unranked", F.lit(0)) > 0]
+    against = F.concat_ws(",", *(F.when(c, r) for c, r in zip(held, LABEL_REASONS, strict=True)))
+    reasons = F.when(against != "", against).when((F.col("cohort") == "NORMAL_FINISH") & (F.col("abnormal") > 0), ABNORMAL).otherwise("")
+    out = out.withColumn("reasons", reasons).withColumn("included", F.col("reasons") == "")
+    shown = [F.when(F.col("included"), F.coalesce(c, F.lit(False))).alias(c) for c in ("rank1_hit", "top3_hit")] + [F.when(F.col("included"), F.coalesce(c, F.lit(0))).alias(c) for c in ("rank1_set_size", "top3_set_size")]
+    return out.select("race_id", "cohort", "included", "reasons", *shown)
+
+
+def snapshot_rows(targets: DataFrame, races: DataFrame, results: DataFrame) -> DataFrame:
+    """The target races with their context and each of their results; races without results have one row. A target race that is not
+    among the races stops the run."""
+    there = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no race for target "), F.col("race_id").cast("string"))).cast("long")).otherwise(F.col("race_id"))
+    out = targets.select("race_id").distinct().join(races.withColumn("_there", F.lit(1)), "race_id", "left").withColumn("race_id", there).drop("_there")
+    return out.join(results, "race_id", "left")
+
+
 def race_reasons(entry: DataFrame) -> DataFrame:
     """Per race, all reasons against its use, in fixed order, comma-separated; empty for a usable race."""
     g = entry.groupBy("race_id").agg(

@@ -66,11 +66,40 @@ def contiguous(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     return g.select(*keys, "n", ((F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("distinct") == F.col("n"))).alias("contiguous"))
 
 
-def pagination(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """From (keys, requested, parsed, last, sha256): what is wrong with each page; two neighbours must not be the same."""
-    before = F.lag("sha256").over(Window.partitionBy(*keys).orderBy("requested"))
-    problem = F.coalesce(F.when(F.col("requested") != F.col("parsed"), "PAGE_MISMATCH"), F.when(F.col("requested") > F.col("last"), "BEYOND_LAST_PAGE"), F.when(F.col("sha256") == F.col("_before"), "REPEATED_PAGE"), F.lit("OK"))
-    return pages.withColumn("_before", before).select(*keys, "requested", problem.alias("problem"))
+def pagination(pages: DataFrame, keys: Sequence[str], limit: int = 100) -> DataFrame:
+    """From (keys, requested, parsed, last, sha256, players): what is wrong with each page. A page must be the one that was asked for
+    and not lie beyond the last, of which there are ``limit`` at most; two neighbours must differ in body and in players."""
+    order = Window.partitionBy(*keys).orderBy("requested")
+    same = lambda c: F.col(c) == F.lag(c).over(order)
+    last = F.col("last")
+    rules = [(F.col("requested") != F.col("parsed"), "PAGE_MISMATCH"), (last.isNull() | (last < 1) | (last < F.col("parsed")), "BEYOND_LAST_PAGE"), (last > limit, "TOO_MANY_PAGES"), (same("sha256"), "REPEATED_PAGE"), (same("players"), "REPEATED_PLAYERS")]
+    return pages.select(*keys, "requested", F.coalesce(*(F.when(c, p) for c, p in rules), F.lit("OK")).alias("problem"))
+
+
+def page_completeness(pages: DataFrame, results: DataFrame, payouts: DataFrame, expected: DataFrame, key: str = "url") -> DataFrame:
+    """Verdict on each result page (key, state) against the expected bikes (key, bike): results of just these, and whole payouts."""
+    r = results.groupBy(key).agg(F.array_sort(F.collect_list("bike")).alias("found"))
+    e = expected.groupBy(key).agg(F.array_sort(F.collect_set("bike")).alias("bikes"))
+    p = payouts.groupBy(key).agg(F.count_if(F.col("amount").isNull() | F.col("combination").isNull() | (F.col("combination") == "") | F.col("bet_type").isNull()).alias("partial"))
+    out = pages.select(key, "state").join(r, key, "left").join(e, key, "left").join(p, key, "left")
+    found = F.coalesce(F.size("found"), F.lit(0))
+    rules = [(F.col("state") != "RESULTS_AVAILABLE", "NO_RESULT_PAGE"), (F.col("found").isNull(), "NO_RESULTS"), (F.size(F.array_distinct("found")) < found, "DUPLICATE_BIKE"), (F.col("bikes").isNull() | (found != F.size("bikes")), "RESULT_COUNT_MISMATCH"), (F.col("found") != F.col("bikes"), "BIKE_SET_MISMATCH"), (F.col("partial") > 0, "PARTIAL_PAYOUT")]
+    return out.select(key, F.coalesce(*(F.when(c, v) for c, v in rules), F.lit("COMPLETE")).alias("verdict"))
+
+
+def replay_faults(effects: DataFrame, bins: DataFrame, unseen: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Per scope what is wrong with a replay's effects (scope, label, bin, identity, overall_mean): bins twice or missing for a label, bins
+    that are no training bin (bin 0 only in scopes with ``unseen`` rows), identities that differ between labels, and overall means that
+    differ inside a label. A scope without a fault has zeros."""
+    every = bins.select("scope", "bin").union(unseen.select("scope", F.lit(0).alias("bin"))).distinct()
+    wanted = every.withColumn("label", F.explode(F.array(*map(F.lit, labels))))
+    has = effects.groupBy("scope", "label", "bin").agg(F.count(F.lit(1)).alias("times"))
+    both = wanted.withColumn("_want", F.lit(1)).join(has, ["scope", "label", "bin"], "full_outer")
+    sets = both.groupBy("scope").agg(F.count_if(F.col("times").isNull()).alias("missing"), F.count_if(F.col("_want").isNull()).alias("unknown"), F.count_if(F.col("times") > 1).alias("repeated"))
+    identities = effects.where("bin > 0").groupBy("scope", "bin").agg(F.countDistinct("identity").alias("k")).groupBy("scope").agg(F.count_if(F.col("k") > 1).alias("differing_bins"))
+    means = effects.groupBy("scope", "label").agg((F.min("overall_mean") != F.max("overall_mean")).alias("x")).groupBy("scope").agg(F.count_if("x").alias("differing_means"))
+    out = sets.join(identities, "scope", "left").join(means, "scope", "left")
+    return out.select("scope", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("missing", "unknown", "repeated", "differing_bins", "differing_means")))
 
 
 def cutoffs(entry: DataFrame) -> DataFrame:
