@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
@@ -100,12 +102,18 @@ def input_hashes(targets: DataFrame, events: DataFrame, context: Sequence[str],
     """For each target: the hash of its context, that of its subject's events before the cutoff, and of both.
 
     The history's hash is the chain's state after the last event before the cutoff, so no target gathers its history: a subject's
-    states are computed once and looked up by the number of events.
+    states are computed once, in one pass over its events in order, and looked up by the number of events.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("start_at", "race_id", id_col, "h")))
-    step = lambda a, x: F.concat(F.array(F.sha2(F.concat(F.coalesce(F.get(a, F.lit(0)), F.lit("")), x["h"]), 256)), a)
-    states = events.where(F.col(subject).isNotNull()).groupBy(subject).agg(F.aggregate(ordered, F.array().cast("array<string>"), step, F.reverse).alias("states"))
-    states = states.select(subject, F.posexplode("states").alias("n", "history_hash")).withColumn("events", (F.col("n") + 1).cast("long")).drop("n")
+
+    def states_of(frame: pd.DataFrame) -> pd.DataFrame:
+        state, out = "", []
+        for own in frame.sort_values(["start_at", "race_id", id_col])["h"]:
+            state = hashlib.sha256((state + own).encode()).hexdigest()
+            out.append(state)
+        return pd.DataFrame({subject: frame[subject].iloc[0], "events": range(1, len(out) + 1), "history_hash": out})
+
+    past = events.where(F.col(subject).isNotNull()).select(subject, "start_at", "race_id", id_col, "h")
+    states = past.groupBy(subject).applyInPandas(states_of, f"{subject} {dict(events.dtypes)[subject]}, events long, history_hash string")
     seen = asof_sums(targets, events, [subject], {"n": F.lit(1)}, [None])
     own = targets.select(id_col, subject, row_hash(targets, context).alias("context_hash")).join(seen, id_col, "left").withColumn("events", F.coalesce("n_all", F.lit(0.0)).cast("long"))
     out = own.join(states, [subject, "events"], "left").withColumn("history_hash", F.coalesce("history_hash", F.lit("")))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempolane.operators.asof import Request, asof, asof_map, asof_sums, blocked_sums, last_events, name_of, two_clocks
+from tempolane.operators.asof import Request, asof, asof_map, asof_sums, last_events, name_of, scoped_sums, two_clocks
 from tempolane.sources.domain import CONFIRMED_AT, DAY, HISTORY_FROM, MEETING_GRADE, UNIT, Domain, eligible
 
 def performance_sums() -> dict[str, Column]:
@@ -613,8 +613,7 @@ def position_bias(d: Domain) -> DataFrame:
     race = Window.partitionBy("race_id")
     targets, events = eligible(d.entries), d.history.where("normal")
     out = targets.withColumns({"same_bike": F.count(F.lit(1)).over(Window.partitionBy("race_id", "bike"))})
-    for name, keys in SCOPES.items():
-        out = out.join(blocked_sums(targets, events, keys, performance_sums(), prefix=f"{name}_"), "entry_id", "left")
+    out = out.join(scoped_sums(targets, events, SCOPES, performance_sums()), "entry_id", "left")
     found = {name: performance(out, f"{name}_", None) for name in SCOPES}
     shown: dict[str, Column] = {}
     for name, p in found.items():
