@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -362,37 +364,82 @@ def volatility(d: Domain, counts: Sequence[int] = (3, 5, 10, 20, 30), days: Sequ
     return out.select("entry_id", *(v.alias(k) for k, v in shown.items()), *verdict(F.coalesce("e_any_all", F.lit(0.0)), F.coalesce("m_any_all", F.lit(0.0)), complete))
 
 
+GAPS = "entry_id long, started long, normal long, abnormal long, pre long, inside long, n long, total long, q25 double, q50 double, q75 double, at_most long"
+
+
+def career_gaps(targets: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
+    """One player's targets in one pass over the career: moments of the newest events, and order statistics of the gaps before.
+
+    All gaps so far are kept in order. A target leaves the starts of its own meeting out, which are few: their gaps are taken out of
+    the order, the gaps that bridge them put in, and both undone after the look-up.
+    """
+    events = events.sort_values(["start_at", "race_id", "entry_id"])
+    at, normal, abnormal = (events[c].tolist() for c in ("start_at", "normal", "abnormal"))
+    meetings = [None if pd.isna(m) else int(m) for m in events["meeting_id"]]
+    gaps: list[int] = []
+    of_meeting: dict[int, list[int]] = {}
+    newest = {"started": None, "normal": None, "abnormal": None}
+    done, out = 0, []
+    targets = targets.sort_values("cutoff")
+    for entry, cutoff, start, meeting in zip(targets["entry_id"].tolist(), targets["cutoff"].tolist(), targets["start_at"].tolist(), targets["meeting_id"], strict=True):
+        while done < len(at) and at[done] < cutoff:
+            if done:
+                insort(gaps, at[done] - at[done - 1])
+            newest |= {"started": at[done]} | ({"normal": at[done]} if normal[done] else {}) | ({"abnormal": at[done]} if abnormal[done] else {})
+            if meetings[done] is not None:
+                of_meeting.setdefault(meetings[done], []).append(done)
+            done += 1
+        own = [] if pd.isna(meeting) else of_meeting.get(int(meeting), [])
+        out_gaps, bridges, k = [], [], 0
+        while k < len(own):
+            first = own[k]
+            while k + 1 < len(own) and own[k + 1] == own[k] + 1:
+                k += 1
+            last = own[k]
+            out_gaps += [at[x] - at[x - 1] for x in range(max(first, 1), min(last + 1, done - 1) + 1)]
+            if first > 0 and last + 1 < done:
+                bridges.append(at[last + 1] - at[first - 1])
+            k += 1
+        # Runs with one event between them share none of their gaps: each gap is named by its later event, once.
+        for g in out_gaps:
+            del gaps[bisect_left(gaps, g)]
+        for g in bridges:
+            insort(gaps, g)
+        left = set(own)
+        pre = next((x for x in range(done - 1, -1, -1) if x not in left), None)
+        since = None if pre is None else start - at[pre]
+        n = len(gaps)
+        q = [None if not n else gaps[lo := int((n - 1) * p)] + (gaps[min(lo + 1, n - 1)] - gaps[lo]) * ((n - 1) * p - lo) for p in (0.25, 0.5, 0.75)]
+        first_pre = next((x for x in range(done) if x not in left), None)
+        total = at[pre] - at[first_pre] if n else None
+        out.append((entry, newest["started"], newest["normal"], newest["abnormal"], None if pre is None else at[pre], at[own[-1]] if own else None, n, total, *q, bisect_right(gaps, since) if n else None))
+        for g in bridges:
+            del gaps[bisect_left(gaps, g)]
+        for g in out_gaps:
+            insort(gaps, g)
+    return pd.DataFrame(out, columns=[c.split()[0] for c in GAPS.split(", ")]).astype({c.split()[0]: "Int64" if c.endswith("long") else "float64" for c in GAPS.split(", ")})
+
+
 def rest_gaps(d: Domain) -> DataFrame:
     """Days since the previous event of each kind, and where the current gap stands among the gaps before the meeting.
 
-    Gaps run between started events before the target's meeting; a player's career is one row's array, as the rank of one gap
-    among all earlier ones needs them all. Where the meeting is unknown, all events are before it.
+    Gaps run between started events before the target's meeting. A player's targets and starts meet in one task, which goes over
+    them once; no target carries a career. Where the meeting is unknown, all events are before it.
     """
     targets, events = eligible(d.entries), d.history
-    started = events.where("started AND player_id IS NOT NULL")
-    career = started.groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("start_at", "race_id", "entry_id", "meeting_id", "normal", "abnormal"))).alias("career"))
-    out = targets.select("entry_id", "player_id", "cutoff", "start_at", "meeting_id").join(career, "player_id", "left")
+    started = events.where("started AND player_id IS NOT NULL").select("player_id", "start_at", "race_id", "entry_id", "meeting_id", "normal", "abnormal")
+    asked = targets.where("player_id IS NOT NULL").select("player_id", "entry_id", "cutoff", "start_at", "meeting_id")
+    found = asked.groupBy("player_id").cogroup(started.groupBy("player_id")).applyInPandas(career_gaps, GAPS)
     any_history = asof_sums(targets, events, ["player_id"], {"any": F.lit(1)}, [None])
-    out = out.join(any_history, "entry_id", "left")
-    past = F.filter("career", lambda e: e["start_at"] < F.col("cutoff"))
-    before = lambda e: e["meeting_id"].isNull() | F.col("meeting_id").isNull() | (e["meeting_id"] != F.col("meeting_id"))
-    out = out.withColumn("past", past).withColumn("pre", F.transform(F.filter("past", before), lambda e: e["start_at"]))
-    fewer = F.greatest(F.size("pre") - 1, F.lit(0))
-    out = out.withColumn("gaps", F.zip_with(F.slice("pre", F.lit(2), fewer), F.slice("pre", F.lit(1), fewer), lambda a, b: (a - b) / F.lit(float(DAY))))
-    newest = lambda arr: F.get(arr, F.size(arr) - 1)
-    age = lambda t: (F.col("start_at") - t) / DAY
-    gap = age(newest(F.col("pre")))
-    out = out.withColumn("ordered", F.array_sort("gaps"))
-    at_of = lambda cond: newest(F.transform(F.filter("past", cond), lambda e: e["start_at"]))
-    n = F.greatest(F.coalesce(F.size("gaps"), F.lit(0)), F.lit(0))
-    q = lambda p: quantile_of(F.col("ordered"), p)
-    inside = age(at_of(lambda e: e["meeting_id"] == F.col("meeting_id")))
-    status = verdict(F.coalesce("any_all", F.lit(0.0)), inside.isNotNull().cast("int"), n > 0)
+    out = targets.select("entry_id", "player_id", "start_at", "meeting_id").join(any_history, "entry_id", "left").join(found, "entry_id", "left")
+    age = lambda c: (F.col("start_at") - F.col(c)) / DAY
+    n, gap = F.coalesce("n", F.lit(0)), age("pre")
+    days = lambda c: F.col(c) / DAY
+    status = verdict(F.coalesce("any_all", F.lit(0.0)), F.col("inside").isNotNull().cast("int"), n > 0)
     return out.select(
-        "entry_id", r9(age(at_of(lambda e: F.lit(True)))).alias("gap_started"), r9(age(at_of(lambda e: e["normal"]))).alias("gap_normal"), r9(age(at_of(lambda e: e["abnormal"]))).alias("gap_abnormal"),
-        r9(gap).alias("gap_pre"), r9(inside).alias("gap_in_meeting"), n.cast("long").alias("gap_sample"), r9(F.when(n > 0, mean_of(F.col("gaps")))).alias("gap_mean"),
-        r9(q(0.5)).alias("gap_median"), r9(q(0.25)).alias("gap_q25"), r9(q(0.75)).alias("gap_q75"), r9(gap - q(0.5)).alias("gap_minus_median"),
-        r9(F.when(n > 0, F.size(F.filter("gaps", lambda x: x <= gap)) / n)).alias("gap_percentile"), *status,
+        "entry_id", r9(age("started")).alias("gap_started"), r9(age("normal")).alias("gap_normal"), r9(age("abnormal")).alias("gap_abnormal"), r9(gap).alias("gap_pre"), r9(age("inside")).alias("gap_in_meeting"),
+        n.cast("long").alias("gap_sample"), r9(F.when(n > 0, F.col("total") / DAY / n)).alias("gap_mean"), r9(days("q50")).alias("gap_median"), r9(days("q25")).alias("gap_q25"), r9(days("q75")).alias("gap_q75"),
+        r9(gap - days("q50")).alias("gap_minus_median"), r9(F.when(n > 0, F.col("at_most") / n)).alias("gap_percentile"), *status,
     )
 
 

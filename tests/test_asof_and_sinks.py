@@ -136,3 +136,27 @@ def test_completeness_of_pages(spark):
     expected = spark.createDataFrame([(u, b) for u in "abcdefg" for b in (2, 1)], "url string, bike int")
     got = {x["url"]: x["verdict"] for x in V.page_completeness(pages, results, payouts, expected).collect()}
     assert got == {"a": "COMPLETE", "b": "DUPLICATE_BIKE", "c": "RESULT_COUNT_MISMATCH", "d": "BIKE_SET_MISMATCH", "e": "PARTIAL_PAYOUT", "f": "NO_RESULTS", "g": "NO_RESULT_PAGE"}
+
+
+def test_career_gaps_equal_plain_lists():
+    """Meetings that lie inside each other, equal starts, targets of no meeting and of one without starts."""
+    import numpy as np
+    import pandas as pd
+
+    from tempolane.plans.features import career_gaps
+
+    r = random.Random(12)
+    for _ in range(60):
+        events = [(t, k, k, r.choice([1, 2, 3, None]), bool(r.randrange(2)), bool(r.randrange(2))) for k, t in enumerate(sorted(r.randrange(300) for _ in range(r.randrange(0, 25))))]
+        targets = [(100 + k, c, c + 5, r.choice([1, 2, 3, 9, None])) for k, c in enumerate(r.randrange(330) for _ in range(12))]
+        frame = career_gaps(pd.DataFrame(targets, columns=["entry_id", "cutoff", "start_at", "meeting_id"]), pd.DataFrame(events, columns=["start_at", "race_id", "entry_id", "meeting_id", "normal", "abnormal"]))
+        got = {x["entry_id"]: x for x in frame.replace({pd.NA: None}).to_dict("records")}
+        for entry, cutoff, start, meeting in targets:
+            past = [e for e in events if e[0] < cutoff]
+            pre = [e[0] for e in past if meeting is None or e[3] is None or e[3] != meeting]
+            gaps = [b - a for a, b in zip(pre, pre[1:], strict=False)]
+            x = got[entry]
+            assert (x["started"], x["pre"], x["n"]) == (past[-1][0] if past else None, pre[-1] if pre else None, len(gaps))
+            assert x["inside"] == next((e[0] for e in reversed(past) if meeting is not None and e[3] == meeting), None)
+            if gaps:
+                assert np.allclose([x["q25"], x["q50"], x["q75"]], np.quantile(gaps, [0.25, 0.5, 0.75])) and x["total"] == sum(gaps) and x["at_most"] == sum(g <= start - pre[-1] for g in gaps)
