@@ -543,3 +543,13 @@ def test_tables_of_other_queries_outlive_a_pipeline_run(spark, small):
     first = corpus_pipeline.run(spark, small)
     second = corpus_pipeline.run(spark, small)
     assert before.count() == 200 and first.count() == second.count() > 0 and spark.conf.get(name) == setting
+
+
+def test_rows_with_maps_pass_through_the_pipeline(spark):
+    """Maps are hashed by their entries, at any depth, and decide whether rows are equal."""
+    rows = [(k, BASE + f" number {k} " + " ".join(f"x{k}y{j}" for j in range(60)), {"a": k % 2, "b": 1}) for k in (1, 2, 3)] + [(1, BASE + " number 1 " + " ".join(f"x1y{j}" for j in range(60)), {"b": 1, "a": 1})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>").withColumn("n", F.array(F.struct(F.col("m").alias("inner"))))
+    keys = [r["_key"] for r in shared.keyed(docs).orderBy("doc_id").collect()]
+    assert keys[0] == keys[1] and len({str(k) for k in keys}) == 3
+    kept = corpus_pipeline.stage_exact(spark, docs, "/root/testdata/sf0.001")
+    assert kept.count() == 3 and kept.columns == docs.columns and kept.where("m['b'] = 1").count() == 3
