@@ -14,6 +14,7 @@ from tempolane.operators import hashing as H
 from tempolane.operators import merging as M
 from tempolane.operators import ridge as R
 from tempolane.sources import documents as D
+from tempolane.sources import pages as G
 from tempolane.sources import sinks as S
 from tempolane.sources.domain import selected
 
@@ -237,19 +238,19 @@ BAD = [
     ("entry_list", "[", "invalid JSON"),
     ("entry_list", '{"resultCd": 0, "keirinCd": "1", "kaisaihi": "20200101", "reqprm": {"bkcd": "2", "kday": "20200101"}}', "different"),
     ("day_metadata", "{}", "no day metadata"),
-    ("race_detail", '<script>jsonData["PJ0315"] = {"sensyu": [{"syaban": 1}], "seiseki": []</script>', "incomplete"),
-    ("race_detail", '<script>jsonData["PJ0315"] = {"sensyu": [{"syaban": 1}], "seiseki": [{"syaban": 2}]}</script>', "differ"),
-    ("live_result", '<script>jsonData["PJ0326"] = {"tyakujyun": [{"syaban": 1, "state": "x"}]}</script>', "unknown state"),
-    ("player_list", "<p></p>", "pagination"),
-    ("player_detail", "<dl><dt>a</dt></dl>", "differ in number"),
-    ("retired_player", "<dl><dt>登録番号</dt><dd>12</dd></dl>", "0 retirement"),
+    ("race_detail", '<script>jsonData["PC0201"] = {"C0201data": {}}; jsonData["PJ0315"] = {"sensyuTypeInfo": [{"syaban": 1}]</script>', "incomplete"),
+    ("race_detail", '<script>jsonData["PC0201"] = {"C0201data": {"C0201racedtl": {"C0201sensyu": [{"carNum": 1, "numPlayer": "1"}]}}}; jsonData["PJ0315"] = {"sensyuTypeInfo": [{"syaban": 2, "sensyuRegistNo": "1"}]}</script>', "differ"),
+    ("live_result", '<script>jsonData["PC0201"] = {"C0201data": {"state": "確定"}}; jsonData["PJ0326"] = {"tyakujyunItemSubData": [{"syaban": 1, "kojinStateItemSubData": [{"kojinState": "x"}]}]}</script>', "unknown state"),
+    ("player_list", "<p></p>", "no page of search results"),
+    ("player_detail", "<dl><dt>a</dt></dl>", "registration number"),
+    ("retired_player", "<p>登録番号 12</p>", "0 retirement"),
 ]
 
 
 @pytest.mark.parametrize(("kind", "body", "message"), BAD)
 def test_broken_pages_are_refused_as_a_whole(kind, body, message):
     with pytest.raises(D.ParseError, match=message):
-        D.PARSERS[kind][0](body)
+        (D.PARSERS.get(kind) or G.PAGES[kind])[0](body)
 
 
 def test_decoding_and_quarantine(spark):
@@ -268,9 +269,9 @@ def test_embedded_json_ends_where_it_is_balanced():
 def test_months_and_days_get_the_nearest_year():
     from datetime import date
 
-    assert D.near_year(12, 30, date(2024, 1, 2)) == date(2023, 12, 30) and D.near_year(1, 2, date(2023, 12, 30)) == date(2024, 1, 2)
+    assert G.near_date("12/30", date(2024, 1, 2)) == date(2023, 12, 30) and G.near_date("01/02", date(2023, 12, 30)) == date(2024, 1, 2)
     with pytest.raises(D.ParseError):
-        D.near_year(2, 30, date(2024, 1, 2))
+        G.near_date("02/30", date(2024, 1, 2))
 
 
 def test_stream_of_updates_merges_by_key(spark, tmp_path):
