@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempolane.llm.quotient import build, entries, merge, tally
-from tempolane.llm.shared import materialise, text_or_empty
+from tempolane.llm.shared import join_facts, materialise, text_or_empty
 
 #: Distinct fingerprints that a merged filter is to hold at most, on average.
 PER_FILTER = 1_000_000
@@ -43,8 +43,9 @@ def repeated_fingerprints(rows: DataFrame, n_rows: int, per_filter: int = PER_FI
                 return
             shard = (held[0] >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(held[0]), np.int64)
             bounds = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
-            for a, b in zip(bounds, [*bounds[1:], len(shard)], strict=True):
-                yield pd.DataFrame({"shard": [shard[a]], "filter": [build(held[0][a:b], held[1][a:b])]})
+            # One frame for all ranges that a partition has now.
+            made = [build(held[0][a:b], held[1][a:b]) for a, b in zip(bounds, [*bounds[1:], len(shard)], strict=True)]
+            yield pd.DataFrame({"shard": shard[bounds], "filter": made})
 
         for batch in batches:
             pending.append(batch["fp"].to_numpy(np.int64).view(np.uint64))
@@ -74,7 +75,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hashed = hashed.withColumn("fp", F.shiftleft(half(1), 32).bitwiseOR(half(9)))
     # The small table of ids and digests is written once: texts are read again only for the rows that need verification.
     digests = materialise(hashed.select("id", "sha", "fp"), "exact-digests")
-    repeated = materialise(repeated_fingerprints(digests, digests.count()), "exact-repeated")
+    n_rows = digests.count()
+    repeated = materialise(repeated_fingerprints(digests, n_rows), "exact-repeated")
     if repeated.count() <= BROADCAST_ROWS:
         repeated = F.broadcast(repeated)
     suspects = hashed.join(repeated, "fp", "left_semi")
@@ -84,7 +86,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     collision = F.raise_error(F.concat(F.lit("two texts with SHA-256 "), F.col("sha")))
     groups = groups.withColumn("group_size", F.when(F.col("texts") > 1, collision.cast("long")).otherwise(F.col("group_size"))).drop("texts")
     copies = digests.join(repeated, "fp", "left_semi").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("rows"))
-    copies = copies.join(groups, "sha").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    # One text may be a great share of all rows.
+    copies = join_facts(copies, groups, "sha", "group_size", n_rows).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     first = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     unique = digests.join(repeated, "fp", "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     out = copies.select("id", "keep_id", "group_size", first.alias("kept"), "sha").unionByName(unique)
