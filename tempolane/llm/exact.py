@@ -85,6 +85,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = by_text.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
     collision = F.raise_error(F.concat(F.lit("two texts with SHA-256 "), F.col("sha")))
     groups = groups.withColumn("group_size", F.when(F.col("texts") > 1, collision.cast("long")).otherwise(F.col("group_size"))).drop("texts")
+    groups = materialise(groups, "exact-groups")  # read twice below, and made of texts
     copies = digests.join(repeated, "fp", "left_semi").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("rows"))
     # One text may be a great share of all rows.
     copies = join_facts(copies, groups, "sha", "group_size", n_rows).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
