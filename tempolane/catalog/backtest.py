@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempolane.catalog.tables import REASONS_SQL
+from tempolane.catalog.tables import REASONS_SQL, tree_sql
 from tempolane.operators import bootstrap as B
 from tempolane.operators import evaluation as E
 from tempolane.operators import ridge as R
 from tempolane.operators import validation as V
 from tempolane.plans import features as P
 from tempolane.registry import ORACLE_SQL, QUERIES, query
+from tempolane.sources import sinks as S
 from tempolane.sources.domain import domain, eligible
-from tempolane.storage import materialise, stored
+from tempolane.storage import materialise, shared_dir, stored
 
 BOOTSTRAP = B.ITERATIONS
 YEARS, FIRST = (1998, 1999, 2000), 1996
@@ -456,3 +457,60 @@ def _(spark, sf_dir):
     out = effects.join(centred, ["scope", "bin"], "left")
     numbers = [f"{n}{e}" for n in B.EFFECTS for e in ("", "_lower", "_upper")] + ["overall_mean", "centred_mean", "ci_lower", "ci_upper"]
     return out.select("scope", "bin", "evaluation", "rows", "races", *(P.r9(F.col(c)).alias(c) for c in numbers), "state", "valid_replicates")
+
+
+# --- a run's tables ------------------------------------------------------------------------------------------------------
+
+_RUN_FOLDS = ("WF_1997", "WF_1998", "WF_1999", "WF_2000")
+
+
+def run_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    """What a run of the rank baseline stores: predictions, reasons of exclusion, and metrics of both cohorts, by fold."""
+    races = eligible(domain(spark, sf_dir).entries).groupBy("race_id").agg(F.concat(F.lit("WF_"), F.year(F.max("race_date")).cast("string")).alias("fold")).where(F.col("fold").isin(*_RUN_FOLDS))
+    predictions = QUERIES["bt_rank_predictions"](spark, sf_dir).join(races, "race_id")
+    reasons = QUERIES["bt_feature_eligibility"](spark, sf_dir).where("reasons <> ''").join(races, "race_id")
+    exclusions = reasons.select("fold", "race_id", F.lit("FEATURE").alias("stage"), F.explode(F.split("reasons", ",")).alias("reason"))
+    hits = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(c).alias("hit")) for m, c in (("RANK1_HIT", "rank1_hit"), ("TOP3_HIT", "top3_hit")))))
+    decided = QUERIES["bt_cohort_decisions"](spark, sf_dir).where("included").join(races, "race_id").select("fold", F.col("cohort").alias("scope"), hits.alias("m"))
+    metrics = decided.groupBy("fold", "scope", F.col("m.metric").alias("metric")).agg(F.count_if("m.hit").alias("numerator"), F.count(F.lit(1)).alias("denominator"))
+    return {"predictions": predictions, "exclusions": exclusions, "metrics": metrics}
+
+
+@query("sink_backtest_run", f"""
+, rf AS (SELECT race_id, 'WF_' || year(max(race_date)) AS fold FROM target GROUP BY race_id HAVING year(max(race_date)) BETWEEN 1997 AND 2000),
+p1 AS (SELECT * FROM ({ORACLE_SQL["bt_rank_predictions"]}) JOIN rf USING (race_id)), p2 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p1 WHERE fold = 'WF_1997' AND race_id % 7 = 0),
+dd AS (SELECT fold, cohort, rank1_hit, top3_hit FROM ({ORACLE_SQL["bt_cohort_decisions"]}) JOIN rf USING (race_id) WHERE included),
+mm AS (SELECT fold, cohort AS scope, 'RANK1_HIT' AS metric, rank1_hit AS hit FROM dd UNION ALL SELECT fold, cohort, 'TOP3_HIT', top3_hit FROM dd),
+mt AS (SELECT fold, scope, metric, count(*) FILTER (hit) AS numerator, count(*) AS denominator FROM mm GROUP BY ALL),
+xx AS (SELECT fold, race_id, unnest(string_split(reasons, ',')) AS reason FROM ({ORACLE_SQL["bt_feature_eligibility"]}) JOIN rf USING (race_id) WHERE reasons <> ''),
+h AS (
+  SELECT 'predictions' AS kind, fold, sha256(CAST(to_json({{'bike': bike, 'entry_id': entry_id, 'prediction_hash': prediction_hash, 'race_id': race_id, 'rank1_set': rank1_set, 'score': printf('%.17e', CAST(score AS DOUBLE)), 'score_rank': score_rank, 'top3_set': top3_set}}) AS VARCHAR)) AS h FROM p2
+  UNION ALL SELECT 'exclusions', fold, sha256(CAST(to_json({{'race_id': race_id, 'reason': reason, 'stage': 'FEATURE'}}) AS VARCHAR)) FROM xx
+  UNION ALL SELECT 'metrics', fold, sha256(CAST(to_json({{'denominator': denominator, 'metric': metric, 'numerator': numerator, 'scope': scope}}) AS VARCHAR)) FROM mt),
+{tree_sql("h", "kind, fold")},
+twice AS (SELECT count(*) > 0 AS any FROM p1 WHERE fold = 'WF_1997' AND race_id % 7 = 0)
+SELECT kind, fold, row_count AS rows, fingerprint, CASE WHEN fold = 'WF_1997' AND twice.any THEN 'REFUSED' WHEN fold = 'WF_1998' THEN 'LOCKED' WHEN fold = 'WF_1999' THEN 'KEPT' ELSE 'WRITTEN' END AS write,
+  CASE WHEN fold = 'WF_1997' AND twice.any THEN 'PREDICTIONS_KEY_REPEATED' ELSE '' END AS faults FROM fp, twice
+""")
+def _(spark, sf_dir):
+    """A run stored twice. The first time, 1998's predictions were others and are locked now, 1999 was stored as it is; the second
+    time, 1997 has predictions twice and is refused with all its tables."""
+    tables = {kind: materialise(rows, f"own-{kind}") for kind, rows in run_tables(spark, sf_dir).items()}
+    run, path = S.run_id(), f"{shared_dir(spark)}/backtest-{S.run_id()}"
+    before = {kind: rows.where("fold IN ('WF_1998', 'WF_1999')") for kind, rows in tables.items()}
+    before["predictions"] = before["predictions"].withColumn("score", F.when(F.col("fold") == "WF_1998", F.col("score") + 1).otherwise(F.col("score")))
+    S.store_run(path, run, before)
+    again = tables["predictions"]
+    return S.store_run(path, run, tables | {"predictions": again.unionByName(again.where("fold = 'WF_1997' AND race_id % 7 = 0"))})
+
+
+@query("sink_signal_run")
+def _(spark, sf_dir):
+    """The whole signal matrix as a run's tables: models and metrics, a scope's two and three or nothing, bins and their effects."""
+    models, _, _ = fitted(spark, sf_dir)
+    metrics, effects = QUERIES["bt_signal_matrix"](spark, sf_dir), QUERIES["bt_signal_replay"](spark, sf_dir)
+    fold = F.substring_index("scope", "/", 1).alias("fold")
+    bins = QUERIES["bt_signal_bins"](spark, sf_dir).withColumn("scope", F.concat_ws("/", *SCOPE)).drop("stat", "cohort")
+    own = models.withColumn("scope", F.regexp_replace("model", "/[A-Z]+$", ""))
+    tables = {"models": own.select("*", fold), "metrics": metrics.select("*", fold), "bins": bins, "effects": effects.select("*", fold)}
+    return S.store_run(f"{shared_dir(spark)}/backtest-{S.run_id()}", S.run_id(), tables, S.PAIRED)

@@ -160,3 +160,53 @@ def test_career_gaps_equal_plain_lists():
             assert x["inside"] == next((e[0] for e in reversed(past) if meeting is not None and e[3] == meeting), None)
             if gaps:
                 assert np.allclose([x["q25"], x["q50"], x["q75"]], np.quantile(gaps, [0.25, 0.5, 0.75])) and x["total"] == sum(gaps) and x["at_most"] == sum(g <= start - pre[-1] for g in gaps)
+
+
+def run_rows(spark, folds=("A", "B"), metrics=("AUC", "LOG_LOSS", "BRIER"), score=0.5):
+    models = [(f, f"{f}/x", f"{f}/x/{k}", 1.0) for f in folds for k in ("BASELINE", "INCREMENTAL")]
+    return {
+        "predictions": spark.createDataFrame([(f, 1, k, score) for f in folds for k in range(3)], "fold string, race_id int, entry_id int, score double"),
+        "models": spark.createDataFrame(models, "fold string, scope string, model string, weight double"),
+        "metrics": spark.createDataFrame([(f, f"{f}/x", m, 0.1) for f in folds for m in (metrics if f == "A" else ("AUC", "LOG_LOSS", "BRIER"))], "fold string, scope string, metric string, value double"),
+    }
+
+
+def states(df):
+    return {(r["kind"], r["fold"]): (r["write"], r["faults"]) for r in df.collect()}
+
+
+def test_a_run_is_stored_by_fold_once(spark, tmp_path):
+    path = f"file://{tmp_path}/run"
+    first = states(S.store_run(path, "r1", run_rows(spark, ("A",)), S.PAIRED))
+    assert set(first.values()) == {("WRITTEN", "")} and len(first) == 3
+    again = states(S.store_run(path, "r1", run_rows(spark), S.PAIRED))
+    assert {k: w for (k, f), (w, _) in again.items() if f == "A"} == dict.fromkeys(("predictions", "models", "metrics"), "KEPT")
+    assert {w for (k, f), (w, _) in again.items() if f == "B"} == {"WRITTEN"}
+    assert spark.read.parquet(f"{path}/models").count() == 4
+    # Another run has its own rows; the first one's predictions stay as they were.
+    assert {w for w, _ in states(S.store_run(path, "r2", run_rows(spark, ("A",), score=0.7))).values()} == {"WRITTEN"}
+    assert {w for w, _ in states(S.store_run(path, "r1", run_rows(spark, ("A",), score=0.7), S.PAIRED)).values()} == {"LOCKED"}
+    assert [r["score"] for r in spark.read.parquet(f"{path}/predictions").where("run = 'r1' AND fold = 'A'").select("score").distinct().collect()] == [0.5]
+
+
+def test_rows_changed_behind_the_record_are_written_again(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/run", run_rows(spark, ("A",))
+    S.store_run(path, "r", rows, S.PAIRED)
+    rows["metrics"].withColumns({"value": F.lit(9.0), "run": F.lit("r")}).write.partitionBy("run", "fold").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/metrics")
+    got = states(S.store_run(path, "r", rows, S.PAIRED))
+    assert got["metrics", "A"][0] == "WRITTEN" and got["models", "A"][0] == "KEPT"
+    assert [r["value"] for r in spark.read.parquet(f"{path}/metrics").select("value").distinct().collect()] == [0.1]
+
+
+def test_folds_with_faults_are_refused_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/run"
+    got = states(S.store_run(path, "r", run_rows(spark, metrics=("AUC", "BRIER")), S.PAIRED))
+    assert {got[k, "A"] for k in ("predictions", "models", "metrics")} == {("REFUSED", "SCOPE_INCOMPLETE")}
+    assert {got[k, "B"][0] for k in ("predictions", "models", "metrics")} == {"WRITTEN"}
+    rows = run_rows(spark, ("C", "D"))
+    more = spark.createDataFrame([("C", 1, 0, 0.5), ("D", 1, None, 0.5)], "fold string, race_id int, entry_id int, score double")
+    got = states(S.store_run(path, "r", rows | {"predictions": rows["predictions"].unionByName(more)}, S.PAIRED))
+    assert got["models", "C"] == ("REFUSED", "PREDICTIONS_KEY_REPEATED") and got["models", "D"] == ("REFUSED", "PREDICTIONS_KEY_MISSING")
+    assert {r["fold"] for r in spark.read.parquet(f"{path}/predictions").select("fold").distinct().collect()} == {"B"}
+    empty = {k: v.limit(0) for k, v in rows.items()}
+    assert S.store_run(path, "r", empty, S.PAIRED).count() == 0
