@@ -244,6 +244,23 @@ def _(spark, sf_dir):
     return V.bins_complete(e, bins)
 
 
+@query("audit_stage_aggregate", """
+, s AS (SELECT t.entry_id, count(*) FILTER (race_type LIKE '%準決%') AS sn, sum(res_u) FILTER (race_type LIKE '%準決%') AS su, count(*) FILTER (race_type LIKE '%決勝%' AND race_type NOT LIKE '%準決%') AS fn, sum(res_u) FILTER (race_type LIKE '%決勝%' AND race_type NOT LIKE '%準決%') AS fu
+  FROM (SELECT entry_id, player_id, cutoff FROM target) t JOIN hist h ON h.player_id = t.player_id AND h.start_at < t.cutoff AND started AND normal AND res_u IS NOT NULL GROUP BY t.entry_id),
+m AS (SELECT t.entry_id, coalesce(sn, 0) AS sn, su / CAST(sn AS DOUBLE) / 840 AS sm, coalesce(fn, 0) AS fn, fu / CAST(fn AS DOUBLE) / 840 AS fm, sn + fn AS n, (coalesce(su, 0) + coalesce(fu, 0)) / CAST(nullif(sn + fn, 0) AS DOUBLE) / 840 AS lm FROM target t LEFT JOIN s USING (entry_id))
+SELECT entry_id, sn AS semifinal_sample, fn AS final_sample, round(lm, 9) AS late_mean, CASE WHEN entry_id % 19 = 0 AND sn > 0 THEN 'INVALID_SECTION' WHEN coalesce(n, 0) = 0 THEN CASE WHEN entry_id % 17 = 0 THEN 'MISMATCH' ELSE 'NO_VALUE' END WHEN entry_id % 13 = 0 OR entry_id % 23 = 0 THEN 'MISMATCH' ELSE 'MATCH' END AS integrity FROM m
+""")
+def _(spark, sf_dir):
+    """The stored mean of semifinals and finals against its two sections; some means are off by a billionth, missing, or too many."""
+    rows = P.stage_sections(domain(spark, sf_dir))
+    hit = lambda k: F.col("entry_id") % k == 0
+    mean = F.when(hit(13), F.col("late_mean") + 1e-9).when(hit(23), None).otherwise(F.col("late_mean"))
+    kept = F.when(F.col("late_n") > 0, mean).when(hit(17), 0.0)
+    semifinal = F.when(~hit(19), F.col("sf_mean"))
+    state = V.aggregate_integrity(kept, [(F.col("sf_n"), semifinal), (F.col("fi_n"), F.col("fi_mean"))])
+    return rows.select("entry_id", F.col("sf_n").alias("semifinal_sample"), F.col("fi_n").alias("final_sample"), P.r9(F.col("late_mean")).alias("late_mean"), state.alias("integrity"))
+
+
 @query("audit_signal_eligibility", f"""
 WITH f AS ({ORACLE_SQL["stat10_recent_form"]}), e AS ({ORACLE_SQL["bt_labels"].replace("SELECT entry_id,", "SELECT entry_id, race_id, year(race_date) AS year,")}),
 x AS (SELECT e.race_id, year, status = 'VALID' AND quality = 'FULL' AS strict, status = 'VALID' AND quality <> 'PARTIAL' AND reasons IN ('', 'IN_MEETING_RESULT_CONFIRMATION_NOT_RECONSTRUCTED') AS operational FROM f JOIN e USING (entry_id)),

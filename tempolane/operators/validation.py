@@ -135,3 +135,25 @@ def bins_complete(effects: DataFrame, bins: DataFrame) -> DataFrame:
     has = effects.select("scope", "label", "bin", F.lit(1).alias("has"))
     both = wanted.withColumn("want", F.lit(1)).join(has, ["scope", "label", "bin"], "full_outer")
     return both.groupBy("scope", "label").agg(F.count_if(F.col("has").isNull()).alias("missing"), F.count_if(F.col("want").isNull()).alias("unknown"), F.count("has").alias("bins"))
+
+
+#: How far a stored aggregate may be from the weighted mean of its sections, relative to the larger of both and 1.
+INTEGRITY = 1e-12
+
+
+def aggregate_integrity(stored: Column, sections: Sequence[tuple[Column, Column]]) -> Column:
+    """Whether a stored mean is that of its sections (sample count, mean): MATCH, MISMATCH, NO_VALUE where neither exists, and
+    INVALID_SECTION where a section lacks its count, has a negative one, or a positive one without a mean."""
+    bad, total, weighted = F.lit(False), F.lit(0), F.lit(0.0)
+    for n, mean in sections:
+        bad = bad | n.isNull() | (n < 0) | ((n > 0) & mean.isNull())
+        total, weighted = total + F.coalesce(n, F.lit(0)), weighted + F.coalesce(n * mean, F.lit(0.0))
+    derived = F.when(total > 0, weighted / total)
+    close = F.abs(derived - stored) <= INTEGRITY * F.greatest(F.lit(1.0), F.abs(derived), F.abs(stored))
+    return F.when(bad, "INVALID_SECTION").when(derived.isNull() & stored.isNull(), "NO_VALUE").when(F.coalesce(close, F.lit(False)), "MATCH").otherwise("MISMATCH")
+
+
+def checked_aggregate(stored: Column, sections: Sequence[tuple[Column, Column]], name: str) -> Column:
+    """``stored`` where it agrees with its sections; elsewhere the job fails and says which aggregate did not."""
+    state = aggregate_integrity(stored, sections)
+    return F.when(state.isin("MATCH", "NO_VALUE"), stored).otherwise(F.raise_error(F.concat(F.lit(f"{name}: "), state)).cast("double"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempolane.operators.asof import Request, asof, asof_map, asof_sums, last_events, name_of, scoped_sums, two_clocks
+from tempolane.operators.validation import checked_aggregate
 from tempolane.sources.domain import CONFIRMED_AT, DAY, HISTORY_FROM, MEETING_GRADE, UNIT, Domain, eligible
 
 def performance_sums() -> dict[str, Column]:
@@ -638,12 +639,25 @@ def stage_experience(d: Domain) -> DataFrame:
     shown = {"event_count": at("events").cast("long"), "started_count": at("all").cast("long"), "semifinal_starts": at("semi").cast("long"), "final_starts": at("final").cast("long")}
     for name in groups:
         shown |= {f"{name}_sample": at(f"{name}_n").cast("long"), f"{name}_win_rate": r9(safe_rate(at(f"{name}_win"), at(f"{name}_n"))), f"{name}_mean_residual": r9(safe_rate(at(f"{name}_res"), at(f"{name}_res_n")) / UNIT)}
+    section = lambda n: (at(f"{n}_res_n"), safe_rate(at(f"{n}_res"), at(f"{n}_res_n")) / UNIT)
+    shown["late_mean_residual"] = r9(checked_aggregate(section("late")[1], [section("sf"), section("fi")], "late_mean_residual"))
     shown |= {"target_grade": F.col("grade"), "same_grade_events": at("g_grade_events").cast("long"), "same_grade_sample": at("g_grade_n").cast("long"), "same_grade_win_rate": r9(safe_rate(at("g_grade_win"), at("g_grade_n"))), "same_grade_mean_residual": r9(safe_rate(at("g_grade_res"), at("g_grade_res_n")) / UNIT)}
     shown |= {"grade_distribution": F.coalesce(listed, F.lit("")), "class_distribution": classes, "context_sample": at("ctx").cast("long"), "field_mean_score": r9(safe_rate(at("ctx_mean"), at("ctx")) / (6 * UNIT)), "field_best_score": r9(safe_rate(at("ctx_max"), at("ctx")))}
     shown |= {"field_score_sd": r9(safe_rate(at("ctx_sd"), at("ctx")) / 10**6), "mean_score_percentile": r9(safe_rate(at("ctx_pct"), at("ctx")) / UNIT), "status": status, "quality": quality(status, reasons), "reasons": F.concat_ws(",", reasons)}
     return out.select("entry_id", *(v.alias(k) for k, v in shown.items()))
 
 
+def stage_sections(d: Domain) -> DataFrame:
+    """Residual samples and unrounded means of semifinals, finals and both together before each target's cutoff."""
+    events = d.history.where("started AND normal AND res_u IS NOT NULL").withColumn("stage", stage(F.col("race_type")))
+    groups = {"sf": F.col("stage") == "SEMIFINAL", "fi": F.col("stage") == "FINAL", "late": F.col("stage").isin("SEMIFINAL", "FINAL")}
+    sums = {f"{k}_n": c.cast("int") for k, c in groups.items()} | {f"{k}_u": F.when(c, F.col("res_u")).otherwise(0) for k, c in groups.items()}
+    targets = eligible(d.entries)
+    out = targets.select("entry_id").join(asof(targets, events, [Request("", sums)]), "entry_id", "left")
+    at = lambda n: F.coalesce(F.col(f"{n}_all"), F.lit(0.0))
+    return out.select("entry_id", *(x for k in groups for x in (at(f"{k}_n").cast("long").alias(f"{k}_n"), (safe_rate(at(f"{k}_u"), at(f"{k}_n")) / UNIT).alias(f"{k}_mean"))))
+
+
 def class_bucket(kind: Column) -> Column:
     """Class by the first two characters of the race type."""
     # The prefixes of the two classes.

@@ -210,3 +210,15 @@ def test_folds_with_faults_are_refused_whole(spark, tmp_path):
     assert {r["fold"] for r in spark.read.parquet(f"{path}/predictions").select("fold").distinct().collect()} == {"B"}
     empty = {k: v.limit(0) for k, v in rows.items()}
     assert S.store_run(path, "r", empty, S.PAIRED).count() == 0
+
+
+def test_aggregates_must_agree_with_their_sections(spark):
+    rows = [(0.5, 1, 0.25, 1, 0.75, "MATCH"), (0.5 + 5e-13, 1, 0.25, 1, 0.75, "MATCH"), (0.5 + 3e-12, 1, 0.25, 1, 0.75, "MISMATCH"), (None, 1, 0.25, 0, None, "MISMATCH"), (0.0, 0, None, 0, None, "MISMATCH"), (None, 0, None, 0, None, "NO_VALUE"),
+            (0.5, 1, None, 1, 0.5, "INVALID_SECTION"), (0.5, None, 0.5, 1, 0.5, "INVALID_SECTION"), (0.5, -1, 0.5, 2, 0.5, "INVALID_SECTION"), (1e6 + 1e-7, 3, 1e6, 0, None, "MATCH"), (0.25, 3, 0.25, 0, 9.0, "MATCH")]
+    df = spark.createDataFrame(rows, "stored double, a int, am double, b int, bm double, want string")
+    sections = [(F.col("a"), F.col("am")), (F.col("b"), F.col("bm"))]
+    assert df.where(V.aggregate_integrity(F.col("stored"), sections) != F.col("want")).count() == 0
+    checked = df.select(V.checked_aggregate(F.col("stored"), sections, "late mean").alias("x"), "want")
+    assert checked.where("want IN ('MATCH', 'NO_VALUE')").count() == 5
+    with pytest.raises(PySparkException, match="late mean: MISMATCH"):
+        df.where("want = 'MISMATCH'").select(V.checked_aggregate(F.col("stored"), sections, "late mean")).collect()
