@@ -68,6 +68,28 @@ def test_edits_equal_recount():
             assert tree.tokens == len(by.encoding.encode_ordinary(text))
 
 
+def test_edits_at_one_place_stay_cheap_and_trees_survive_storage():
+    """Thousands of insertions at one place, the tree packed and unpacked between batches of them."""
+    from tempolane.llm.counting import packed, unpacked
+
+    by = counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    r, text = random.Random(6), "some words, then more\n" * 300
+    tree = CountedText(text, by)
+    for turn in range(1500):
+        insert, at = r.choice(["a", " bc", "\n", "12", "é ", ", x y z"]), 3000 + r.randrange(4)
+        tree.edit(at, 0, insert)
+        text = text[:at] + insert + text[at:]
+        if turn % 250 == 0:
+            whole, *sizes = tree.parts()
+            encoded = tree.encoded
+            tree = CountedText(whole, by, *(unpacked(packed(x)) for x in sizes))
+            tree.encoded = encoded
+    assert tree.text() == text and tree.tokens == len(by.encoding.encode_ordinary(text)) and tree.chars == len(text)
+    assert tree.encoded < 1500 * 250
+    for values in ([], [0], [255], [256, 1], [70000]):
+        assert unpacked(packed(np.array(values, np.int64))).tolist() == values
+
+
 def test_edit_touches_a_region_only():
     by = counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     tree = CountedText("some words " * 5000, by)

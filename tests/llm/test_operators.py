@@ -21,6 +21,7 @@ from tempolane.llm import shared
 from tempolane.llm.archives import archive_pages
 from tempolane.llm.classifier import classify
 from tempolane.llm.components import components
+from tempolane.llm import counting
 from tempolane.llm.counting import EDITS, count_tokens, gather_edits
 from tempolane.llm.exact import exact_duplicates
 from tempolane.llm.extract import extract_pages
@@ -346,6 +347,44 @@ def test_edits_from_a_table(spark):
     assert got[1]["n_tokens_edited"] == len(by.encoding.encode_ordinary("xyz uvw")) and got[2]["n_tokens"] == 0
 
 
+def test_edits_with_clashing_names_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "abc def", 5, 6, "k"), (None, "one two", 7, 8, "m"), (3, "", 1, 2, "n")], "doc_id long, text string, e int, e_id int, edits string")
+    edits = spark.createDataFrame([(1, 1, 0, 0, "x "), (1, 1, 0, 0, "x "), (None, 1, 0, 3, "1"), (9, 1, 0, 0, "never")], "doc_id long, seq int, at long, remove long, insert string")
+    rows = gather_edits(docs, edits)
+    assert sorted(rows.columns) == sorted(docs.columns) and {(r["doc_id"], r["e"], r["e_id"]) for r in rows.collect()} == {(1, 5, 6), (None, 7, 8), (3, 1, 2)}
+    got = {r["doc_id"]: (r["n_edits"], r["n_chars_edited"]) for r in count_tokens(rows, Q.BYTE_RANKS, Q.BYTE_PATTERN, F.col("edits")).collect()}
+    assert got == {1: (2, 11), None: (1, 5), 3: (0, 0)}
+
+
+def test_registered_edits_equal_a_recount(spark, small):
+    """The registered query against edits of Python strings and the library's count, over the whole table; then a second batch on
+    the stored trees of the first."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    encode = counting.counter(Q.BYTE_RANKS, Q.BYTE_PATTERN).encoding.encode_ordinary
+    todo = {r["doc_id"]: (r["text"] or "", r["e"]) for r in docs.select("doc_id", "text", counting.review_edits().alias("e")).collect()}
+
+    def edited(text, edits):
+        for x in edits:
+            at = min(max(0, x["at"]), len(text))
+            text = text[:at] + (x["insert"] or "") + text[min(len(text), at + x["remove"]) :]
+        return text
+
+    got = {r["doc_id"]: r for r in Q.op2_token_counts(spark, small).collect()}
+    assert len(got) == len(todo)
+    for k, (text, edits) in todo.items():
+        after = edited(text, edits)
+        assert (got[k]["n_tokens"], got[k]["n_chars"], got[k]["n_tokens_edited"], got[k]["n_chars_edited"]) == (len(encode(text)), len(text), len(encode(after)), len(after))
+
+    args = (Q.BYTE_RANKS, Q.BYTE_PATTERN)
+    first = counting.store_trees(counting.edit_trees(counting.build_trees(docs, *args, [F.col("doc_id")]), *args, counting.review_edits(text_col="_text"), keep=True).select("doc_id", "_text", "_chars", "_tokens"))
+    again = F.array(F.struct(F.lit(10).cast("long").alias("at"), F.lit(5).cast("long").alias("remove"), F.lit("of the 2nd").alias("insert")))
+    for r in counting.edit_trees(first, *args, again, keep=True).collect():
+        before = edited(*todo[r["doc_id"]])
+        after = edited(before, [{"at": 10, "remove": 5, "insert": "of the 2nd"}])
+        assert (r["n_tokens"], r["n_tokens_edited"], r["_text"]) == (len(encode(before)), len(encode(after)), after)
+        assert r["n_encoded"] < 60 and counting.unpacked(bytes(r["_chars"])).sum() == len(after)
+
+
 def test_archives_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c/", None), (4, "http://d/", ""), (None, "http://e/", "only"), (6, "http://f/", "x\r\n\r\ny"), (6, "http://f/", "x\r\n\r\ny")], "page_id long, url string, html string")
     got = [r for r in archive_pages(pages).collect()]
