@@ -26,6 +26,22 @@ def targets(spark, sf_dir: str) -> DataFrame:
 
 # --- functions ----------------------------------------------------------------------------------------------------------
 
+@query("fn_entities", """
+WITH x AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 33 + c_custkey % 90 WHEN 1 THEN 128 + c_custkey % 32 WHEN 2 THEN 55296 + c_custkey % 2048 WHEN 3 THEN 128512 + c_custkey % 60 WHEN 4 THEN 1114112 + c_custkey WHEN 5 THEN 64976 + c_custkey % 32 ELSE 19968 + c_custkey % 20000 END AS code,
+  ['&hellip;', '&NotEqualTilde;', '&yen;', '&copy', '&amp;lt;', '&none;', '&#;'][1 + c_custkey % 7] AS n, ['…', chr(8770) || chr(824), '¥', '&copy', '&lt;', '&none;', '&#;'][1 + c_custkey % 7] AS want FROM customer),
+y AS (SELECT *, c_custkey % 8 NOT IN (1, 2, 4, 5) AS good FROM x)
+SELECT c_custkey, 'a' || CASE WHEN good THEN chr(CASE WHEN good THEN code ELSE 33 END::INT) || chr(CASE WHEN good THEN code ELSE 33 END::INT) ELSE '&#' || code || ';&#x00' || lower(to_hex(code)) || ';' END || want || '&' AS decoded FROM y
+""", cte=False)
+def _(spark, sf_dir):
+    """References by number, of which some mean no character, by name, and in wrong form."""
+    k = F.col("c_custkey")
+    turn = k % 8
+    code = F.when(turn == 0, 33 + k % 90).when(turn == 1, 128 + k % 32).when(turn == 2, 55296 + k % 2048).when(turn == 3, 128512 + k % 60).when(turn == 4, 1114112 + k).when(turn == 5, 64976 + k % 32).otherwise(19968 + k % 20000)
+    name = F.element_at(F.array(*map(F.lit, ("&hellip;", "&NotEqualTilde;", "&yen;", "&copy", "&amp;lt;", "&none;", "&#;"))), (1 + k % 7).cast("int"))
+    raw = F.concat(F.lit("a&#"), code.cast("string"), F.lit(";&#x00"), F.lower(F.hex(code.cast("long"))), F.lit(";"), name, F.lit("&"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.decode_entities(raw).alias("decoded"))
+
+
 _RAW = """concat('  ', {k}, '&amp;&nbsp;', {n}, chr(9), ' x  y ')"""
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entities, full-width characters and their plain forms, codes and words of the domain.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&#039;": "'", "&amp;": "&"}
+# Full-width characters and their plain forms, codes and words of the domain.
 WIDE = "".join(chr(0xFF01 + k) for k in range(94)) + "　"
 PLAIN = "".join(chr(0x21 + k) for k in range(94)) + " "
 GRADES = ("SS", "S1", "S2", "S3", "A1", "A2", "A3", "A4", "L1", "B1", "B2")
@@ -21,11 +22,36 @@ def narrow(c: Column) -> Column:
     return F.translate(c, WIDE, PLAIN)
 
 
+#: Characters by name, of all references that end in a semicolon.
+NAMED = json.dumps({name[:-1]: text for name, text in html5.items() if name.endswith(";")})
+#: A text's pieces: references in form, lone marks, and what lies between.
+PIECE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|&|[^&]+"
+
+
+def _reference(x: Column) -> Column:
+    """What a piece of text stands for; a reference that means no character stays as it is."""
+    inner = lambda skip: F.substr(x, F.lit(skip + 1), F.length(x) - F.lit(skip + 1))
+    digits = F.when(x.rlike("^&#[xX]0*[0-9A-Fa-f]{1,6};$"), F.conv(F.regexp_replace(inner(3), "^0+(?=.)", ""), 16, 10)).when(x.rlike("^&#0*[0-9]{1,7};$"), inner(2))
+    code = digits.cast("long")
+    plain = code.between(0x20, 0x7E) | code.isin(0x09, 0x0A, 0x0C)
+    known = code.between(0xA0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & ~code.between(0xFDD0, 0xFDEF) & (F.pmod(code, F.lit(0x10000)) < 0xFFFE)
+    # A lone FEFF would be taken for a mark of byte order.
+    char = F.when(code == 0xFEFF, "\ufeff").when(plain | known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    name = F.from_json(F.lit(NAMED), "map<string,string>")[inner(1)]
+    return F.coalesce(F.when(x.startswith("&#"), char).when(F.length(x) > 2, F.when(x.startswith("&"), name)), x)
+
+
+def decode_entities(c: Column) -> Column:
+    """Character references decoded once, from left to right: every name that ends in a semicolon, and numbers of characters that
+    a page may hold."""
+    pieces = F.transform(F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)), _reference)
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+
+
 def normalise(c: Column) -> Column:
     """Entities decoded, white space one space, trimmed; an empty text or a lone dash is NULL."""
-    for entity, plain in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    c = F.trim(F.regexp_replace(F.translate(c, " \r\n\t", "    "), " +", " "))
+    c = decode_entities(c)
+    c = F.btrim(F.regexp_replace(F.translate(c, "\u00a0\r\n\t", "    "), " +", " "), F.lit(" \x0b\x00"))
     return F.when(~c.isin("", "-", "－"), c)
 
 

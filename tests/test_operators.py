@@ -284,3 +284,18 @@ def test_stream_of_updates_merges_by_key(spark, tmp_path):
         merge_stream(spark.readStream.schema(schema).parquet(source), table, checkpoint, ["k"], "at", ["v"]).awaitTermination(60)
     got = current(spark, table, spark.createDataFrame([], schema).schema)
     assert sorted(map(tuple, got.collect())) == [(1, 3, 2.0), (2, 1, 5.0), (3, 1, 7.0)]
+
+
+def test_all_named_and_numbered_references(spark):
+    from html import unescape
+    from html.entities import html5
+
+    names = [f"a&{n}b" for n in html5 if n.endswith(";")]
+    numbers = [f"&#{k};&#x{k:X};&#000{k};" for k in (9, 10, 12, 32, 39, 126, 160, 0x3042, 0xFEFF, 0x1F600, 0x10FFFD)]
+    stay = ["&#0;", "&#11;", "&#13;", "&#127;", "&#128;", "&#xD800;", "&#xFDD0;", "&#xFFFE;", "&#x1FFFF;", "&#x110000;", "&#99999999999999999999;", "&#xFFFFFFFFFFFFFFFFFF;", "&amp", "&;", "&", "&&", "&unknown;", "& amp;", ""]
+    rows = [(t, unescape(t)) for t in names] + [(t, chr(int(t[2 : t.index(";")])) * 3) for t in numbers] + [(t, t) for t in stay] + [("&amp;amp;&lt;", "&amp;<"), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    wrong = df.withColumn("got", T.decode_entities(F.col("t"))).where("NOT got <=> want").collect()
+    assert wrong == []
+    got = [r[0] for r in spark.createDataFrame([("\x0b a&nbsp;\r\n b\x00",), ("&nbsp;－ ",)], "t string").select(T.normalise(F.col("t"))).collect()]
+    assert got == ["a b", None]
