@@ -222,3 +222,37 @@ def test_aggregates_must_agree_with_their_sections(spark):
     assert checked.where("want IN ('MATCH', 'NO_VALUE')").count() == 5
     with pytest.raises(PySparkException, match="late mean: MISMATCH"):
         df.where("want = 'MISMATCH'").select(V.checked_aggregate(F.col("stored"), sections, "late mean")).collect()
+
+
+def test_windows_of_several_keys_equal_brute_force(spark, monkeypatch):
+    """Windows, keys, highs and lows of many subjects, few rows at a time; one subject holds more than that. What is dealt is one row
+    a target, however many windows there are, and a target without a subject stays."""
+    from tempolane.operators import careers as C
+
+    r = random.Random(9)
+    monkeypatch.setattr(C, "ROWS", 50)
+    day = 86400
+    events = [(r.choice([0, 0, 1, 2, 3, None]), r.choice([None, "a", "b"]), r.randrange(40) * day, r.choice([None, 1.0, 2.0, 0.1])) for _ in range(400)]
+    targets = [(k, r.choice([0, 1, 2, 3, 4, None]), r.choice([None, "a", "b"]), r.randrange(45) * day + r.choice([0, 1])) for k in range(150)]
+    e, t = spark.createDataFrame(events, "player_id int, g string, start_at long, v double"), spark.createDataFrame(targets, "entry_id int, player_id int, g string, cutoff long")
+    v = F.col("v")
+    requests = [Request("x_", {"v": v, "n": F.lit(1)}, [3, 10, None], highs={"hi": v}), Request("k_", {"v": v}, [5, None], ["g"], lows={"lo": v})]
+    from tempolane.operators.asof import asof_rows
+
+    rows = asof_rows(t, e, requests)
+    assert "Expand" not in rows._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {x["entry_id"]: x for x in rows.collect()}
+    assert len(got) == len(targets)
+    for k, p, g, c in targets:
+        if p is None:
+            assert got[k]["x_n_all"] is None and got[k]["g"] == g
+            continue
+        own = [x for x in events if x[0] == p and x[2] < c]
+        keyed = [x for x in own if g is not None and x[1] == g]
+        total = lambda rows, d=None: sum(x[3] or 0 for x in rows if d is None or x[2] >= c - d * day)
+        for d in (3, 10, None):
+            w = "all" if d is None else d
+            assert abs(got[k][f"x_v_{w}"] - total(own, d)) < 1e-9 and got[k][f"x_n_{w}"] == sum(d is None or x[2] >= c - d * day for x in own)
+        assert abs(got[k]["k_v_5"] - total(keyed, 5)) < 1e-9 and abs(got[k]["k_v_all"] - total(keyed)) < 1e-9
+        known = lambda rows: [x[3] for x in rows if x[3] is not None]
+        assert got[k]["x_hi"] == max(known(own), default=None) and got[k]["k_lo"] == min(known(keyed), default=None)
