@@ -256,3 +256,13 @@ def test_windows_of_several_keys_equal_brute_force(spark, monkeypatch):
         assert abs(got[k]["k_v_5"] - total(keyed, 5)) < 1e-9 and abs(got[k]["k_v_all"] - total(keyed)) < 1e-9
         known = lambda rows: [x[3] for x in rows if x[3] is not None]
         assert got[k]["x_hi"] == max(known(own), default=None) and got[k]["k_lo"] == min(known(keyed), default=None)
+
+
+def test_each_statistic_of_the_signals_is_a_job_of_its_own(spark, small, monkeypatch):
+    """Thirteen unions in one write kept the shuffles of all statistics on disk together."""
+    from tempolane.catalog import audits as A
+
+    written = []
+    monkeypatch.setattr(A, "stored", lambda spark, sf_dir, name, build: written.append(name) or build())
+    rows = A.signals(spark, small)
+    assert written == [f"signals-{s}" for s in A.SIGNALS] and rows.columns == ["entry_id", "stat", "role", "status", "signal"]
