@@ -260,9 +260,20 @@ def test_windows_of_several_keys_equal_brute_force(spark, monkeypatch):
 
 def test_each_statistic_of_the_signals_is_a_job_of_its_own(spark, small, monkeypatch):
     """Thirteen unions in one write kept the shuffles of all statistics on disk together."""
+    from tempolane import queries  # noqa: F401  (registers what the signals read)
     from tempolane.catalog import audits as A
 
     written = []
     monkeypatch.setattr(A, "stored", lambda spark, sf_dir, name, build: written.append(name) or build())
     rows = A.signals(spark, small)
     assert written == [f"signals-{s}" for s in A.SIGNALS] and rows.columns == ["entry_id", "stat", "role", "status", "signal"]
+
+
+def test_lines_are_dealt_once_for_all_windows_of_a_race(spark, small):
+    """Each window used to deal the lines again, and history dealt all entries a fifth time."""
+    from tempolane.sources import domain as D
+
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(race_id")
+    races = spark.createDataFrame([], D.races(spark, small).schema)
+    found = D.entries(spark, small, races)
+    assert exchanges(found) <= 2 and exchanges(D.history(spark.createDataFrame([], found.schema))) == 0
