@@ -60,7 +60,8 @@ SELECT 'race/' || race_id AS url, 'TRIFECTA' AS bet_type, '1-2-3' AS combination
 UNION ALL SELECT 'race/' || race_id, 'QUINELLA_PLACE', '1-2', race_id, NULL, 1 FROM r UNION ALL SELECT 'race/' || race_id, 'QUINELLA_PLACE', '2-3', race_id + 1, NULL, 2 FROM r
 """)
 def _(spark, sf_dir):
-    races = eligible(domain(spark, sf_dir).entries).select("race_id").distinct()
+    # Numbers of races are few bytes, but each is a page to parse: they are dealt to a fixed number of tasks.
+    races = eligible(domain(spark, sf_dir).entries).select("race_id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "race_id").distinct()
     rows = F.expr("""concat('<table><tbody id="pitbodyHarai"><tr><td>', CASE WHEN race_id % 19 = 0 THEN '単勝' ELSE '３連単' END, '</td><td>１ - ２ - ３</td><td>', format_number(race_id * 10, 0), '円</td><td>', race_id % 30, '</td></tr>',
       '<tr><td>ワイド</td><td>1-2</td><td>', race_id, '円</td><td></td></tr><tr><td>ワイド</td><td>2-3</td><td>', race_id + 1, '</td></tr></tbody></table>')""")
     return D.parse(page(races, F.concat(F.lit("race/"), F.col("race_id").cast("string")), rows), "payouts")[0]
